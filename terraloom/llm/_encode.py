@@ -21,7 +21,7 @@ _VISIBLE = tx.byte_class(bytes(range(0x21, 0x7F)))
 #: Lead bytes of two-byte characters none of which is white space.
 _LEAD = tx.byte_class(bytes(range(0xC3, 0xE0)))
 #: Pieces whose ids are remembered between chunks.
-CACHE = 300_000
+CACHE = 1_200_000
 
 
 class Encoder:
@@ -42,7 +42,7 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.known, self.at, self.n, self.flat = np.zeros(0, tx.U), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        self.known, self.at, self.n, self.flat = np.zeros(0, tx.U), np.zeros(0, np.uint32), np.zeros(0, np.uint32), np.zeros(0, np.uint32)
 
     def _encoded(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         got = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -66,9 +66,9 @@ class Encoder:
         distinct, first, inverse = np.unique(tx.Rolling(buf)(start, end), return_index=True, return_inverse=True)
         self._learn(distinct, raw, start[first], end[first])
         place = np.searchsorted(self.known, distinct)[inverse]
-        n = self.n[place]
+        n = self.n[place].astype(np.int64)
         ends = np.cumsum(n)
-        ids = self.flat[np.repeat(self.at[place] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)]
+        ids = self.flat[np.repeat(self.at[place].astype(np.int64) - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)]
         return ids, np.append(0, ends)[np.searchsorted(start, off)]
 
     def _learn(self, distinct: np.ndarray, raw: bytes, start: np.ndarray, end: np.ndarray) -> None:
@@ -82,8 +82,8 @@ class Encoder:
         known = np.concatenate([self.known, distinct[new]])
         order = np.argsort(known, kind="stable")
         self.known = known[order]
-        self.at = np.concatenate([self.at, len(self.flat) + np.cumsum(n) - n])[order]
-        self.n = np.concatenate([self.n, n])[order]
+        self.at = np.concatenate([self.at, (len(self.flat) + np.cumsum(n) - n).astype(np.uint32)])[order]
+        self.n = np.concatenate([self.n, n.astype(np.uint32)])[order]
         self.flat = np.concatenate([self.flat, flat])
 
 

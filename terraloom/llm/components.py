@@ -1,0 +1,40 @@
+"""Connected components of links, by alternating large and small stars.
+
+Each round hangs neighbours on their least neighbour; the edges end as stars around the least node of every component. Every step is a sum by
+key and a join on it, so a node with very many links is split by the engine like any skewed join.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ._store import Workspace
+
+
+def _state(edges: DataFrame) -> tuple[int, int]:
+    row = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v") % 1_000_003).alias("h")).first()
+    return row.n, row.h or 0
+
+
+def components(links: DataFrame, store: Workspace) -> DataFrame:
+    """node, root of every node that has a link to another; ``links`` has two long columns. Root is the component's least node."""
+    a, b = links.columns
+    edges = store.save(links.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), "edges")
+    state = _state(edges)
+    while state[0]:
+        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("of"), F.least("u", "m").alias("m"))
+        large = both.join(least, F.col("u") == F.col("of")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
+        large = store.save(large.distinct(), "large")
+        least = large.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "of")
+        near = large.join(least, F.col("u") == F.col("of"))
+        small = near.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select(F.col("of").alias("u"), F.col("m").alias("v")))
+        small = store.save(small.distinct(), "small")
+        store.drop(edges, large)
+        new = _state(small)
+        edges = small
+        if new == state:
+            break
+        state = new
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
