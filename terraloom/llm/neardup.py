@@ -214,7 +214,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, store: Workspace) -> DataFrame:
             s1, s2 = signatures(g, first)
             n = np.diff(first)
             each = [g[a:b] for a, b in zip(first[:-1], first[1:], strict=True)]
-            drawn = [sketch(x, 1 << (2 * int(j) + 6)).tobytes() for x, j in zip(each, band(n), strict=True)]
+            drawn = [sketch(x, 1 << max(6, 2 * int(j) + 2)).tobytes() for x, j in zip(each, band(n), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(ids[pick]), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)), pa.array(n), pa.array([x.tobytes() for x in each], pa.binary()), pa.array(drawn, pa.binary())], ["id", "t1", "t2", "n", "hashes", "sketch"])
 
     found = docs.mapInArrow(run, "id long, t1 long, t2 long, n long, hashes binary, sketch binary")
@@ -260,53 +260,130 @@ def _with_leader(rows: DataFrame, turn: int) -> DataFrame:
 def _squares(rows: DataFrame, sets: DataFrame) -> DataFrame:
     """(a, b) of all nodes of different components that share a block and whose sketches allow a link.
 
-    Nodes outside a block's largest component meet all its nodes in squares of about ``SQUARE`` by ``SQUARE``.
+    A block of more than ``SQUARE`` nodes is cut: its nodes outside its largest component meet all its nodes in squares of about ``SQUARE`` by ``SQUARE``.
     """
     size = rows.groupBy("key", "c").agg(F.count("*").alias("k"))
     size = size.groupBy("key").agg(F.max(F.struct("k", "c")).alias("top"), F.sum("k").alias("all"))
     size = size.select(F.col("key").alias("of"), F.col("top.c").alias("main"), F.ceil(F.col("all") / SQUARE).alias("wide"), F.ceil((F.col("all") - F.col("top.k")) / SQUARE).alias("high"))
-    rows = rows.join(size, F.col("key") == F.col("of")).drop("of").join(sets.select(F.col("rep").alias("r"), "sketch"), F.col("rep") == F.col("r")).drop("r")
+    rows = rows.join(size, F.col("key") == F.col("of")).drop("of")
+    columns = ["key", "y", "x", "side", "rep", "n", "c"]
+    zero = F.lit(0).cast("long")
+    small = rows.where("wide = 1").select("key", zero.alias("y"), zero.alias("x"), F.lit(0).alias("side"), "rep", "n", "c")
+    large = rows.where("wide > 1")
     place = lambda many: F.pmod(F.xxhash64("rep"), F.col(many))
-    left = rows.where("c <> main").select("key", place("high").alias("y"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("wide") - 1)).alias("x"), F.lit(True).alias("outer"), "rep", "n", "c", "sketch")
-    right = rows.select("key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("high") - 1)).alias("y"), place("wide").alias("x"), F.lit(False).alias("outer"), "rep", "n", "c", "sketch")
-    dealt = left.unionByName(right).repartition("key", "y", "x").sortWithinPartitions("key", "y", "x")
+    left = large.where("c <> main").select("key", place("high").alias("y"), F.explode(F.sequence(zero, F.col("wide") - 1)).alias("x"), F.lit(1).alias("side"), "rep", "n", "c")
+    right = large.select("key", F.explode(F.sequence(zero, F.col("high") - 1)).alias("y"), place("wide").alias("x"), F.lit(2).alias("side"), "rep", "n", "c")
+    dealt = small.select(columns).unionByName(left.select(columns)).unionByName(right.select(columns))
+    dealt = dealt.join(sets.select(F.col("rep").alias("r"), "sketch"), F.col("rep") == F.col("r")).drop("r")
+    dealt = dealt.repartition("key", "y", "x").sortWithinPartitions("key", "y", "x")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, held = None, []
+        held: list[pa.RecordBatch] = []
+        size = 0
         for batch in batches:
-            for row in batch.to_pylist():
-                here = (row["key"], row["y"], row["x"])
-                if here != at and held:
-                    yield _close(held)
-                    held = []
-                at = here
-                held.append(row)
-        if held:
-            yield _close(held)
+            held.append(batch)
+            size += batch.num_rows
+            if size >= SQUARE_ROWS:
+                table = pa.Table.from_batches(held).combine_chunks()
+                group = _groups(table)
+                last = int(group[-1])
+                whole = int(np.searchsorted(group, last))
+                if whole:
+                    yield from _close(table.slice(0, whole), group[:whole])
+                held = table.slice(whole).to_batches()
+                size = table.num_rows - whole
+        if size:
+            table = pa.Table.from_batches(held).combine_chunks()
+            yield from _close(table, _groups(table))
 
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
-def _folded(row: dict, width: int) -> np.ndarray:
-    words = np.frombuffer(row["sketch"], tx.U)
-    while len(words) > width:
-        words = words[: len(words) // 2] ^ words[len(words) // 2 :]
-    return words
-
-
-def _close(rows: list[dict]) -> pa.RecordBatch:
-    outer, inner = [r for r in rows if r["outer"]], [r for r in rows if not r["outer"]]
-    a, b = [], []
-    if outer and inner:
-        width = min(len(r["sketch"]) // 8 for r in rows)
-        table = np.stack([_folded(r, width) for r in inner])
-        rep, n, c = (np.array([r[k] for r in inner], np.int64) for k in ("rep", "n", "c"))
-        for r in outer:
-            may = (c != r["c"]) & (4 * n >= 3 * r["n"]) & (3 * n <= 4 * r["n"])
-            may[may] = 7 * np.bitwise_count(table[may] ^ _folded(r, width)).sum(1, dtype=np.int64) <= n[may] + r["n"]
-            a += np.minimum(rep[may], r["rep"]).tolist()
-            b += np.maximum(rep[may], r["rep"]).tolist()
-    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+#: Rows of squares that are compared together, whole squares at least.
+SQUARE_ROWS = 1 << 16
+_PAIRS = 1 << 18
+
+
+def _numbers(table: pa.Table, name: str) -> np.ndarray:
+    return table.column(name).to_numpy()
+
+
+def _groups(table: pa.Table) -> np.ndarray:
+    """Number of each row's square."""
+    new = np.zeros(table.num_rows, bool)
+    for name in ("key", "y", "x"):
+        v = _numbers(table, name)
+        new[1:] |= v[1:] != v[:-1]
+    return np.cumsum(new)
+
+
+def _close(table: pa.Table, group: np.ndarray) -> Iterator[pa.RecordBatch]:
+    rep, n, c, side = (_numbers(table, k) for k in ("rep", "n", "c", "side"))
+    one = table.column("sketch").combine_chunks()
+    sketches = Sketches(rep, one.chunk(0) if isinstance(one, pa.ChunkedArray) else one)
+    held: list[np.ndarray] = []
+    size = 0
+    for step in range(1, int(np.bincount(group - group[0]).max())):
+        i = np.flatnonzero(group[step:] == group[:-step])
+        j = i + step
+        ok = (c[i] != c[j]) & ((side[i] != side[j]) | (side[i] == 0)) & (4 * n[i] >= 3 * n[j]) & (4 * n[j] >= 3 * n[i])
+        i, j = i[ok], j[ok]
+        if len(i):
+            held.append(np.stack([i, j]))
+            size += len(i)
+        if size >= _PAIRS:
+            yield _near(np.concatenate(held, 1), sketches, rep, n)
+            held, size = [], 0
+    if size:
+        yield _near(np.concatenate(held, 1), sketches, rep, n)
+
+
+class Sketches:
+    """Of the distinct nodes of some rows, as one table of words for each width."""
+
+    def __init__(self, rep: np.ndarray, column: pa.Array):
+        self.nodes, row, self.of = np.unique(rep, return_index=True, return_inverse=True)
+        column = column.cast(pa.large_binary()).take(pa.array(row))
+        _, offsets, data = column.buffers()
+        off = np.frombuffer(offsets, np.int64, len(row) + 1, column.offset * 8)
+        self.width = np.diff(off) // 8
+        self.row = np.zeros(len(row), np.int64)
+        self.tables: dict[int, np.ndarray] = {}
+        words = np.frombuffer(data, np.uint8)
+        for w in np.unique(self.width):
+            own = np.flatnonzero(self.width == w)
+            self.row[own] = np.arange(len(own))
+            self.tables[int(w)] = words[off[own][:, None] + np.arange(8 * w)].view(tx.U)
+
+    def get(self, node: np.ndarray, width: int) -> np.ndarray:
+        """Sketches of these nodes, folded to a width that none of them is below."""
+        out = np.zeros((len(node), width), tx.U)
+        for w, table in self.tables.items():
+            own = np.flatnonzero(self.width[node] == w)
+            if len(own):
+                part = table[self.row[node[own]]]
+                while part.shape[1] > width:
+                    part = part[:, : part.shape[1] // 2] ^ part[:, part.shape[1] // 2 :]
+                out[own] = part
+        return out
+
+
+def _near(pairs: np.ndarray, sketches: Sketches, rep: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    i, j = sketches.of[pairs[0]], sketches.of[pairs[1]]
+    i, j = np.minimum(i, j), np.maximum(i, j)
+    _, first = np.unique(i * len(sketches.nodes) + j, return_index=True)
+    i, j, bound = i[first], j[first], (n[pairs[0]] + n[pairs[1]])[first]
+    width = np.minimum(sketches.width[i], sketches.width[j])
+    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for w in np.unique(width):
+        own = np.flatnonzero(width == w)
+        for at in range(0, len(own), max(1, (1 << 20) // int(w))):
+            k = own[at : at + max(1, (1 << 20) // int(w))]
+            apart = np.bitwise_count(sketches.get(i[k], int(w)) ^ sketches.get(j[k], int(w))).sum(1, dtype=np.int64)
+            k = k[7 * apart <= bound[k]]
+            a.append(sketches.nodes[i[k]])
+            b.append(sketches.nodes[j[k]])
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
 
 
 def classes(docs: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import binary, counts, decontaminate, mixing, quality
+from . import binary, counts, decontaminate, language_model, mixing, neardup, quality, repeats
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,6 +15,14 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.classes(_table(spark, sf_dir, "documents"))
+
+
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.score(_table(spark, sf_dir, "documents"))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.measure(_table(spark, sf_dir, "documents"))
 
@@ -32,8 +40,15 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.removed(_table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op8_binary_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return binary.encode_table(_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op3_quality_rules, op4_decontamination, op5_token_counts, op6_mixing, op8_binary_output)}
+QUERIES: dict[str, Query] = {
+    f.__name__: f
+    for f in (op1_ngram_jaccard_join, op2_lm_scoring, op3_quality_rules, op4_decontamination, op5_token_counts, op6_mixing, op7_suffix_array_dedup, op8_binary_output)
+}
