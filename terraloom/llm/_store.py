@@ -21,6 +21,16 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.conf.get(_DIR)
 
 
+#: Bytes in an Arrow batch, where the session sets none: a Python worker holds a few batches at a time, however long the rows are.
+BATCH_BYTES = 8 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds the bytes of Arrow batches for this session unless it has a bound of its own."""
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is None:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 class Workspace:
     """Tables of one call of an operator, under a name of their own.
 
@@ -31,6 +41,7 @@ class Workspace:
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self._n = 0
+        small_batches(spark)
 
     def path(self, name: str) -> str:
         self._n += 1

@@ -37,6 +37,8 @@ FILTER_BITS = 1 << 23
 _SEGMENT = 1 << 23
 #: Anchors whose contexts are sorted together, whole groups at least.
 BLOCK = 1 << 14
+#: Contexts in a batch.
+_CONTEXTS = 1 << 12
 
 
 def _least(x: np.ndarray, width: int) -> np.ndarray:
@@ -124,7 +126,7 @@ def _filter(ids: DataFrame):
             np.bitwise_or.at(bits, at >> 3, (1 << (at & 7)).astype(np.uint8))
         yield bits
 
-    return ids.sparkSession.sparkContext.broadcast(_buckets.combined(ids, mark, FILTER_BITS // 8, "u1", np.bitwise_or))
+    return ids.sparkSession.sparkContext.broadcast(_buckets.combined(ids, mark, FILTER_BITS // 8, np.bitwise_or))
 
 
 def _held(bits: np.ndarray, ids: np.ndarray) -> np.ndarray:
@@ -147,17 +149,22 @@ def _contexts(docs: DataFrame, live: DataFrame) -> DataFrame:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: dict[str, list] = {k: [] for k in ("key", "h1", "h2", "at", "before", "after")}
             for h1, h2, text, keys, places in zip(*(tx.column(batch, c) for c in ("h1", "h2", "text", "keys", "places")), strict=True):
-                raw = text.as_py()
-                for key, at in zip(keys.as_py(), places.as_py(), strict=True):
-                    out["key"].append(key)
-                    out["at"].append(at)
-                    out["before"].append(raw[max(0, at - SHARED) : at][::-1])
-                    out["after"].append(raw[at : at + LENGTH])
-                out["h1"] += [h1.as_py()] * len(keys)
-                out["h2"] += [h2.as_py()] * len(keys)
-            yield pa.RecordBatch.from_pydict({k: pa.array(v, pa.binary() if k in ("before", "after") else pa.int32() if k == "at" else pa.int64()) for k, v in out.items()})
+                raw, n = memoryview(text.as_buffer()), len(keys)
+                keys, places = keys.values, places.values
+                for at in range(0, n, _CONTEXTS):
+                    some = places.slice(at, _CONTEXTS).to_pylist()
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            keys.slice(at, _CONTEXTS),
+                            pa.array([h1.as_py()] * len(some), pa.int64()),
+                            pa.array([h2.as_py()] * len(some), pa.int64()),
+                            places.slice(at, _CONTEXTS),
+                            pa.array([bytes(raw[max(0, p - SHARED) : p])[::-1] for p in some], pa.binary()),
+                            pa.array([bytes(raw[p : p + LENGTH]) for p in some], pa.binary()),
+                        ],
+                        ["key", "h1", "h2", "at", "before", "after"],
+                    )
 
     rows = docs.select("text").mapInArrow(texts, "h1 long, h2 long, text binary").dropDuplicates(["h1", "h2"])
     places = live.groupBy(F.col("a").alias("of")).agg(F.collect_list("key").alias("keys"), F.collect_list("b").alias("places"))
