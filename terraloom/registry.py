@@ -1,4 +1,436 @@
-"""Registered queries of the engine and their SQL."""
+"""Registered queries of the engine on the derived layers, and DuckDB SQL with the same rows."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+import math
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from terraloom.functions import geometry as g
+from terraloom.operators import classify, coverage, density, graph, refine, roads, selection
+from terraloom.operators import spatial_join as sj
+from terraloom.plans import delineation, layers
+from terraloom.sources import layers as io
+from terraloom.store import Workspace
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLES: dict[str, str] = {}
+_KEYS = ["fid", "bounds", "shape", "is_box"]
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = layers.WITH + sql
+        return f
+
+    return add
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dense_blocks(spark, sf_dir)
+
+
+# ---- measures and filters
+
+
+@query("SELECT fid, CAST((x2 - x1) * (y2 - y1) AS DOUBLE) AS area, CAST(2 * (x2 - x1 + y2 - y1) AS DOUBLE) AS perimeter FROM buildings")
+def building_area_perimeter(spark, sf_dir):
+    return layers.buildings(spark, sf_dir).select("fid", g.area(F.col("shape")).alias("area"), g.perimeter(F.col("shape")).alias("perimeter"))
+
+
+@query("SELECT fid, round(2 * (x2 - x1 + y2 - y1) / (2 * sqrt(pi() * (x2 - x1) * (y2 - y1))), 6) AS shp_idx FROM buildings WHERE 2 * (x2 - x1 + y2 - y1) / (2 * sqrt(pi() * (x2 - x1) * (y2 - y1))) >= 1.13")
+def roundness_filter(spark, sf_dir):
+    return selection.not_round(layers.buildings(spark, sf_dir), 1.13).select("fid", F.round("shp_idx", 6).alias("shp_idx"))
+
+
+_IN = ", ".join(f"'{c}'" for c in delineation.POSITIVE)
+
+
+@query(f"SELECT fid, fkt FROM buildings WHERE fkt IN ({_IN})")
+def function_code_filter_pos(spark, sf_dir):
+    return selection.with_codes(layers.buildings(spark, sf_dir), delineation.POSITIVE).select("fid", "fkt")
+
+
+_NOT = ", ".join(f"'{c}'" for c in delineation.NEGATIVE)
+
+
+@query(f"SELECT fid, fkt FROM buildings WHERE fkt IN ({_NOT})")
+def function_code_filter_neg(spark, sf_dir):
+    return selection.with_codes(layers.buildings(spark, sf_dir), delineation.NEGATIVE).select("fid", "fkt")
+
+
+@query("SELECT fid, CAST((x1 + x2) / 2.0 AS DOUBLE) AS x, CAST((y1 + y2) / 2.0 AS DOUBLE) AS y FROM buildings")
+def inner_points(spark, sf_dir):
+    return density.centres(layers.buildings(spark, sf_dir), "fid").select("fid", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
+
+
+@query("SELECT fid, CAST(side AS INTEGER) AS side, CAST(CASE side WHEN 0 THEN x1 WHEN 1 THEN x2 WHEN 2 THEN x2 ELSE x1 END AS DOUBLE) AS x1, CAST(CASE side WHEN 0 THEN y1 WHEN 1 THEN y1 WHEN 2 THEN y2 ELSE y2 END AS DOUBLE) AS y1, CAST(CASE side WHEN 0 THEN x2 WHEN 1 THEN x2 WHEN 2 THEN x1 ELSE x1 END AS DOUBLE) AS x2, CAST(CASE side WHEN 0 THEN y1 WHEN 1 THEN y2 WHEN 2 THEN y2 ELSE y1 END AS DOUBLE) AS y2 FROM buildings, (SELECT unnest([0, 1, 2, 3]) AS side)")
+def building_sides(spark, sf_dir):
+    s = layers.buildings(spark, sf_dir).select("fid", F.posexplode(g.segments(F.col("shape.shell"))).alias("side", "s"))
+    return s.select("fid", "side", "s.x1", "s.y1", "s.x2", "s.y2")
+
+
+# ---- spatial joins
+
+
+@query("SELECT name, CAST(nb AS BIGINT) AS n_buildings, CAST(nr AS BIGINT) AS n_roads FROM (SELECT p.name, count(*) AS nb FROM partitions p JOIN buildings b ON b.x1 <= p.x2 AND b.x2 >= p.x1 AND b.y1 <= p.y2 AND b.y2 >= p.y1 GROUP BY p.name) JOIN (SELECT p.name, count(*) AS nr FROM partitions p JOIN roads r ON least(r.x1, r.x2) <= p.x2 AND greatest(r.x1, r.x2) >= p.x1 AND least(r.y1, r.y2) <= p.y2 AND greatest(r.y1, r.y2) >= p.y1 GROUP BY p.name) USING (name) WHERE nb >= 10 AND nr >= 5")
+def select_by_partition(spark, sf_dir):
+    parts = layers.partitions(spark, sf_dir)
+    return delineation.guarded(delineation.assigned(parts, layers.buildings(spark, sf_dir), "fid"), delineation.assigned(parts, layers.roads(spark, sf_dir), "rid"))
+
+
+@query("SELECT DISTINCT k.bid FROM blocks k JOIN buildings b ON b.x1 >= k.x1 AND b.x2 <= k.x2 AND b.y1 >= k.y1 AND b.y2 <= k.y2")
+def block_contains_building(spark, sf_dir):
+    b = layers.blocks(spark, sf_dir)
+    met = sj.refine(sj.pairs(b.select("bid", "bounds", "shape", "is_box"), layers.buildings(spark, sf_dir).select(_KEYS)), "contains")
+    return sj.semi(b, met, "bid").select("bid")
+
+
+@query("SELECT k.bid FROM blocks k WHERE NOT EXISTS (SELECT 1 FROM buildings b WHERE b.fkt = '31001_2463' AND b.x1 >= k.x1 AND b.x2 <= k.x2 AND b.y1 >= k.y1 AND b.y2 <= k.y2)")
+def drop_empty_blocks(spark, sf_dir):
+    b = layers.blocks(spark, sf_dir)
+    some = layers.buildings(spark, sf_dir).where("fkt = '31001_2463'").select(_KEYS)
+    return sj.anti(b, sj.refine(sj.pairs(b.select("bid", "bounds", "shape", "is_box"), some), "contains"), "bid").select("bid")
+
+
+@query("SELECT b.fid, k.bid FROM buildings b JOIN blocks k ON b.x1 >= k.x1 AND b.x2 <= k.x2 AND b.y1 >= k.y1 AND b.y2 <= k.y2")
+def building_within_block(spark, sf_dir):
+    met = sj.pairs(layers.buildings(spark, sf_dir).select(_KEYS), layers.blocks(spark, sf_dir).select("bid", "bounds", "shape", "is_box"))
+    return sj.refine(met, "within").select("a.fid", "b.bid")
+
+
+@query("SELECT k.bid, CAST(count(b.fid) AS BIGINT) AS join_count, min(b.fid) AS join_first FROM blocks k LEFT JOIN buildings b ON b.x1 <= k.x2 AND b.x2 >= k.x1 AND b.y1 <= k.y2 AND b.y2 >= k.y1 GROUP BY k.bid")
+def block_building_counts(spark, sf_dir):
+    b = layers.blocks(spark, sf_dir)
+    met = sj.refine(sj.pairs(b.select("bid", "bounds", "shape", "is_box"), layers.buildings(spark, sf_dir).select(_KEYS)))
+    return sj.counted(b, met, "bid", "fid").select("bid", "join_count", "join_first")
+
+
+# ---- coverage
+
+_PIECES = """, piece AS (SELECT k.bid, b.fid, greatest(b.x1, k.x1) AS x1, greatest(b.y1, k.y1) AS y1, least(b.x2, k.x2) AS x2, least(b.y2, k.y2) AS y2 FROM blocks k JOIN buildings b ON b.x1 < k.x2 AND b.x2 > k.x1 AND b.y1 < k.y2 AND b.y2 > k.y1),
+twice AS (SELECT a.bid, sum((least(a.x2, b.x2) - greatest(a.x1, b.x1)) * (least(a.y2, b.y2) - greatest(a.y1, b.y1))) AS area FROM piece a JOIN piece b ON a.bid = b.bid AND a.fid < b.fid AND a.x1 < b.x2 AND a.x2 > b.x1 AND a.y1 < b.y2 AND a.y2 > b.y1 GROUP BY a.bid),
+once AS (SELECT bid, sum((x2 - x1) * (y2 - y1)) AS area FROM piece GROUP BY bid),
+covered AS (SELECT k.*, CAST((k.x2 - k.x1) * (k.y2 - k.y1) AS DOUBLE) AS shape_area, CAST(coalesce(once.area, 0) - coalesce(twice.area, 0) AS DOUBLE) AS built, CAST(coalesce(once.area, 0) - coalesce(twice.area, 0) AS DOUBLE) / CAST((k.x2 - k.x1) * (k.y2 - k.y1) AS DOUBLE) * 100 AS overlap FROM blocks k LEFT JOIN once USING (bid) LEFT JOIN twice USING (bid))
+"""
+
+
+@query(_PIECES + "SELECT bid, shape_area, built, round(overlap, 6) AS overlap FROM covered")
+def block_coverage(spark, sf_dir):
+    c = coverage.coverage(layers.blocks(spark, sf_dir), layers.buildings(spark, sf_dir), "bid")
+    return c.select("bid", "shape_area", "built", F.round("overlap", 6).alias("overlap"))
+
+
+@query(_PIECES + "SELECT bid, shape_area, built, round(overlap, 6) AS overlap FROM covered WHERE overlap > 18")
+def dense_blocks(spark, sf_dir):
+    c = coverage.dense(layers.blocks(spark, sf_dir), layers.buildings(spark, sf_dir), "bid")
+    return c.select("bid", "shape_area", "built", F.round("overlap", 6).alias("overlap"))
+
+
+@query(_PIECES + "SELECT b.fid FROM buildings b WHERE NOT EXISTS (SELECT 1 FROM covered k WHERE k.overlap > 18 AND b.x1 <= k.x2 AND b.x2 >= k.x1 AND b.y1 <= k.y2 AND b.y2 >= k.y1)")
+def buildings_outside_dense_blocks(spark, sf_dir):
+    b = layers.buildings(spark, sf_dir)
+    dense = coverage.dense(layers.blocks(spark, sf_dir), b, "bid")
+    return sj.anti(b, sj.refine(sj.pairs(b.select(_KEYS), dense.select("bounds", "shape", "is_box"))), "fid").select("fid")
+
+
+@query(_PIECES + ", met AS (SELECT k.bid FROM blocks k JOIN buildings b ON b.x1 <= k.x2 AND b.x2 >= k.x1 AND b.y1 <= k.y2 AND b.y2 >= k.y1 GROUP BY k.bid HAVING count(*) > 14) SELECT CAST(count(*) AS BIGINT) AS n_inner, round(sum(overlap) / count(*), 6) AS mean_overlap FROM covered SEMI JOIN met USING (bid)")
+def mean_inner_block_coverage(spark, sf_dir):
+    b = layers.buildings(spark, sf_dir)
+    inner = coverage.inner_zones(layers.blocks(spark, sf_dir), b, "bid", more_than=14)
+    return coverage.mean_coverage(inner, b, "bid").select("n_inner", F.round("mean_overlap", 6).alias("mean_overlap"))
+
+
+@query(_PIECES + ", met AS (SELECT k.bid, count(*) AS n FROM blocks k JOIN buildings b ON b.x1 <= k.x2 AND b.x2 >= k.x1 AND b.y1 <= k.y2 AND b.y2 >= k.y1 GROUP BY k.bid) SELECT bid, shape_area, n AS join_count, round(overlap, 6) AS overlap FROM covered JOIN met USING (bid) WHERE n >= 16 AND shape_area >= 10000 OR overlap > 25 AND shape_area >= 10000 AND built >= 3500")
+def patch_remove(spark, sf_dir):
+    kept = selection.patches_kept(layers.blocks(spark, sf_dir), layers.buildings(spark, sf_dir), "bid", 25.0, 16, 10000.0, 3500.0)
+    return kept.select("bid", "shape_area", "join_count", F.round("overlap", 6).alias("overlap"))
+
+
+# ---- density and partitions
+
+_CELL = "SELECT DISTINCT unnest(range(CAST(floor((x - {r}) / {c}) AS BIGINT) - 1, CAST(floor((x + {r}) / {c}) AS BIGINT) + 2)) AS cx, fid, x, y FROM pt"
+_POINTS = ", pt AS (SELECT fid, (x1 + x2) / 2.0 AS x, (y1 + y2) / 2.0 AS y FROM buildings {w})"
+
+
+def _cells(c: int, r: int, w: str = "") -> str:
+    return (
+        _POINTS.format(w=w)
+        + f", cx AS ({_CELL.format(c=c, r=r)}), cxy AS (SELECT *, unnest(range(CAST(floor((y - {r}) / {c}) AS BIGINT) - 1, CAST(floor((y + {r}) / {c}) AS BIGINT) + 2)) AS cy FROM cx),"
+        + f" dense AS (SELECT cx, cy, count(*) AS n FROM cxy WHERE pow((cx + 0.5) * {c} - x, 2) + pow((cy + 0.5) * {c} - y, 2) <= {r * r} GROUP BY cx, cy)"
+    )
+
+
+@query(_cells(50, 100) + " SELECT cx, cy, CAST(n AS BIGINT) AS n, round(n / (pi() * 10000) * 1e6, 6) AS per_km2 FROM dense WHERE n / (pi() * 10000) >= 8.2e-5")
+def point_density_cells(spark, sf_dir):
+    cells = density.dense_cells(density.centres(layers.buildings(spark, sf_dir)), 50.0, 100.0, 8.2e-5)
+    return cells.select("cx", "cy", "n", F.round(F.col("density") * 1e6, 6).alias("per_km2"))
+
+
+_HALF = math.sqrt(2 * 50 * 50) / 2
+
+
+@query(
+    _cells(50, 100, f"WHERE fkt IN ({_IN}) AND s % 5 = 0")
+    + f" SELECT b.fid FROM buildings b WHERE b.fkt IN ({_NOT}) AND NOT EXISTS (SELECT 1 FROM dense d WHERE n / (pi() * 10000) >= 8.2e-5 AND pow(greatest(b.x1 - (cx + 0.5) * 50, 0, (cx + 0.5) * 50 - b.x2), 2) + pow(greatest(b.y1 - (cy + 0.5) * 50, 0, (cy + 0.5) * 50 - b.y2), 2) <= {_HALF * _HALF!r})"
+)
+def residential_zone_negatives(spark, sf_dir):
+    b = layers.buildings(spark, sf_dir)
+    homes = selection.with_codes(b, delineation.POSITIVE).where("s % 5 = 0")
+    cells = density.dense_cells(density.centres(homes), 50.0, 100.0, 8.2e-5)
+    return density.outside_dense(selection.with_codes(b, delineation.NEGATIVE), cells, "fid").select("fid")
+
+
+@query(
+    _cells(150, 300)
+    + ", d AS (SELECT cx, cy, (cy + 1073741824) * 2147483648 + cx + 1073741824 AS cell FROM dense WHERE n / (pi() * 90000) >= 1e-5), link AS (SELECT a.cell AS u, b.cell AS v FROM d a JOIN d b ON abs(a.cx - b.cx) + abs(a.cy - b.cy) = 1),"
+    " walk AS (SELECT cell, cell AS root FROM d UNION SELECT link.v, walk.root FROM walk JOIN link ON link.u = walk.cell AND walk.root < link.v) SELECT cx, cy, region FROM d JOIN (SELECT cell, CAST(min(root) AS BIGINT) AS region FROM walk GROUP BY cell) USING (cell)"
+)
+def partition_cells(spark, sf_dir):
+    return density.partition_cells(density.centres(layers.buildings(spark, sf_dir)), Workspace(spark, "partitions"))
+
+
+@query()
+def nearest_partition(spark, sf_dir):
+    points = density.centres(layers.buildings(spark, sf_dir), "fid")
+    return density.nearest_region(points, density.partition_cells(points, Workspace(spark, "partitions")), "fid")
+
+
+_TOUCH = ", hit AS (SELECT a.fid AS u, b.fid AS v FROM buildings a JOIN buildings b ON a.s = b.s AND a.x1 <= b.x2 AND a.x2 >= b.x1 AND a.y1 <= b.y2 AND a.y2 >= b.y1 AND a.fid <> b.fid), walk AS (SELECT fid, fid AS root FROM buildings UNION SELECT hit.v, walk.root FROM walk JOIN hit ON hit.u = walk.fid AND walk.root < hit.v), comp AS (SELECT fid, min(root) AS component FROM walk GROUP BY fid)"
+
+
+@query(_TOUCH + " SELECT fid, component FROM comp")
+def touching_components(spark, sf_dir):
+    return selection.touching(layers.buildings(spark, sf_dir), "fid", Workspace(spark, "touching"))
+
+
+@query(
+    _TOUCH
+    + ", own AS (SELECT b.*, component, (b.x2 - b.x1) * (b.y2 - b.y1) AS area FROM buildings b JOIN comp USING (fid)), both_ AS (SELECT a.component, sum((least(a.x2, b.x2) - greatest(a.x1, b.x1)) * (least(a.y2, b.y2) - greatest(a.y1, b.y1))) AS area FROM own a JOIN own b ON a.component = b.component AND a.fid < b.fid AND a.x1 < b.x2 AND a.x2 > b.x1 AND a.y1 < b.y2 AND a.y2 > b.y1 GROUP BY 1),"
+    " total AS (SELECT component, sum(own.area) - coalesce(max(both_.area), 0) AS area FROM own LEFT JOIN both_ USING (component) GROUP BY component) SELECT fid, CAST(total.area AS DOUBLE) AS dissolved_area FROM own JOIN total USING (component) WHERE total.area >= 56.8 AND own.area >= 35"
+)
+def small_feature_removal(spark, sf_dir):
+    return selection.without_small(layers.buildings(spark, sf_dir), "fid", Workspace(spark, "small")).select("fid", "dissolved_area")
+
+
+@query(_PIECES + "SELECT b.fid FROM buildings b WHERE (b.x2 - b.x1) * (b.y2 - b.y1) >= 300 AND NOT EXISTS (SELECT 1 FROM covered k WHERE k.overlap > 22 AND b.x1 <= k.x2 AND b.x2 >= k.x1 AND b.y1 <= k.y2 AND b.y2 >= k.y1)")
+def large_single_buildings(spark, sf_dir):
+    b = layers.buildings(spark, sf_dir)
+    return selection.large_single(b, coverage.dense(layers.blocks(spark, sf_dir), b, "bid", 22.0), "fid").select("fid")
+
+
+# ---- roads
+
+
+@query("SELECT x, y, CAST(count(*) AS BIGINT) AS degree FROM (SELECT CAST(x1 AS DOUBLE) AS x, CAST(y1 AS DOUBLE) AS y FROM roads UNION ALL SELECT CAST(x2 AS DOUBLE), CAST(y2 AS DOUBLE) FROM roads) GROUP BY x, y")
+def road_endpoint_degree(spark, sf_dir):
+    return roads.end_degrees(layers.roads(spark, sf_dir))
+
+
+@query("SELECT rid, CAST(len AS DOUBLE) AS length FROM roads WHERE rid % 14 = 12")
+def dead_end_roads(spark, sf_dir):
+    return roads.dead_ends(layers.roads(spark, sf_dir)).select("rid", "length")
+
+
+@query(
+    ", corner AS (SELECT fid, CAST(v AS INTEGER) AS vertex, CASE v WHEN 0 THEN x1 WHEN 1 THEN x2 WHEN 2 THEN x2 ELSE x1 END AS x, CASE v WHEN 0 THEN y1 WHEN 1 THEN y1 ELSE y2 END AS y, s FROM buildings, (SELECT unnest([0, 1, 2, 3]) AS v)),"
+    " near AS (SELECT fid, vertex, rid, least(greatest(x, least(x1, x2)), greatest(x1, x2)) AS nx, least(greatest(y, least(y1, y2)), greatest(y1, y2)) AS ny, sqrt(pow(x - least(greatest(x, least(x1, x2)), greatest(x1, x2)), 2) + pow(y - least(greatest(y, least(y1, y2)), greatest(y1, y2)), 2)) AS d FROM corner JOIN roads ON corner.s = roads.s)"
+    " SELECT fid, vertex, rid, CAST(nx AS DOUBLE) AS near_x, CAST(ny AS DOUBLE) AS near_y, round(d, 6) AS distance FROM near WHERE d < 70 QUALIFY row_number() OVER (PARTITION BY fid, vertex ORDER BY d, rid) = 1"
+)
+def nearest_road(spark, sf_dir):
+    n = roads.nearest_road(layers.buildings(spark, sf_dir), layers.roads(spark, sf_dir), "fid")
+    return n.select("fid", "vertex", "rid", F.round("near_x", 6).alias("near_x"), F.round("near_y", 6).alias("near_y"), F.round("distance", 6).alias("distance"))
+
+
+@query("SELECT bid, 200.0::DOUBLE AS perimeter, CAST(CASE WHEN bid % 2 = 0 THEN 180 ELSE 90 END AS DOUBLE) AS touching, CAST(CASE WHEN bid % 2 = 0 THEN 90 ELSE 45 END AS DOUBLE) AS leng_per FROM blocks")
+def gap_contact_ratio(spark, sf_dir):
+    strips = layers._shaped(layers.blocks(spark, sf_dir).select("bid", (F.col("x2") - 10).alias("x1"), "y1", "x2", "y2"))
+    return roads.contact(strips, layers.landuse(spark, sf_dir), "bid").select("bid", F.round("perimeter", 6).alias("perimeter"), F.round("touching", 6).alias("touching"), F.round("leng_per", 6).alias("leng_per"))
+
+
+@query("SELECT bid FROM blocks WHERE bid % 2 = 0")
+def gap_select(spark, sf_dir):
+    strips = layers._shaped(layers.blocks(spark, sf_dir).select("bid", (F.col("x2") - 10).alias("x1"), "y1", "x2", "y2"))
+    return roads.gaps_kept(strips, layers.landuse(spark, sf_dir), "bid").select("bid")
+
+
+# ---- graph
+
+
+@query()
+def delaunay_edges(spark, sf_dir):
+    return graph.delaunay_edges(layers.buildings(spark, sf_dir), "s")
+
+
+_PAIRS = "a.s = b.s AND a.fid < b.fid AND a.x1 - 10 <= b.x2 AND a.x2 + 10 >= b.x1 AND a.y1 - 10 <= b.y2 AND a.y2 + 10 >= b.y1"
+
+
+@query(f", c AS (SELECT fid, CASE v WHEN 0 THEN x1 WHEN 1 THEN x2 WHEN 2 THEN x2 ELSE x1 END AS x, CASE v WHEN 0 THEN y1 WHEN 1 THEN y1 ELSE y2 END AS y FROM buildings, (SELECT unnest([0, 1, 2, 3]) AS v)), e AS (SELECT a.fid AS u, b.fid AS v FROM buildings a JOIN buildings b ON {_PAIRS}) SELECT u, v, greatest(1, round(sqrt(min(pow(p.x - q.x, 2) + pow(p.y - q.y, 2))), 6)) AS w FROM e JOIN c p ON p.fid = u JOIN c q ON q.fid = v GROUP BY u, v")
+def edge_min_vertex_distance(spark, sf_dir):
+    b = layers.buildings(spark, sf_dir)
+    near = sj.pairs(b.select("fid", "bounds"), b.select("fid", "bounds"), reach=10.0).where("a.fid < b.fid").select(F.col("a.fid").alias("u"), F.col("b.fid").alias("v"))
+    return graph.edge_weights(near, b).select("u", "v", F.round("w", 6).alias("w"))
+
+
+def _parting_roads(spark, sf_dir):
+    every = layers.roads(spark, sf_dir)
+    short = roads.dead_ends(every).select(F.col("rid").alias("short"))
+    return every.join(short, F.col("rid") == F.col("short"), "left_anti")
+
+
+@query()
+def minimum_spanning_forest(spark, sf_dir):
+    return graph.spanning_forests(layers.buildings(spark, sf_dir), _parting_roads(spark, sf_dir), "s")
+
+
+@query("SELECT fid, CAST(CASE WHEN y2 - y1 > x2 - x1 THEN 90 ELSE 0 END AS DOUBLE) AS direction FROM buildings")
+def main_angle(spark, sf_dir):
+    return graph.main_directions(layers.buildings(spark, sf_dir), "fid")
+
+
+@query("SELECT fid, CAST((x2 - x1) * (y2 - y1) AS DOUBLE) AS box_area FROM buildings")
+def main_angle_rectangle(spark, sf_dir):
+    return graph.main_boxes(layers.buildings(spark, sf_dir), "fid").select("fid", F.round("box_area", 6).alias("box_area"))
+
+
+@query()
+def mst_clusters(spark, sf_dir):
+    c = graph.building_clusters(layers.buildings(spark, sf_dir), _parting_roads(spark, sf_dir), "s")
+    return c.select("s", "cluster", F.size("members").alias("n_members"), F.round(g.area(F.col("shape")), 6).alias("area"))
+
+
+# ---- overlays
+
+
+@query("SELECT s, CAST(4 AS BIGINT) AS n_faces, CAST(54000 AS DOUBLE) AS area, CAST(13500 AS DOUBLE) AS least FROM settlements")
+def polygonize_blocks(spark, sf_dir):
+    faces = refine.measured(refine.grouped_lines(layers.roads(spark, sf_dir), "s"))
+    return faces.groupBy("s").agg(F.count("*").alias("n_faces"), F.round(F.sum("shape_area"), 6).alias("area"), F.round(F.min("shape_area"), 6).alias("least"))
+
+
+def _pierced(spark, sf_dir):
+    """The settlements' rectangles with a hole of 3,600 and one of 10,560 square metres."""
+    s = layers.settlements(spark, sf_dir)
+    hole = lambda x, y, w, h: g.box(F.col("ox") + x, F.col("oy") + y, F.col("ox") + x + w, F.col("oy") + y + h)["shell"]
+    outer = g.box(F.col("ox") - 3, F.col("oy") - 3, F.col("ox") + 297, F.col("oy") + 177)["shell"]
+    return s.select("s", g.polygon(outer, F.array(hole(10, 10, 60, 60), hole(150, 60, 120, 88))).alias("shape"))
+
+
+@query("SELECT s, CAST(54000 - 10560 AS DOUBLE) AS area, CAST(1 AS INTEGER) AS n_holes FROM settlements")
+def hole_close(spark, sf_dir):
+    closed = refine.grouped(_pierced(spark, sf_dir), "s", refine.holes_closed)
+    return closed.select("s", F.round(g.area(F.col("shape")), 6).alias("area"), F.size("shape.holes").alias("n_holes"))
+
+
+@query("SELECT s, CAST(54000 - 10 * 180 AS DOUBLE) AS area FROM settlements")
+def dissolved_landuse(spark, sf_dir):
+    """Land of the four blocks with the strip between them: touching parts join into one, the strips at the right edge stay out."""
+    strip = layers._shaped(layers.blocks(spark, sf_dir).where("bid % 2 = 0").select("bid", "s", (F.col("x2") - 10).alias("x1"), "y1", "x2", "y2"))
+    whole = layers.landuse(spark, sf_dir).select("s", "shape").unionByName(strip.select("s", "shape"))
+    joined = refine.grouped(whole, "s", refine.plane.dissolved)
+    return joined.groupBy("s").agg(F.round(F.sum(g.area(F.col("shape"))), 6).alias("area"))
+
+
+@query()
+def gap_close(spark, sf_dir):
+    closed = refine.grouped_with(layers.landuse(spark, sf_dir), layers.blocks(spark, sf_dir), "s", lambda a, b: refine.gaps_closed(a, b))
+    return closed.select("s", "part", F.round(g.area(F.col("shape")), 3).alias("area"))
+
+
+@query()
+def edge_catch(spark, sf_dir):
+    b, z = layers.buildings(spark, sf_dir), layers.blocks(spark, sf_dir)
+    return refine.caught(b, _parting_roads(spark, sf_dir), z, "s").select("s", "part", F.round(g.area(F.col("shape")), 3).alias("area"))
+
+
+@query()
+def gap_fix(spark, sf_dir):
+    store = Workspace(spark, "gap-fix")
+    halves = layers._shaped(layers.blocks(spark, sf_dir).where("bid % 4 in (0, 3)").selectExpr("concat('PART_', s, '_', bid) name", "0 part", "x1", "y1", "x2", "y2", "s"))
+    lines = halves.select("name", "s").join(layers.roads(spark, sf_dir).select(F.col("s").alias("rs"), "line"), F.col("s") == F.col("rs")).select("name", "line")
+    return delineation.joined(halves.select("name", "part", "shape"), lines, store).select("name", "part", F.round(g.area(F.col("shape")), 3).alias("area"))
+
+
+# ---- error classes
+
+_DIFF = """, pos AS (SELECT 'POS_' || u.fid || '_0' AS pid, 'POS' AS sign, u.fid AS source, u.x1, u.y1, CASE WHEN i.fid IS NULL THEN u.x2 ELSE i.x1 END AS x2, u.y2, i.fid IS NULL AS body FROM ugb u LEFT JOIN ibs i USING (fid)),
+neg AS (SELECT 'NEG_' || i.fid || '_0' AS pid, 'NEG' AS sign, i.fid AS source, CASE WHEN u.fid IS NULL THEN i.x1 ELSE u.x2 END AS x1, i.y1, i.x2, i.y2, u.fid IS NULL AS body FROM ibs i LEFT JOIN ugb u USING (fid)),
+patch AS (SELECT *, CAST((x2 - x1) * (y2 - y1) AS DOUBLE) AS shape_area FROM (SELECT * FROM pos UNION ALL SELECT * FROM neg)),
+cut AS (SELECT p.pid, b.fid, greatest(b.x1, p.x1) AS x1, greatest(b.y1, p.y1) AS y1, least(b.x2, p.x2) AS x2, least(b.y2, p.y2) AS y2 FROM patch p JOIN buildings b ON b.x1 < p.x2 AND b.x2 > p.x1 AND b.y1 < p.y2 AND b.y2 > p.y1),
+both_ AS (SELECT a.pid, sum((least(a.x2, b.x2) - greatest(a.x1, b.x1)) * (least(a.y2, b.y2) - greatest(a.y1, b.y1))) AS area FROM cut a JOIN cut b ON a.pid = b.pid AND a.fid < b.fid AND a.x1 < b.x2 AND a.x2 > b.x1 AND a.y1 < b.y2 AND a.y2 > b.y1 GROUP BY a.pid),
+one AS (SELECT pid, sum((x2 - x1) * (y2 - y1)) AS area FROM cut GROUP BY pid),
+land AS (SELECT p.pid, CAST(sum(CASE WHEN l.objart_txt = 'AX_IndustrieUndGewerbeflaeche' THEN a ELSE 0 END) AS DOUBLE) AS ind, CAST(sum(CASE WHEN l.objart_txt IN ('AX_Wohnbauflaeche', 'AX_FlaecheGemischterNutzung') THEN a ELSE 0 END) AS DOUBLE) AS res FROM patch p, LATERAL (SELECT l.objart_txt, (least(l.x2, p.x2) - greatest(l.x1, p.x1)) * (least(l.y2, p.y2) - greatest(l.y1, p.y1)) AS a FROM landuse l WHERE l.x1 < p.x2 AND l.x2 > p.x1 AND l.y1 < p.y2 AND l.y2 > p.y1) l GROUP BY p.pid),
+rated AS (SELECT p.*, CAST(coalesce(one.area, 0) - coalesce(both_.area, 0) AS DOUBLE) / shape_area * 100 AS overlap, coalesce(ind, 0) / shape_area * 100 AS ind_ratio, coalesce(res, 0) / shape_area * 100 AS res_ratio FROM patch p LEFT JOIN one USING (pid) LEFT JOIN both_ USING (pid) LEFT JOIN land USING (pid)),
+classed AS (SELECT *, CASE WHEN shape_area > 10000 AND overlap > 15 AND ind_ratio >= 50 THEN 'IndCom' WHEN shape_area > 10000 AND overlap > 15 AND res_ratio >= 50 THEN 'Resid' WHEN body THEN 'SettBody' WHEN overlap <= 3 AND shape_area > 10000 THEN 'LargeEmptyAreas' WHEN overlap > 15 THEN 'BdgEdge' WHEN overlap <= 3 THEN 'EmptyAreas' ELSE 'LowDensBdgGrp' END AS error_class FROM rated WHERE shape_area >= 250)
+"""
+
+
+def _patches(spark, sf_dir):
+    store = Workspace(spark, "patches")
+    return store.save(classify.difference_patches(layers.computed(spark, sf_dir), layers.expert(spark, sf_dir), store), "patches")
+
+
+def _classified(spark, sf_dir):
+    return classify.classified(_patches(spark, sf_dir), layers.buildings(spark, sf_dir), layers.landuse(spark, sf_dir))
+
+
+@query(_DIFF + "SELECT pid, sign, shape_area, CAST(2 * (x2 - x1 + y2 - y1) AS DOUBLE) AS shape_len FROM patch")
+def symdiff_patches(spark, sf_dir):
+    return _patches(spark, sf_dir).select("pid", "sign", F.round("shape_area", 6).alias("shape_area"), F.round("shape_len", 6).alias("shape_len"))
+
+
+@query(_DIFF + "SELECT pid, round(overlap, 6) AS overlap FROM rated")
+def patch_overlap(spark, sf_dir):
+    return coverage.coverage(_patches(spark, sf_dir), layers.buildings(spark, sf_dir), "pid").select("pid", F.round("overlap", 6).alias("overlap"))
+
+
+@query(_DIFF + "SELECT pid, round(ind_ratio, 6) AS ind_ratio FROM rated")
+def landuse_ratio_indcom(spark, sf_dir):
+    return classify.land_share(_patches(spark, sf_dir), layers.landuse(spark, sf_dir), classify.INDUSTRIAL, "ind_ratio").select("pid", F.round("ind_ratio", 6).alias("ind_ratio"))
+
+
+@query(_DIFF + "SELECT pid, round(res_ratio, 6) AS res_ratio FROM rated")
+def landuse_ratio_resid(spark, sf_dir):
+    return classify.land_share(_patches(spark, sf_dir), layers.landuse(spark, sf_dir), classify.RESIDENTIAL, "res_ratio").select("pid", F.round("res_ratio", 6).alias("res_ratio"))
+
+
+@query(_DIFF + "SELECT pid, sign FROM patch WHERE body")
+def settlement_body(spark, sf_dir):
+    return _patches(spark, sf_dir).where("body").select("pid", "sign")
+
+
+@query(_DIFF + "SELECT pid, sign, error_class FROM classed")
+def error_class_cascade(spark, sf_dir):
+    return _classified(spark, sf_dir).select("pid", "sign", "error_class")
+
+
+@query(
+    _DIFF
+    + ", total AS (SELECT sign, count(*) AS n, sum(shape_area) AS area FROM patch GROUP BY sign), known AS (SELECT sign, error_class, count(*) AS n, sum(shape_area) AS area FROM classed GROUP BY sign, error_class),"
+    " line AS (SELECT sign, 'All' AS error_class, n, area FROM total UNION ALL SELECT * FROM known UNION ALL SELECT sign, 'Unclassified', t.n - coalesce(k.n, 0), t.area - coalesce(k.area, 0) FROM total t LEFT JOIN (SELECT sign, sum(n) AS n, sum(area) AS area FROM known GROUP BY sign) k USING (sign))"
+    " SELECT line.sign, error_class, CAST(line.n AS BIGINT) AS frequency, CAST(round(line.area / 10000) AS BIGINT) AS area_ha, round(line.area / total.area * 100, 1) AS share_pct FROM line JOIN total USING (sign)"
+)
+def error_report(spark, sf_dir):
+    store = Workspace(spark, "report")
+    patches = _patches(spark, sf_dir)
+    return classify.report(patches, store.save(classify.classified(patches, layers.buildings(spark, sf_dir), layers.landuse(spark, sf_dir)).select("sign", "error_class", "shape_area"), "classes"))
+
+
+# ---- results
+
+
+@query("SELECT s, CAST(x1 AS DOUBLE) AS x1, 'computed' AS origin FROM ugb UNION ALL SELECT s, CAST(x1 AS DOUBLE), 'expert' FROM ibs")
+def merge_partition_results(spark, sf_dir):
+    parts = [layers.computed(spark, sf_dir).withColumn("origin", F.lit("computed")), layers.expert(spark, sf_dir).withColumn("origin", F.lit("expert"))]
+    return io.merged(parts).select("s", F.col("bounds.x1").alias("x1"), "origin")
+
+
+@query()
+def delineation_full(spark, sf_dir):
+    made = delineation.delineate(layers.buildings(spark, sf_dir), layers.roads(spark, sf_dir), layers.partitions(spark, sf_dir), layers.blocks(spark, sf_dir))
+    return made.select("name", "part", F.round("shape_area", 3).alias("area"), "join_count", F.round("overlap", 6).alias("overlap"))

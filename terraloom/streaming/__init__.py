@@ -1,0 +1 @@
+"""No stream operators: delineation and classification are batch work on whole layers."""
