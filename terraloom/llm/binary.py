@@ -220,10 +220,11 @@ def starts(shards: DataFrame) -> DataFrame:
     return total.select(F.col("part").alias("of"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
 
 
-def digest(shards: DataFrame) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 of every stored document."""
+def digest(shards: DataFrame, occurrences: bool = False) -> DataFrame:
+    """doc_id, start, n_tokens, ids_crc32 of every stored document, and which of its doc_id's it is if asked for."""
     rows, base = documents(shards), starts(shards)
-    return rows.join(base, rows["part"] == base["of"]).select("doc_id", (F.col("base") + F.col("offset")).alias("start"), "n_tokens", "ids_crc32")
+    rows = rows.join(base, rows["part"] == base["of"])
+    return rows.select("doc_id", *["occurrence"] * occurrences, (F.col("base") + F.col("offset")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def get(shards: DataFrame, doc_id: int, occurrence: int = 0) -> np.ndarray | None:
@@ -236,7 +237,7 @@ def get(shards: DataFrame, doc_id: int, occurrence: int = 0) -> np.ndarray | Non
     return None
 
 
-def encode_table(docs: DataFrame, tokenizer: str | None = None, end_id: int = END_ID, shard_ids: int = SHARD_IDS) -> DataFrame:
+def encode_table(docs: DataFrame, tokenizer: str | None = None, end_id: int = END_ID, shard_ids: int = SHARD_IDS, occurrences: bool = False) -> DataFrame:
     """Writes ``docs`` and reads it back as ``digest``."""
     spark: SparkSession = docs.sparkSession
-    return digest(write(docs, Workspace(spark, "tokens"), tokenizer, end_id, shard_ids))
+    return digest(write(docs, Workspace(spark, "tokens"), tokenizer, end_id, shard_ids), occurrences)

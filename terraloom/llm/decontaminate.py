@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text as tx
+from ._store import small_batches
 
 WINDOW, GRAM = 13, 5
 #: Benchmark text in one broadcast.
@@ -152,6 +153,7 @@ def _found(prints: Fingerprints, buf: np.ndarray, off: np.ndarray) -> tuple[np.n
 
 
 def _blocks(benchmark: DataFrame, block_bytes: int) -> list[DataFrame]:
+    small_batches(benchmark.sparkSession)
     items = benchmark.selectExpr("cast(item_id as string) id", "text").where("id is not null and text is not null")
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = -(-total // block_bytes)

@@ -24,7 +24,6 @@ from ._store import Workspace
 
 MAX_REPEATS, WEIGHTS = 3, 3
 BUCKETS, LEVELS = 1024, 2
-SPACE = "[\\x20\\x09-\\x0D]+"
 
 
 def size_of(text: Column) -> Column:
@@ -112,3 +111,13 @@ def mix(docs: DataFrame, seed: str = "mix", inclusion: Column | None = None) ->
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size_of(F.col("text")).alias("size"))
     out = _draw(spark, rows, seed, inclusion, Workspace(spark, "mix"))
     return out.select("doc_id", "source", "size", "source_size", F.coalesce("target", F.lit(0.0)).alias("target"), "copies", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+def mixed(docs: DataFrame, seed: str = "mix", inclusion: Column | None = None) -> DataFrame:
+    """The rows of ``docs``, all columns as they were, each as often as the mix takes it; rows that share doc_id and source are taken alike."""
+    spark = docs.sparkSession
+    taken = mix(docs, seed, inclusion).groupBy(F.col("doc_id").alias("mix_doc"), F.col("source").alias("mix_source"), F.col("size").alias("mix_size")).agg(F.max("copies").alias("mix_copies"))
+    taken = Workspace(spark, "mix").save(taken.where("mix_copies > 0"), "copies")
+    same = F.col("mix_doc").eqNullSafe(F.col("doc_id").cast("long")) & F.col("mix_source").eqNullSafe(F.col("source").cast("string")) & (F.col("mix_size") == size_of(F.col("text")))
+    rows = docs.select(*docs.columns).join(taken, same)
+    return rows.withColumn("mix_turn", F.explode(F.sequence(F.lit(1).cast("long"), F.col("mix_copies")))).select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import _text as tx
+from ._store import small_batches
 
 MIN_WORDS, REPEAT_PERCENT = 50, 50
 #: Documents on which cost and selectivity of the rules are estimated; they order the rules only.
@@ -165,6 +166,7 @@ def _trial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def plan_order(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> list[str]:
     """Rules by falling rejections per second, as found on at most ``sample_docs`` documents."""
+    small_batches(docs.sparkSession)
     found = docs.select("text").limit(sample_docs).mapInArrow(_trial, "rule string, docs long, rejected long, seconds double").collect()
     total: dict[str, list[float]] = {name: [0.0, 1e-9] for name in RULES}
     for row in found:

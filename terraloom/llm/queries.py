@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import binary, counts, decontaminate, language_model, mixing, neardup, quality, repeats
+from . import binary, counts, decontaminate, language_model, licenses, mixing, neardup, pii, quality, repeats
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -48,7 +48,15 @@ def op8_binary_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return binary.encode_table(_table(spark, sf_dir, "documents"))
 
 
+def op9_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.surrogates(_table(spark, sf_dir, "documents"))
+
+
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (op1_ngram_jaccard_join, op2_lm_scoring, op3_quality_rules, op4_decontamination, op5_token_counts, op6_mixing, op7_suffix_array_dedup, op8_binary_output)
+    for f in (op1_ngram_jaccard_join, op2_lm_scoring, op3_quality_rules, op4_decontamination, op5_token_counts, op6_mixing, op7_suffix_array_dedup, op8_binary_output, op9_pii_surrogates, op10_license_scan)
 }
