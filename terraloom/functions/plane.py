@@ -49,8 +49,8 @@ def as_struct(p: Polygon) -> dict:
 def signed_area(ring: Ring) -> float:
     if len(ring) < 3:
         return 0.0
-    a = np.asarray(ring) - ring[0]
-    return float((a[:-1, 0] * a[1:, 1] - a[1:, 0] * a[:-1, 1]).sum() / 2)
+    ox, oy = ring[0]
+    return sum((x1 - ox) * (y2 - oy) - (x2 - ox) * (y1 - oy) for (x1, y1), (x2, y2) in zip(ring[:-1], ring[1:], strict=True)) / 2
 
 
 def area(p: Polygon) -> float:
@@ -81,44 +81,65 @@ def noded(lines: np.ndarray) -> np.ndarray:
     lines = lines[(lines[:, 0] != lines[:, 2]) | (lines[:, 1] != lines[:, 3])] if len(lines) else lines.reshape(0, 4)
     if not len(lines):
         return lines
-    cuts: list[list[tuple[float, float]]] = [[(x1, y1), (x2, y2)] for x1, y1, x2, y2 in lines.tolist()]
     low, high = np.minimum(lines[:, :2], lines[:, 2:]) - GRID, np.maximum(lines[:, :2], lines[:, 2:]) + GRID
-    order = np.argsort(low[:, 0])
-    for place, i in enumerate(order):
-        rest = order[place + 1 : place + 1 + int(np.searchsorted(low[order[place + 1 :], 0], high[i, 0], "right"))]
-        rest = rest[(low[rest, 1] <= high[i, 1]) & (high[rest, 1] >= low[i, 1])]
-        for j in rest:
-            for p in _meetings(lines[i], lines[j]):
-                cuts[i].append(p)
-                cuts[j].append(p)
-    pieces = set()
-    for (x1, y1, x2, y2), points in zip(lines.tolist(), cuts, strict=True):
-        dx, dy = x2 - x1, y2 - y1
-        on = sorted({(round(snapped(x), 6), round(snapped(y), 6)) for x, y in points}, key=lambda p: (p[0] - x1) * dx + (p[1] - y1) * dy)
-        for a, b in zip(on[:-1], on[1:], strict=True):
-            if a != b:
-                pieces.add((min(a, b), max(a, b)))
-    return np.array([(*a, *b) for a, b in sorted(pieces)], float).reshape(-1, 4)
-
-
-def _meetings(s: np.ndarray, t: np.ndarray) -> list[tuple[float, float]]:
-    """Points in which two segments meet: a crossing, or ends that lie on the other one."""
-    out = []
+    order = np.argsort(low[:, 0], kind="stable")
+    lines, low, high = lines[order], low[order], high[order]
+    last = np.searchsorted(low[:, 0], high[:, 0], "right")
+    many = last - np.arange(len(lines)) - 1
+    i = np.repeat(np.arange(len(lines)), many)
+    j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(many) - many, many)
+    near = (low[j, 1] <= high[i, 1]) & (high[j, 1] >= low[i, 1])
+    i, j = i[near], j[near]
+    pair, at = _meetings(lines[i], lines[j])
+    of = np.concatenate([np.arange(len(lines)), np.arange(len(lines)), i[pair], j[pair]])
+    points = np.concatenate([lines[:, :2], lines[:, 2:], at, at])
+    points = np.round(np.round(points / GRID) * GRID, 6)
+    along = ((points - lines[of, :2]) * (lines[of, 2:] - lines[of, :2])).sum(1)
+    order = np.lexsort((along, of))
+    of, points = of[order], points[order]
+    keep = (of[1:] == of[:-1]) & (points[1:] != points[:-1]).any(1)
+    a, b = points[:-1][keep], points[1:][keep]
+    turn = (a[:, 0] > b[:, 0]) | ((a[:, 0] == b[:, 0]) & (a[:, 1] > b[:, 1]))
+    return np.unique(np.where(turn[:, None], np.concatenate([b, a], 1), np.concatenate([a, b], 1)), axis=0)
+
+
+def _meetings(s: np.ndarray, t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(number of the pair, point) in which segments s[k] and t[k] meet: ends that lie on the other one, or else a crossing."""
+    found, points = [], []
+    any_end = np.zeros(len(s), bool)
     for a, b in ((s, t), (t, s)):
-        dx, dy = b[2] - b[0], b[3] - b[1]
-        square = dx * dx + dy * dy
-        for x, y in ((a[0], a[1]), (a[2], a[3])):
-            k = ((x - b[0]) * dx + (y - b[1]) * dy) / square
-            if -1e-9 <= k <= 1 + 1e-9 and abs((x - b[0]) * dy - (y - b[1]) * dx) <= GRID * math.sqrt(square):
-                out.append((float(x), float(y)))
-    if not out:
-        ax, ay, bx, by = s[2] - s[0], s[3] - s[1], t[2] - t[0], t[3] - t[1]
-        cross = ax * by - ay * bx
-        if cross:
-            k = ((t[0] - s[0]) * by - (t[1] - s[1]) * bx) / cross
-            m = ((t[0] - s[0]) * ay - (t[1] - s[1]) * ax) / cross
-            if 0 <= k <= 1 and 0 <= m <= 1:
-                out.append((float(s[0] + k * ax), float(s[1] + k * ay)))
+        d = b[:, 2:] - b[:, :2]
+        square = (d * d).sum(1)
+        for end in (a[:, :2], a[:, 2:]):
+            r = end - b[:, :2]
+            k = (r * d).sum(1) / square
+            on = (k >= -1e-9) & (k <= 1 + 1e-9) & (np.abs(r[:, 0] * d[:, 1] - r[:, 1] * d[:, 0]) <= GRID * np.sqrt(square))
+            any_end |= on
+            found.append(np.flatnonzero(on))
+            points.append(end[on])
+    p, q, r = s[:, 2:] - s[:, :2], t[:, 2:] - t[:, :2], t[:, :2] - s[:, :2]
+    cross = p[:, 0] * q[:, 1] - p[:, 1] * q[:, 0]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        k = (r[:, 0] * q[:, 1] - r[:, 1] * q[:, 0]) / cross
+        m = (r[:, 0] * p[:, 1] - r[:, 1] * p[:, 0]) / cross
+    inner = ~any_end & (cross != 0) & (k >= 0) & (k <= 1) & (m >= 0) & (m <= 1)
+    found.append(np.flatnonzero(inner))
+    points.append(s[inner, :2] + k[inner, None] * p[inner])
+    return np.concatenate(found), np.concatenate(points)
+
+
+def meets(one: np.ndarray, lines: np.ndarray) -> np.ndarray:
+    """Which lines a segment meets."""
+    out = np.zeros(len(lines), bool)
+    if len(lines):
+        near = np.flatnonzero(
+            (np.maximum(lines[:, 0], lines[:, 2]) + GRID >= min(one[0], one[2]))
+            & (np.minimum(lines[:, 0], lines[:, 2]) - GRID <= max(one[0], one[2]))
+            & (np.maximum(lines[:, 1], lines[:, 3]) + GRID >= min(one[1], one[3]))
+            & (np.minimum(lines[:, 1], lines[:, 3]) - GRID <= max(one[1], one[3]))
+        )
+        if len(near):
+            out[near[_meetings(np.repeat(one[None], len(near), 0), lines[near])[0]]] = True
     return out
 
 
@@ -169,12 +190,13 @@ def _rim_inside(hole: Ring, shell: Ring) -> bool:
 
 def covers(ring: Ring, x: float, y: float) -> bool:
     """Whether a point lies in a ring; its border isn't told apart."""
-    a = np.asarray(ring)
-    x1, y1, x2, y2 = a[:-1, 0], a[:-1, 1], a[1:, 0], a[1:, 1]
-    across = (y1 > y) != (y2 > y)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        at = x1 + (y - y1) * (x2 - x1) / (y2 - y1)
-    return bool(np.count_nonzero(across & (x < at)) % 2)
+    inside = False
+    x1, y1 = ring[0]
+    for x2, y2 in ring[1:]:
+        if (y1 > y) != (y2 > y) and x < x1 + (y - y1) * (x2 - x1) / (y2 - y1):
+            inside = not inside
+        x1, y1 = x2, y2
+    return inside
 
 
 def holds(p: Polygon, x: float, y: float) -> bool:
@@ -274,14 +296,11 @@ def buffered(shapes: list[Polygon], distance: float, quadrant: int = 4) -> list[
 
 def intersects(a: Polygon, b: Polygon) -> bool:
     """Closed: a common point of the borders is enough."""
+    p, q = _box(a), _box(b)
+    if p[0] > q[2] + GRID or q[0] > p[2] + GRID or p[1] > q[3] + GRID or q[1] > p[3] + GRID:
+        return False
     s, t = edges([a]), edges([b])
-    if any(_meetings(x, y) for x in s for y in t if _near(x, y)):
-        return True
-    return holds(a, *b.shell[0]) or holds(b, *a.shell[0])
-
-
-def _near(x: np.ndarray, y: np.ndarray) -> bool:
-    return not (max(x[0], x[2]) + GRID < min(y[0], y[2]) or max(y[0], y[2]) + GRID < min(x[0], x[2]) or max(x[1], x[3]) + GRID < min(y[1], y[3]) or max(y[1], y[3]) + GRID < min(x[1], x[3]))
+    return any(meets(x, t).any() for x in s) or holds(a, *b.shell[0]) or holds(b, *a.shell[0])
 
 
 def contains(a: Polygon, b: Polygon) -> bool:

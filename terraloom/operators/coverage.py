@@ -102,3 +102,32 @@ def mean_coverage(inner: DataFrame, buildings: DataFrame, key: str, more_than: i
     c = coverage(inner, buildings, key)
     n = F.count("*")
     return c.agg(n.alias("n_inner"), F.when(n > more_than, F.sum("overlap") / n).otherwise(F.lit(fallback)).alias("mean_overlap"))
+
+
+def sparse_zones(zones: DataFrame, buildings: DataFrame, key: str, below: float, reach: float = 18.0) -> DataFrame:
+    """Zones of which rectangles around their buildings, grown by ``reach``, cover under ``below`` percent, with that ``share``."""
+    part = zones.select(key, "bounds", "shape", "is_box")
+    met = sj.pairs(part, buildings.select("bounds", F.col("shape").alias("shape"), "is_box"), reach=reach)
+    rows = met.select(F.col(f"a.{key}").alias(key), F.col("a.shape").alias("zone"), F.col("b.shape").alias("shape"))
+
+    def share(group: pd.DataFrame) -> pd.DataFrame:
+        zone = plane.as_polygon(group["zone"].iloc[0])
+        boxes = [plane.least_box(plane.as_ring(s["shell"])) for s in group["shape"]]
+        covered = plane.intersection([zone], plane.buffered(boxes, reach, 2))
+        return pd.DataFrame({key: [group[key].iloc[0]], "share": [100 * sum(map(plane.area, covered)) / plane.area(zone)]})
+
+    kind = dict(zones.dtypes)[key]
+    found = rows.groupBy(key).applyInPandas(share, f"{key} {kind}, share double").withColumnRenamed(key, "__z")
+    every = zones.join(found, F.col(key) == F.col("__z"), "left").drop("__z").withColumn("share", F.coalesce("share", F.lit(0.0)))
+    return every.where(F.col("share") < below)
+
+
+def conflicts(lines: DataFrame, outlines: DataFrame) -> DataFrame:
+    """One row: ``n_conflicts``, how many lines (rid, line, bounds) run through or touch outlines."""
+    flat = lines.select("rid", F.explode(g.segments(F.col("line"))).alias("side"))
+    shape = g.polygon(F.array(g.point(F.col("side.x1"), F.col("side.y1")), g.point(F.col("side.x2"), F.col("side.y2")), g.point(F.col("side.x1"), F.col("side.y1"))))
+    flat = flat.select("rid", shape.alias("shape")).select("rid", "shape", g.bounds(F.col("shape.shell")).alias("bounds"))
+    # a segment along an axis is its own bounds
+    flat = flat.withColumn("is_box", (F.col("bounds.x1") == F.col("bounds.x2")) | (F.col("bounds.y1") == F.col("bounds.y2")))
+    met = sj.refine(sj.pairs(flat, outlines.select("bounds", "shape", "is_box")))
+    return met.agg(F.countDistinct("a.rid").alias("n_conflicts"))

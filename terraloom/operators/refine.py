@@ -91,7 +91,10 @@ def edges_caught(cluster: Polygon, zone: list[Polygon], roads: np.ndarray, build
     A cluster without a road near enough gives nothing.
     """
     near = [b for b in zone if plane.intersects(b, cluster)]
-    lines = np.array([r for r in roads if any(plane._near(r, np.array(e)) and plane._meetings(r, np.array(e)) for b in near for e in plane.edges([b]))]).reshape(-1, 4)
+    hit = np.zeros(len(roads), bool)
+    for side in plane.edges(near):
+        hit |= plane.meets(side, roads)
+    lines = roads[hit]
     if not len(lines):
         return []
     links, used = [], set()

@@ -304,9 +304,35 @@ def mst_clusters(spark, sf_dir):
     return c.select("s", "cluster", F.size("members").alias("n_members"), F.round(g.area(F.col("shape")), 6).alias("area"))
 
 
+@query(
+    f", e AS (SELECT a.fid AS u, b.fid AS v, CAST((a.x2 - a.x1) * (a.y2 - a.y1) AS DOUBLE) AS ua, CAST((b.x2 - b.x1) * (b.y2 - b.y1) AS DOUBLE) AS va, CASE WHEN a.y2 - a.y1 > a.x2 - a.x1 THEN 0 ELSE 1 END AS ut, CASE WHEN b.y2 - b.y1 > b.x2 - b.x1 THEN 0 ELSE 1 END AS vt FROM buildings a JOIN buildings b ON {_PAIRS})"
+    " SELECT u, v, round(1 - least(ua, va) / greatest(ua, va), 6) AS by_area, CAST(abs(ut - vt) AS DOUBLE) AS by_turn FROM e"
+)
+def edge_dissimilarity(spark, sf_dir):
+    b = layers.buildings(spark, sf_dir)
+    near = sj.pairs(b.select("fid", "bounds"), b.select("fid", "bounds"), reach=10.0).where("a.fid < b.fid").select(F.col("a.fid").alias("u"), F.col("b.fid").alias("v"))
+    return graph.dissimilarity(near, b).select("u", "v", F.round("by_area", 6).alias("by_area"), F.round("by_turn", 6).alias("by_turn"))
+
+
+@query("SELECT fid, CAST((x2 - x1) * (y2 - y1) AS DOUBLE) AS box_area FROM buildings")
+def least_bounding_box(spark, sf_dir):
+    return graph.least_boxes(layers.buildings(spark, sf_dir), "fid").select("fid", F.round("box_area", 6).alias("box_area"))
+
+
 # ---- overlays
 
 
+@query()
+def sparse_blocks(spark, sf_dir):
+    few = layers.buildings(spark, sf_dir).where("fkt <> '31001_1000'")
+    return coverage.sparse_zones(layers.blocks(spark, sf_dir), few, "bid", 60.0).select("bid", F.round("share", 3).alias("share"))
+
+
+@query("SELECT CAST(count(DISTINCT rid) AS BIGINT) AS n_conflicts FROM roads r JOIN ibs i ON least(r.x1, r.x2) <= i.x2 AND greatest(r.x1, r.x2) >= i.x1 AND least(r.y1, r.y2) <= i.y2 AND greatest(r.y1, r.y2) >= i.y1")
+def line_conflicts(spark, sf_dir):
+    return coverage.conflicts(layers.roads(spark, sf_dir), layers.expert(spark, sf_dir))
+
+
 @query("SELECT s, CAST(4 AS BIGINT) AS n_faces, CAST(54000 AS DOUBLE) AS area, CAST(13500 AS DOUBLE) AS least FROM settlements")
 def polygonize_blocks(spark, sf_dir):
     faces = refine.measured(refine.grouped_lines(layers.roads(spark, sf_dir), "s"))
