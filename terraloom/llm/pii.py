@@ -9,10 +9,12 @@ made from a key, its kind and its canonical form, so one entity has one surrogat
 * names keep their title; a given name becomes a name of the title's gender, a surname another surname, both in the script (Latin, Cyrillic or Greek) of the original
 
 Distinct entities keep distinct surrogates, none of which is an entity of the input: collisions are searched among all distinct entities,
-and all but the least of the colliding ones get the surrogate of another attempt, until there are none. Entities of attempts above 0 are joined to the
-few documents that hold them. All other documents are rewritten in one scan.
+and all but the least of the colliding ones get the surrogate of another attempt, until there are none.
 
-A null text stays null and an empty one empty, without entities. Rows that repeat are rewritten alike; rows that share a doc_id share attempts. Other columns are ignored by ``surrogates``.
+Documents without entities pass in one scan. The others are numbered and saved; their distinct entities get surrogates, and these go back to the documents by entity and by
+number, so that only documents with entities are ever exchanged, and an entity that very many documents share is one row until the join, which the engine splits.
+
+A null text stays null and an empty one empty, without entities. Rows that repeat are rewritten alike. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -47,6 +49,8 @@ ENTITY = "|".join(PATTERNS.values())
 #: Every entity holds one of these.
 HINT = rf"[0-9@]|(?i:{_ASSIGNED})|{_TITLE} \p{{Lu}}"
 ATTEMPTS = 32
+#: Kinds of the words of names.
+NAMES = ("female", "male", "surname")
 
 #: Syllables by script, each an open one, and endings of names.
 SYLLABLES = {
@@ -73,27 +77,29 @@ def _canonical(kind: Column, found: Column) -> Column:
     return F.when(kind.isin("email", "ipv4"), F.lower(found)).otherwise(F.regexp_replace(F.lower(found), "[^0-9a-z]+", ""))
 
 
-def _digest(key: str, kind: Column, canon: Column, attempt: Column) -> Column:
-    """256 hexadecimal digits."""
-    seed = F.concat_ws("\x1f", F.lit(key), kind, canon, attempt.cast("string"))
-    return F.concat(*(F.sha2(F.concat(seed, F.lit(f"\x1f{k}")), 256) for k in range(4)))
-
-
-def _value(digest: Column, at: Column) -> Column:
-    """The byte of number ``at`` of a digest."""
-    return F.conv(F.substring(digest, F.pmod(at, F.lit(128)) * 2 + 1, F.lit(2)), 16, 10).cast("int")
-
-
-def _letters(digest: Column, canon: Column, hexadecimal: Column, keep_first: Column, keep_last: Column) -> Column:
-    """A letter for each letter and a digit for each digit of ``canon``, which has nothing else; ends may be kept."""
+def _staged(units: DataFrame, key: str) -> DataFrame:
+    """Adds ``made``, the surrogate of kind, canon and attempt in canonical form. Each step is a column of its own, so that none is evaluated twice."""
+    seed = F.concat_ws("\x1f", F.lit(key), "kind", "canon", F.col("attempt").cast("string"))
+    rows = units.withColumn("digest", F.concat(*(F.sha2(F.concat(seed, F.lit(f"\x1f{k}")), 256) for k in range(4))))
+    rows = rows.withColumn("v", F.transform(F.sequence(F.lit(0), F.lit(127)), lambda k: F.conv(F.substring(F.col("digest"), k * 2 + 1, F.lit(2)), 16, 10).cast("int")))
+    rows = rows.withColumn("plain", F.regexp_replace("canon", "[^0-9a-z]+", "")).withColumn("chars", F.filter(F.split("plain", ""), lambda c: c != ""))
+    first = F.when(F.col("kind") == "iban", 2).otherwise(0)
+    last = F.size("chars") - F.when(F.col("kind") == "email", F.length(F.substring_index("canon", ".", -1))).otherwise(0)
+    letters = F.when(F.col("kind").isin("hex", "ipv6"), "abcdef").otherwise("abcdefghijklmnopqrstuvwxyz")
+    rows = rows.withColumns({"first": first, "last": last, "letters": letters})
 
     def char(c: Column, i: Column) -> Column:
-        v = _value(digest, i)
+        v = F.element_at("v", F.pmod(i, F.lit(128)) + 1)
         digit = F.when((i == 0) & (c != "0"), 1 + v % 9).otherwise(v % 10).cast("string")
-        letter = F.when(hexadecimal, F.substring(F.lit("abcdef"), v % 6 + 1, F.lit(1))).otherwise(F.substring(F.lit("abcdefghijklmnopqrstuvwxyz"), v % 26 + 1, F.lit(1)))
-        return F.when((i < keep_first) | (i >= F.length(canon) - keep_last), c).when(c.between("0", "9"), digit).otherwise(letter)
+        letter = F.substring(F.col("letters"), v % F.length("letters") + 1, F.lit(1))
+        return F.when((i < F.col("first")) | (i >= F.col("last")), c).when(c.between("0", "9"), digit).otherwise(letter)
 
-    return F.array_join(F.transform(F.filter(F.split(canon, ""), lambda c: c != ""), char), "")
+    rows = rows.withColumn("text", F.array_join(F.transform("chars", char), ""))
+    rows = rows.withColumn("body", F.substring("text", F.lit(1), F.length("text") - 1)).withColumn("zero", F.concat("body", F.lit("0")))
+    digit = F.pmod(_luhn(F.col("plain")) - _luhn(F.col("zero")), F.lit(10)).cast("string")
+    octets = F.concat_ws(".", *((F.col("v")[k] % 254 + 1).cast("string") for k in range(4)))
+    made = F.when(F.col("kind") == "ipv4", octets).when(F.col("kind") == "card", F.concat("body", digit)).when(F.col("kind").isin(*NAMES), _name()).otherwise(F.col("text"))
+    return rows.withColumn("made", made).select("kind", "canon", "attempt", "made")
 
 
 def _luhn(digits: Column) -> Column:
@@ -102,87 +108,55 @@ def _luhn(digits: Column) -> Column:
         twice = F.when(d * 2 > 9, d * 2 - 9).otherwise(d * 2)
         return total + F.when(k % 2 == 0, twice).otherwise(d)
 
-    return F.aggregate(F.sequence(F.lit(1), F.length(digits)), F.lit(0), add)
-
-
-def _made(key: str, kind: Column, canon: Column, attempt: Column) -> Column:
-    """The surrogate of a canonical form that isn't a name, in canonical form."""
-    digest = _digest(key, kind, canon, attempt)
-    plain = F.regexp_replace(canon, "[^0-9a-z]+", "")
-    top = F.when(kind == "email", F.length(F.substring_index(canon, ".", -1))).otherwise(0)
-    text = _letters(digest, plain, kind.isin("hex", "ipv6"), F.when(kind == "iban", 2).otherwise(0), top)
-    body = F.substring(text, F.lit(1), F.length(text) - 1)
-    card = F.concat(body, F.pmod(_luhn(plain) - _luhn(F.concat(body, F.lit("0"))), F.lit(10)).cast("string"))
-    octets = F.concat_ws(".", *(( _value(digest, F.lit(k)) % 254 + 1).cast("string") for k in range(4)))
-    return F.when(kind == "ipv4", octets).when(kind == "card", card).otherwise(text)
-
-
-def _laid(kind: Column, found: Column, made: Column) -> Column:
-    """A surrogate in the written form of the entity: its punctuation and case."""
-
-    def put(state: Column, c: Column) -> Column:
-        taken = F.substring(made, state["at"], F.lit(1))
-        word = c.rlike("[0-9A-Za-z]")
-        return F.struct(F.concat(state["text"], F.when(~word, c).when(c.rlike("[A-Z]"), F.upper(taken)).otherwise(taken)).alias("text"), (state["at"] + word.cast("int")).alias("at"))
-
-    chars = F.filter(F.split(found, ""), lambda c: c != "")
-    return F.when(kind == "ipv4", made).otherwise(F.aggregate(chars, F.struct(F.lit("").alias("text"), F.lit(1).alias("at")), put)["text"])
+    return F.aggregate(F.sequence(F.lit(1), F.greatest(F.length(digits), F.lit(1))), F.lit(0), add)
 
 
 def _script(word: Column) -> Column:
     return F.when(word.rlike(r"\p{IsCyrillic}"), "cyrillic").when(word.rlike(r"\p{IsGreek}"), "greek").otherwise("latin")
 
 
-def _name(key: str, kind: Column, canon: Column, attempt: Column) -> Column:
-    """A name of three syllables and an ending; kind is female, male or surname."""
-    digest = _digest(key, kind, canon, attempt)
-
-    def of(script: str) -> Column:
-        known = F.array(*map(F.lit, SYLLABLES[script]))
-        ends = F.array(*map(F.lit, ENDINGS[script]))
-        n = len(SYLLABLES[script])
-        parts = [F.element_at(known, (_value(digest, F.lit(2 * k)) * 256 + _value(digest, F.lit(2 * k + 1))) % n + 1) for k in range(3)]
-        end = F.when(kind == "female", ends[0]).when(kind == "male", ends[1]).otherwise(ends[2])
-        return F.concat(*parts, end)
+def _name() -> Column:
+    """Three syllables and an ending, of the script of ``canon``."""
+    script = _script(F.col("canon"))
+    out = None
+    for name, syllables in SYLLABLES.items():
+        known, ends = F.array(*map(F.lit, syllables)), F.array(*map(F.lit, ENDINGS[name]))
+        parts = [F.element_at(known, (F.col("v")[2 * k] * 256 + F.col("v")[2 * k + 1]) % len(syllables) + 1) for k in range(3)]
+        whole = F.concat(*parts, F.when(F.col("kind") == "female", ends[0]).when(F.col("kind") == "male", ends[1]).otherwise(ends[2]))
+        out = F.when(script == name, whole) if out is None else out.when(script == name, whole)
+    return out
 
-    script = _script(canon)
-    return F.when(script == "cyrillic", of("cyrillic")).when(script == "greek", of("greek")).otherwise(of("latin"))
 
+def _laid() -> Column:
+    """``made`` in the written form ``found``: its punctuation and case."""
 
-def _capital(word: Column) -> Column:
-    return F.concat(F.upper(F.substring(word, 1, 1)), F.substring(word, F.lit(2), F.length(word)))
-
+    def put(state: Column, c: Column) -> Column:
+        taken = F.substring(F.col("made"), state["at"], F.lit(1))
+        word = c.rlike("[0-9A-Za-z]")
+        return F.struct(F.concat(state["text"], F.when(~word, c).when(c.rlike("[A-Z]"), F.upper(taken)).otherwise(taken)).alias("text"), (state["at"] + word.cast("int")).alias("at"))
 
-def _units(found: Column) -> Column:
-    """array<struct<kind, canon>>: an entity, or each word of a name."""
-    kind = _kind(found)
-    words = F.slice(F.split(found, "[ -]"), 2, 8)
-    gender = _gender(found)
-    names = F.transform(words, lambda w, i: F.struct(F.when(i == F.size(words) - 1, "surname").otherwise(gender).alias("kind"), F.lower(w).alias("canon")))
-    return F.when(kind == "person", names).otherwise(F.array(F.struct(kind.alias("kind"), _canonical(kind, found).alias("canon"))))
+    chars = F.filter(F.split("found", ""), lambda c: c != "")
+    return F.when(F.col("kind") == "ipv4", F.col("made")).otherwise(F.aggregate(chars, F.struct(F.lit("").alias("text"), F.lit(1).alias("at")), put)["text"])
 
 
 def _gender(found: Column) -> Column:
     return F.when(F.regexp_replace(F.split(found, " ")[0], r"\.", "").isin(*FEMALE), "female").otherwise("male")
 
 
-def _unit_surrogate(key: str, kind: Column, canon: Column, attempt: Column) -> Column:
-    return F.when(kind.isin("female", "male", "surname"), _name(key, kind, canon, attempt)).otherwise(_made(key, kind, canon, attempt))
-
-
-def _replaced(key: str, found: Column, attempts: Column) -> Column:
-    """The written surrogate of an entity; attempts: map of kind and canonical form to a number, or null."""
-    tries = lambda kind, canon: F.coalesce(F.element_at(attempts, F.concat(kind, F.lit(":"), canon)), F.lit(0))
-    kind = _kind(found)
-    canon = _canonical(kind, found)
-    words = F.split(found, "(?<=[ -])|(?=[ -])")  # title, space, names and what stands between them
-    last = F.size(words) - 1
-
-    def name(w: Column, i: Column) -> Column:
-        part = F.when(i == last, "surname").otherwise(_gender(found))
-        return F.when((i < 2) | w.isin(" ", "-"), w).otherwise(_capital(_name(key, part, F.lower(w), tries(part, F.lower(w)))))
-
-    return F.when(kind == "person", F.array_join(F.transform(words, name), "")).otherwise(_laid(kind, found, _made(key, kind, canon, tries(kind, canon))))
+def _parts(found: DataFrame) -> DataFrame:
+    """found, n, of (how many), lead, kind, canon: one row for an entity, or one for each word of a name with what stands before it."""
+    rows = found.withColumn("whole", _kind(F.col("found")))
+    plain = rows.where("whole <> 'person'").select("found", F.lit(0).alias("n"), F.lit("").alias("lead"), F.col("whole").alias("kind"), _canonical(F.col("whole"), F.col("found")).alias("canon"))
+    words = rows.where("whole = 'person'").withColumns({"title": F.split("found", " ")[0], "names": F.regexp_replace("found", "^[^ ]+ ", "")})
+    words = words.select("found", "title", F.posexplode(F.split("names", "(?=[ -])")).alias("n", "w"), F.size(F.split("names", "[ -]")).alias("of"))
+    words = words.select(
+        "found",
+        "n",
+        F.when(F.col("n") == 0, F.concat("title", F.lit(" "))).otherwise(F.substring("w", 1, 1)).alias("lead"),
+        F.when(F.col("n") == F.col("of") - 1, "surname").otherwise(_gender(F.col("found"))).alias("kind"),
+        F.lower(F.regexp_replace("w", "^[ -]", "")).alias("canon"),
+    )
+    return plain.unionByName(words)
 
 
 def entities(text: Column) -> Column:
@@ -190,57 +164,50 @@ def entities(text: Column) -> Column:
     return F.when(text.rlike(HINT), F.regexp_extract_all(text, F.lit(ENTITY), 0)).otherwise(F.array().cast("array<string>"))
 
 
-def attempts(docs: DataFrame, key: str, store: Workspace) -> DataFrame:
-    """unit (kind:canon), attempt of the distinct entities whose first surrogate collides."""
-    found = docs.select(F.explode(entities(F.col("text"))).alias("found")).select(F.explode(_units(F.col("found"))).alias("u")).select("u.kind", "u.canon").distinct()
-    units = store.save(found, "units")
-    moved = units.limit(0).withColumn("attempt", F.lit(0))
-    state = store.save(units.withColumn("attempt", F.lit(0)).withColumn("made", _unit_surrogate(key, F.col("kind"), F.col("canon"), F.col("attempt"))), "made")
+def unit_surrogates(units: DataFrame, key: str, store: Workspace) -> DataFrame:
+    """kind, canon, attempt, made of distinct units: distinct by kind, and none a unit of the input."""
+    state = store.save(_staged(units.withColumn("attempt", F.lit(0)), key), "made")
     for _ in range(ATTEMPTS):
         several = state.groupBy("kind", "made").agg(F.min(F.struct("attempt", "canon")).alias("first"), F.count("*").alias("n")).where("n > 1").select(F.col("kind").alias("k"), F.col("made").alias("m"), F.col("first.canon").alias("stays"))
         twice = state.join(several, (F.col("kind") == F.col("k")) & (F.col("made") == F.col("m"))).where("canon <> stays").select("kind", "canon")
-        real = units.select(F.col("kind").alias("k"), F.col("canon").alias("c"))
+        plain = F.when(F.col("kind") == "ipv4", F.col("canon")).otherwise(F.regexp_replace("canon", "[^0-9a-z\\u0370-\\u04ff]+", ""))
+        real = state.select(F.col("kind").alias("k"), plain.alias("c"))
         known = state.join(real, (F.col("kind") == F.col("k")) & (F.col("made") == F.col("c")), "left_semi").select("kind", "canon")
         bad = store.save(twice.union(known).distinct().select(F.col("kind").alias("k"), F.col("canon").alias("c")), "collisions")
         if bad.isEmpty():
-            break
-        hit = F.col("c").isNotNull()
+            return state
         state = state.join(bad, (F.col("kind") == F.col("k")) & (F.col("canon") == F.col("c")), "left")
-        state = state.select("kind", "canon", (F.col("attempt") + hit.cast("int")).alias("attempt"))
-        state = store.save(state.withColumn("made", _unit_surrogate(key, F.col("kind"), F.col("canon"), F.col("attempt"))), "made")
-        moved = state.where("attempt > 0").select("kind", "canon", "attempt")
-    else:
-        raise ValueError("surrogates collide after all attempts")
-    return moved.select(F.concat("kind", F.lit(":"), "canon").alias("unit"), "attempt")
+        state = store.save(_staged(state.select("kind", "canon", (F.col("attempt") + F.col("c").isNotNull().cast("int")).alias("attempt")), key), "made")
+    raise ValueError("surrogates collide after all attempts")
+
+
+_COUNTS = {"n_email": ("email",), "n_phone": ("phone",), "n_ip": ("ipv4", "ipv6"), "n_number": ("card", "iban", "ssn"), "n_secret": ("hex", "secret"), "n_person": ("person",)}
 
 
 def surrogates(docs: DataFrame, key: str = "terraloom") -> DataFrame:
     """doc_id, text with surrogates, n_entities and their number by kind, of every row of ``docs``."""
     store = Workspace(docs.sparkSession, "pii")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    moved = attempts(rows, key, store)
-    rows = rows.withColumn("found", entities(F.col("text")))
-    if moved.isEmpty():
-        rows = rows.withColumn("attempts", F.lit(None).cast("map<string,int>"))
-    else:
-        held = rows.select("doc_id", F.explode("found").alias("f")).select("doc_id", F.explode(_units(F.col("f"))).alias("u")).select("doc_id", F.concat("u.kind", F.lit(":"), "u.canon").alias("held")).distinct()
-        held = held.join(moved, F.col("held") == F.col("unit")).groupBy(F.col("doc_id").alias("of")).agg(F.map_from_entries(F.collect_list(F.struct("unit", "attempt"))).alias("attempts"))
-        rows = rows.join(store.save(held, "held"), F.col("doc_id").eqNullSafe(F.col("of")), "left").drop("of")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("found", entities(F.col("text")))
+    zeros = {name: F.lit(0).cast("long") for name in ("n_entities", *_COUNTS)}
+    clear = rows.where(F.coalesce(F.size("found"), F.lit(0)) <= 0).select("doc_id", "text", *(zeros[n].alias(n) for n in zeros))
+
+    held = store.save(rows.where(F.size("found") > 0).withColumn("row", F.monotonically_increasing_id()), "held")
+    places = held.select("row", F.posexplode("found").alias("at", "found"))
+    parts = store.save(_parts(places.select("found").distinct()), "parts")
+    made = unit_surrogates(parts.select("kind", "canon").distinct(), key, store).select(F.col("kind").alias("k"), F.col("canon").alias("c"), "made")
+    parts = parts.join(made, (F.col("kind") == F.col("k")) & (F.col("canon") == F.col("c")))
+    capital = F.concat(F.upper(F.substring("made", 1, 1)), F.substring("made", F.lit(2), F.length("made")))
+    person = F.col("kind").isin(*NAMES)
+    parts = parts.withColumn("written", F.when(person, F.concat("lead", capital)).otherwise(_laid()))
+    parts = parts.withColumn("kind", F.when(person, "person").otherwise(F.col("kind")))
+    whole = parts.groupBy("found").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "written"))), lambda p: p["written"]), "").alias("written"), F.first("kind").alias("kind"))
+    whole = store.save(whole, "written").withColumnRenamed("found", "f")
+
+    back = places.join(whole, F.col("found") == F.col("f")).groupBy(F.col("row").alias("of")).agg(F.array_sort(F.collect_list(F.struct("at", "written", "kind"))).alias("new"))
+    out = held.join(back, F.col("row") == F.col("of"))
     between = F.split("text", ENTITY, -1)
-    written = F.transform("found", lambda f: _replaced(key, f, F.col("attempts")))
-    text = F.concat(F.array_join(F.zip_with(F.slice(between, 1, F.size("found")), written, lambda b, w: F.concat(b, w)), ""), F.element_at(between, -1))
-    kinds = F.transform("found", _kind)
-    count = lambda *k: F.size(F.filter(kinds, lambda x: x.isin(*k))).cast("long")
-    return rows.select(
-        "doc_id",
-        F.when(F.size("found") > 0, text).otherwise(F.col("text")).alias("text"),
-        F.size("found").cast("long").alias("n_entities"),
-        count("email").alias("n_email"),
-        count("phone").alias("n_phone"),
-        count("ipv4", "ipv6").alias("n_ip"),
-        count("card", "iban", "ssn").alias("n_number"),
-        count("hex", "secret").alias("n_secret"),
-        count("person").alias("n_person"),
-    )
-
-
+    out = out.withColumn("between", between)
+    text = F.concat(F.array_join(F.zip_with(F.slice("between", 1, F.size("new")), "new", lambda b, n: F.concat(b, n["written"])), ""), F.element_at("between", -1))
+    count = lambda kinds: F.size(F.filter("new", lambda n: n["kind"].isin(*kinds))).cast("long")
+    counts = [count(kinds).alias(name) for name, kinds in _COUNTS.items()]
+    return clear.unionByName(out.select("doc_id", text.alias("text"), F.size("new").cast("long").alias("n_entities"), *counts))

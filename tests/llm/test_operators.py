@@ -489,8 +489,8 @@ def test_surrogates(spark):
 
 
 def test_colliding_surrogates_are_told_apart(spark, monkeypatch):
-    made = pii._made
-    monkeypatch.setattr(pii, "_made", lambda key, kind, canon, attempt: F.when((kind == "ssn") & (attempt == 0), "000000000").otherwise(made(key, kind, canon, attempt)))
+    staged = pii._staged
+    monkeypatch.setattr(pii, "_staged", lambda units, key: staged(units, key).withColumn("made", F.when((F.col("kind") == "ssn") & (F.col("attempt") == 0), "000000000").otherwise(F.col("made"))))
     rows = [(k, f"SSN 123-45-{6000 + k} and 123-45-6000", "a") for k in range(6)]
     got = pii.surrogates(table(spark, rows)).collect()
     pairs = {r.doc_id: re.findall(r"\d{3}-\d{2}-\d{4}", r.text) for r in got}
