@@ -1,8 +1,9 @@
-"""Which (key, a, b) rows share their key with another row, with one exchange of packed rows.
+"""Which (key, a, b) rows share their key with a row of another (a, b), with one exchange of packed rows.
 
-Rows leave a task as binary columns, one row per slot of the key space, sorted by key: 20 bytes a
-row and no more. A key that comes up often within a task is sent once; its rows are known to be live and pass through
-beside it, dealt out evenly. So a key that holds a third of all rows costs its reducer one row per flush of a task.
+Rows leave a task as binary columns, one row per slot of the key space, sorted by key: 40 bits of the key beside its slot, 64 of a, as many as it takes of b. Equal rows
+are sent once. A key that comes up with several (a, b) within a task is sent once; its rows are known to be live and pass through
+beside it, dealt out evenly. So a key that holds a third of all rows costs its reducer one row per flush of a task. Keys that agree in slot and 40 bits count as one: what
+follows tests every pair.
 """
 
 from __future__ import annotations
@@ -16,10 +17,11 @@ from pyspark.sql import DataFrame
 from . import _text as tx
 
 #: Rows that a task gathers before it sends them.
-FLUSH = 1 << 20
+FLUSH = 1 << 19
 _ARROW = pa.schema([("slot", pa.int32()), ("live", pa.bool_()), ("keys", pa.binary()), ("a", pa.binary()), ("b", pa.binary()), ("many", pa.binary())])
 SCHEMA = "slot int, live boolean, keys binary, a binary, b binary, many binary"
 Emit = Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]
+_LOW = tx.U((1 << 40) - 1)
 
 
 def runs(keys: np.ndarray) -> np.ndarray:
@@ -27,14 +29,40 @@ def runs(keys: np.ndarray) -> np.ndarray:
     return np.append(np.flatnonzero(np.append(True, keys[1:] != keys[:-1])), len(keys)) if len(keys) else np.zeros(1, np.int64)
 
 
+def short(x: np.ndarray) -> bytes:
+    """Unsigned numbers in 1, 2, 4 or 8 bytes each, as the greatest asks."""
+    most = int(x.max(initial=0))
+    return x.astype("<u1" if most < 1 << 8 else "<u2" if most < 1 << 16 else "<u4" if most < 1 << 32 else "<u8").tobytes()
+
+
+def long(data: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(data, f"<u{len(data) // n}").astype(np.int64) if n else np.zeros(0, np.int64)
+
+
+def low40(x: np.ndarray) -> bytes:
+    """The lowest 40 bits of each."""
+    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()
+
+
+def from_low40(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // 5, 8), np.uint8)
+    out[:, :5] = np.frombuffer(data, np.uint8).reshape(-1, 5)
+    return out.view("<u8").ravel()
+
+
 def _packed(slot: int, live: bool, keys: np.ndarray, a: np.ndarray, b: np.ndarray, many: np.ndarray) -> dict:
-    return {"slot": slot, "live": live, "keys": keys.tobytes(), "a": a.astype("<i8").tobytes(), "b": b.astype("<i4").tobytes(), "many": np.packbits(many).tobytes()}
+    """keys: with the slot in a live row, without it in others."""
+    return {"slot": slot, "live": live, "keys": keys.astype("<u8").tobytes() if live else low40(keys), "a": a.astype("<i8").tobytes(), "b": short(b), "many": np.packbits(many).tobytes()}
 
 
 def _send(held: list[tuple[np.ndarray, ...]], slots: int, turn: int) -> Iterator[pa.RecordBatch]:
     keys, a, b = (np.concatenate(x) for x in zip(*held, strict=True))
-    order = np.argsort(keys)
+    # the highest 24 bits choose the slot, the lowest 40 tell keys apart in it
+    keys = (((keys >> tx.U(40)) * tx.U(slots) >> tx.U(24)) << tx.U(40)) | (keys & _LOW)
+    order = np.lexsort((b, a, keys))
     keys, a, b = keys[order], a[order], b[order]
+    new = np.append(True, (keys[1:] != keys[:-1]) | (a[1:] != a[:-1]) | (b[1:] != b[:-1]))
+    keys, a, b = keys[new], a[new], b[new]
     at = runs(keys)
     n = np.diff(at)
     many = np.repeat(n > 1, n)
@@ -44,18 +72,12 @@ def _send(held: list[tuple[np.ndarray, ...]], slots: int, turn: int) -> Iterator
         for p in range(0, len(k), 1 << 16):
             rows.append(_packed((turn * 7919 + p) % slots, True, k[p : p + (1 << 16)], x[p : p + (1 << 16)], y[p : p + (1 << 16)], np.zeros(0, bool)))
     keys, a, b, many = keys[at[:-1]], a[at[:-1]], b[at[:-1]], n > 1
-    slot = ((keys >> tx.U(40)) * tx.U(slots) >> tx.U(24)).astype(np.int64)
-    edge = np.searchsorted(slot, np.arange(slots + 1))
+    edge = np.searchsorted(keys >> tx.U(40), np.arange(slots + 1).astype(tx.U))
     rows += [_packed(s, False, keys[p:q], a[p:q], b[p:q], many[p:q]) for s, (p, q) in enumerate(zip(edge[:-1], edge[1:], strict=True)) if p < q]
     for k in range(0, len(rows), 64):
         yield pa.RecordBatch.from_pylist(rows[k : k + 64], _ARROW)
 
 
-def _unpacked(rows: list[dict]) -> tuple[np.ndarray, ...]:
-    keys = np.frombuffer(b"".join(r["keys"] for r in rows), tx.U)
-    return keys, np.frombuffer(b"".join(r["a"] for r in rows), "<i8"), np.frombuffer(b"".join(r["b"] for r in rows), "<i4")
-
-
 def _batch(keys: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(a), pa.array(b)], ["key", "a", "b"])
 
@@ -63,21 +85,28 @@ def _batch(keys: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
 def _meet(rows: list[dict]) -> Iterator[pa.RecordBatch]:
     sent = [r for r in rows if not r["live"]]
     if sent:
-        keys, a, b = _unpacked(sent)
-        many = np.concatenate([np.unpackbits(np.frombuffer(r["many"], np.uint8), count=len(r["keys"]) // 8) for r in sent]).astype(bool)
-        order = np.argsort(keys)
+        sizes = [len(r["a"]) // 8 for r in sent]
+        keys = from_low40(b"".join(r["keys"] for r in sent)) | tx.U(sent[0]["slot"] << 40)
+        a = np.frombuffer(b"".join(r["a"] for r in sent), "<i8")
+        b = np.concatenate([long(r["b"], k) for r, k in zip(sent, sizes, strict=True)])
+        many = np.concatenate([np.unpackbits(np.frombuffer(r["many"], np.uint8), count=k) for r, k in zip(sent, sizes, strict=True)]).astype(bool)
+        order = np.lexsort((b, a, keys))
         keys, a, b, many = keys[order], a[order], b[order], many[order]
-        n = np.diff(runs(keys))
-        out = (np.repeat(n, n) > 1) & ~many
+        at = runs(keys)
+        n = np.diff(at)
+        first, last = at[:-1], at[1:] - 1
+        # several (a, b), or one that another flush has met with others
+        live_key = (a[first] != a[last]) | (b[first] != b[last]) | (np.bitwise_or.reduceat(many, at[:-1]) & (n > 1))
+        out = np.repeat(live_key, n) & ~many
         if out.any():
             yield _batch(keys[out], a[out], b[out])
     for r in rows:
         if r["live"]:
-            yield _batch(*_unpacked([r]))
+            yield _batch(np.frombuffer(r["keys"], tx.U), np.frombuffer(r["a"], "<i8"), long(r["b"], len(r["a"]) // 8))
 
 
 def live(docs: DataFrame, emit: Callable[[Iterator[pa.RecordBatch]], Emit]) -> DataFrame:
-    """key, a, b (long, long, int) of all emitted rows whose key another emitted row has as well."""
+    """key, a, b (long) of the emitted rows whose key is emitted with another (a, b) as well; a row may come several times."""
     slots = 8 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -104,28 +133,72 @@ def live(docs: DataFrame, emit: Callable[[Iterator[pa.RecordBatch]], Emit]) -> D
             yield from _meet(rows)
 
     packed = docs.mapInArrow(run, SCHEMA)
-    return packed.repartition("slot").sortWithinPartitions("slot").mapInArrow(meet, "key long, a long, b int")
+    return packed.repartition("slot").sortWithinPartitions("slot").mapInArrow(meet, "key long, a long, b long")
+
 
+def combined(docs: DataFrame, make: Callable[[Iterator[pa.RecordBatch]], Iterator[np.ndarray]], size: int, join: Callable = np.add, total: str = "u1", finish: Callable = lambda x: x, slots: int = 64) -> np.ndarray:
+    """The arrays of ``size`` bytes that tasks make, joined element by element as ``total`` on the executors, a part in each slot, and finished there as bytes.
 
-def combined(docs: DataFrame, make: Callable[[Iterator[pa.RecordBatch]], Iterator[np.ndarray]], size: int, dtype: str, join: Callable = np.add, slots: int = 64) -> np.ndarray:
-    """The arrays of ``size`` numbers that tasks make, joined element by element on the executors, a part in each slot; ``size`` is fixed, whatever the input."""
+    ``size`` is fixed, whatever the input; tasks send their arrays compressed.
+    """
     width = size // slots
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for total in make(batches):
-            data = total.astype(dtype)
-            yield pa.RecordBatch.from_pydict({"slot": pa.array(range(slots), pa.int32()), "data": pa.array([data[s * width : (s + 1) * width].tobytes() for s in range(slots)], pa.binary())})
+        for made in make(batches):
+            for s in range(slots):
+                yield pa.RecordBatch.from_pydict({"slot": pa.array([s], pa.int32()), "data": pa.array([pa.compress(made[s * width : (s + 1) * width].tobytes(), "zstd", asbytes=True)], pa.binary())})
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[int, np.ndarray] = {}
+        slot, held = None, None
         for batch in batches:
-            for slot, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                part = np.frombuffer(data, dtype)
-                total[slot] = join(total[slot], part) if slot in total else part
-        yield pa.RecordBatch.from_pydict({"slot": pa.array(list(total), pa.int32()), "data": pa.array([x.tobytes() for x in total.values()], pa.binary())})
-
-    out = np.zeros(size, dtype)
-    for r in docs.mapInArrow(run, "slot int, data binary").repartition("slot").mapInArrow(merge, "slot int, data binary").collect():
-        at = slice(r.slot * width, (r.slot + 1) * width)
-        out[at] = join(out[at], np.frombuffer(r.data, dtype))
+            for s, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                part = np.frombuffer(pa.decompress(data.as_buffer(), width, "zstd"), np.uint8).astype(total)
+                if s != slot and held is not None:
+                    yield pa.RecordBatch.from_pydict({"slot": pa.array([slot], pa.int32()), "data": pa.array([finish(held).astype("u1").tobytes()], pa.binary())})
+                held = part if s != slot else join(held, part)
+                slot = s
+        if held is not None:
+            yield pa.RecordBatch.from_pydict({"slot": pa.array([slot], pa.int32()), "data": pa.array([finish(held).astype("u1").tobytes()], pa.binary())})
+
+    out = np.zeros(size, np.uint8)
+    dealt = docs.mapInArrow(run, "slot int, data binary").repartition("slot").sortWithinPartitions("slot")
+    for r in dealt.mapInArrow(merge, "slot int, data binary").collect():
+        out[r.slot * width : (r.slot + 1) * width] = np.frombuffer(r.data, np.uint8)
     return out
+
+
+#: Bits of a table that tells which 64-bit ids are meant.
+FILTER_BITS = 1 << 23
+
+
+def _places(ids: np.ndarray) -> np.ndarray:
+    return (tx.splitmix(ids.view(tx.U)) % tx.U(FILTER_BITS)).astype(np.int64)
+
+
+def members(ids: DataFrame):
+    """A broadcast table of fixed size that holds the ids of the one column, and passes a few others."""
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+        bits = np.zeros(FILTER_BITS // 8, np.uint8)
+        for batch in batches:
+            at = _places(batch.column(0).to_numpy())
+            np.bitwise_or.at(bits, at >> 3, (1 << (at & 7)).astype(np.uint8))
+        yield bits
+
+    return ids.sparkSession.sparkContext.broadcast(combined(ids, mark, FILTER_BITS // 8, np.bitwise_or))
+
+
+def held(bits: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    at = _places(ids)
+    return ((bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1).astype(bool)
+
+
+def kept(rows: DataFrame, column: str, ids: DataFrame) -> DataFrame:
+    """Rows whose 64-bit ``column`` is among the ids, and a few others; without an exchange of rows."""
+    shared, place = members(ids), rows.columns.index(column)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(held(shared.value, batch.column(place).to_numpy())))
+
+    return rows.mapInArrow(run, rows.schema)

@@ -1,61 +1,5 @@
-"""Intermediate tables in the folder that driver and executors share."""
+"""The engine's workspace, under a name of this subpackage."""
 
-from __future__ import annotations
+from terraloom.store import Workspace, shared_dir, small_batches
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-_DIR = "spark.checkpoint.dir"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; a temporary folder only for a local master that has none."""
-    set_dir = spark.conf.get(_DIR, None) or spark.sparkContext.getConf().get(_DIR)
-    if set_dir:
-        return set_dir.rstrip("/")
-    if not spark.sparkContext.master.startswith(("local[", "local")) or "cluster" in spark.sparkContext.master:
-        raise ValueError(f"set {_DIR} to a folder that the driver and all executors share")
-    spark.conf.set(_DIR, "file://" + tempfile.mkdtemp(prefix="terraloom-"))
-    return spark.conf.get(_DIR)
-
-
-#: Bytes in an Arrow batch, where the session sets none: a Python worker holds a few batches at a time, however long the rows are.
-BATCH_BYTES = 8 << 20
-
-
-def small_batches(spark: SparkSession) -> None:
-    """Bounds the bytes of Arrow batches for this session unless it has a bound of its own."""
-    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is None:
-        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
-
-
-class Workspace:
-    """Tables of one call of an operator, under a name of their own.
-
-    ``save`` cuts the lineage: what it returns reads files that survive lost executors.
-    """
-
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark = spark
-        self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-        self._n = 0
-        small_batches(spark)
-
-    def path(self, name: str) -> str:
-        self._n += 1
-        return f"{self.root}/{self._n:03d}-{name}"
-
-    def save(self, df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
-        path = self.path(name)
-        df.write.option("compression", codec).parquet(path)
-        saved = self.spark.read.schema(df.schema).parquet(path)
-        saved._stored_at = path
-        return saved
-
-    def drop(self, *tables: DataFrame) -> None:
-        """Deletes saved tables; call it once whatever was made from them is saved as well."""
-        for table in tables:
-            path = self.spark._jvm.org.apache.hadoop.fs.Path(table._stored_at)
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+__all__ = ["Workspace", "shared_dir", "small_batches"]

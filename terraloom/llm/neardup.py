@@ -33,19 +33,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import _buckets, _text as tx
+from terraloom.operators.components import components
+
+from . import _buckets
+from . import _text as tx
 from ._store import Workspace
-from .components import components
 
 SHINGLE = 5
-#: Numbers in the table of block counts.
-COUNTERS = 1 << 18
-#: Bits of the table that tells which documents are to be compared.
-FILTER_BITS = 1 << 23
+#: Bytes in the table of block counts.
+COUNTERS = 1 << 23
+#: A sketch has 2**SKETCH times as many bits as the least size of its band.
+SKETCH = 4
 #: Rounds of comparison with one leader of each block.
-ROUNDS = 3
+ROUNDS = 2
 #: Nodes on a side of a square.
-SQUARE = 512
+SQUARE = 4096
 
 
 def shingle_sets(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -114,7 +116,7 @@ def blocks(g: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
 
 
 def _slot(keys: np.ndarray) -> np.ndarray:
-    return (keys >> tx.U(64 - 18)).astype(np.int64)
+    return (keys >> tx.U(64 - 23)).astype(np.int64)
 
 
 def leading(doc: np.ndarray, key: np.ndarray, n: np.ndarray, load: np.ndarray) -> np.ndarray:
@@ -150,36 +152,41 @@ def _load(docs: DataFrame) -> np.ndarray:
     """How many documents hold the blocks of each slot, in eighths of a power of two."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
-        total = np.zeros(COUNTERS, np.int64)
+        total = np.zeros(COUNTERS, np.uint8)
         for _, buf, off in tx.chunks(batches):
             _, key, _ = blocks(*shingle_sets(buf, off))
-            total += np.bincount(_slot(key), minlength=COUNTERS)
+            at, n = np.unique(_slot(key), return_counts=True)
+            total[at] = np.minimum(255, total[at] + n)
         yield total
 
-    return np.minimum(255, 8 * np.log2(1 + _buckets.combined(docs, count, COUNTERS, "<i8"))).astype(np.uint8)
+    return _buckets.combined(docs, count, COUNTERS, total="u4", finish=lambda x: np.minimum(255, 8 * np.log2(1 + x.astype(np.float64))))
 
 
 def _live(docs: DataFrame, load: np.ndarray) -> DataFrame:
-    """key, a (doc_id), b (size) of leading blocks that several documents have."""
+    """key, node (hash of a set), n of leading blocks that several sets have."""
     shared = docs.sparkSession.sparkContext.broadcast(load)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> _buckets.Emit:
-        for own, buf, off in tx.chunks(batches):
-            ids = tx.column(own, "doc_id").to_numpy(zero_copy_only=False)
+        for _, buf, off in tx.chunks(batches):
             g, first = shingle_sets(buf, off)
+            s1, _ = signatures(g, first)
+            _, once = np.unique(s1, return_index=True)
             doc, key, n = blocks(g, first)
             if not len(doc):
                 continue
-            # equal sets of a chunk are sent once
-            s1, s2 = signatures(g, first)
-            order = np.lexsort((ids, s2, s1))
-            again = np.zeros(len(n), bool)
-            again[order[1:]] = (s1[order[1:]] == s1[order[:-1]]) & (s2[order[1:]] == s2[order[:-1]])
             row = leading(doc, key, n, shared.value)
-            row = row[~again[doc[row]]]
-            yield key[row], ids[doc[row]].astype(np.int64), n[doc[row]].astype(np.int32)
+            row = row[np.isin(doc[row], once)]
+            yield key[row], s1.view(np.int64)[doc[row]], n[doc[row]]
+
+    return _buckets.live(docs, emit).select("key", F.col("a").alias("node"), F.col("b").alias("n"))
 
-    return _buckets.live(docs, emit)
+
+def _blocks_once(live: DataFrame) -> DataFrame:
+    """Without blocks of one node, and of those that hold the very same nodes but one."""
+    rows = live.repartition("key").dropDuplicates(["key", "node"])
+    members = rows.groupBy("key").agg(F.count("*").alias("k"), F.expr("bit_xor(xxhash64(node))").alias("x"), F.sum(F.xxhash64("node", F.lit(1)).cast("decimal(20,0)")).alias("y")).where("k > 1")
+    one = members.groupBy("k", "x", "y").agg(F.min("key").alias("of")).select("of")
+    return rows.join(one, F.col("key") == F.col("of"), "left_semi")
 
 
 def sketch(g: np.ndarray, width: int) -> np.ndarray:
@@ -188,25 +195,12 @@ def sketch(g: np.ndarray, width: int) -> np.ndarray:
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, store: Workspace) -> DataFrame:
-    """rep, n, hashes (sorted 64-bit words), sketch of the documents in ``wanted(rep, s1, s2)``."""
-
-    def places(ids: np.ndarray) -> np.ndarray:
-        return (tx.splitmix(ids.view(tx.U)) % tx.U(FILTER_BITS)).astype(np.int64)
-
-    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
-        bits = np.zeros(FILTER_BITS // 8, np.uint8)
-        for batch in batches:
-            at = places(batch.column(0).to_numpy())
-            np.bitwise_or.at(bits, at >> 3, (1 << (at & 7)).astype(np.uint8))
-        yield bits
-
-    shared = docs.sparkSession.sparkContext.broadcast(_buckets.combined(wanted.select("rep"), mark, FILTER_BITS // 8, "u1", np.bitwise_or))
+    """node, more (the other half of a set's signature), n, hashes (sorted 64-bit words), sketch of the documents of the column, and of a few others."""
+    shared = _buckets.members(wanted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for own, buf, off in tx.chunks(batches):
-            ids = tx.column(own, "doc_id").to_numpy().astype(np.int64)
-            at = places(ids)
-            pick = np.flatnonzero((shared.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1)
+            pick = np.flatnonzero(_buckets.held(shared.value, tx.column(own, "doc_id").to_numpy()))
             if not len(pick):
                 continue
             parts = [buf[off[k] : off[k + 1]] for k in pick]
@@ -214,47 +208,73 @@ def _sets(docs: DataFrame, wanted: DataFrame, store: Workspace) -> DataFrame:
             s1, s2 = signatures(g, first)
             n = np.diff(first)
             each = [g[a:b] for a, b in zip(first[:-1], first[1:], strict=True)]
-            drawn = [sketch(x, 1 << max(6, 2 * int(j) + 2)).tobytes() for x, j in zip(each, band(n), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(ids[pick]), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)), pa.array(n), pa.array([x.tobytes() for x in each], pa.binary()), pa.array(drawn, pa.binary())], ["id", "t1", "t2", "n", "hashes", "sketch"])
+            drawn = [sketch(x, 1 << (2 * int(j) + SKETCH)).tobytes() for x, j in zip(each, band(n), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)), pa.array(n), pa.array([x.tobytes() for x in each], pa.binary()), pa.array(drawn, pa.binary())], ["node", "more", "n", "hashes", "sketch"])
+
+    return store.save(docs.mapInArrow(run, "node long, more long, n long, hashes binary, sketch binary").where("n > 0"), "sets")
+
+
+def _may_link(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose sizes and sketches allow a link; only sketches are moved."""
+    left = sets.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
+    right = sets.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
+    both = pairs.join(left, "a").join(right, "b").where("4 * na >= 3 * nb and 4 * nb >= 3 * na").select("a", "b", (F.col("na") + F.col("nb")).alias("size"), "sa", "sb")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ok = []
+            for size, x, y in zip(batch.column(2).to_pylist(), batch.column(3), batch.column(4), strict=True):
+                x, y = np.frombuffer(x.as_buffer(), tx.U), np.frombuffer(y.as_buffer(), tx.U)
+                width = min(len(x), len(y))
+                ok.append(7 * int(np.bitwise_count(_folded(x, width) ^ _folded(y, width)).sum(dtype=np.int64)) <= size)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    return both.mapInArrow(run, "a long, b long")
+
 
-    found = docs.mapInArrow(run, "id long, t1 long, t2 long, n long, hashes binary, sketch binary")
-    found = found.join(wanted, (F.col("id") == F.col("rep")) & (F.col("t1") == F.col("s1")) & (F.col("t2") == F.col("s2")))
-    return store.save(found.select("rep", "n", "hashes", "sketch"), "sets")
+def _folded(words: np.ndarray, width: int) -> np.ndarray:
+    while len(words) > width:
+        words = words[: len(words) // 2] ^ words[len(words) // 2 :]
+    return words
 
 
 def links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets link."""
-    left = sets.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("hashes").alias("ha"))
-    right = sets.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("hashes").alias("hb"))
-    both = pairs.join(left, "a").join(right, "b").where("4 * na >= 3 * nb and 4 * nb >= 3 * na").select("a", "b", "ha", "hb")
+    """The pairs (a, b) whose sets link, with the other halves p and q of their signatures; whole sets of these nodes alone are moved."""
+    some = _buckets.kept(sets.select("node", "more", "hashes"), "node", pairs.select(F.explode(F.array("a", "b")).alias("id")))
+    left = some.select(F.col("node").alias("a"), F.col("more").alias("p"), F.col("hashes").alias("ha"))
+    right = some.select(F.col("node").alias("b"), F.col("more").alias("q"), F.col("hashes").alias("hb"))
+    both = pairs.join(left, "a").join(right, "b").select("a", "b", "p", "q", "ha", "hb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ok = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+            for x, y in zip(batch.column(4), batch.column(5), strict=True):
                 x, y = np.frombuffer(x.as_buffer(), tx.U), np.frombuffer(y.as_buffer(), tx.U)
                 at = np.searchsorted(x, y)
                 common = int(np.count_nonzero(x[np.minimum(at, len(x) - 1)] == y))
                 ok.append(100 * common >= 75 * (len(x) + len(y) - common))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
+            yield pa.RecordBatch.from_arrays(batch.columns[:4], ["a", "b", "p", "q"]).filter(pa.array(ok, pa.bool_()))
 
-    return both.mapInArrow(run, "a long, b long")
+    return both.mapInArrow(run, "a long, b long, p long, q long")
 
 
 def _unsettled(live: DataFrame, roots: DataFrame | None) -> DataFrame:
-    """key, rep, n, c (component) of blocks whose nodes are in several components."""
-    rows = live.select("key", "rep", "n")
-    rows = rows.withColumn("c", F.col("rep")) if roots is None else rows.join(roots, F.col("rep") == F.col("node"), "left").select("key", "rep", "n", F.coalesce("root", "rep").alias("c"))
+    """key, node, n, c (component) of blocks whose nodes are in several components."""
+    rows = live.select("key", "node", "n")
+    if roots is None:
+        return rows.withColumn("c", F.col("node"))
+    roots = roots.select(F.col("node").alias("of"), "root")
+    rows = rows.join(roots, F.col("node") == F.col("of"), "left").select("key", "node", "n", F.coalesce("root", "node").alias("c"))
     mixed = rows.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select(F.col("key").alias("of"))
     return rows.join(mixed, F.col("key") == F.col("of"), "left_semi")
 
 
 def _with_leader(rows: DataFrame, turn: int) -> DataFrame:
-    """(a, b): the nodes of each block with its leader of this round, if their components differ."""
-    first = F.struct(F.col("rep").alias("h") if turn == 0 else F.xxhash64("rep", F.lit(turn)).alias("h"), F.col("rep").alias("leader"), F.col("c").alias("lc"))
-    lead = rows.groupBy("key").agg(F.min(first).alias("l")).select(F.col("key").alias("of"), "l.leader", "l.lc")
-    pairs = rows.join(lead, F.col("key") == F.col("of")).where("c <> lc")
-    return pairs.select(F.least("rep", "leader").alias("a"), F.greatest("rep", "leader").alias("b")).distinct()
+    """(a, b): the nodes of each block with its leader of this round, if their components differ; blocks of like nodes have different leaders."""
+    first = F.struct(F.xxhash64("node", "key", F.lit(turn)).alias("h"), F.col("node").alias("leader"), F.col("c").alias("lc"), F.col("n").alias("ln"))
+    lead = rows.groupBy("key").agg(F.min(first).alias("l")).select(F.col("key").alias("of"), "l.leader", "l.lc", "l.ln")
+    pairs = rows.join(lead, F.col("key") == F.col("of")).where("c <> lc and 4 * n >= 3 * ln and 4 * ln >= 3 * n")
+    return pairs.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
 
 
 def _squares(rows: DataFrame, sets: DataFrame) -> DataFrame:
@@ -266,16 +286,16 @@ def _squares(rows: DataFrame, sets: DataFrame) -> DataFrame:
     size = size.groupBy("key").agg(F.max(F.struct("k", "c")).alias("top"), F.sum("k").alias("all"))
     size = size.select(F.col("key").alias("of"), F.col("top.c").alias("main"), F.ceil(F.col("all") / SQUARE).alias("wide"), F.ceil((F.col("all") - F.col("top.k")) / SQUARE).alias("high"))
     rows = rows.join(size, F.col("key") == F.col("of")).drop("of")
-    columns = ["key", "y", "x", "side", "rep", "n", "c"]
+    columns = ["key", "y", "x", "side", "node", "n", "c"]
     zero = F.lit(0).cast("long")
-    small = rows.where("wide = 1").select("key", zero.alias("y"), zero.alias("x"), F.lit(0).alias("side"), "rep", "n", "c")
+    small = rows.where("wide = 1").select("key", zero.alias("y"), zero.alias("x"), F.lit(0).alias("side"), "node", "n", "c")
     large = rows.where("wide > 1")
-    place = lambda many: F.pmod(F.xxhash64("rep"), F.col(many))
-    left = large.where("c <> main").select("key", place("high").alias("y"), F.explode(F.sequence(zero, F.col("wide") - 1)).alias("x"), F.lit(1).alias("side"), "rep", "n", "c")
-    right = large.select("key", F.explode(F.sequence(zero, F.col("high") - 1)).alias("y"), place("wide").alias("x"), F.lit(2).alias("side"), "rep", "n", "c")
+    place = lambda many: F.pmod(F.xxhash64("node"), F.col(many))
+    left = large.where("c <> main").select("key", place("high").alias("y"), F.explode(F.sequence(zero, F.col("wide") - 1)).alias("x"), F.lit(1).alias("side"), "node", "n", "c")
+    right = large.select("key", F.explode(F.sequence(zero, F.col("high") - 1)).alias("y"), place("wide").alias("x"), F.lit(2).alias("side"), "node", "n", "c")
     dealt = small.select(columns).unionByName(left.select(columns)).unionByName(right.select(columns))
-    dealt = dealt.join(sets.select(F.col("rep").alias("r"), "sketch"), F.col("rep") == F.col("r")).drop("r")
-    dealt = dealt.repartition("key", "y", "x").sortWithinPartitions("key", "y", "x")
+    dealt = dealt.join(sets.select(F.col("node").alias("r"), "sketch"), F.col("node") == F.col("r")).drop("r")
+    dealt = dealt.repartition("key", "y", "x").sortWithinPartitions("key", "y", "x", "n")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -301,7 +321,7 @@ def _squares(rows: DataFrame, sets: DataFrame) -> DataFrame:
 
 #: Rows of squares that are compared together, whole squares at least.
 SQUARE_ROWS = 1 << 16
-_PAIRS = 1 << 18
+_PAIRS = 1 << 19
 
 
 def _numbers(table: pa.Table, name: str) -> np.ndarray:
@@ -318,31 +338,36 @@ def _groups(table: pa.Table) -> np.ndarray:
 
 
 def _close(table: pa.Table, group: np.ndarray) -> Iterator[pa.RecordBatch]:
-    rep, n, c, side = (_numbers(table, k) for k in ("rep", "n", "c", "side"))
+    node, n, c, side = (_numbers(table, k) for k in ("node", "n", "c", "side"))
     one = table.column("sketch").combine_chunks()
-    sketches = Sketches(rep, one.chunk(0) if isinstance(one, pa.ChunkedArray) else one)
+    sketches = Sketches(node, one.chunk(0) if isinstance(one, pa.ChunkedArray) else one)
     held: list[np.ndarray] = []
-    size = 0
-    for step in range(1, int(np.bincount(group - group[0]).max())):
-        i = np.flatnonzero(group[step:] == group[:-step])
-        j = i + step
-        ok = (c[i] != c[j]) & ((side[i] != side[j]) | (side[i] == 0)) & (4 * n[i] >= 3 * n[j]) & (4 * n[j] >= 3 * n[i])
-        i, j = i[ok], j[ok]
-        if len(i):
-            held.append(np.stack([i, j]))
-            size += len(i)
+    size, step = 0, 1
+    open_ = np.arange(len(node))  # rows with a partner ``step`` rows on of like size
+    while True:
+        open_ = open_[open_ + step < len(node)]
+        j = open_ + step
+        ok = (group[j] == group[open_]) & (3 * n[j] <= 4 * n[open_])  # rows of a square rise by size
+        open_, j = open_[ok], j[ok]
+        if not len(open_):
+            break
+        ok = (c[open_] != c[j]) & ((side[open_] != side[j]) | (side[open_] == 0))
+        if ok.any():
+            held.append(np.stack([open_[ok], j[ok]]))
+            size += int(ok.sum())
         if size >= _PAIRS:
-            yield _near(np.concatenate(held, 1), sketches, rep, n)
+            yield _near(np.concatenate(held, 1), sketches, n)
             held, size = [], 0
+        step += 1
     if size:
-        yield _near(np.concatenate(held, 1), sketches, rep, n)
+        yield _near(np.concatenate(held, 1), sketches, n)
 
 
 class Sketches:
     """Of the distinct nodes of some rows, as one table of words for each width."""
 
-    def __init__(self, rep: np.ndarray, column: pa.Array):
-        self.nodes, row, self.of = np.unique(rep, return_index=True, return_inverse=True)
+    def __init__(self, node: np.ndarray, column: pa.Array):
+        self.nodes, row, self.of = np.unique(node, return_index=True, return_inverse=True)
         column = column.cast(pa.large_binary()).take(pa.array(row))
         _, offsets, data = column.buffers()
         off = np.frombuffer(offsets, np.int64, len(row) + 1, column.offset * 8)
@@ -368,7 +393,7 @@ class Sketches:
         return out
 
 
-def _near(pairs: np.ndarray, sketches: Sketches, rep: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+def _near(pairs: np.ndarray, sketches: Sketches, n: np.ndarray) -> pa.RecordBatch:
     i, j = sketches.of[pairs[0]], sketches.of[pairs[1]]
     i, j = np.minimum(i, j), np.maximum(i, j)
     _, first = np.unique(i * len(sketches.nodes) + j, return_index=True)
@@ -387,48 +412,57 @@ def _near(pairs: np.ndarray, sketches: Sketches, rep: np.ndarray, n: np.ndarray)
 
 
 def classes(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, n_rows (of that doc_id) of every row of ``docs``."""
+    """doc_id, n_shingles, component_id of every row of ``docs``."""
     store = Workspace(docs.sparkSession, "neardup")
     every = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = every.where("doc_id is not null")
     profile = _profile(rows, store)
-    nodes = profile.where("n > 0").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep")).select(F.col("n").alias("rn"), F.col("s1").alias("r1"), F.col("s2").alias("r2"), "rep")
-    member = profile.join(nodes, (F.col("n") == F.col("rn")) & (F.col("s1") == F.col("r1")) & (F.col("s2") == F.col("r2")), "left").select("doc_id", "n", "s1", "s2", "rep")
+    sets_once = profile.where("n > 0").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep")).select(F.col("n").alias("rn"), F.col("s1").alias("r1"), F.col("s2").alias("r2"), "rep")
+    member = profile.join(sets_once, (F.col("n") == F.col("rn")) & (F.col("s1") == F.col("r1")) & (F.col("s2") == F.col("r2")), "left").select("doc_id", "n", "s1", "s2", "rep")
     member = store.save(member, "member")
     store.drop(profile)
 
-    found = _live(rows, _load(rows))
-    own = member.select(F.col("doc_id").alias("id"), F.col("n").alias("size"), "rep")
-    live = store.save(found.join(own, (F.col("a") == F.col("id")) & (F.col("b") == F.col("size"))).select("key", "rep", F.col("b").cast("long").alias("n")).distinct(), "live")
-
-    several = member.where("n > 0").groupBy("doc_id").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo <> hi").select(F.col("doc_id").alias("of"), "lo")
-    linked = store.save(member.join(several, F.col("doc_id") == F.col("of")).where("rep <> lo").select(F.col("rep").alias("a"), F.col("lo").alias("b")).distinct(), "links")
-    roots = components(linked, store) if not linked.isEmpty() else None
-
-    rest = store.save(_unsettled(live, roots), "rest")
-    wanted = member.where("doc_id = rep").join(rest.select(F.col("rep").alias("r")).distinct(), F.col("rep") == F.col("r"), "left_semi").select("rep", "s1", "s2").distinct()
-    sets = _sets(rows, store.save(wanted, "wanted"), store)
+    live = store.save(_blocks_once(_live(rows.select("text"), _load(rows))), "live")
+    rest = _unsettled(live, None)
+    wanted = member.where("doc_id = rep").join(live.select(F.col("node").alias("r")).distinct(), F.col("s1") == F.col("r"), "left_semi").select("rep")
+    sets = _sets(rows, wanted, store)
+    found: list[DataFrame] = []
     for turn in range(ROUNDS + 1):
-        if rest.isEmpty():
-            break
-        pairs = _with_leader(rest, turn) if turn < ROUNDS else _squares(rest, sets)
-        new = store.save(links(pairs, sets), "new")
+        pairs = store.save(_may_link(_with_leader(rest, turn), sets) if turn < ROUNDS else _squares(rest, sets), "pairs")
+        new = store.save(links(pairs, sets).distinct(), "new")
+        store.drop(pairs)
         if new.isEmpty():
             continue
-        linked = store.save(linked.unionByName(new), "links")
-        roots = components(linked, store)
-        left = store.save(_unsettled(rest, roots), "rest")
-        store.drop(rest)
-        rest = left
-    if roots is None:
-        out = member.withColumn("component_id", F.coalesce("rep", "doc_id"))
-    else:
-        out = member.join(roots, F.col("rep") == F.col("node"), "left").withColumn("component_id", F.coalesce("root", "rep", "doc_id"))
-    out = out.select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    none = every.where("doc_id is null").select("doc_id", F.when(F.coalesce(F.trim("text"), F.lit("")) == "", 0).cast("long").alias("n_shingles"), F.lit(None).cast("long").alias("component_id"))
+        found.append(new)
+        if turn < ROUNDS:
+            left = store.save(_unsettled(rest, components(_union(found).select("a", "b"), store)), "rest")
+            store.drop(*[rest] * hasattr(rest, "_stored_at"))
+            rest = left
+            if rest.isEmpty():
+                break
+
+    # from sets to documents; a doc_id of several texts links with whatever these link with
+    several = member.where("n > 0").groupBy("doc_id").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo <> hi").select(F.col("doc_id").alias("of"), "lo")
+    edges = [member.join(several, F.col("doc_id") == F.col("of")).where("rep <> lo").select(F.col("rep").alias("u"), F.col("lo").alias("v"))]
+    if found:
+        home = member.where("doc_id = rep").select("rep", "s1", "s2").distinct()
+        one, two = (home.select(F.col("rep").alias(r), F.col("s1").alias(f"{r}1"), F.col("s2").alias(f"{r}2")) for r in "uv")
+        met = _union(found).join(one, (F.col("a") == F.col("u1")) & (F.col("p") == F.col("u2"))).join(two, (F.col("b") == F.col("v1")) & (F.col("q") == F.col("v2")))
+        edges.append(met.select("u", "v"))
+    roots = components(_union(edges), store)
+    store.drop(live, sets, *found)
+    out = member.join(roots, F.col("rep") == F.col("node"), "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "rep", "doc_id").alias("component_id"))
+    none = every.where("doc_id is null").select("doc_id", F.when(F.coalesce(F.regexp_replace("text", "[\\x20\\x09-\\x0D]+", ""), F.lit("")) == "", 0).cast("long").alias("n_shingles"), F.lit(None).cast("long").alias("component_id"))
     return out.unionByName(none)
 
 
+def _union(tables: list[DataFrame]) -> DataFrame:
+    out = tables[0]
+    for t in tables[1:]:
+        out = out.unionByName(t)
+    return out
+
+
 def distinct_documents(docs: DataFrame) -> DataFrame:
     """One row of ``docs`` for each class, that of the least doc_id, all columns as they were; rows without a doc_id stay."""
     spark = docs.sparkSession

@@ -1,3 +1,56 @@
-"""DuckDB SQL that gives the same rows as the queries of the same names."""
+"""DuckDB SQL that gives the same rows as the queries of the same names.
 
-ORACLES: dict[str, str] = {}
+Those not here (language model, token ids, byte repeats, surrogates, licences) are held against brute force by the tests.
+"""
+
+from __future__ import annotations
+
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = r"'[^\x20\x09-\x0D]+'"
+_ALNUM = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
+
+ORACLES: dict[str, str] = {
+    "op1_ngram_jaccard_join": f"""WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_LOWER}, {_WORDS}) AS w FROM documents),
+sh AS (SELECT DISTINCT r, doc_id, array_to_string(w[i:i + 4], ' ') AS g FROM (SELECT *, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT r, any_value(doc_id) AS doc_id, count(*) AS n FROM sh GROUP BY r),
+common AS (SELECT a.r AS ra, b.r AS rb, count(*) AS c FROM sh a JOIN sh b ON a.g = b.g AND a.r < b.r GROUP BY 1, 2),
+link AS (SELECT p.doc_id AS u, q.doc_id AS v FROM common JOIN n p ON p.r = ra JOIN n q ON q.r = rb WHERE 100 * c >= 75 * (p.n + q.n - c)),
+edge AS (SELECT u, v FROM link UNION SELECT v, u FROM link),
+walk AS (SELECT doc_id AS node, doc_id AS root FROM d UNION SELECT edge.v, walk.root FROM walk JOIN edge ON edge.u = walk.node AND walk.root < edge.v),
+comp AS (SELECT node, min(root) AS component_id FROM walk GROUP BY node)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, component_id FROM d LEFT JOIN n USING (r) LEFT JOIN comp ON comp.node = d.doc_id""",
+    "op3_quality_rules": rf"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, regexp_extract_all(t, {_WORDS}) AS w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, {_WORDS})) AS l FROM d),
+three AS (SELECT r, i, w[i:i + 2] AS g FROM (SELECT r, w, unnest(range(1, len(w) - 1)) AS i FROM w WHERE len(w) > 2)),
+many AS (SELECT r, g FROM three GROUP BY r, g HAVING count(*) > 1),
+hit AS (SELECT r, count(DISTINCT i + j) AS n FROM three JOIN many USING (r, g), (SELECT unnest([0, 1, 2]) AS j) GROUP BY r),
+base AS (SELECT r, doc_id, t, w, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+ CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, CAST(coalesce(hit.n, 0) AS BIGINT) AS n_repeat_words FROM w LEFT JOIN hit USING (r)),
+rule AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, length(regexp_replace(t, '[^A-Z]', '', 'g')) AS upper,
+ length(regexp_replace(t, '[^A-Za-z]', '', 'g')) + octet_length(encode(t)) - length(regexp_replace(t, '[^\x00-\x7F]', '', 'g')) AS letters,
+ len(list_filter(w, lambda x: regexp_matches(x, '[A-Za-z]|[^\x00-\x7F]'))) AS lettered FROM base)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+ NOT base_failed AND 10 * n_symbols <= 2 * n_words AND 10 * n_dup_lines <= n_words AND 2 * n_words <= word_chars AND word_chars <= 20 * n_words AND 2 * upper <= letters AND 10 * lettered >= 6 * n_words AS kept FROM rule""",
+    "op4_decontamination": f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_LOWER}, {_ALNUM}) AS w FROM documents),
+b AS (SELECT CAST(item_id AS VARCHAR) AS item_id, regexp_extract_all({_LOWER}, {_ALNUM}) AS w FROM benchmark WHERE item_id IS NOT NULL),
+sized AS (SELECT *, least(len(w), 13) AS k FROM b WHERE len(w) > 0),
+win AS (SELECT DISTINCT item_id, k, array_to_string(w[i:i + k - 1], ' ') AS g FROM (SELECT *, unnest(range(1, len(w) - k + 2)) AS i FROM sized)),
+place AS (SELECT r, i, k, array_to_string(w[i:i + k - 1], ' ') AS g FROM (SELECT r, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM d, (SELECT DISTINCT k FROM win) WHERE len(w) >= k)),
+met AS (SELECT r, i, k, item_id FROM place JOIN win USING (k, g)),
+hit AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest(range(i, i + k)) AS p FROM met) GROUP BY r),
+own AS (SELECT r, count(*) AS n, string_agg(item_id, ',' ORDER BY item_id) AS ids FROM (SELECT DISTINCT r, item_id FROM met) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(hit.n, 0) AS BIGINT) AS n_hit, CAST(coalesce(own.n, 0) AS BIGINT) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+ coalesce(hit.n, 0) > 0 AND 20 * coalesce(hit.n, 0) >= len(w) AS contaminated FROM d LEFT JOIN hit USING (r) LEFT JOIN own USING (r)""",
+    "op6_mixing": f"""WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), {_WORDS})) AS BIGINT) AS size FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS weight FROM d GROUP BY source),
+f AS (SELECT *, 3 * source_size AS cap, 3 * source_size / weight AS per FROM s),
+o AS (SELECT *, (SELECT CAST(sum(source_size) AS BIGINT) FROM f) - coalesce(CAST(sum(cap) OVER b AS BIGINT), 0) AS words_left, (SELECT CAST(sum(weight) AS BIGINT) FROM f) - coalesce(CAST(sum(weight) OVER b AS BIGINT), 0) AS weight_left
+ FROM f WINDOW b AS (ORDER BY per, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+lv AS (SELECT arg_min(words_left / weight_left, per) AS level FROM o WHERE per > words_left / weight_left),
+t AS (SELECT source, source_size, CASE WHEN level IS NULL OR per <= level THEN CAST(cap AS DOUBLE) ELSE level * weight END AS target FROM o, lv),
+x AS (SELECT d.*, t.source_size, t.target, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS share FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+p AS (SELECT *, CAST(floor(share) AS BIGINT) AS whole, share - floor(share) AS p, (CAST(CAST('0x' || substr(md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 13) AS BIGINT) AS DOUBLE) + 0.5) / 4503599627370496 AS u FROM x),
+q AS (SELECT *, (u / (1 - u)) / (least(1 - 1e-9, greatest(1e-9, p)) / (1 - least(1 - 1e-9, greatest(1e-9, p)))) AS odds FROM p),
+k AS (SELECT *, target - whole * source_size AS rest, coalesce(sum(CASE WHEN p > 0 THEN size ELSE 0 END) OVER (PARTITION BY source ORDER BY odds / (1 + odds), doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM q)
+SELECT doc_id, size, source_size, target, CAST(size * (whole + CASE WHEN p > 0 AND size > 0 AND 2 * before + size <= 2 * rest THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM k""",
+}

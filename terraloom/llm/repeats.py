@@ -33,7 +33,6 @@ from ._store import Workspace
 LENGTH = 400
 #: Bytes that anchors share at least; positions from which one is taken; bytes by which it is chosen.
 SHARED, WINDOW, GRAM = 200, LENGTH - 200 + 1, 16
-FILTER_BITS = 1 << 23
 _SEGMENT = 1 << 23
 #: Anchors whose contexts are sorted together, whole groups at least.
 BLOCK = 1 << 14
@@ -112,37 +111,15 @@ def _live(docs: DataFrame) -> DataFrame:
     return _buckets.live(docs.select("text"), emit)
 
 
-def _places(ids: np.ndarray) -> np.ndarray:
-    return (tx.splitmix(ids.view(tx.U)) % tx.U(FILTER_BITS)).astype(np.int64)
-
-
-def _filter(ids: DataFrame):
-    """A broadcast table of fixed size that holds the 64-bit ids of the one column, and a few others."""
-
-    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
-        bits = np.zeros(FILTER_BITS // 8, np.uint8)
-        for batch in batches:
-            at = _places(batch.column(0).to_numpy())
-            np.bitwise_or.at(bits, at >> 3, (1 << (at & 7)).astype(np.uint8))
-        yield bits
-
-    return ids.sparkSession.sparkContext.broadcast(_buckets.combined(ids, mark, FILTER_BITS // 8, np.bitwise_or))
-
-
-def _held(bits: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    at = _places(ids)
-    return ((bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1).astype(bool)
-
-
 def _contexts(docs: DataFrame, live: DataFrame) -> DataFrame:
     """key, h1, h2, at, before (reversed), after of live anchors."""
-    wanted = _filter(live.select("a").distinct())
+    wanted = _buckets.members(live.select("a").distinct())
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for own, buf, off in tx.chunks(batches):
             h = _digests(buf, off)
-            pick = np.flatnonzero(_held(wanted.value, h[0]) & (np.diff(off) >= LENGTH))
+            pick = np.flatnonzero(_buckets.held(wanted.value, h[0]) & (np.diff(off) >= LENGTH))
             pick = np.array([k for k in pick if h[0][k] not in seen and not seen.add(int(h[0][k]))], np.int64)
             if len(pick):
                 yield pa.RecordBatch.from_arrays([pa.array(h[0][pick]), pa.array(h[1][pick]), tx.column(own, "text").take(pa.array(pick)).cast(pa.binary())], ["h1", "h2", "text"])
@@ -331,7 +308,7 @@ def removed(docs: DataFrame) -> DataFrame:
     copies = _profile(rows, store)
     found = _spans(_prepared(rows, store)).unionByName(copies.select("h1", "h2", F.lit(0).cast("long").alias("start"), F.col("n").alias("stop")))
     found = store.save(found.groupBy(F.col("h1").alias("s1"), F.col("h2").alias("s2")).agg(F.collect_list("start").alias("start"), F.collect_list("stop").alias("stop")), "spans")
-    held = _filter(found.select("s1"))
+    held = _buckets.members(found.select("s1"))
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,stop:long>>"
 
     def result(doc_id: pa.Array, kept: list[bytes], n: list[int], spans: list[list[tuple[int, int]]]) -> pa.RecordBatch:
@@ -343,7 +320,7 @@ def removed(docs: DataFrame) -> DataFrame:
 
     def clear(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for own, buf, off in tx.chunks(batches):
-            pick = np.flatnonzero(~_held(held.value, _digests(buf, off)[0]))
+            pick = np.flatnonzero(~_buckets.held(held.value, _digests(buf, off)[0]))
             raw = buf.tobytes()
             kept = [raw[off[k] : off[k + 1]] for k in pick]
             yield result(tx.column(own, "doc_id").take(pa.array(pick)), kept, [len(k) for k in kept], [[] for _ in kept])
@@ -351,7 +328,7 @@ def removed(docs: DataFrame) -> DataFrame:
     def touched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for own, buf, off in tx.chunks(batches):
             h = _digests(buf, off)
-            pick = np.flatnonzero(_held(held.value, h[0]))
+            pick = np.flatnonzero(_buckets.held(held.value, h[0]))
             if len(pick):
                 yield pa.RecordBatch.from_arrays([pa.array(h[0][pick]), pa.array(h[1][pick]), *(tx.column(own, c).take(pa.array(pick)) for c in ("doc_id", "text"))], ["h1", "h2", "doc_id", "text"])
 
