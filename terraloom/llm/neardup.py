@@ -42,7 +42,7 @@ from ._store import Workspace
 SHINGLE = 5
 #: Bytes in the table of block counts.
 COUNTERS = 1 << 23
-#: A sketch has 2**SKETCH times as many bits as the least size of its band.
+#: A sketch has 2**SKETCH times as many bits as the least size of its band, and 64 at least.
 SKETCH = 4
 #: Rounds of comparison with one leader of each block.
 ROUNDS = 2
@@ -208,7 +208,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, store: Workspace) -> DataFrame:
             s1, s2 = signatures(g, first)
             n = np.diff(first)
             each = [g[a:b] for a, b in zip(first[:-1], first[1:], strict=True)]
-            drawn = [sketch(x, 1 << (2 * int(j) + SKETCH)).tobytes() for x, j in zip(each, band(n), strict=True)]
+            drawn = [sketch(x, 1 << max(6, 2 * int(j) + SKETCH)).tobytes() for x, j in zip(each, band(n), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)), pa.array(n), pa.array([x.tobytes() for x in each], pa.binary()), pa.array(drawn, pa.binary())], ["node", "more", "n", "hashes", "sketch"])
 
     return store.save(docs.mapInArrow(run, "node long, more long, n long, hashes binary, sketch binary").where("n > 0"), "sets")
