@@ -9,8 +9,8 @@ words holds the same 9 grams on both sides, so both keep the same one: no window
 hash; each meeting is extended word by word to the windows around it. Items shorter than 13 words have windows too short for that
 guarantee: their fingerprint is one gram of ``min(5, length)`` words, and all grams of a document are tried against it.
 
-The benchmark is a query set against all documents: its fingerprints are dealt to blocks of at most ``BLOCK_BYTES`` of
-text, and each block is broadcast, so what is broadcast has a bound and a larger benchmark takes more scans. Documents are never
+The benchmark is a query set against all documents: its items are dealt by hash to blocks of about half of ``BLOCK_BYTES`` of
+text (all are one block if they fit it), and each block is broadcast, so what is broadcast doesn't grow and a larger benchmark takes more scans. Documents are never
 shuffled with one block. Null texts have no words. Documents or items that repeat count each; an item_id is
 a string for sorting, and a null item_id is left out of the lists. An empty benchmark hits nothing. Other columns are ignored, or carried by ``clean``.
 """
@@ -162,7 +162,7 @@ def _blocks(benchmark: DataFrame, block_bytes: int) -> list[DataFrame]:
 
 def find(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Per row of ``docs``: n_words, n_hit, n_items, items_sha256, contaminated, and the items and merged spans of words behind them."""
-    spark, rows = docs.sparkSession, docs.selectExpr("cast(doc_id as long) doc_id", "text")
+    spark, rows = docs.sparkSession, docs.selectExpr("cast(doc_id as long) doc_id", "text", "xxhash64(text) text_hash")
     parts = []
     for block in _blocks(benchmark, block_bytes):
         got = block.collect()
@@ -171,21 +171,21 @@ def find(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES)
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             prints = Fingerprints(*shared.value)
             for own, buf, off in tx.chunks(batches):
-                yield _rows(tx.column(own, "doc_id"), *_found(prints, buf, off))
+                made = _rows(tx.column(own, "doc_id"), *_found(prints, buf, off))
+                yield made.append_column("text_hash", tx.column(own, "text_hash"))
 
-        parts.append(rows.mapInArrow(run, SCHEMA))
-    return parts[0] if len(parts) == 1 else _union(rows, parts)
+        parts.append(rows.mapInArrow(run, SCHEMA + ", text_hash long"))
+    return parts[0].drop("text_hash") if len(parts) == 1 else _union(parts)
 
 
-def _union(rows: DataFrame, parts: list[DataFrame]) -> DataFrame:
-    """Several blocks: items and spans of equal rows meet by doc_id; rows that share a doc_id are told apart by their number of words and text."""
-    keyed = [p.withColumn("block", F.lit(k)) for k, p in enumerate(parts)]
-    out = keyed[0]
-    for p in keyed[1:]:
-        out = out.unionByName(p)
-    spans = out.where("n_items > 0").select("doc_id", "n_words", "item_ids", "hit_start", "hit_end")
-    grouped = spans.groupBy("doc_id", "n_words").agg(F.collect_list(F.struct("item_ids", "hit_start", "hit_end")).alias("found"))
-    base = keyed[0].select("doc_id", "n_words").join(grouped, (keyed[0]["doc_id"].eqNullSafe(grouped["doc_id"])) & (keyed[0]["n_words"] == grouped["n_words"]), "left").select(keyed[0]["doc_id"], keyed[0]["n_words"], "found")
+def _union(parts: list[DataFrame]) -> DataFrame:
+    """Several blocks: items and spans of equal rows (doc_id and text) meet; rows without any are those of the first block."""
+    found = parts[0].where("n_items > 0")
+    for p in parts[1:]:
+        found = found.unionByName(p.where("n_items > 0"))
+    found = found.groupBy(F.col("doc_id").alias("d"), F.col("text_hash").alias("h")).agg(F.collect_list(F.struct("item_ids", "hit_start", "hit_end")).alias("found"))
+    base = parts[0].select("doc_id", "n_words", "text_hash")
+    base = base.join(found, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("h")), "left").select("doc_id", "n_words", "found")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
