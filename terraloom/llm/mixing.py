@@ -50,74 +50,84 @@ def targets(sizes: DataFrame, max_repeats: int = MAX_REPEATS, weights: int = WEI
 
 
 def _even(seed: str) -> Column:
-    """In (0, 1), from 52 bits of a digest of doc_id."""
-    digits = F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))), 1, 13)
+    """In (0, 1), from 52 bits of a digest of mix_id."""
+    digits = F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("mix_id").cast("string"), F.lit("null")))), 1, 13)
     return (F.conv(digits, 16, 10).cast("long").cast("double") + 0.5) / float(1 << 52)
 
 
-def _draw(spark, rows: DataFrame, seed: str, inclusion: Column | None, store: Workspace) -> DataFrame:
-    """``rows`` has doc_id, source, size; adds source_size, target, copies. Saved twice: sizes, then ranks."""
-    rows = store.save(rows, "sizes")
-    plan = store.save(targets(rows), "targets")
-    rows = rows.withColumnRenamed("source", "own")
-    rows = rows.join(plan, F.col("own").eqNullSafe(F.col("source")), "left").drop("own")
+def _shares(rows: DataFrame, plan: DataFrame, seed: str, inclusion: Column | None) -> DataFrame:
+    """``rows`` (mix_id, mix_source, mix_size and others) with source_size, target, whole, p and rank."""
+    rows = rows.join(plan, F.col("mix_source").eqNullSafe(F.col("source")), "left")
     share = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     rows = rows.withColumn("whole", F.floor(share).cast("long")).withColumn("p", share - F.floor(share))
     p = F.least(F.lit(1 - 1e-9), F.greatest(F.lit(1e-9), F.col("p") * (F.lit(1.0) if inclusion is None else inclusion)))
     u = _even(seed)
-    rows = rows.withColumn("odds", (u / (1 - u)) / (p / (1 - p))).withColumn("rank", F.col("odds") / (1 + F.col("odds"))).drop("odds")
-    rows = store.save(rows, "ranks")
+    return rows.withColumn("odds", (u / (1 - u)) / (p / (1 - p))).withColumn("rank", F.col("odds") / (1 + F.col("odds"))).drop("odds", "source")
 
-    # "open": rows whose bucket holds the cut; base: words that the buckets before take.
-    rest = (F.col("target") - F.col("whole") * F.col("source_size")).alias("rest")
-    open_rows = rows.where("p > 0 and size > 0").withColumn("rest", rest).withColumn("path", F.lit(0).cast("long"))
-    cuts = plan.where("source_size > 0").select("source", F.lit(0).cast("long").alias("path"), F.lit(0).cast("long").alias("base"))
+
+def _cuts(rows: DataFrame, store: Workspace) -> DataFrame:
+    """s (source), path, last: the bucket in which a source's draw ends and the last document drawn there; ``rows`` come from ``_shares``."""
+    rest = F.col("target") - F.col("whole") * F.col("source_size")
+    open_rows = rows.where("p > 0 and mix_size > 0").select("mix_id", F.col("mix_source").alias("source"), F.col("mix_size").alias("size"), "rank", rest.alias("rest"))
+    cuts = None
     for level in range(1, LEVELS + 1):
-        scale = float(BUCKETS**level)
-        fine = open_rows.withColumn("path", F.floor(F.col("rank") * scale).cast("long"))
+        fine = open_rows.withColumn("path", F.floor(F.col("rank") * float(BUCKETS**level)).cast("long"))
         words = fine.groupBy("source", "path").agg(F.sum("size").alias("words"), F.first("rest").alias("rest"))
-        old = cuts.select(F.col("source").alias("s"), "base")
-        words = words.join(old, F.col("source").eqNullSafe(F.col("s"))).drop("s")
+        if cuts is None:
+            words = words.withColumn("base", F.lit(0).cast("long"))
+        else:
+            old = cuts.select(F.col("source").alias("s"), "base")
+            words = words.join(old, F.col("source").eqNullSafe(F.col("s"))).drop("s")
         upto = Window.partitionBy("source").orderBy("path").rowsBetween(Window.unboundedPreceding, 0)
         words = words.withColumn("total", F.col("base") + F.sum("words").over(upto))
         # the first bucket by whose end the words reach the rest
-        cuts = store.save(words.where("total >= rest").groupBy("source").agg(F.min(F.struct("path", (F.col("total") - F.col("words")).alias("base"))).alias("cut")).select("source", "cut.path", "cut.base"), f"cut{level}")
-        found = cuts.select(F.col("source").alias("s"), F.col("path").alias("cut"))
-        open_rows = fine.join(found, F.col("source").eqNullSafe(F.col("s")) & (F.col("path") == F.col("cut"))).drop("s", "cut")
-
-    # what is left of the bucket that holds the cut, row by row; the next document is taken if that brings the words nearer
-    order = Window.partitionBy("source").orderBy("rank", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    last = cuts.select(F.col("source").alias("s"), F.col("base"))
-    tail = open_rows.join(last, F.col("source").eqNullSafe(F.col("s"))).drop("s")
-    tail = tail.withColumn("before", F.col("base") + F.coalesce(F.sum("size").over(order), F.lit(0)))
-    tail = tail.withColumn("n", F.row_number().over(Window.partitionBy("source").orderBy("rank", "doc_id", "size")))
-    taken = tail.where("2 * before + size <= 2 * rest")
-    n_taken = taken.groupBy("source").agg(F.max("n").alias("n"), F.max(F.struct("n", "rank", "doc_id")).alias("last"))
-    edge = cuts.join(n_taken.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")), "left").select(F.col("source").alias("s"), "path", F.col("n"))
-    ends = tail.select("source", "doc_id", "size", "rank", "n").withColumnRenamed("n", "at")
-    ends = ends.join(edge.select("s", "n"), F.col("source").eqNullSafe(F.col("s"))).where("at <= n").groupBy("source").agg(F.max(F.struct("rank", "doc_id", "size")).alias("last"))
-    ends = cuts.join(ends.withColumnRenamed("source", "e"), F.col("source").eqNullSafe(F.col("e")), "left").select(F.col("source").alias("s"), "path", "last")
-    ends = store.save(ends, "ends")
-
-    rows = rows.join(ends, F.col("source").eqNullSafe(F.col("s")), "left")
-    path = F.floor(F.col("rank") * float(BUCKETS**LEVELS)).cast("long")
-    more = F.when((F.col("p") <= 0) | (F.col("size") == 0), False).when(F.col("path").isNull(), True).when(path != F.col("path"), path < F.col("path")).otherwise(F.coalesce(F.struct("rank", "doc_id", "size") <= F.col("last"), F.lit(False)))
-    return rows.withColumn("copies", F.col("whole") + more.cast("long"))
+        found = words.where("total >= rest").groupBy("source").agg(F.min(F.struct("path", (F.col("total") - F.col("words")).alias("base"))).alias("cut"))
+        cuts = store.save(found.select("source", "cut.path", "cut.base"), f"cut{level}")
+        here = cuts.select(F.col("source").alias("s"), F.col("path").alias("cut"))
+        open_rows = fine.join(here, F.col("source").eqNullSafe(F.col("s")) & (F.col("path") == F.col("cut"))).drop("s", "cut")
+
+    # the bucket that holds the cut, row by row; the next document is taken if that brings the words nearer
+    before = Window.partitionBy("source").orderBy("rank", "mix_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    base = cuts.select(F.col("source").alias("s"), F.col("base"))
+    tail = open_rows.join(base, F.col("source").eqNullSafe(F.col("s"))).drop("s")
+    tail = tail.withColumn("before", F.col("base") + F.coalesce(F.sum("size").over(before), F.lit(0)))
+    taken = tail.where("2 * before + size <= 2 * rest").groupBy("source").agg(F.max(F.struct("rank", "mix_id", "size")).alias("last"))
+    ends = cuts.join(taken.withColumnRenamed("source", "e"), F.col("source").eqNullSafe(F.col("e")), "left")
+    return store.save(ends.select(F.col("source").alias("s"), "path", "last"), "ends")
+
+
+def _copied(rows: DataFrame, ends: DataFrame) -> DataFrame:
+    """``rows`` of ``_shares`` with copies; only tables of one row for each source are joined."""
+    rows = rows.join(ends, F.col("mix_source").eqNullSafe(F.col("s")), "left")
+    bucket = F.floor(F.col("rank") * float(BUCKETS**LEVELS)).cast("long")
+    here = F.coalesce(F.struct(F.col("rank"), F.col("mix_id"), F.col("mix_size").alias("size")) <= F.col("last"), F.lit(False))
+    more = F.when((F.col("p") <= 0) | (F.col("mix_size") == 0), False).when(F.col("path").isNull(), True).when(bucket != F.col("path"), bucket < F.col("path")).otherwise(here)
+    return rows.withColumn("copies", F.coalesce(F.col("whole"), F.lit(0).cast("long")) + more.cast("long"))
+
+
+def _planned(docs: DataFrame, seed: str, inclusion: Column | None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows with shares, targets, ends)"""
+    store = Workspace(docs.sparkSession, "mix")
+    rows = store.save(docs.select(F.col("doc_id").cast("long").alias("mix_id"), F.col("source").cast("string").alias("mix_source"), size_of(F.col("text")).alias("mix_size")), "sizes")
+    plan = store.save(targets(rows.select(F.col("mix_source").alias("source"), F.col("mix_size").alias("size"))), "targets")
+    rows = _shares(rows, plan, seed, inclusion)
+    return rows, plan, _cuts(rows, store)
 
 
 def mix(docs: DataFrame, seed: str = "mix", inclusion: Column | None = None) -> DataFrame:
     """doc_id, source, size, source_size, target, copies and taken (words, repeats counted) of every row of ``docs``."""
-    spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size_of(F.col("text")).alias("size"))
-    out = _draw(spark, rows, seed, inclusion, Workspace(spark, "mix"))
-    return out.select("doc_id", "source", "size", "source_size", F.coalesce("target", F.lit(0.0)).alias("target"), "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    rows, _, ends = _planned(docs, seed, inclusion)
+    out = _copied(rows, ends)
+    return out.select(F.col("mix_id").alias("doc_id"), F.col("mix_source").alias("source"), F.col("mix_size").alias("size"), "source_size", F.coalesce("target", F.lit(0.0)).alias("target"), "copies", (F.col("copies") * F.col("mix_size")).alias("taken"))
 
 
 def mixed(docs: DataFrame, seed: str = "mix", inclusion: Column | None = None) -> DataFrame:
-    """The rows of ``docs``, all columns as they were, each as often as the mix takes it; rows that share doc_id and source are taken alike."""
-    spark = docs.sparkSession
-    taken = mix(docs, seed, inclusion).groupBy(F.col("doc_id").alias("mix_doc"), F.col("source").alias("mix_source"), F.col("size").alias("mix_size")).agg(F.max("copies").alias("mix_copies"))
-    taken = Workspace(spark, "mix").save(taken.where("mix_copies > 0"), "copies")
-    same = F.col("mix_doc").eqNullSafe(F.col("doc_id").cast("long")) & F.col("mix_source").eqNullSafe(F.col("source").cast("string")) & (F.col("mix_size") == size_of(F.col("text")))
-    rows = docs.select(*docs.columns).join(taken, same)
-    return rows.withColumn("mix_turn", F.explode(F.sequence(F.lit(1).cast("long"), F.col("mix_copies")))).select(*(F.col(f"`{c}`") for c in docs.columns))
+    """The rows of ``docs``, all columns as they were, each as often as the mix takes it.
+
+    A document's share follows from its own columns and its source's row, so texts are never exchanged.
+    """
+    _, plan, ends = _planned(docs, seed, inclusion)
+    every = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    rows = docs.select(every.alias("mix_row"), F.col("doc_id").cast("long").alias("mix_id"), F.col("source").cast("string").alias("mix_source"), size_of(F.col("text")).alias("mix_size"))
+    rows = _copied(_shares(rows, plan, seed, inclusion), ends).where("copies > 0")
+    return rows.select("mix_row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("mix_row.*")
