@@ -42,8 +42,8 @@ from ._store import Workspace
 SHINGLE = 5
 #: Bytes in the table of block counts.
 COUNTERS = 1 << 23
-#: A sketch has 2**SKETCH times as many bits as the least size of its band, and 64 at least.
-SKETCH = 4
+#: A sketch has 2**SKETCH times as many bits as the least size of its band, and 64 at least; pairs with a leader are told apart by one folded to 2**FOLDED times.
+SKETCH, FOLDED = 4, 2
 #: Rounds of comparison with one leader of each block.
 ROUNDS = 2
 #: Nodes on a side of a square.
@@ -195,7 +195,7 @@ def sketch(g: np.ndarray, width: int) -> np.ndarray:
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, store: Workspace) -> DataFrame:
-    """node, more (the other half of a set's signature), n, hashes (sorted 64-bit words), sketch of the documents of the column, and of a few others."""
+    """node, more (the other half of a set's signature), n, hashes (sorted 64-bit words), sketch, small (the sketch folded) of the documents of the column, and of a few others."""
     shared = _buckets.members(wanted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -208,16 +208,17 @@ def _sets(docs: DataFrame, wanted: DataFrame, store: Workspace) -> DataFrame:
             s1, s2 = signatures(g, first)
             n = np.diff(first)
             each = [g[a:b] for a, b in zip(first[:-1], first[1:], strict=True)]
-            drawn = [sketch(x, 1 << max(6, 2 * int(j) + SKETCH)).tobytes() for x, j in zip(each, band(n), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)), pa.array(n), pa.array([x.tobytes() for x in each], pa.binary()), pa.array(drawn, pa.binary())], ["node", "more", "n", "hashes", "sketch"])
+            drawn = [sketch(x, 1 << max(6, 2 * int(j) + SKETCH)) for x, j in zip(each, band(n), strict=True)]
+            small = [_folded(x, max(1, 1 << max(0, 2 * int(j) + FOLDED - 6))).tobytes() for x, j in zip(drawn, band(n), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)), pa.array(n), pa.array([x.tobytes() for x in each], pa.binary()), pa.array([x.tobytes() for x in drawn], pa.binary()), pa.array(small, pa.binary())], ["node", "more", "n", "hashes", "sketch", "small"])
 
-    return store.save(docs.mapInArrow(run, "node long, more long, n long, hashes binary, sketch binary").where("n > 0"), "sets")
+    return store.save(docs.mapInArrow(run, "node long, more long, n long, hashes binary, sketch binary, small binary").where("n > 0"), "sets")
 
 
 def _may_link(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) whose sizes and sketches allow a link; only sketches are moved."""
-    left = sets.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
-    right = sets.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
+    left = sets.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("small").alias("sa"))
+    right = sets.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("small").alias("sb"))
     both = pairs.join(left, "a").join(right, "b").where("4 * na >= 3 * nb and 4 * nb >= 3 * na").select("a", "b", (F.col("na") + F.col("nb")).alias("size"), "sa", "sb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -464,14 +465,29 @@ def _union(tables: list[DataFrame]) -> DataFrame:
 
 
 def distinct_documents(docs: DataFrame) -> DataFrame:
-    """One row of ``docs`` for each class, that of the least doc_id, all columns as they were; rows without a doc_id stay."""
+    """One row of ``docs`` for each class, that of the least doc_id, all columns as they were; rows without a doc_id stay.
+
+    Only rows that a filter of fixed size can't clear, those that go and a few others, are exchanged.
+    """
     spark = docs.sparkSession
-    keep = classes(docs).where("doc_id = component_id").groupBy(F.col("doc_id").alias("kept_id")).agg(F.count("*").alias("kept_rows"))
-    keep = Workspace(spark, "kept").save(keep, "kept")
-    once = keep.where("kept_rows = 1").select("kept_id")
-    out = docs.join(once, F.col("doc_id") == F.col("kept_id"), "left_semi")
-    many = keep.where("kept_rows > 1").select("kept_id")
-    if not many.isEmpty():
-        several = docs.join(many, F.col("doc_id") == F.col("kept_id"), "left_semi")
-        out = out.unionByName(several.dropDuplicates(["doc_id"]))
-    return out.unionByName(docs.where("doc_id is null"))
+    store = Workspace(spark, "distinct")
+    known = store.save(classes(docs).where("doc_id is not null").groupBy("doc_id").agg(F.min("component_id").alias("component_id"), F.count("*").alias("rows")), "classes")
+    gone = known.where("doc_id <> component_id").select(F.col("doc_id").alias("gone_id"))
+    several = known.where("doc_id = component_id and rows > 1").select(F.col("doc_id").alias("several_id"))
+    shared = _buckets.members(gone.union(several))
+
+    def part(doubtful: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                ids = tx.column(batch, "doc_id").cast(pa.int64())
+                hit = _buckets.held(shared.value, ids.fill_null(0).to_numpy()) & ids.is_valid().to_numpy(zero_copy_only=False)
+                yield batch.filter(pa.array(hit if doubtful else ~hit))
+
+        return docs.mapInArrow(run, docs.schema)
+
+    rest = part(True).join(gone, F.col("doc_id").cast("long") == F.col("gone_id"), "left_anti")
+    out = part(False)
+    if not several.isEmpty():
+        twice = rest.join(several, F.col("doc_id").cast("long") == F.col("several_id"), "left_semi").dropDuplicates(["doc_id"])
+        rest = rest.join(several, F.col("doc_id").cast("long") == F.col("several_id"), "left_anti").unionByName(twice)
+    return out.unionByName(rest)
