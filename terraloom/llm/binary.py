@@ -6,7 +6,7 @@ is never cut. A shard is one row of a Parquet table, so that executors need no f
 
 * ``part``, ``seq``: number of the range and of the shard in it; ascending doc_id order is (part, seq)
 * ``start``: ids of the range before the shard; ``n_ids``; ``low``, ``high``: least and greatest doc_id
-* ``doc_ids``: in stored order; a doc_id that repeats is followed by its occurrences 0, 1, ...
+* ``doc_ids``: in stored order; rows of one doc_id are its occurrences 0, 1, ...; ``first``: the occurrence with which the shard begins
 * ``width``: 2 or 4 bytes an id, little-endian; ``ids``: the payload
 * ``index``: see ``Index``
 
@@ -35,7 +35,7 @@ from ._store import Workspace
 
 SHARD_IDS = 1 << 20
 END_ID = 0
-SCHEMA = "part int, seq int, start long, n_ids long, low long, high long, doc_ids array<bigint>, width int, ids binary, index binary"
+SCHEMA = "part int, seq int, start long, n_ids long, low long, high long, first long, doc_ids array<bigint>, width int, ids binary, index binary"
 _LEVELS = 40
 
 
@@ -130,7 +130,7 @@ def write(docs: DataFrame, store: Workspace, tokenizer: str | None = None, end_i
     """Writes the shards and returns the table that reads them."""
     path = tokenizer or default_tokenizer()
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
+    ordered = rows.withColumn("h", F.xxhash64("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "h").drop("h")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path)
@@ -148,7 +148,7 @@ def write(docs: DataFrame, store: Workspace, tokenizer: str | None = None, end_i
             keys = key_of(np.array([0 if d is None else d for d in doc_ids], np.int64), occurrence + np.array([d is None for d in doc_ids]) * (1 << 40))
             index = Index.build(keys, np.arange(len(n)))
             known = [d for d in doc_ids if d is not None]
-            out = {"part": part, "seq": seq, "start": start, "n_ids": size, "low": min(known, default=None), "high": max(known, default=None), "doc_ids": doc_ids, "width": width, "ids": np.concatenate(held).astype(f"<u{width}").tobytes(), "index": n.astype("<u4").tobytes() + index.dump()}
+            out = {"part": part, "seq": seq, "start": start, "n_ids": size, "low": min(known, default=None), "high": max(known, default=None), "first": int(occurrence[0]), "doc_ids": doc_ids, "width": width, "ids": np.concatenate(held).astype(f"<u{width}").tobytes(), "index": n.astype("<u4").tobytes() + index.dump()}
             seq, start, size = seq + 1, start + size, 0
             batch = pa.RecordBatch.from_pylist([out], _ARROW)
             held.clear(), lens.clear(), doc_ids.clear()
@@ -169,7 +169,7 @@ def write(docs: DataFrame, store: Workspace, tokenizer: str | None = None, end_i
     return store.save(ordered.mapInArrow(run, SCHEMA), "shards")
 
 
-_ARROW = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("start", pa.int64()), ("n_ids", pa.int64()), ("low", pa.int64()), ("high", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("width", pa.int32()), ("ids", pa.binary()), ("index", pa.binary())])
+_ARROW = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("start", pa.int64()), ("n_ids", pa.int64()), ("low", pa.int64()), ("high", pa.int64()), ("first", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("width", pa.int32()), ("ids", pa.binary()), ("index", pa.binary())])
 
 
 class Shard:
@@ -197,10 +197,7 @@ def documents(shards: DataFrame) -> DataFrame:
             for row in batch.to_pylist():
                 doc_ids = row["doc_ids"]
                 shard = Shard(len(doc_ids), row["width"], row["ids"], row["index"])
-                occurrence, _ = _occurrences(doc_ids, (None, -1))
-                if shard.find(doc_ids[:1], occurrence[:1])[0] < 0:  # its first doc_id began in the shard before
-                    first = next(k for k in range(1, 1 << 40) if shard.find(doc_ids[:1], np.array([k]))[0] == 0)
-                    occurrence, _ = _occurrences(doc_ids, (doc_ids[0], first - 1))
+                occurrence, _ = _occurrences(doc_ids, (doc_ids[0], row["first"] - 1))
                 place = shard.find(doc_ids, occurrence)
                 if (place < 0).any():
                     raise ValueError("a stored document is missing from its shard's index")
@@ -210,7 +207,7 @@ def documents(shards: DataFrame) -> DataFrame:
                     ["doc_id", "occurrence", "part", "offset", "n_tokens", "ids_crc32"],
                 )
 
-    return shards.select("part", "start", "doc_ids", "width", "ids", "index").mapInArrow(run, "doc_id long, occurrence long, part int, offset long, n_tokens long, ids_crc32 long")
+    return shards.select("part", "start", "first", "doc_ids", "width", "ids", "index").mapInArrow(run, "doc_id long, occurrence long, part int, offset long, n_tokens long, ids_crc32 long")
 
 
 def starts(shards: DataFrame) -> DataFrame:
