@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CHUNK = 2 << 20
+CHUNK = 1 << 20
 U = np.uint64
 #: The six separators of words, in ASCII order.
 SPACES = b"\x09\x0a\x0b\x0c\x0d\x20"

@@ -321,7 +321,7 @@ def _squares(rows: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 #: Rows of squares that are compared together, whole squares at least.
-SQUARE_ROWS = 1 << 16
+SQUARE_ROWS = 1 << 15
 _PAIRS = 1 << 19
 
 
