@@ -227,7 +227,7 @@ def digest(shards: DataFrame, occurrences: bool = False) -> DataFrame:
 def get(shards: DataFrame, doc_id: int, occurrence: int = 0) -> np.ndarray | None:
     """The ids of one document, or None."""
     for row in shards.where((F.col("low") <= doc_id) & (F.col("high") >= doc_id)).select("doc_ids", "width", "ids", "index").toLocalIterator():
-        shard = Shard(len(row.doc_ids), row.width, bytes(row.ids), bytes(row.index))
+        shard = Shard(len(row["doc_ids"]), row["width"], bytes(row["ids"]), bytes(row["index"]))
         place = int(shard.find([doc_id], np.array([occurrence]))[0])
         if place >= 0:
             return shard.tokens(place)
