@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from . import _text as tx
 
 #: Rows that a task gathers before it sends them.
-FLUSH = 1 << 19
+FLUSH = 1 << 18
 _ARROW = pa.schema([("slot", pa.int32()), ("live", pa.bool_()), ("keys", pa.binary()), ("a", pa.binary()), ("b", pa.binary()), ("many", pa.binary())])
 SCHEMA = "slot int, live boolean, keys binary, a binary, b binary, many binary"
 Emit = Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]

@@ -14,6 +14,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 CHUNK = 1 << 20
+# Python workers live on between tasks: memory that a batch has used goes back to the system.
+pa.set_memory_pool(pa.system_memory_pool())
 U = np.uint64
 #: The six separators of words, in ASCII order.
 SPACES = b"\x09\x0a\x0b\x0c\x0d\x20"

@@ -379,7 +379,9 @@ class Sketches:
         for w in np.unique(self.width):
             own = np.flatnonzero(self.width == w)
             self.row[own] = np.arange(len(own))
-            self.tables[int(w)] = words[off[own][:, None] + np.arange(8 * w)].view(tx.U)
+            table = self.tables[int(w)] = np.empty((len(own), int(w)), tx.U)
+            for at in range(0, len(own), 256):
+                table[at : at + 256] = words[off[own[at : at + 256]][:, None] + np.arange(8 * w)].view(tx.U)
 
     def get(self, node: np.ndarray, width: int) -> np.ndarray:
         """Sketches of these nodes, folded to a width that none of them is below."""

@@ -136,7 +136,7 @@ def _contexts(docs: DataFrame, live: DataFrame) -> DataFrame:
                             keys.slice(at, _CONTEXTS),
                             pa.array([h1.as_py()] * len(some), pa.int64()),
                             pa.array([h2.as_py()] * len(some), pa.int64()),
-                            places.slice(at, _CONTEXTS),
+                            places.slice(at, _CONTEXTS).cast(pa.int32()),
                             pa.array([bytes(raw[max(0, p - SHARED) : p])[::-1] for p in some], pa.binary()),
                             pa.array([bytes(raw[p : p + LENGTH]) for p in some], pa.binary()),
                         ],
