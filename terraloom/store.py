@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 _DIR = "spark.checkpoint.dir"
 #: Bytes in an Arrow batch, where the session sets none: a Python worker holds a few batches at a time, however long the rows are.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
