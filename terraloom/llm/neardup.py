@@ -181,12 +181,15 @@ def _live(docs: DataFrame, load: np.ndarray) -> DataFrame:
     return _buckets.live(docs, emit).select("key", F.col("a").alias("node"), F.col("b").alias("n"))
 
 
-def _blocks_once(live: DataFrame) -> DataFrame:
-    """Without blocks of one node, and of those that hold the very same nodes but one."""
+def _blocks_once(live: DataFrame, store: Workspace) -> DataFrame:
+    """Without blocks of one node, of the very same nodes as another, or all of whose nodes have one and the same larger block as their largest."""
     rows = live.repartition("key").dropDuplicates(["key", "node"])
     members = rows.groupBy("key").agg(F.count("*").alias("k"), F.expr("bit_xor(xxhash64(node))").alias("x"), F.sum(F.xxhash64("node", F.lit(1)).cast("decimal(20,0)")).alias("y")).where("k > 1")
-    one = members.groupBy("k", "x", "y").agg(F.min("key").alias("of")).select("of")
-    return rows.join(one, F.col("key") == F.col("of"), "left_semi")
+    one = members.groupBy("k", "x", "y").agg(F.min("key").alias("of")).select("of", "k")
+    rows = store.save(rows.join(one, F.col("key") == F.col("of")).select("key", "node", "n", "k"), "blocks")
+    top = rows.groupBy(F.col("node").alias("own")).agg(F.max(F.struct("k", "key")).alias("top")).select("own", F.col("top.key").alias("largest"))
+    inner = rows.join(top, F.col("node") == F.col("own")).groupBy(F.col("key").alias("of")).agg(F.min("largest").alias("lo"), F.max("largest").alias("hi")).where("lo = hi and lo <> of").select("of")
+    return rows.join(inner, F.col("key") == F.col("of"), "left_anti").select("key", "node", "n")
 
 
 def sketch(g: np.ndarray, width: int) -> np.ndarray:
@@ -425,7 +428,7 @@ def classes(docs: DataFrame) -> DataFrame:
     member = store.save(member, "member")
     store.drop(profile)
 
-    live = store.save(_blocks_once(_live(rows.select("text"), _load(rows))), "live")
+    live = store.save(_blocks_once(_live(rows.select("text"), _load(rows)), store), "live")
     rest = _unsettled(live, None)
     wanted = member.where("doc_id = rep").join(live.select(F.col("node").alias("r")).distinct(), F.col("s1") == F.col("r"), "left_semi").select("rep")
     sets = _sets(rows, wanted, store)
