@@ -89,8 +89,8 @@ def band(n: np.ndarray) -> np.ndarray:
     return np.searchsorted(4 ** np.arange(1, 31), n, "right")
 
 
-def blocks(g: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(document, key, size) of every non-empty block of every document in every band that it takes part in."""
+def blocks(g: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(document, key, whether in the band above its own) of every non-empty block of every document in every band that it takes part in; sizes of documents."""
     n = np.diff(first)
     j = band(n)
     out = []
@@ -109,21 +109,20 @@ def blocks(g: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
         inside = np.bitwise_xor.reduceat(np.where(level < 3, tx.splitmix(x), code), at)
         key = tx.splitmix(inside ^ tx.splitmix(cell[at] * tx.U(64) + level[at].astype(tx.U)))
         some = inside != 0
-        out.append((doc[at][some], key[some]))
+        out.append((doc[at][some], key[some], np.full(int(some.sum()), up)))
     if not out:
-        return np.zeros(0, np.int64), np.zeros(0, tx.U), n
-    return np.concatenate([d for d, _ in out]), np.concatenate([k for _, k in out]), n
+        return np.zeros(0, np.int64), np.zeros(0, tx.U), np.zeros(0, np.int64), n
+    doc, key, above = (np.concatenate(x) for x in zip(*out, strict=True))
+    return doc, key, above, n
 
 
 def _slot(keys: np.ndarray) -> np.ndarray:
     return (keys >> tx.U(64 - 23)).astype(np.int64)
 
 
-def leading(doc: np.ndarray, key: np.ndarray, n: np.ndarray, load: np.ndarray) -> np.ndarray:
+def leading(doc: np.ndarray, key: np.ndarray, above: np.ndarray, n: np.ndarray, load: np.ndarray) -> np.ndarray:
     """Rows of the first ``allowed + 1`` blocks of each document and band, blocks of few documents first."""
-    # rows of the two bands of a document lie in two runs that both rise by document
-    second = np.append(0, np.cumsum(np.diff(doc) < 0)) if len(doc) else np.zeros(0, np.int64)
-    group = doc * 2 + second
+    group = doc * 2 + above
     rank = (load[_slot(key)].astype(tx.U) << tx.U(40)) | (key >> tx.U(24))
     order = np.argsort(rank, kind="stable")
     order = order[np.argsort(group[order].astype(np.uint16 if len(n) < 1 << 15 else np.int64), kind="stable")]
@@ -154,7 +153,7 @@ def _load(docs: DataFrame) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
         total = np.zeros(COUNTERS, np.uint8)
         for _, buf, off in tx.chunks(batches):
-            _, key, _ = blocks(*shingle_sets(buf, off))
+            _, key, _, _ = blocks(*shingle_sets(buf, off))
             at, n = np.unique(_slot(key), return_counts=True)
             total[at] = np.minimum(255, total[at] + n)
         yield total
@@ -171,10 +170,10 @@ def _live(docs: DataFrame, load: np.ndarray) -> DataFrame:
             g, first = shingle_sets(buf, off)
             s1, _ = signatures(g, first)
             _, once = np.unique(s1, return_index=True)
-            doc, key, n = blocks(g, first)
+            doc, key, above, n = blocks(g, first)
             if not len(doc):
                 continue
-            row = leading(doc, key, n, shared.value)
+            row = leading(doc, key, above, n, shared.value)
             row = row[np.isin(doc[row], once)]
             yield key[row], s1.view(np.int64)[doc[row]], n[doc[row]]
 

@@ -119,6 +119,24 @@ def test_squares_alone_find_all_links(spark, corpus, monkeypatch):
     assert got == brute_classes(corpus)
 
 
+def test_links_of_documents_alone_in_their_partitions(spark):
+    rows = []
+    for k in range(20):
+        words = prose(700 + k, 64).split()
+        # 60 and 46 shingles, 46 of them common: the first goes to the next band as well, the second to one only
+        rows += [(2 * k, " ".join(words), "a"), (2 * k + 1, " ".join(words[:50]), "a")]
+    docs = spark.createDataFrame(spark.sparkContext.parallelize([(d, t) for d, t, _ in rows], len(rows)), "doc_id long, text string")
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in neardup.classes(docs).collect())
+    assert got == brute_classes(rows)
+
+
+def test_a_document_alone_leads_in_each_band():
+    buf, off = tx.text_bytes(__import__("pyarrow").array([prose(1, 64)]))
+    doc, key, above, n = neardup.blocks(*neardup.shingle_sets(buf, off))
+    row = neardup.leading(doc, key, above, n, np.zeros(neardup.COUNTERS))
+    assert np.bincount(above[row]).tolist() == [neardup.allowed(n)[0] + 1] * 2
+
+
 def test_classes_of_nothing(spark):
     assert neardup.classes(table(spark, [])).count() == 0
     r = neardup.classes(table(spark, [(None, "a b", "a"), (1, "a b", "a")])).collect()
