@@ -162,9 +162,13 @@ def _blocks(benchmark: DataFrame, block_bytes: int) -> list[DataFrame]:
 
 def find(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Per row of ``docs``: n_words, n_hit, n_items, items_sha256, contaminated, and the items and merged spans of words behind them."""
+    return _find(docs, _blocks(benchmark, block_bytes)).drop("text_hash")
+
+
+def _find(docs: DataFrame, blocks: list[DataFrame]) -> DataFrame:
     spark, rows = docs.sparkSession, docs.selectExpr("cast(doc_id as long) doc_id", "text", "xxhash64(text) text_hash")
     parts = []
-    for block in _blocks(benchmark, block_bytes):
+    for block in blocks:
         got = block.collect()
         shared = spark.sparkContext.broadcast(([r.id for r in got], [r.text for r in got]))
 
@@ -175,7 +179,7 @@ def find(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES)
                 yield made.append_column("text_hash", tx.column(own, "text_hash"))
 
         parts.append(rows.mapInArrow(run, SCHEMA + ", text_hash long"))
-    return parts[0].drop("text_hash") if len(parts) == 1 else _union(parts)
+    return parts[0] if len(parts) == 1 else _union(parts)
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
@@ -185,7 +189,7 @@ def _union(parts: list[DataFrame]) -> DataFrame:
         found = found.unionByName(p.where("n_items > 0"))
     found = found.groupBy(F.col("doc_id").alias("d"), F.col("text_hash").alias("h")).agg(F.collect_list(F.struct("item_ids", "hit_start", "hit_end")).alias("found"))
     base = parts[0].select("doc_id", "n_words", "text_hash")
-    base = base.join(found, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("h")), "left").select("doc_id", "n_words", "found")
+    base = base.join(found, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("h")), "left").select("doc_id", "n_words", "text_hash", "found")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -196,25 +200,23 @@ def _union(parts: list[DataFrame]) -> DataFrame:
                     continue
                 s, e = _merged(np.concatenate([f["hit_start"] for f in found]), np.concatenate([f["hit_end"] for f in found]))
                 per.append((sorted({i for f in found for i in f["item_ids"]}), s.tolist(), e.tolist()))
-            yield _rows(tx.column(batch, "doc_id"), tx.column(batch, "n_words").to_numpy(), per)
+            made = _rows(tx.column(batch, "doc_id"), tx.column(batch, "n_words").to_numpy(), per)
+            yield made.append_column("text_hash", tx.column(batch, "text_hash"))
 
-    return base.mapInArrow(run, SCHEMA)
+    return base.mapInArrow(run, SCHEMA + ", text_hash long")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The rows of ``docs`` that aren't contaminated, all their columns as they were."""
-    spark = docs.sparkSession
-    blocks = []
-    for block in _blocks(benchmark, block_bytes):
-        got = block.collect()
-        blocks.append(spark.sparkContext.broadcast(([r.id for r in got], [r.text for r in got])))
-
-    if len(blocks) > 1:  # spans of all blocks count together
-        dirty = find(docs, benchmark, block_bytes).where("contaminated").select("doc_id").distinct()
-        return docs.join(dirty, docs["doc_id"].eqNullSafe(dirty["doc_id"]), "left_anti")
+    blocks = _blocks(benchmark, block_bytes)
+    if len(blocks) > 1:  # spans of all blocks count together; a verdict holds for equal rows (doc_id and text)
+        dirty = _find(docs, blocks).where("contaminated").select("doc_id", "text_hash").distinct()
+        return docs.join(dirty, docs["doc_id"].cast("long").eqNullSafe(dirty["doc_id"]) & (F.xxhash64(docs["text"]) == dirty["text_hash"]), "left_anti")
+    got = blocks[0].collect()
+    shared = docs.sparkSession.sparkContext.broadcast(([r.id for r in got], [r.text for r in got]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        prints = Fingerprints(*blocks[0].value)
+        prints = Fingerprints(*shared.value)
         for own, buf, off in tx.chunks(batches):
             n_words, per = _found(prints, buf, off)
             n_hit = np.array([sum(e) - sum(s) for _, s, e in per], np.int64)

@@ -294,6 +294,17 @@ def test_hits_match_all_windows(spark, corpus, items):
     assert clean == sorted(r[0] for r in brute_hits(corpus, items) if not r[5])
 
 
+def test_clean_judges_rows_by_their_own_text(spark, corpus, items):
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    text = {d: t for d, t, _ in corpus}
+    rows = [*corpus, (6, prose(901, 60), "a"), (None, text[6], "a"), (None, prose(902, 60), "a"), (None, None, "a")]
+    hit = {t for (d, t, _) in rows if brute_hits([(0, t, None)], items)[0][5]}
+    clean = sorted((repr(d), repr(t)) for d, t, _ in rows if t not in hit)
+    for size in (decontaminate.BLOCK_BYTES, 400):
+        got = decontaminate.clean(table(spark, rows), bench, size).collect()
+        assert sorted((repr(r.doc_id), repr(r.text)) for r in got) == clean
+
+
 def test_empty_benchmark_hits_nothing(spark, corpus):
     bench = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.find(table(spark, corpus), bench).where("n_hit > 0 or contaminated").count() == 0
