@@ -12,7 +12,7 @@ guarantee: their fingerprint is one gram of ``min(5, length)`` words, and all gr
 The benchmark is a query set against all documents: its items are dealt by hash to blocks of about half of ``BLOCK_BYTES`` of
 text (all are one block if they fit it), and each block is broadcast, so what is broadcast doesn't grow and a larger benchmark takes more scans. Documents are never
 shuffled with one block. Null texts have no words. Documents or items that repeat count each; an item_id is
-a string for sorting, and a null item_id is left out of the lists. An empty benchmark hits nothing. Other columns are ignored, or carried by ``clean``.
+a string for sorting; an item with a null item_id hits words like any other, but is left out of the lists, so of n_items and items_sha256 too. An empty benchmark hits nothing. Other columns are ignored, or carried by ``clean``.
 """
 
 from __future__ import annotations
@@ -56,7 +56,7 @@ def winnow(h: np.ndarray, ok: np.ndarray, span: int) -> np.ndarray:
 class Fingerprints:
     """Of a block of items; item words lie one after another in ``words``."""
 
-    def __init__(self, ids: list[str], texts: list[str]):
+    def __init__(self, ids: list[str | None], texts: list[str]):
         buf, off = tx.text_bytes(pa.array(texts, pa.large_string()))
         w, self.words = _words(buf, off)
         self.ids, self.first = ids, w.first
@@ -148,13 +148,13 @@ def _found(prints: Fingerprints, buf: np.ndarray, off: np.ndarray) -> tuple[np.n
         own = order[a:b]
         d = int(doc[own[0]])
         s, e = _merged(start[own], end[own])
-        per[d] = (sorted({prints.ids[i] for i in item[own]}), (s - w.first[d]).tolist(), (e - w.first[d]).tolist())
+        per[d] = (sorted({prints.ids[i] for i in item[own]} - {None}), (s - w.first[d]).tolist(), (e - w.first[d]).tolist())
     return np.diff(w.first), per
 
 
 def _blocks(benchmark: DataFrame, block_bytes: int) -> list[DataFrame]:
     small_batches(benchmark.sparkSession)
-    items = benchmark.selectExpr("cast(item_id as string) id", "text").where("id is not null and text is not null")
+    items = benchmark.selectExpr("cast(item_id as string) id", "text").where("text is not null")
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = -(-total // block_bytes)
     return [items] if n <= 1 else [items.where(F.pmod(F.xxhash64("id", "text"), F.lit(2 * n)) == k) for k in range(2 * n)]
@@ -184,9 +184,9 @@ def _find(docs: DataFrame, blocks: list[DataFrame]) -> DataFrame:
 
 def _union(parts: list[DataFrame]) -> DataFrame:
     """Several blocks: items and spans of equal rows (doc_id and text) meet; rows without any are those of the first block."""
-    found = parts[0].where("n_items > 0")
+    found = parts[0].where("n_hit > 0")
     for p in parts[1:]:
-        found = found.unionByName(p.where("n_items > 0"))
+        found = found.unionByName(p.where("n_hit > 0"))
     found = found.groupBy(F.col("doc_id").alias("d"), F.col("text_hash").alias("h")).agg(F.collect_list(F.struct("item_ids", "hit_start", "hit_end")).alias("found"))
     base = parts[0].select("doc_id", "n_words", "text_hash")
     base = base.join(found, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("h")), "left").select("doc_id", "n_words", "text_hash", "found")

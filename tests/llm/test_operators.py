@@ -294,6 +294,19 @@ def test_hits_match_all_windows(spark, corpus, items):
     assert clean == sorted(r[0] for r in brute_hits(corpus, items) if not r[5])
 
 
+def test_items_without_an_id_hit(spark, corpus, items):
+    named, none = items[:3], [(None, t) for _, t in items[3:]]
+    bench = spark.createDataFrame(named + none, "item_id long, text string")
+    everything, listed = brute_hits(corpus, items), brute_hits(corpus, named)
+    # hits of all items, lists of those with an id
+    expected = [(*a[:3], *b[3:5], a[5]) for a, b in zip(everything, listed, strict=True)]
+    for size in (decontaminate.BLOCK_BYTES, 400):
+        got = decontaminate.find(table(spark, corpus), bench, size).drop("item_ids", "hit_start", "hit_end").collect()
+        assert sorted(map(tuple, got)) == sorted(expected)
+        clean = decontaminate.clean(table(spark, corpus), bench, size).collect()
+        assert sorted(r.doc_id for r in clean) == sorted(r[0] for r in expected if not r[5])
+
+
 def test_clean_judges_rows_by_their_own_text(spark, corpus, items):
     bench = spark.createDataFrame(items, "item_id long, text string")
     text = {d: t for d, t, _ in corpus}
