@@ -5,8 +5,10 @@ secrets (long hexadecimal strings, well-known key formats, values assigned to a
 made from a key, its kind and its canonical form, so one entity has one surrogate in every document, however it is written (coreference):
 
 * letters become letters and digits digits, case and punctuation stay where they are; an e-mail address keeps its top-level domain, an IBAN its country
+* an IPv6 address, however shortened, becomes one of eight groups of four; of those with "::" only such as have a group of three signs or more and a digit, or begin
+  with fc or fd, are entities ([1::2] is not), and of one that ends as IPv4 the IPv4 address alone
 * a card number passes Luhn's test if and only if the original does; IPv4 octets are 1 to 254; hexadecimal stays so
-* names keep their title; a given name becomes a name of the title's gender, a surname another surname, both in the script (Latin, Cyrillic or Greek) of the original
+* names grow by a syllable with each attempt, so there is always one more; names keep their title; a given name becomes a name of the title's gender, a surname another surname, both in the script (Latin, Cyrillic or Greek) of the original
 
 Distinct entities keep distinct surrogates, none of which is an entity of the input: collisions are searched among all distinct entities,
 and all but the least of the colliding ones get the surrogate of another attempt, until there are none.
@@ -29,13 +31,16 @@ FEMALE = ("Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra", "Го
 MALE = ("Mr", "Herr", "Monsieur", "Señor", "Sr", "Господин", "Κύριος")
 
 _OCTET = "(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
+_HEX = "[0-9A-Fa-f]{1,4}"
+#: An IPv6 address with "::", of eight groups at most; a group of three signs sets it apart from slices and times, a digit or fc, fd from scopes of names.
+_SHORT = rf"(?=(?:{_HEX}(?::{_HEX}){{0,6}})?::)(?!(?:[0-9A-Fa-f]{{0,4}}:){{9}})(?=[0-9A-Fa-f:]{{0,38}}[0-9]|[Ff][CcDd])(?=[0-9A-Fa-f:]{{0,36}}[0-9A-Fa-f]{{3}})(?:{_HEX}(?::{_HEX}){{0,6}})?::(?:{_HEX}(?::{_HEX}){{0,6}})?(?!\.[0-9])"
 _NAME = r"\p{Lu}\p{L}{1,40}(?:[ -]\p{Lu}\p{L}{1,40}){0,2}+"
 _TITLE = "(?:" + "|".join(sorted(FEMALE + MALE, key=len, reverse=True)) + r")\.?"
 _ASSIGNED = "token|secret|password|passwd|api[_-]key|apikey|access[_-]key"
 #: In this order: at one place the first that fits is taken.
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}",
-    "ipv6": r"(?<![0-9A-Za-z:])(?=[0-9A-Fa-f:]{0,38}[0-9])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Za-z:])",
+    "ipv6": rf"(?<![0-9A-Za-z:])(?:(?=[0-9A-Fa-f:]{{0,38}}[0-9])(?:{_HEX}:){{7}}{_HEX}|{_SHORT})(?![0-9A-Za-z:])",
     "ipv4": rf"(?<![0-9A-Za-z.])(?:{_OCTET}\.){{3}}{_OCTET}(?![0-9])(?!\.[0-9])",
     "iban": r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![0-9A-Za-z])",
     "card": r"(?<![0-9A-Za-z])[0-9](?:[ -]?[0-9]){12,18}(?![0-9A-Za-z])",
@@ -47,7 +52,7 @@ PATTERNS = {
 }
 ENTITY = "|".join(PATTERNS.values())
 #: Every entity holds one of these.
-HINT = rf"[0-9@]|(?i:{_ASSIGNED})|{_TITLE} \p{{Lu}}"
+HINT = rf"[0-9@]|::|(?i:{_ASSIGNED})|{_TITLE} \p{{Lu}}"
 ATTEMPTS = 32
 #: Kinds of the words of names.
 NAMES = ("female", "male", "surname")
@@ -74,7 +79,11 @@ def _kind(found: Column) -> Column:
 
 
 def _canonical(kind: Column, found: Column) -> Column:
-    return F.when(kind.isin("email", "ipv4"), F.lower(found)).otherwise(F.regexp_replace(F.lower(found), "[^0-9a-z]+", ""))
+    halves = F.split(F.lower(found), "::", 2)
+    left, right = (F.filter(F.split(F.coalesce(F.get(halves, F.lit(k)), F.lit("")), ":"), lambda g: g != "") for k in (0, 1))
+    zeros = F.array_repeat(F.lit("0"), F.greatest(F.lit(8) - F.size(left) - F.size(right), F.lit(0)))
+    whole = F.array_join(F.transform(F.concat(left, zeros, right), lambda g: F.lpad(g, 4, "0")), "")
+    return F.when(kind.isin("email", "ipv4"), F.lower(found)).when(kind == "ipv6", whole).otherwise(F.regexp_replace(F.lower(found), "[^0-9a-z]+", ""))
 
 
 def _staged(units: DataFrame, key: str) -> DataFrame:
@@ -116,19 +125,20 @@ def _script(word: Column) -> Column:
 
 
 def _name() -> Column:
-    """Three syllables and an ending, of the script of ``canon``."""
+    """Three syllables, one more for each attempt, and an ending, of the script of ``canon``."""
     script = _script(F.col("canon"))
     out = None
     for name, syllables in SYLLABLES.items():
         known, ends = F.array(*map(F.lit, syllables)), F.array(*map(F.lit, ENDINGS[name]))
-        parts = [F.element_at(known, (F.col("v")[2 * k] * 256 + F.col("v")[2 * k + 1]) % len(syllables) + 1) for k in range(3)]
-        whole = F.concat(*parts, F.when(F.col("kind") == "female", ends[0]).when(F.col("kind") == "male", ends[1]).otherwise(ends[2]))
+        drawn = F.transform(F.sequence(F.lit(0), F.col("attempt") + 2), lambda k: F.element_at("v", 2 * k + 1) * 256 + F.element_at("v", 2 * k + 2))
+        parts = F.transform(drawn, lambda x: F.element_at(known, x % F.size(known) + 1))
+        whole = F.concat(F.array_join(parts, ""), F.when(F.col("kind") == "female", ends[0]).when(F.col("kind") == "male", ends[1]).otherwise(ends[2]))
         out = F.when(script == name, whole) if out is None else out.when(script == name, whole)
     return out
 
 
 def _laid() -> Column:
-    """``made`` in the written form ``found``: its punctuation and case."""
+    """``made`` in the written form ``found``: its punctuation and case; an IPv6 address in eight groups of four."""
 
     def put(state: Column, c: Column) -> Column:
         taken = F.substring(F.col("made"), state["at"], F.lit(1))
@@ -136,7 +146,9 @@ def _laid() -> Column:
         return F.struct(F.concat(state["text"], F.when(~word, c).when(c.rlike("[A-Z]"), F.upper(taken)).otherwise(taken)).alias("text"), (state["at"] + word.cast("int")).alias("at"))
 
     chars = F.filter(F.split("found", ""), lambda c: c != "")
-    return F.when(F.col("kind") == "ipv4", F.col("made")).otherwise(F.aggregate(chars, F.struct(F.lit("").alias("text"), F.lit(1).alias("at")), put)["text"])
+    groups = F.regexp_replace("made", "(.{4})(?!$)", "$1:")
+    groups = F.when(F.col("found").rlike("[A-F]"), F.upper(groups)).otherwise(groups)
+    return F.when(F.col("kind") == "ipv4", F.col("made")).when(F.col("kind") == "ipv6", groups).otherwise(F.aggregate(chars, F.struct(F.lit("").alias("text"), F.lit(1).alias("at")), put)["text"])
 
 
 def _gender(found: Column) -> Column:

@@ -536,6 +536,27 @@ def test_colliding_surrogates_are_told_apart(spark, monkeypatch):
     assert len({p[0] for p in pairs.values()}) == 6 and {p[1] for p in pairs.values()} == {pairs[0][0]}
 
 
+def test_more_names_than_three_syllables_make(spark, monkeypatch):
+    monkeypatch.setitem(pii.SYLLABLES, "latin", ["ba", "be"])
+    names = [f"{a}{b}rt" for a in "ABCDE" for b in "aeio"]
+    got = {r.doc_id: r.text for r in pii.surrogates(table(spark, [(k, f"Mr {n} and Mr {n}", "a") for k, n in enumerate(names)])).collect()}
+    pairs = [re.fullmatch(r"Mr (\w+) and Mr (\w+)", t).groups() for t in got.values()]
+    assert len(set(pairs)) == len(names) and all(a == b for a, b in pairs)
+
+
+def test_shortened_addresses(spark):
+    one = ["2001:db8::1", "2001:0db8:0:0:0:0:0:1", "2001:DB8:0::0:1", "[2001:db8::1]:80", "2001:db8::1%eth0."]
+    other = ["fe80::1", "2001:db81::", "::ffff:c000:221", "fdab::cafe", "2001:db8:1:2:3:4:5::", "1:2:3:4:5:6:7:abcd"]
+    plain = ["std::vector", "x[1::2]", "x[::-1]", "at 12:30:45", "dead::beef", "a :: b", "1:2:3:4:5:6:7:8:9::abc"]
+    got = {r.doc_id: r for r in pii.surrogates(table(spark, [(k, t, "a") for k, t in enumerate(one + other + plain)])).collect()}
+    address = r"(?:[0-9a-f]{4}:){7}[0-9a-f]{4}"
+    made = [re.search(address, got[k].text, re.I)[0].lower() for k in range(len(one + other))]
+    assert len(set(made[: len(one)])) == 1 and len(set(made)) == 1 + len(other) and got[2].text.isupper()
+    assert got[3].text == f"[{made[0]}]:80" and got[4].text == f"{made[0]}%eth0." and all(got[k].n_ip == 1 for k in range(len(made)))
+    assert [got[k].text for k in range(len(made), len(got))] == plain
+    assert "192.0.2.1" not in pii.surrogates(table(spark, [(1, "::ffff:192.0.2.1", "a")])).first().text
+
+
 def test_surrogates_of_nothing(spark):
     assert pii.surrogates(table(spark, [])).count() == 0
 
