@@ -1,8 +1,8 @@
 """Which (key, a, b) rows share their key with a row of another (a, b), with one exchange of packed rows.
 
 Rows leave a task as binary columns, one row per slot of the key space, sorted by key: 40 bits of the key beside its slot, 64 of a, as many as it takes of b. Equal rows
-are sent once. A key that comes up with several (a, b) within a task is sent once; its rows are known to be live and pass through
-beside it, dealt out evenly. So a key that holds a third of all rows costs its reducer one row per flush of a task. Keys that agree in slot and 40 bits count as one: what
+are sent once. A key that comes up with more than ``CROWD`` (a, b) within a flush is sent once; its rows are known to be live and pass through
+beside it, dealt out evenly. So a key that holds a third of all rows costs its reducer ``CROWD`` rows per flush of a task at most. Keys that agree in slot and 40 bits count as one: what
 follows tests every pair.
 """
 
@@ -16,8 +16,8 @@ from pyspark.sql import DataFrame
 
 from . import _text as tx
 
-#: Rows that a task gathers before it sends them.
-FLUSH = 1 << 18
+#: Rows that a task gathers before it sends them; rows of one key that it sends to the key's slot.
+FLUSH, CROWD = 1 << 18, 8
 _ARROW = pa.schema([("slot", pa.int32()), ("live", pa.bool_()), ("keys", pa.binary()), ("a", pa.binary()), ("b", pa.binary()), ("many", pa.binary())])
 SCHEMA = "slot int, live boolean, keys binary, a binary, b binary, many binary"
 Emit = Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]
@@ -65,21 +65,28 @@ def _send(held: list[tuple[np.ndarray, ...]], slots: int, turn: int) -> Iterator
     keys, a, b = keys[new], a[new], b[new]
     at = runs(keys)
     n = np.diff(at)
-    many = np.repeat(n > 1, n)
+    many = np.repeat(n > CROWD, n)
     rows = []
     if many.any():
         k, x, y = keys[many], a[many], b[many]
         for p in range(0, len(k), 1 << 16):
             rows.append(_packed((turn * 7919 + p) % slots, True, k[p : p + (1 << 16)], x[p : p + (1 << 16)], y[p : p + (1 << 16)], np.zeros(0, bool)))
-    keys, a, b, many = keys[at[:-1]], a[at[:-1]], b[at[:-1]], n > 1
+    one = ~many
+    one[at[:-1]] = True
+    keys, a, b, many = keys[one], a[one], b[one], many[one]
     edge = np.searchsorted(keys >> tx.U(40), np.arange(slots + 1).astype(tx.U))
     rows += [_packed(s, False, keys[p:q], a[p:q], b[p:q], many[p:q]) for s, (p, q) in enumerate(zip(edge[:-1], edge[1:], strict=True)) if p < q]
     for k in range(0, len(rows), 64):
         yield pa.RecordBatch.from_pylist(rows[k : k + 64], _ARROW)
 
 
-def _batch(keys: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(a), pa.array(b)], ["key", "a", "b"])
+LIVE = "key long, a long, b long, k long, x long, y long"
+
+
+def _batch(keys: np.ndarray, a: np.ndarray, b: np.ndarray, k: np.ndarray | None = None, x: np.ndarray | None = None, y: np.ndarray | None = None, first: np.ndarray | None = None) -> pa.RecordBatch:
+    if k is None:
+        k, x, y, first = np.zeros(len(keys), np.int64), np.zeros(len(keys), tx.U), np.zeros(len(keys), tx.U), np.zeros(len(keys), bool)
+    return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(a), pa.array(b), pa.array(k), pa.array(x.view(np.int64), mask=~first), pa.array(y.view(np.int64), mask=~first)], ["key", "a", "b", "k", "x", "y"])
 
 
 def _meet(rows: list[dict]) -> Iterator[pa.RecordBatch]:
@@ -90,23 +97,35 @@ def _meet(rows: list[dict]) -> Iterator[pa.RecordBatch]:
         a = np.frombuffer(b"".join(r["a"] for r in sent), "<i8")
         b = np.concatenate([long(r["b"], k) for r, k in zip(sent, sizes, strict=True)])
         many = np.concatenate([np.unpackbits(np.frombuffer(r["many"], np.uint8), count=k) for r, k in zip(sent, sizes, strict=True)]).astype(bool)
-        order = np.lexsort((b, a, keys))
+        order = np.lexsort((many, b, a, keys))
         keys, a, b, many = keys[order], a[order], b[order], many[order]
         at = runs(keys)
         n = np.diff(at)
-        first, last = at[:-1], at[1:] - 1
         # several (a, b), or one that another flush has met with others
-        live_key = (a[first] != a[last]) | (b[first] != b[last]) | (np.bitwise_or.reduceat(many, at[:-1]) & (n > 1))
-        out = np.repeat(live_key, n) & ~many
+        crowded = np.bitwise_or.reduceat(many, at[:-1])
+        differ = (a[at[:-1]] != a[at[1:] - 1]) | (b[at[:-1]] != b[at[1:] - 1])
+        new = np.append(True, (keys[1:] != keys[:-1]) | (a[1:] != a[:-1]) | (b[1:] != b[:-1]))
+        out = np.repeat(differ | (crowded & (n > 1)), n) & ~many & new
         if out.any():
-            yield _batch(keys[out], a[out], b[out])
+            crowded = np.repeat(crowded, n)[out]
+            keys, a, b = keys[out], a[out], b[out]
+            at = runs(keys)
+            n = np.diff(at)
+            mixed = tx.splitmix(a.view(tx.U))
+            x, y = np.bitwise_xor.reduceat(mixed, at[:-1]), np.add.reduceat(tx.splitmix(mixed + tx.U(0xA0761D6478BD642F)), at[:-1])
+            first = np.zeros(len(keys), bool)
+            first[at[:-1]] = True
+            yield _batch(keys, a, b, np.where(crowded, 0, np.repeat(n, n)), np.repeat(x, n), np.repeat(y, n), first & ~crowded)
     for r in rows:
         if r["live"]:
             yield _batch(np.frombuffer(r["keys"], tx.U), np.frombuffer(r["a"], "<i8"), long(r["b"], len(r["a"]) // 8))
 
 
 def live(docs: DataFrame, emit: Callable[[Iterator[pa.RecordBatch]], Emit]) -> DataFrame:
-    """key, a, b (long) of the emitted rows whose key is emitted with another (a, b) as well; a row may come several times."""
+    """key, a, b (long) of the emitted rows whose key is emitted with another (a, b) as well.
+
+    Rows of a crowded key have k = 0 and may come several times. Of others, k is how many there are, and the first row of a key has x and y, 128 bits of a hash of all its a.
+    """
     slots = 8 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,7 +152,7 @@ def live(docs: DataFrame, emit: Callable[[Iterator[pa.RecordBatch]], Emit]) -> D
             yield from _meet(rows)
 
     packed = docs.mapInArrow(run, SCHEMA)
-    return packed.repartition("slot").sortWithinPartitions("slot").mapInArrow(meet, "key long, a long, b long")
+    return packed.repartition("slot").sortWithinPartitions("slot").mapInArrow(meet, LIVE)
 
 
 def combined(docs: DataFrame, make: Callable[[Iterator[pa.RecordBatch]], Iterator[np.ndarray]], size: int, join: Callable = np.add, total: str = "u1", finish: Callable = lambda x: x, slots: int = 64) -> np.ndarray:
@@ -171,8 +190,14 @@ def combined(docs: DataFrame, make: Callable[[Iterator[pa.RecordBatch]], Iterato
 FILTER_BITS = 1 << 23
 
 
-def _places(ids: np.ndarray) -> np.ndarray:
-    return (tx.splitmix(ids.view(tx.U)) % tx.U(FILTER_BITS)).astype(np.int64)
+#: Bits by which an id is told.
+_MARKS = 4
+
+
+def _places(ids: np.ndarray) -> Iterator[np.ndarray]:
+    mixed = tx.splitmix(ids.view(tx.U))
+    for k in range(_MARKS):
+        yield ((mixed >> tx.U(10 * k)) % tx.U(FILTER_BITS)).astype(np.int64)
 
 
 def members(ids: DataFrame):
@@ -181,16 +206,18 @@ def members(ids: DataFrame):
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
         bits = np.zeros(FILTER_BITS // 8, np.uint8)
         for batch in batches:
-            at = _places(batch.column(0).to_numpy())
-            np.bitwise_or.at(bits, at >> 3, (1 << (at & 7)).astype(np.uint8))
+            for at in _places(batch.column(0).to_numpy()):
+                np.bitwise_or.at(bits, at >> 3, (1 << (at & 7)).astype(np.uint8))
         yield bits
 
     return ids.sparkSession.sparkContext.broadcast(combined(ids, mark, FILTER_BITS // 8, np.bitwise_or))
 
 
 def held(bits: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    at = _places(ids)
-    return ((bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1).astype(bool)
+    out = np.ones(len(ids), bool)
+    for at in _places(ids):
+        out &= ((bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1).astype(bool)
+    return out
 
 
 def kept(rows: DataFrame, column: str, ids: DataFrame) -> DataFrame:

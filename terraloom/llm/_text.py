@@ -6,17 +6,28 @@ another, of about ``limit`` bytes; a longer document is a chunk by itself and is
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+import ctypes
+from collections.abc import Callable, Iterable, Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 # Python workers live on between tasks: memory that a batch has used goes back to the system.
 pa.set_memory_pool(pa.system_memory_pool())
 U = np.uint64
+
+
+def _trimmer() -> Callable[[int], object]:
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (OSError, AttributeError):  # another C library
+        return lambda _: None
+
+
+_trim = _trimmer()
 #: The six separators of words, in ASCII order.
 SPACES = b"\x09\x0a\x0b\x0c\x0d\x20"
 
@@ -41,31 +52,73 @@ def _byte_codes(lower: bool) -> np.ndarray:
 RAW, LOWER = _byte_codes(False), _byte_codes(True)
 _BASE = 0x5851F42D4C957F2D
 _INVERSE = pow(_BASE, -1, 1 << 64)
-_powers: dict[int, np.ndarray] = {}
+#: The second modulus, and a base of it.
+PRIME = (1 << 31) - 1
+_BASE31 = 0x2F0B4C47
+_INVERSE31 = pow(_BASE31, -1, PRIME)
+_powers: dict[tuple[int, int], np.ndarray] = {}
+
+
+def _folded(x: np.ndarray) -> np.ndarray:
+    """Numbers below 2**62 modulo the prime, or the prime itself for 0; in place."""
+    for _ in range(2):
+        high = x >> U(31)
+        x &= U(PRIME)
+        x += high
+    return x
 
 
-def _power(base: int, n: int) -> np.ndarray:
-    have = _powers.get(base)
+def _power(base: int, n: int, modulus: int = 1 << 64) -> np.ndarray:
+    have = _powers.get((base, modulus))
     if have is None or len(have) < n:
-        out = np.full(max(n, CHUNK + 1), base, U)
-        out[0] = 1
-        have = _powers[base] = np.cumprod(out, dtype=U)
+        size = max(n, CHUNK + 1)
+        if modulus == 1 << 64:
+            have = np.full(size, base, U)
+            have[0] = 1
+            have = np.cumprod(have, dtype=U)
+        else:
+            have = np.ones(1, U)
+            while len(have) < size:
+                have = np.concatenate([have, _folded(have * U(pow(base, len(have), modulus)))])
+            have = have[:size].astype(np.uint32)
+        if size <= 4 * CHUNK:
+            _powers[base, modulus] = have
     return have[:n]
 
 
 class Rolling:
-    """Hashes of any byte ranges of a buffer, from prefix sums modulo 2**64."""
+    """Hashes of any byte ranges of a buffer, from prefix sums modulo 2**64 and modulo a prime.
+
+    Sums modulo a power of 2 alone agree for some unlike strings whatever the base (those of Thue and Morse); the prime tells these apart.
+    """
 
     def __init__(self, buf: np.ndarray, codes: np.ndarray = RAW):
         n = len(buf)
+        self._buf, self._codes = buf, codes
         self.sums = np.zeros(n + 1, U)
         np.multiply(codes[buf], _power(_BASE, n), out=self.sums[1:])
         np.cumsum(self.sums, out=self.sums)
         self._back = _power(_INVERSE, n + 1)
+        self._sums31: np.ndarray | None = None
 
-    def __call__(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    def quick(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Modulo 2**64 only: for choices, not for equality."""
         return splitmix((self.sums[end] - self.sums[start]) * self._back[start] + (end - start).astype(U))
 
+    def __call__(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        if self._sums31 is None:
+            n = len(self._buf)
+            self._sums31 = np.zeros(n + 1, U)
+            np.multiply((self._codes >> U(34))[self._buf], _power(_BASE31, n, PRIME), out=self._sums31[1:])
+            _folded(self._sums31)
+            np.cumsum(self._sums31, out=self._sums31)
+            self._back31 = _power(_INVERSE31, n + 1, PRIME)
+        second = _folded(_folded(self._sums31[end] - self._sums31[start]) * self._back31[start])
+        second[second == PRIME] = 0
+        second *= U(0x9E3779B97F4A7C15)
+        second ^= self.quick(start, end)
+        return splitmix(second)
+
 
 class Words(NamedTuple):
     start: np.ndarray
@@ -150,6 +203,7 @@ def chunks(batches: Iterable[pa.RecordBatch], text: str = "text", limit: int = C
             to = max(at + 1, int(np.searchsorted(off, off[at] + limit, "right")) - 1)
             yield batch.slice(at, to - at), buf[off[at] : off[to]], off[at : to + 1] - off[at]
             at = to
+    _trim(0)
 
 
 def column(batch: pa.RecordBatch, name: str) -> pa.Array:
