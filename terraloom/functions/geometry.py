@@ -81,6 +81,18 @@ def centroid(shape: Column) -> Column:
     return point(ox + _total(segments(ring), lambda s: (s["x1"] + s["x2"] - 2 * ox) * cross(s)) / six, oy + _total(segments(ring), lambda s: (s["y1"] + s["y2"] - 2 * oy) * cross(s)) / six)
 
 
+def _canonical_ring(ring: Column) -> Column:
+    corners = F.transform(F.slice(ring, F.lit(1), F.size(ring) - 1), lambda p: F.struct(F.round(p["x"] * 1000).cast("long").alias("x"), F.round(p["y"] * 1000).cast("long").alias("y")))
+    corners = F.when(ring_area(ring) < 0, F.reverse(corners)).otherwise(corners)
+    first = F.array_position(corners, F.array_min(corners)).cast("int")
+    return F.concat(F.slice(corners, first, F.size(corners)), F.slice(corners, F.lit(1), first - 1))
+
+
+def canonical(shape: Column) -> Column:
+    """The rings of a polygon in millimetres, each from its least corner on and counter-clockwise, holes in order: equal for identical shapes."""
+    return F.struct(_canonical_ring(shape["shell"]).alias("shell"), F.array_sort(F.transform(shape["holes"], _canonical_ring)).alias("holes"))
+
+
 def roundness(shape: Column) -> Column:
     """Perimeter over that of a circle of equal area; a circle has 1."""
     return perimeter(shape) / (2 * F.sqrt(F.lit(math.pi) * area(shape)))

@@ -286,14 +286,30 @@ def buffered(shapes: list[Polygon], distance: float, quadrant: int = 4) -> list[
     """All points within a distance, as single parts; arcs have ``quadrant`` chords in a right angle."""
     parts = [repaired(p) for p in shapes]
     out = [p for p in parts if p]
-    for x1, y1, x2, y2 in edges(out).tolist():
-        along = math.atan2(y2 - y1, x2 - x1)
-        arc = [along + math.pi / 2 + math.pi * k / (2 * quadrant) for k in range(2 * quadrant + 1)]
-        ring = [(x1 + distance * math.cos(t), y1 + distance * math.sin(t)) for t in arc] + [(x2 - distance * math.cos(t), y2 - distance * math.sin(t)) for t in arc]
-        out.append(Polygon(as_ring(ring), []))
+    for side in edges(out).tolist():
+        out += buffered_side(side, distance, quadrant)
     return dissolved(out)
 
 
+def buffered_side(side, distance: float, quadrant: int = 4) -> list[Polygon]:
+    """All points within a distance of a segment."""
+    x1, y1, x2, y2 = side
+    along = math.atan2(y2 - y1, x2 - x1)
+    arc = [along + math.pi / 2 + math.pi * k / (2 * quadrant) for k in range(2 * quadrant + 1)]
+    ring = [(x1 + distance * math.cos(t), y1 + distance * math.sin(t)) for t in arc] + [(x2 - distance * math.cos(t), y2 - distance * math.sin(t)) for t in arc]
+    return [Polygon(as_ring(ring), [])]
+
+
+def canonical(ring: Ring) -> tuple:
+    """A closed ring in millimetres from its least corner on, counter-clockwise."""
+    r = as_ring(ring)[:-1]
+    if signed_area([*r, r[0]]) < 0:
+        r = r[::-1]
+    r = [(round(x * 1000), round(y * 1000)) for x, y in r]
+    k = r.index(min(r))
+    return tuple(r[k:] + r[:k])
+
+
 def intersects(a: Polygon, b: Polygon) -> bool:
     """Closed: a common point of the borders is enough."""
     p, q = _box(a), _box(b)

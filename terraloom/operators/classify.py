@@ -39,7 +39,7 @@ PATCH = f"sign string, ugb long, ibs long, part int, is_hole boolean, shape {g.P
 def difference_patches(computed: DataFrame, expert: DataFrame, store: Workspace) -> DataFrame:
     """pid, sign (POS: computed only, NEG: expert only), is_hole, body, shape, bounds, is_box, shape_len, shape_area of each single part of the symmetric difference.
 
-    Outlines that meet, directly or through others, are overlaid together. ``is_hole``: the patch fills a hole of the other outline.
+    Outlines that meet, directly or through others, are overlaid together. ``is_hole``: the patch is identical to a hole of the other outline.
     ``body``: the whole outline from which the patch comes meets no other one.
     """
     a = computed.select(F.col("fid").alias("ugb"), "bounds", "shape", "is_box")
@@ -56,11 +56,11 @@ def difference_patches(computed: DataFrame, expert: DataFrame, store: Workspace)
         out = []
         for sign, parts, sources, opposite, keys in (("POS", 0, one, two, own["ugb"].tolist()), ("NEG", 1, two, one, other["ibs"].tolist())):
             found = plane.symmetric_difference(one, two)[parts]
-            holes = [plane.Polygon(h, []) for p in opposite for h in p.holes]
+            holes = {plane.canonical(plane._straight(plane.Polygon(h, [])).shell) for p in opposite for h in p.holes}
             for k, p in enumerate(sorted(found, key=lambda q: min(q.shell))):
                 x, y = plane.inside_point(p)
                 home = next(int(key) for key, s in zip(keys, sources, strict=True) if plane.holds(s, x, y))
-                hole = any(abs(plane.area(h) - plane.area(p)) < 0.01 and plane.holds(h, x, y) for h in holes)
+                hole = not p.holes and plane.canonical(p.shell) in holes
                 out.append({"sign": sign, "ugb": home if sign == "POS" else None, "ibs": home if sign == "NEG" else None, "part": k, "is_hole": hole, "shape": plane.as_struct(p)})
         return pd.DataFrame(out, columns=["sign", "ugb", "ibs", "part", "is_hole", "shape"]).astype({"ugb": "Int64", "ibs": "Int64"})
 

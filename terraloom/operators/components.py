@@ -1,7 +1,7 @@
 """Connected components of links, by alternating large and small stars.
 
 Each round hangs neighbours on their least neighbour; the edges end as stars around the least node of every component. Every step is a sum by
-key and a join on it, so a node with very many links is split by the engine like any skewed join.
+key and a join on it; sums are tables of their own before the join, so a node with very many links is split by the engine like any skewed join.
 """
 
 from __future__ import annotations
@@ -24,14 +24,15 @@ def components(links: DataFrame, store: Workspace) -> DataFrame:
     state = _state(edges)
     while state[0]:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("of"), F.least("u", "m").alias("m"))
+        least = store.save(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("of"), F.least("u", "m").alias("m")), "least")
         large = both.join(least, F.col("u") == F.col("of")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
         large = store.save(large.distinct(), "large")
-        least = large.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "of")
+        store.drop(least)
+        least = store.save(large.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "of"), "least")
         near = large.join(least, F.col("u") == F.col("of"))
         small = near.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select(F.col("of").alias("u"), F.col("m").alias("v")))
         small = store.save(small.distinct(), "small")
-        store.drop(edges, large)
+        store.drop(edges, large, least)
         new = _state(small)
         edges = small
         if new == state:

@@ -97,11 +97,11 @@ def inner_zones(zones: DataFrame, buildings: DataFrame, key: str, reach: float =
     return met.join(bare, F.col(key) == F.col("__bare"), "left_anti")
 
 
-def mean_coverage(inner: DataFrame, buildings: DataFrame, key: str, more_than: int = 5, fallback: float = 0.0) -> DataFrame:
-    """One row: ``n_inner`` and ``mean_overlap``, the sum of shares over the number of inner zones; with ``more_than`` of them or fewer, the fallback."""
+def mean_coverage(inner: DataFrame, buildings: DataFrame, key: str, more_than: int = 5, fallback: float = 0.0, by: str | None = None) -> DataFrame:
+    """``n_inner`` and ``mean_overlap``, the sum of shares over the number of inner zones, in one row or one for each ``by``; with ``more_than`` of them or fewer, the fallback."""
     c = coverage(inner, buildings, key)
     n = F.count("*")
-    return c.agg(n.alias("n_inner"), F.when(n > more_than, F.sum("overlap") / n).otherwise(F.lit(fallback)).alias("mean_overlap"))
+    return (c.groupBy(by) if by else c).agg(n.alias("n_inner"), F.when(n > more_than, F.sum("overlap") / n).otherwise(F.lit(fallback)).alias("mean_overlap"))
 
 
 def sparse_zones(zones: DataFrame, buildings: DataFrame, key: str, below: float, reach: float = 18.0) -> DataFrame:

@@ -25,9 +25,14 @@ def polygonized(lines: np.ndarray) -> list[Polygon]:
     return plane.faces(plane.noded(lines))
 
 
+def faces_within(outline: list[Polygon], roads: np.ndarray) -> list[Polygon]:
+    """Faces of roads within an outline, its border being one more line."""
+    return [f for f in polygonized(np.vstack([plane.edges(outline), roads])) if any(plane.holds(o, *plane.inside_point(f)) for o in outline)]
+
+
 def blocks(outline: list[Polygon], roads: np.ndarray, buildings: list[Polygon]) -> list[Polygon]:
-    """Faces of roads within an outline, its border being one more line; those that hold a whole building."""
-    inner = [f for f in polygonized(np.vstack([plane.edges(outline), roads])) if any(plane.holds(o, *plane.inside_point(f)) for o in outline)]
+    """Those faces that hold a whole building."""
+    inner = faces_within(outline, roads)
     return [f for f in inner if any(_box_in(b, f) and plane.contains(f, b) for b in buildings)]
 
 

@@ -83,6 +83,12 @@ def counted(left: DataFrame, found: DataFrame, key: str, first: str | None = Non
     return out.drop("__k", "n")
 
 
+def one_match(left: DataFrame, found: DataFrame, key: str, other: str, keep_all: bool = True) -> DataFrame:
+    """The left layer with ``match``, the least ``other`` of its partners: one row for each; rows without a partner stay with null, or go."""
+    least = found.groupBy(F.col(f"a.{key}").alias("__k")).agg(F.min(f"b.{other}").alias("match"))
+    return left.join(least, F.col(key) == F.col("__k"), "left" if keep_all else "inner").drop("__k")
+
+
 def shared_box_area(a: Column, b: Column) -> Column:
     """Area that two bounds share."""
     wide = F.least(a["x2"], b["x2"]) - F.greatest(a["x1"], b["x1"])

@@ -23,6 +23,26 @@ def _shaped(df: DataFrame) -> DataFrame:
     return df.withColumns({"shape": g.box(x1, y1, x2, y2), "bounds": F.struct(d("x1"), d("y1"), d("x2"), d("y2")), "is_box": F.lit(True)})
 
 
+def turned(layer: DataFrame) -> DataFrame:
+    """A layer of polygons by a turn and a stretch, (x, y) to (4x - 3y, 3x + 4y): 25 times the areas, 5 times the lengths, and no side along an axis."""
+    ring = lambda r: F.transform(r, lambda p: F.struct((4 * p["x"] - 3 * p["y"]).alias("x"), (3 * p["x"] + 4 * p["y"]).alias("y")))
+    layer = layer.withColumn("shape", g.polygon(ring(F.col("shape.shell")), F.transform("shape.holes", ring)))
+    return layer.withColumn("bounds", g.bounds(F.col("shape.shell"))).withColumn("is_box", F.lit(False))
+
+
+def turned_lines(lines: DataFrame) -> DataFrame:
+    line = F.transform("line", lambda p: F.struct((4 * p["x"] - 3 * p["y"]).alias("x"), (3 * p["x"] + 4 * p["y"]).alias("y")))
+    return lines.withColumn("line", line).withColumn("bounds", g.bounds(F.col("line")))
+
+
+def corners(layer: DataFrame) -> DataFrame:
+    """Of boxes, L shapes along their lower and left sides, a third of either side wide: their centroids lie at the bend or outside."""
+    x1, y1, x2, y2 = (F.col(f"bounds.{c}") for c in ("x1", "y1", "x2", "y2"))
+    x3, y3 = x1 + (x2 - x1) / 4, y1 + (y2 - y1) / 4
+    rim = F.array(g.point(x1, y1), g.point(x2, y1), g.point(x2, y3), g.point(x3, y3), g.point(x3, y2), g.point(x1, y2), g.point(x1, y1))
+    return layer.withColumn("shape", g.polygon(rim)).withColumn("is_box", F.lit(False))
+
+
 def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("k"))
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terraloom.functions import geometry as g
-from terraloom.operators import classify, coverage, density, graph, refine, roads, selection
+from terraloom.operators import classify, coverage, density, graph, overlay, refine, roads, selection
 from terraloom.operators import spatial_join as sj
 from terraloom.plans import delineation, layers
 from terraloom.sources import layers as io
@@ -176,12 +176,12 @@ _HALF = math.sqrt(2 * 50 * 50) / 2
 
 
 @query(
-    _cells(50, 100, f"WHERE fkt IN ({_IN}) AND s % 5 = 0")
+    _cells(50, 100, f"WHERE fkt IN ({_IN})")
     + f" SELECT b.fid FROM buildings b WHERE b.fkt IN ({_NOT}) AND NOT EXISTS (SELECT 1 FROM dense d WHERE n / (pi() * 10000) >= 8.2e-5 AND pow(greatest(b.x1 - (cx + 0.5) * 50, 0, (cx + 0.5) * 50 - b.x2), 2) + pow(greatest(b.y1 - (cy + 0.5) * 50, 0, (cy + 0.5) * 50 - b.y2), 2) <= {_HALF * _HALF!r})"
 )
 def residential_zone_negatives(spark, sf_dir):
     b = layers.buildings(spark, sf_dir)
-    homes = selection.with_codes(b, delineation.POSITIVE).where("s % 5 = 0")
+    homes = selection.with_codes(b, delineation.POSITIVE)
     cells = density.dense_cells(density.centres(homes), 50.0, 100.0, 8.2e-5)
     return density.outside_dense(selection.with_codes(b, delineation.NEGATIVE), cells, "fid").select("fid")
 
@@ -195,10 +195,24 @@ def partition_cells(spark, sf_dir):
     return density.partition_cells(density.centres(layers.buildings(spark, sf_dir)), Workspace(spark, "partitions"))
 
 
-@query()
+_REGIONS = (
+    _cells(150, 300)
+    + ", d AS (SELECT cx, cy, (cy + 1073741824) * 2147483648 + cx + 1073741824 AS cell FROM dense WHERE n / (pi() * 90000) >= 1e-5), link AS (SELECT a.cell AS u, b.cell AS v FROM d a JOIN d b ON abs(a.cx - b.cx) + abs(a.cy - b.cy) = 1),"
+    " walk AS (SELECT cell, cell AS root FROM d UNION SELECT link.v, walk.root FROM walk JOIN link ON link.u = walk.cell AND walk.root < link.v), regions AS (SELECT cx, cy, CAST(root AS BIGINT) AS region FROM d JOIN (SELECT cell, min(root) AS root FROM walk GROUP BY cell) USING (cell))"
+)
+
+
+@query(
+    _REGIONS
+    + ", far AS (SELECT fid + 10000000 * k AS fid, x + 20000 * k AS x, y FROM pt, (SELECT unnest([0, 1]) AS k)), met AS (SELECT fid, region, sqrt(pow(x - (cx + 0.5) * 150, 2) + pow(y - (cy + 0.5) * 150, 2)) AS d FROM far, regions)"
+    " SELECT fid, region FROM met QUALIFY row_number() OVER (PARTITION BY fid ORDER BY d, region) = 1"
+)
 def nearest_partition(spark, sf_dir):
+    """Of the buildings, and of points 20 km to the east of each, some of which lie far from any dense cell."""
+    store = Workspace(spark, "partitions")
     points = density.centres(layers.buildings(spark, sf_dir), "fid")
-    return density.nearest_region(points, density.partition_cells(points, Workspace(spark, "partitions")), "fid")
+    far = points.unionByName(points.select((F.col("fid") + 10000000).alias("fid"), (F.col("x") + 20000).alias("x"), "y"))
+    return density.nearest_region(far, density.partition_cells(points, store), "fid", store)
 
 
 _TOUCH = ", hit AS (SELECT a.fid AS u, b.fid AS v FROM buildings a JOIN buildings b ON a.s = b.s AND a.x1 <= b.x2 AND a.x2 >= b.x1 AND a.y1 <= b.y2 AND a.y2 >= b.y1 AND a.fid <> b.fid), walk AS (SELECT fid, fid AS root FROM buildings UNION SELECT hit.v, walk.root FROM walk JOIN hit ON hit.u = walk.fid AND walk.root < hit.v), comp AS (SELECT fid, min(root) AS component FROM walk GROUP BY fid)"
@@ -377,11 +391,157 @@ def edge_catch(spark, sf_dir):
 @query()
 def gap_fix(spark, sf_dir):
     store = Workspace(spark, "gap-fix")
-    halves = layers._shaped(layers.blocks(spark, sf_dir).where("bid % 4 in (0, 3)").selectExpr("concat('PART_', s, '_', bid) name", "0 part", "x1", "y1", "x2", "y2", "s"))
+    halves = layers._shaped(layers.blocks(spark, sf_dir).selectExpr("concat('PART_', s, '_', bid) name", "0 part", "x1", "y1", "x2", "y2", "s"))
     lines = halves.select("name", "s").join(layers.roads(spark, sf_dir).select(F.col("s").alias("rs"), "line"), F.col("s") == F.col("rs")).select("name", "line")
     return delineation.joined(halves.select("name", "part", "shape"), lines, store).select("name", "part", F.round(g.area(F.col("shape")), 3).alias("area"))
 
 
+# ---- overlays as tables, on shapes that don't lie along the axes
+
+_SHAPE = ["bounds", "shape", "is_box"]
+
+
+@query("SELECT b.fid, CAST(25 * sum((least(b.x2, k.x2) - greatest(b.x1, k.x1)) * (least(b.y2, k.y2) - greatest(b.y1, k.y1))) AS DOUBLE) AS area FROM buildings b JOIN blocks k ON b.x1 < k.x2 AND b.x2 > k.x1 AND b.y1 < k.y2 AND b.y2 > k.y1 GROUP BY b.fid")
+def clip_turned(spark, sf_dir):
+    made = overlay.clip(layers.turned(layers.buildings(spark, sf_dir)), layers.turned(layers.blocks(spark, sf_dir)), "fid")
+    return made.groupBy("fid").agg(F.round(F.sum(g.area(F.col("shape"))), 1).alias("area"))
+
+
+@query(_PIECES + "SELECT bid, 25 * (shape_area - built) AS area FROM covered")
+def erase_turned(spark, sf_dir):
+    made = overlay.erase(layers.turned(layers.blocks(spark, sf_dir)), layers.turned(layers.buildings(spark, sf_dir)), "bid")
+    return made.groupBy("bid").agg(F.round(F.sum(g.area(F.col("shape"))), 1).alias("area"))
+
+
+@query("SELECT b.fid, k.bid FROM buildings b JOIN blocks k ON b.x1 >= k.x1 AND b.x2 <= k.x2 AND b.y1 >= k.y1 AND b.y2 <= k.y2")
+def within_turned(spark, sf_dir):
+    met = sj.pairs(layers.turned(layers.buildings(spark, sf_dir)).select(_KEYS), layers.turned(layers.blocks(spark, sf_dir)).select("bid", *_SHAPE), tile=1000.0)
+    return sj.refine(met, "within").select("a.fid", "b.bid")
+
+
+@query("SELECT a.fid AS u, b.fid AS v FROM buildings a JOIN buildings b ON a.s = b.s AND a.fid < b.fid AND a.x1 <= b.x2 AND a.x2 >= b.x1 AND a.y1 <= b.y2 AND a.y2 >= b.y1")
+def touching_turned(spark, sf_dir):
+    b = layers.turned(layers.buildings(spark, sf_dir)).select(_KEYS)
+    return sj.refine(sj.pairs(b, b).where("a.fid < b.fid")).select(F.col("a.fid").alias("u"), F.col("b.fid").alias("v"))
+
+
+@query(
+    "SELECT r.rid, i.fid AS zone, CAST(5 * (least(greatest(r.x1, r.x2), i.x2) - greatest(least(r.x1, r.x2), i.x1) + least(greatest(r.y1, r.y2), i.y2) - greatest(least(r.y1, r.y2), i.y1)) AS DOUBLE) AS length FROM roads r JOIN ibs i"
+    " ON least(r.x1, r.x2) <= i.x2 AND greatest(r.x1, r.x2) >= i.x1 AND least(r.y1, r.y2) <= i.y2 AND greatest(r.y1, r.y2) >= i.y1 WHERE least(greatest(r.x1, r.x2), i.x2) - greatest(least(r.x1, r.x2), i.x1) + least(greatest(r.y1, r.y2), i.y2) - greatest(least(r.y1, r.y2), i.y1) > 0"
+)
+def roads_within_outlines(spark, sf_dir):
+    zones = layers.turned(layers.expert(spark, sf_dir)).select(F.col("fid").alias("zone"), *_SHAPE)
+    made = overlay.lines_within(layers.turned_lines(layers.roads(spark, sf_dir)), zones, "rid", "zone")
+    return made.groupBy("rid", "zone").agg(F.round(F.sum(F.hypot(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"))), 3).alias("length"))
+
+
+@query("SELECT bid, round((x2 - x1) * (y2 - y1) + 2 * (x2 - x1 + y2 - y1) * 18 + 16 * 324 * sin(pi() / 16)) AS area FROM blocks")
+def buffer_round(spark, sf_dir):
+    made = overlay.buffered(layers.blocks(spark, sf_dir), "bid", 18.0)
+    return made.groupBy("bid").agg(F.round(F.sum(g.area(F.col("shape")))).alias("area"))
+
+
+@query("SELECT rid, CAST(5 * len * 2 * 10 AS DOUBLE) AS area FROM roads")
+def buffer_flat(spark, sf_dir):
+    made = overlay.buffered_lines(layers.turned_lines(layers.roads(spark, sf_dir)), "rid", 10.0)
+    return made.groupBy("rid").agg(F.round(F.sum(g.area(F.col("shape"))), 1).alias("area"))
+
+
+@query("SELECT s, CAST(14 AS BIGINT) + 7 AS n_pieces, CAST(5 * (12 * 120 + 40 + 80 + 300) AS DOUBLE) AS length FROM settlements")
+def noded_roads(spark, sf_dir):
+    """The roads with one more across the three upright ones of each settlement: three are cut in two, and the new one comes in four pieces."""
+    r = layers.roads(spark, sf_dir).select("s", "line")
+    across = layers.settlements(spark, sf_dir).select("s", F.array(g.point(F.col("ox") - 3, F.col("oy") + 42), g.point(F.col("ox") + 297, F.col("oy") + 42)).alias("line"))
+    cut = overlay.noded_lines(layers.turned_lines(r.unionByName(across)), "s")
+    return cut.groupBy("s").agg((F.count("*") + 2).alias("n_pieces"), F.round(F.sum(F.hypot(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"))), 3).alias("length"))
+
+
+@query(_TOUCH + ", own AS (SELECT b.*, component, (b.x2 - b.x1) * (b.y2 - b.y1) AS area FROM buildings b JOIN comp USING (fid)), both_ AS (SELECT a.component, sum((least(a.x2, b.x2) - greatest(a.x1, b.x1)) * (least(a.y2, b.y2) - greatest(a.y1, b.y1))) AS area FROM own a JOIN own b ON a.component = b.component AND a.fid < b.fid AND a.x1 < b.x2 AND a.x2 > b.x1 AND a.y1 < b.y2 AND a.y2 > b.y1 GROUP BY 1) SELECT component, CAST(25 * (sum(own.area) - coalesce(max(both_.area), 0)) AS DOUBLE) AS area FROM own LEFT JOIN both_ USING (component) GROUP BY component")
+def dissolved_single_parts(spark, sf_dir):
+    made = overlay.dissolved_parts(layers.turned(layers.buildings(spark, sf_dir)), "fid", Workspace(spark, "dissolved"))
+    return made.select("component", F.round(g.area(F.col("shape")), 1).alias("area"))
+
+
+@query("SELECT s, CAST(count(*) AS BIGINT) AS n_parts, CAST(25 * sum((x2 - x1) * (y2 - y1)) AS DOUBLE) AS area FROM (SELECT s, x1, y1, x2 - 30 AS x2, y2 - 30 AS y2 FROM blocks) GROUP BY s")
+def multipart_blocks(spark, sf_dir):
+    apart = layers._shaped(layers.blocks(spark, sf_dir).selectExpr("bid", "s", "x1", "y1", "x2 - 30 x2", "y2 - 30 y2"))
+    parts = overlay.single_parts(overlay.multiparts(layers.turned(apart), "s"))
+    return parts.groupBy("s").agg(F.count("*").alias("n_parts"), F.round(F.sum(g.area(F.col("shape"))), 1).alias("area"))
+
+
+@query("SELECT bid, CAST((x2 - x1) * (y2 - y1) AS DOUBLE) AS area, TRUE AS counter_clockwise FROM blocks")
+def repaired_shapes(spark, sf_dir):
+    """Blocks whose rings are open and run clockwise, with a hole of no area, and a shape of no area for each."""
+    b = layers.blocks(spark, sf_dir)
+    back = F.slice(F.reverse("shape.shell"), 1, 4)
+    flat = F.array(F.slice("shape.shell", 1, 2))
+    broken = b.select("bid", g.polygon(back, flat).alias("shape")).unionByName(b.select((-F.col("bid") - 1).alias("bid"), g.polygon(F.concat(F.slice("shape.shell", 1, 2), F.slice("shape.shell", 1, 1))).alias("shape")))
+    return overlay.repaired(broken).select("bid", g.area(F.col("shape")).alias("area"), (g.ring_area(F.col("shape.shell")) > 0).alias("counter_clockwise"))
+
+
+@query("SELECT fid FROM buildings WHERE fkt = '31001_2463'")
+def identical_shapes(spark, sf_dir):
+    """Buildings that are identical to one of those of a function, whose rings begin elsewhere and run the other way, or that are moved."""
+    b = layers.turned(layers.buildings(spark, sf_dir))
+    moved = b.where("fkt = '31001_2050'").withColumn("shape", g.polygon(F.transform("shape.shell", lambda p: F.struct((p["x"] + 0.5).alias("x"), p["y"].alias("y")))))
+    other = b.where("fkt = '31001_2463'").withColumn("shape", g.polygon(F.reverse(F.concat(F.slice("shape.shell", 3, 3), F.slice("shape.shell", 2, 2)))))
+    return overlay.identical(b, other.select("shape").unionByName(moved.select("shape"))).select("fid")
+
+
+@query("SELECT b.fid, coalesce(min(k.bid), -1) AS match FROM buildings b LEFT JOIN blocks k ON b.x1 >= k.x1 AND b.x2 <= k.x2 AND b.y1 >= k.y1 AND b.y2 <= k.y2 GROUP BY b.fid")
+def one_block_each(spark, sf_dir):
+    """One match, within, all kept."""
+    b = layers.buildings(spark, sf_dir)
+    met = sj.refine(sj.pairs(b.select(_KEYS), layers.blocks(spark, sf_dir).select("bid", *_SHAPE)), "within")
+    return sj.one_match(b, met, "fid", "bid").select("fid", F.coalesce("match", F.lit(-1)).alias("match"))
+
+
+@query("SELECT r.rid, min(i.fid) AS match FROM roads r JOIN ibs i ON least(r.x1, r.x2) <= i.x2 AND greatest(r.x1, r.x2) >= i.x1 AND least(r.y1, r.y2) <= i.y2 AND greatest(r.y1, r.y2) >= i.y1 GROUP BY r.rid")
+def one_outline_each(spark, sf_dir):
+    """One match, intersecting, those without one left out."""
+    r = layers.roads(spark, sf_dir)
+    return sj.one_match(r, sj.pairs(r.select("rid", "bounds"), layers.expert(spark, sf_dir).select("fid", "bounds")), "rid", "fid", False).select("rid", "match")
+
+
+@query(f", e AS (SELECT a.fid AS u, b.fid AS v, sqrt(pow((a.x1 + a.x2 - b.x1 - b.x2) / 2.0, 2) + pow((a.y1 + a.y2 - b.y1 - b.y2) / 2.0, 2)) AS d FROM buildings a JOIN buildings b ON {_PAIRS}) SELECT u, v, round(d, 6) AS length FROM e")
+def lines_between_centres(spark, sf_dir):
+    b = layers.buildings(spark, sf_dir)
+    near = sj.pairs(b.select("fid", "bounds"), b.select("fid", "bounds"), reach=10.0).where("a.fid < b.fid").select(F.col("a.fid").alias("u"), F.col("b.fid").alias("v"))
+    c = density.centres(b, "fid")
+    ends = near.join(c.select(F.col("fid").alias("u"), F.col("x").alias("x1"), F.col("y").alias("y1")), "u").join(c.select(F.col("fid").alias("v"), F.col("x").alias("x2"), F.col("y").alias("y2")), "v")
+    return overlay.lines_from(ends, "x1", "y1", "x2", "y2").select("u", "v", F.round(g.length(F.col("line")), 6).alias("length"))
+
+
+@query("SELECT bid, 'Block_' || row_number() OVER (ORDER BY x1, y1, bid) AS name FROM blocks")
+def named_blocks(spark, sf_dir):
+    return overlay.named(layers.blocks(spark, sf_dir), "Block_", Workspace(spark, "names")).select("bid", "name")
+
+
+@query("SELECT fid, TRUE AS inside FROM buildings")
+def inner_points_of_corners(spark, sf_dir):
+    """L shapes: whether their points lie in either arm."""
+    b = layers.corners(layers.buildings(spark, sf_dir))
+    p = density.centres(b, "fid", "bounds")
+    low = (F.col("x") - F.col("bounds.x1") < (F.col("bounds.x2") - F.col("bounds.x1")) / 4) | (F.col("y") - F.col("bounds.y1") < (F.col("bounds.y2") - F.col("bounds.y1")) / 4)
+    return p.select("fid", (low & (F.col("x") > F.col("bounds.x1")) & (F.col("y") > F.col("bounds.y1"))).alias("inside"))
+
+
+@query("SELECT fid, 25 * (x2 - x1) * (y2 - y1) * 7 / 16.0 AS area, CAST(5 * 2 * (x2 - x1 + y2 - y1) AS DOUBLE) AS perimeter FROM buildings")
+def measures_of_corners(spark, sf_dir):
+    b = layers.turned(layers.corners(layers.buildings(spark, sf_dir)))
+    return b.select("fid", F.round(g.area(F.col("shape")), 6).alias("area"), F.round(g.perimeter(F.col("shape")), 6).alias("perimeter"))
+
+
+@query("SELECT s, CAST(n AS INTEGER) AS part, CAST(25 * CASE n WHEN 0 THEN 3600 ELSE 10560 END AS DOUBLE) AS area, TRUE AS is_hole FROM settlements, (SELECT unnest([0, 1]) AS n)")
+def holes_of_outlines(spark, sf_dir):
+    """Patches where the computed outline covers two holes of the expert's."""
+    store = Workspace(spark, "holes")
+    full = layers._shaped(layers.settlements(spark, sf_dir).selectExpr("s fid", "ox - 3 x1", "oy - 3 y1", "ox + 297 x2", "oy + 177 y2"))
+    pierced = _pierced(spark, sf_dir).select(F.col("s").alias("fid"), "shape", g.bounds(F.col("shape.shell")).alias("bounds"), F.lit(False).alias("is_box"))
+    made = store.save(classify.difference_patches(layers.turned(full), layers.turned(pierced), store), "patches")
+    return made.select(F.col("source").alias("s"), F.when(F.col("shape_area") < 25 * 5000, 0).otherwise(1).alias("part"), F.round("shape_area", 1).alias("area"), "is_hole")
+
+
 # ---- error classes
 
 _DIFF = """, pos AS (SELECT 'POS_' || u.fid || '_0' AS pid, 'POS' AS sign, u.fid AS source, u.x1, u.y1, CASE WHEN i.fid IS NULL THEN u.x2 ELSE i.x1 END AS x2, u.y2, i.fid IS NULL AS body FROM ugb u LEFT JOIN ibs i USING (fid)),
@@ -410,6 +570,13 @@ def symdiff_patches(spark, sf_dir):
     return _patches(spark, sf_dir).select("pid", "sign", F.round("shape_area", 6).alias("shape_area"), F.round("shape_len", 6).alias("shape_len"))
 
 
+@query(_DIFF + "SELECT pid, sign, 25 * shape_area AS shape_area, CAST(10 * (x2 - x1 + y2 - y1) AS DOUBLE) AS shape_len FROM patch")
+def symdiff_turned(spark, sf_dir):
+    store = Workspace(spark, "patches")
+    made = store.save(classify.difference_patches(layers.turned(layers.computed(spark, sf_dir)), layers.turned(layers.expert(spark, sf_dir)), store), "patches")
+    return made.select("pid", "sign", F.round("shape_area", 1).alias("shape_area"), F.round("shape_len", 3).alias("shape_len"))
+
+
 @query(_DIFF + "SELECT pid, round(overlap, 6) AS overlap FROM rated")
 def patch_overlap(spark, sf_dir):
     return coverage.coverage(_patches(spark, sf_dir), layers.buildings(spark, sf_dir), "pid").select("pid", F.round("overlap", 6).alias("overlap"))
@@ -458,5 +625,5 @@ def merge_partition_results(spark, sf_dir):
 
 @query()
 def delineation_full(spark, sf_dir):
-    made = delineation.delineate(layers.buildings(spark, sf_dir), layers.roads(spark, sf_dir), layers.partitions(spark, sf_dir), layers.blocks(spark, sf_dir))
-    return made.select("name", "part", F.round("shape_area", 3).alias("area"), "join_count", F.round("overlap", 6).alias("overlap"))
+    made = delineation.delineate(layers.buildings(spark, sf_dir), layers.roads(spark, sf_dir), layers.partitions(spark, sf_dir))
+    return made.select("name", "part", F.round("shape_area", 3).alias("area"))

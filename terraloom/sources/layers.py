@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import logging
 import struct
+import sys
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,6 +13,7 @@ from pyspark.sql import functions as F
 from terraloom.functions import geometry as g
 from terraloom.functions import plane
 
+log = logging.getLogger("terraloom")
 #: Columns that a building layer must not bring along.
 RESERVED = ("NAME", "Join_Count")
 
@@ -38,6 +41,32 @@ def same_system(one: int, other: int) -> bool:
     return one == other
 
 
+def inspected(layers: dict[str, DataFrame | None], kinds: dict[str, str], epsg: dict[str, int], wanted: int, names: str = "parts") -> list[str]:
+    """Raises for a layer that is missing or of another kind, and returns and logs warnings: of other reference systems, and of partitions without names."""
+    warnings = []
+    for name, kind in kinds.items():
+        if layers.get(name) is None:
+            raise FileNotFoundError(f"there is no layer {name}")
+        check(layers[name], kind)
+        if name in epsg and not same_system(epsg[name], wanted):
+            warnings.append(f"{name} has reference system {epsg[name]}, not {wanted}")
+    if names in layers and "name" not in [c.lower() for c in layers[names].columns]:
+        warnings.append(f"{names} has no column of names")
+    for text in warnings:
+        log.warning(text)
+    return warnings
+
+
+def logged_to(level: str, path: str | None = None) -> logging.Logger:
+    """The engine's log from a level of the parameter file on (Debug, Info, Warning, Error), to standard output and, if asked for, to a file of the driver."""
+    log.setLevel(level.upper())
+    log.handlers.clear()
+    for handler in [logging.StreamHandler(sys.stdout), *([logging.FileHandler(path, encoding="utf-8")] if path else [])]:
+        handler.setFormatter(logging.Formatter("%(asctime)s %(levelname)s %(message)s"))
+        log.addHandler(handler)
+    return log
+
+
 def read(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
@@ -48,6 +77,18 @@ def write(layer: DataFrame, path: str, by: str | None = None) -> None:
     (out.partitionBy(by) if by else out).parquet(path)
 
 
+def write_counted(layer: DataFrame, path: str, by: str, attempts: int = 2) -> int:
+    """As ``write``; the rows of the values that came are counted again as stored, and written once more where they don't add up. Returns their number."""
+    expected = {r[by]: r.n for r in layer.groupBy(by).agg(F.count("*").alias("n")).toLocalIterator()}
+    for _ in range(attempts):
+        write(layer, path, by)
+        stored = read(layer.sparkSession, path).groupBy(by).agg(F.count("*").alias("n"))
+        if {r[by]: r.n for r in stored.toLocalIterator() if r[by] in expected} == expected:
+            return sum(expected.values())
+        log.warning("counts of %s don't add up", path)
+    raise OSError(f"what is stored under {path} is not what was written")
+
+
 def merged(parts: list[DataFrame]) -> DataFrame:
     """All rows of layers by column name; columns that one lacks are null."""
     out = parts[0]

@@ -131,3 +131,43 @@ def test_layers_out_and_in(spark, tmp_path):
     with pytest.raises(ValueError):
         io.check(layer, "polygon", ("fkt",))
     assert io.same_system(25833, 25833) and not io.same_system(25832, 25833)
+    assert io.write_counted(layer.where("s < 3"), str(tmp_path / "out"), "name") == 12
+    assert io.read(spark, str(tmp_path / "out")).count() == layer.count()
+
+
+def test_checks_and_log(spark, tmp_path):
+    log = io.logged_to("Warning", str(tmp_path / "log.txt"))
+    log.info("not this")
+    parts, b = layers.partitions(spark, DATA), layers.buildings(spark, DATA)
+    kinds = {"buildings": "polygon", "parts": "polygon"}
+    assert io.inspected({"buildings": b, "parts": parts}, kinds, {"buildings": 25833}, 25833) == []
+    found = io.inspected({"buildings": b, "parts": parts.drop("name")}, kinds, {"buildings": 25832}, 25833)
+    assert len(found) == 2 and "25832" in found[0] and "names" in found[1]
+    assert (tmp_path / "log.txt").read_text().count("WARNING") == 2 and "not this" not in (tmp_path / "log.txt").read_text()
+    with pytest.raises(FileNotFoundError):
+        io.inspected({"parts": parts}, kinds, {}, 25833)
+    with pytest.raises(TypeError):
+        io.inspected({"buildings": layers.roads(spark, DATA).drop("shape"), "parts": parts}, kinds, {}, 25833)
+    io.logged_to("Error")
+
+
+def test_outlines_by_hand(spark):
+    """One settlement of two dense blocks of 100 by 100, between roads; a lone shed far from them; a tank; too few homes elsewhere."""
+
+    def boxes(rows):
+        df = spark.createDataFrame(rows, "fid long, x1 double, y1 double, x2 double, y2 double, fkt string")
+        return layers._shaped(df)
+
+    homes = [(100 * b + 10 * i + j, 100.0 * b + 10 + 20 * i, 10.0 + 20 * j, 100.0 * b + 24 + 20 * i, 22.0 + 20 * j, "31001_1000") for b in range(2) for i in range(4) for j in range(4)]
+    lone = [(900, 420.0, 420.0, 428.0, 430.0, "31001_2463")]
+    few = [(1000 + k, 2000.0 + 30 * k, 2000.0, 2020.0 + 30 * k, 2012.0, "31001_2463") for k in range(12)]
+    buildings = boxes(homes + lone + few)
+    lines = [(1, 0, 0, 200, 0), (2, 0, 100, 200, 100), (3, 0, 0, 0, 100), (4, 100, 0, 100, 100), (5, 200, 0, 200, 100), (6, 200, 50, 240, 50)]
+    lines += [(10 + k, 2000 + 60 * k, 1990, 2060 + 60 * k, 1990) for k in range(6)]
+    df = spark.createDataFrame([(r, float(a), float(b), float(c), float(d)) for r, a, b, c, d in lines], "rid long, x1 double, y1 double, x2 double, y2 double")
+    low, high = (lambda c: F.least(f"{c}1", f"{c}2")), (lambda c: F.greatest(f"{c}1", f"{c}2"))
+    roads = df.withColumns({"line": F.array(g.point(F.col("x1"), F.col("y1")), g.point(F.col("x2"), F.col("y2"))), "bounds": F.struct(low("x").alias("x1"), low("y").alias("y1"), high("x").alias("x2"), high("y").alias("y2"))})
+    parts = layers._shaped(spark.createDataFrame([("A", -500.0, -500.0, 1000.0, 1000.0), ("B", 1500.0, 1500.0, 3000.0, 3000.0)], "name string, x1 double, y1 double, x2 double, y2 double"))
+    got = delineation.delineate(buildings, roads, parts).collect()
+    # both blocks are built up by 16 * 14 * 12 / 10000 = 26.9 %; B has no homes; the shed is too small to stay
+    assert [(r.name, round(r.shape_area, 3)) for r in got] == [("A", 20000.0)]
