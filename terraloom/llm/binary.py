@@ -154,7 +154,7 @@ def write(docs: DataFrame, store: Workspace, tokenizer: str | None = None, end_i
             held.clear(), lens.clear(), doc_ids.clear()
             return batch
 
-        for own, buf, off in tx.chunks(batches):
+        for own, buf, off in tx.chunks(batches, limit=1 << 20):
             ids, at = encode(buf, off)
             for k, d in enumerate(tx.column(own, "doc_id").to_pylist()):
                 held.append(np.append(ids[at[k] : at[k + 1]], np.uint32(end_id)))

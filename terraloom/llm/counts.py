@@ -41,7 +41,7 @@ def write_flat(docs: DataFrame, store: Workspace, tokenizer: str | None = None,
         width = 2 if max(encode.tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else 4
         name, block, order = f"{TaskContext.get().partitionId():09d}", 0, 0
         rest = np.zeros(0, f"<u{width}")
-        for own, buf, off in tx.chunks(batches):
+        for own, buf, off in tx.chunks(batches, limit=1 << 20):
             ids, at = encode(buf, off)
             rest = np.concatenate([rest, np.insert(ids, at[1:], end_id).astype(rest.dtype)])
             yield pa.RecordBatch.from_pylist([{"file": name, "block": order, "doc_ids": tx.column(own, "doc_id").to_pylist()}], _ARROW)

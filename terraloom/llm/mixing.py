@@ -6,8 +6,9 @@ words; what is over is shared anew among the others.
 
 A source with target t and s words takes every document floor(t / s) times for certain. The
 rest of the target, a share p of each document, is drawn: with U even in (0, 1) and made from the doc_id and a seed, documents are ranked by the
-odds U / (1 - U) over the odds p / (1 - p) of being drawn, and taken from the least rank on until the words taken come as near to the
-target as whole documents can. ``inclusion`` may be an expression for unequal shares (relative to 1).
+odds U / (1 - U) over the odds q / (1 - q) of being drawn, and taken from the least rank on until the words taken come as near to the
+target as whole documents can. Shares are unequal: q is p times 2 size / (size + mean size of the source), so that long documents, which hold more connected text, go before
+short ones, and none can have more than twice its even share; ``inclusion`` may be another factor.
 
 No source is brought together in one task: ranks are cut into buckets, words are summed by (source, bucket) with map-side sums, and only the bucket in which the
 target lies is cut again, ``LEVELS`` times, before rows are ordered one by one. Draws depend on doc_id alone, so
@@ -32,11 +33,11 @@ def size_of(text: Column) -> Column:
 
 
 def targets(sizes: DataFrame, max_repeats: int = MAX_REPEATS, weights: int = WEIGHTS) -> DataFrame:
-    """source, source_size, target: one row per source of ``sizes(source, size)``.
+    """source, source_size, n_docs, target: one row per source of ``sizes(source, size)``.
 
     Sources fill up in the order of their limit per weight, so the level at which the others stand follows from sums before each.
     """
-    by = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
+    by = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_docs"))
     by = by.withColumn("weight", (F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1) % weights + 1)
     by = by.withColumn("limit", max_repeats * F.col("source_size")).withColumn("per", F.col("limit") / F.col("weight"))
     before = Window.orderBy("per", F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
@@ -46,7 +47,12 @@ def targets(sizes: DataFrame, max_repeats: int = MAX_REPEATS, weights: int = WEI
     by = by.withColumn("level", F.when(F.col("per") > F.col("words_left") / F.col("weight_left"), F.col("words_left") / F.col("weight_left")))
     by = by.withColumn("level", F.first("level", True).over(Window.orderBy("per", F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
     target = F.when(F.col("level").isNull() | (F.col("per") <= F.col("level")), F.col("limit").cast("double")).otherwise(F.col("level") * F.col("weight"))
-    return by.select("source", "source_size", target.alias("target"))
+    return by.select("source", "source_size", "n_docs", target.alias("target"))
+
+
+def by_size() -> Column:
+    """The factor of a document's share: 2 size / (size + mean size of its source)."""
+    return F.lit(2.0) * F.col("mix_size") / (F.col("mix_size") + F.col("source_size") / F.col("n_docs"))
 
 
 def _even(seed: str) -> Column:
@@ -60,9 +66,9 @@ def _shares(rows: DataFrame, plan: DataFrame, seed: str, inclusion: Column | Non
     rows = rows.join(plan, F.col("mix_source").eqNullSafe(F.col("source")), "left")
     share = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     rows = rows.withColumn("whole", F.floor(share).cast("long")).withColumn("p", share - F.floor(share))
-    p = F.least(F.lit(1 - 1e-9), F.greatest(F.lit(1e-9), F.col("p") * (F.lit(1.0) if inclusion is None else inclusion)))
+    p = F.least(F.lit(1 - 1e-9), F.greatest(F.lit(1e-9), F.col("p") * F.coalesce(by_size() if inclusion is None else inclusion, F.lit(0.0))))
     u = _even(seed)
-    return rows.withColumn("odds", (u / (1 - u)) / (p / (1 - p))).withColumn("rank", F.col("odds") / (1 + F.col("odds"))).drop("odds", "source")
+    return rows.withColumn("odds", (u / (1 - u)) / (p / (1 - p))).withColumn("rank", F.col("odds") / (1 + F.col("odds"))).drop("odds", "source", "n_docs")
 
 
 def _cuts(rows: DataFrame, store: Workspace) -> DataFrame:

@@ -3,16 +3,17 @@
 A document's set holds the hashes of its distinct 5-word shingles, words in lower case (A-Z); with fewer words, the whole sequence is the one
 shingle. Two documents link when 100 * intersection >= 75 * union, which is to say that their symmetric difference is at most (|A| + |B|) / 7.
 
-**Sketch.** Every shingle flips one bit of a wide bit vector. The Hamming distance of two sketches is at most the symmetric difference
-of the sets: common shingles cancel and every other one flips one bit. The vector of a size band is cut into many blocks, far more than a document has shingles;
-nearly all bits are 0, so a block is kept as the XOR of a code for each bit that is set, and an empty block not at all.
+**Sketch.** Every shingle flips one bit of a bit vector, the one its hash names. The Hamming distance of two sketches is at most the symmetric difference
+of the sets: common shingles cancel and every other one flips one bit. A vector of 2**64 bits is cut into blocks of 4; nearly all bits are 0, so a block is kept as the XOR of a code
+for each bit that is set, and an empty block not at all. Narrow vectors, kept whole, refute pairs later.
 
-**Pigeonhole.** Documents that differ in at most D shingles differ in at most D blocks. Put a document's blocks in an order that all documents share, and D + 1 first blocks
-of each hold a common one: before the first common block stand only blocks in which the two differ. D follows from the size: a partner holds at most 4/3 of it. The order puts
+**Pigeonhole.** Of two documents that link, the larger has at most a quarter of its shingles for itself and the smaller a seventh: from 7 * intersection >= 3 * (a + b). So at
+most as many of its blocks differ from the other's. Put a document's blocks in an order that all documents share, and one more than that number of first blocks
+of each hold a common one: before the first common block stand only blocks that differ. The order puts
 blocks that many documents share last, by a count over all documents in a table of fixed size, so that a passage that many documents
 quote brings them together only where they consist of little else.
 
-**Bands.** A band holds sizes from 4**j to 4**(j+1). A document whose partner may stand in the next band sends its blocks there as well.
+**Bands.** A band holds sizes from 4**j to 4**(j+1). A document whose partner may stand in the next band, and is then the larger, sends the blocks of a smaller one there as well.
 
 **Verify.** Documents of equal sets are one node from the start. Nodes that share a block are compared with one leader of the block first, on whole sets; linked ones become
 one component. Only blocks whose nodes are still in several components are compared further: first with another leader, then every node outside the block's largest component
@@ -26,7 +27,7 @@ Other columns are ignored by ``classes`` and carried by ``distinct_documents``.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -42,12 +43,12 @@ from ._store import Workspace
 SHINGLE = 5
 #: Bytes in the table of block counts.
 COUNTERS = 1 << 23
-#: A sketch has 2**SKETCH times as many bits as the least size of its band, and 64 at least; pairs with a leader are told apart by one folded to 2**FOLDED times.
-SKETCH, FOLDED = 4, 2
+#: A sketch has 2**SKETCH times as many bits as the least size of its band, and 64 at least; from band ``WIDE`` on twice as many as the set's size or more, which tell as much.
+SKETCH, WIDE = 4, 5
 #: Rounds of comparison with one leader of each block.
 ROUNDS = 2
-#: Nodes on a side of a square.
-SQUARE = 4096
+#: Nodes on a side of a square; nodes of a block in which partners of like size are looked for before sketches are sent.
+SQUARE, FEW = 4096, 64
 
 
 def shingle_sets(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -80,9 +81,9 @@ def signatures(g: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return out[0], out[1]
 
 
-def allowed(n: np.ndarray) -> np.ndarray:
-    """The most shingles in which a document of n may differ from one that it links with."""
-    return (n + 4 * n // 3) // 7
+def allowed(n: np.ndarray, above: np.ndarray | int = 0) -> np.ndarray:
+    """The most shingles of a document of n that one it links with may lack; above: with one that is no smaller."""
+    return np.where(above, n // 7, n // 4)
 
 
 def band(n: np.ndarray) -> np.ndarray:
@@ -101,15 +102,11 @@ def blocks(g: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
             continue
         doc = np.repeat(np.arange(len(n)), n)[rows]
         x, level = g[rows], (j + up)[doc]
-        cells = np.where(level < 3, 1 << 32, 2 * 4 ** np.minimum(level + 1, 15)).astype(tx.U)
-        # the highest bits choose the block and rise with the sorted hashes, the lowest 40 the bit in it
-        cell = ((x >> tx.U(32)) * cells) >> tx.U(32)
-        at = _buckets.runs(cell ^ (doc.astype(tx.U) << tx.U(48)) ^ (doc.astype(tx.U) >> tx.U(16)))[:-1]
-        code = tx.splitmix((x & tx.U((1 << 40) - 1)) + tx.U(1))
-        inside = np.bitwise_xor.reduceat(np.where(level < 3, tx.splitmix(x), code), at)
-        key = tx.splitmix(inside ^ tx.splitmix(cell[at] * tx.U(64) + level[at].astype(tx.U)))
-        some = inside != 0
-        out.append((doc[at][some], key[some], np.full(int(some.sum()), up)))
+        cell = x >> tx.U(2)  # rises with the sorted hashes; the lowest bits choose the bit in it
+        at = np.flatnonzero(np.append(True, (cell[1:] != cell[:-1]) | (doc[1:] != doc[:-1])))
+        inside = np.bitwise_xor.reduceat(tx.splitmix((x & tx.U(3)) + tx.U(1)), at)
+        key = tx.splitmix(inside ^ tx.splitmix(cell[at] ^ (level[at].astype(tx.U) << tx.U(58))))
+        out.append((doc[at], key, np.full(len(at), up)))
     if not out:
         return np.zeros(0, np.int64), np.zeros(0, tx.U), np.zeros(0, np.int64), n
     doc, key, above = (np.concatenate(x) for x in zip(*out, strict=True))
@@ -128,7 +125,8 @@ def leading(doc: np.ndarray, key: np.ndarray, above: np.ndarray, n: np.ndarray,
     order = order[np.argsort(group[order].astype(np.uint16 if len(n) < 1 << 15 else np.int64), kind="stable")]
     at = _buckets.runs(group[order])
     have = np.diff(at)
-    wanted = allowed(n)[doc[order[at[:-1]]]] + 1
+    head = order[at[:-1]]
+    wanted = allowed(n[doc[head]], above[head]) + 1
     if (have < wanted).any():
         raise ValueError("a document has too few blocks for the pigeonhole")
     place = np.arange(len(order)) - np.repeat(at[:-1], have)
@@ -162,7 +160,7 @@ def _load(docs: DataFrame) -> np.ndarray:
 
 
 def _live(docs: DataFrame, load: np.ndarray) -> DataFrame:
-    """key, node (hash of a set), n of leading blocks that several sets have."""
+    """key, node (hash of a set), n of leading blocks that several sets have, and k, x, y as ``_buckets.live`` has them."""
     shared = docs.sparkSession.sparkContext.broadcast(load)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> _buckets.Emit:
@@ -177,18 +175,29 @@ def _live(docs: DataFrame, load: np.ndarray) -> DataFrame:
             row = row[np.isin(doc[row], once)]
             yield key[row], s1.view(np.int64)[doc[row]], n[doc[row]]
 
-    return _buckets.live(docs, emit).select("key", F.col("a").alias("node"), F.col("b").alias("n"))
+    return _buckets.live(docs, emit).select("key", F.col("a").alias("node"), F.col("b").alias("n"), "k", "x", "y")
 
 
 def _blocks_once(live: DataFrame, store: Workspace) -> DataFrame:
-    """Without blocks of one node, of the very same nodes as another, or all of whose nodes have one and the same larger block as their largest."""
-    rows = live.repartition("key").dropDuplicates(["key", "node"])
-    members = rows.groupBy("key").agg(F.count("*").alias("k"), F.expr("bit_xor(xxhash64(node))").alias("x"), F.sum(F.xxhash64("node", F.lit(1)).cast("decimal(20,0)")).alias("y")).where("k > 1")
-    one = members.groupBy("k", "x", "y").agg(F.min("key").alias("of")).select("of", "k")
-    rows = store.save(rows.join(one, F.col("key") == F.col("of")).select("key", "node", "n", "k"), "blocks")
+    """Without blocks of one node, of the very same nodes as another, or all of whose nodes have one and the same larger block as their largest.
+
+    The nodes of most blocks have been counted where they met. Rows of crowded ones are dealt by key and node, and counted by key from sums of each task, so that no task has a block
+    to itself. What is joined by key is a table of its own: a join of plain exchanges can be split where a key is crowded.
+    """
+    met = store.save(live, "met")
+    known = met.where("x is not null").select("key", "k", "x", "y")
+    crowd = store.save(met.where("k = 0").groupBy("key", "node").agg(F.min("n").alias("n")), "crowd")
+    mixed = F.xxhash64("node")
+    crowded = crowd.groupBy("key").agg(F.count("*").alias("k"), F.bit_xor(mixed).alias("x"), F.bit_xor(F.xxhash64(mixed, F.lit(1))).alias("y")).where("k > 1")
+    one = store.save(known.unionByName(crowded).groupBy("k", "x", "y").agg(F.min("key").alias("of")).select("of", F.col("k").alias("size")), "one")
+    rows = met.where("k > 0").select("key", "node", "n").unionByName(crowd)
+    rows = store.save(rows.join(one, F.col("key") == F.col("of")).select("key", "node", "n", F.col("size").alias("k")), "blocks")
+    store.drop(met, crowd, one)
     top = rows.groupBy(F.col("node").alias("own")).agg(F.max(F.struct("k", "key")).alias("top")).select("own", F.col("top.key").alias("largest"))
     inner = rows.join(top, F.col("node") == F.col("own")).groupBy(F.col("key").alias("of")).agg(F.min("largest").alias("lo"), F.max("largest").alias("hi")).where("lo = hi and lo <> of").select("of")
-    return rows.join(inner, F.col("key") == F.col("of"), "left_anti").select("key", "node", "n")
+    out = store.save(rows.join(store.save(inner, "inner"), F.col("key") == F.col("of"), "left_anti").select("key", "node", "n"), "live")
+    store.drop(rows)
+    return out
 
 
 def sketch(g: np.ndarray, width: int) -> np.ndarray:
@@ -196,31 +205,52 @@ def sketch(g: np.ndarray, width: int) -> np.ndarray:
     return np.packbits(np.bincount((g & tx.U(width - 1)).astype(np.int64), minlength=width) & 1, bitorder="little").view(tx.U)
 
 
-def _sets(docs: DataFrame, wanted: DataFrame, store: Workspace) -> DataFrame:
-    """node, more (the other half of a set's signature), n, hashes (sorted 64-bit words), sketch, small (the sketch folded) of the documents of the column, and of a few others."""
+def widths(n: np.ndarray) -> np.ndarray:
+    """Bits of the sketch of a set of n."""
+    j = band(n)
+    return 1 << np.where(j < WIDE, np.maximum(6, 2 * j + SKETCH), 1 + np.ceil(np.log2(np.maximum(n, 1))).astype(np.int64))
+
+
+def _of(docs: DataFrame, wanted: DataFrame, make: Callable[[pa.Array, np.ndarray, np.ndarray], pa.RecordBatch], schema: str) -> DataFrame:
+    """What ``make`` makes of doc_ids, shingles and their borders, for the documents of the column ``wanted`` and a few others."""
     shared = _buckets.members(wanted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for own, buf, off in tx.chunks(batches):
-            pick = np.flatnonzero(_buckets.held(shared.value, tx.column(own, "doc_id").to_numpy()))
-            if not len(pick):
-                continue
-            parts = [buf[off[k] : off[k + 1]] for k in pick]
-            g, first = shingle_sets(np.concatenate(parts), np.append(0, np.cumsum([len(p) for p in parts])))
-            s1, s2 = signatures(g, first)
-            n = np.diff(first)
-            each = [g[a:b] for a, b in zip(first[:-1], first[1:], strict=True)]
-            drawn = [sketch(x, 1 << max(6, 2 * int(j) + SKETCH)) for x, j in zip(each, band(n), strict=True)]
-            small = [_folded(x, max(1, 1 << max(0, 2 * int(j) + FOLDED - 6))).tobytes() for x, j in zip(drawn, band(n), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)), pa.array(n), pa.array([x.tobytes() for x in each], pa.binary()), pa.array([x.tobytes() for x in drawn], pa.binary()), pa.array(small, pa.binary())], ["node", "more", "n", "hashes", "sketch", "small"])
+            ids = tx.column(own, "doc_id")
+            pick = np.flatnonzero(_buckets.held(shared.value, ids.to_numpy()))
+            if len(pick):
+                parts = [buf[off[k] : off[k + 1]] for k in pick]
+                yield make(ids.take(pa.array(pick)), *shingle_sets(np.concatenate(parts), np.append(0, np.cumsum([len(p) for p in parts]))))
+
+    return docs.mapInArrow(run, schema)
+
+
+def _drawn(docs: DataFrame, wanted: DataFrame, store: Workspace) -> DataFrame:
+    """node, rep (a document that has the set), n, sketch of the documents of the column."""
 
-    return store.save(docs.mapInArrow(run, "node long, more long, n long, hashes binary, sketch binary, small binary").where("n > 0"), "sets")
+    def make(ids: pa.Array, g: np.ndarray, first: np.ndarray) -> pa.RecordBatch:
+        n = np.diff(first)
+        out = [sketch(g[a:b], w).tobytes() for a, b, w in zip(first[:-1], first[1:], widths(n).tolist(), strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(signatures(g, first)[0].view(np.int64)), ids, pa.array(n), pa.array(out, pa.binary())], ["node", "rep", "n", "sketch"])
 
+    return store.save(_of(docs, wanted, make, "node long, rep long, n long, sketch binary").where("n > 0").dropDuplicates(["node"]), "sketches")
 
-def _may_link(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+
+def _whole(docs: DataFrame, wanted: DataFrame, store: Workspace) -> DataFrame:
+    """node, more (the other half of a set's signature), hashes (sorted 64-bit words) of the documents of the column, and of a few others; each set once."""
+
+    def make(ids: pa.Array, g: np.ndarray, first: np.ndarray) -> pa.RecordBatch:
+        s1, s2 = signatures(g, first)
+        return pa.RecordBatch.from_arrays([pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)), pa.array([g[a:b].tobytes() for a, b in zip(first[:-1], first[1:], strict=True)], pa.binary())], ["node", "more", "hashes"])
+
+    return store.save(_of(docs, wanted, make, "node long, more long, hashes binary").where("length(hashes) > 0").dropDuplicates(["node", "more"]), "whole")
+
+
+def _may_link(pairs: DataFrame, drawn: DataFrame) -> DataFrame:
     """The pairs (a, b) whose sizes and sketches allow a link; only sketches are moved."""
-    left = sets.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("small").alias("sa"))
-    right = sets.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("small").alias("sb"))
+    left = drawn.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
+    right = drawn.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
     both = pairs.join(left, "a").join(right, "b").where("4 * na >= 3 * nb and 4 * nb >= 3 * na").select("a", "b", (F.col("na") + F.col("nb")).alias("size"), "sa", "sb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -241,9 +271,10 @@ def _folded(words: np.ndarray, width: int) -> np.ndarray:
     return words
 
 
-def links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets link, with the other halves p and q of their signatures; whole sets of these nodes alone are moved."""
-    some = _buckets.kept(sets.select("node", "more", "hashes"), "node", pairs.select(F.explode(F.array("a", "b")).alias("id")))
+def links(pairs: DataFrame, docs: DataFrame, drawn: DataFrame, store: Workspace) -> DataFrame:
+    """The pairs (a, b) whose sets link, with the other halves p and q of their signatures; whole sets of these nodes alone are made, and moved once each."""
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("of")).distinct()
+    some = _whole(docs, drawn.select("node", "rep").join(nodes, F.col("node") == F.col("of"), "left_semi").select("rep"), store)
     left = some.select(F.col("node").alias("a"), F.col("more").alias("p"), F.col("hashes").alias("ha"))
     right = some.select(F.col("node").alias("b"), F.col("more").alias("q"), F.col("hashes").alias("hb"))
     both = pairs.join(left, "a").join(right, "b").select("a", "b", "p", "q", "ha", "hb")
@@ -261,63 +292,70 @@ def links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.mapInArrow(run, "a long, b long, p long, q long")
 
 
-def _unsettled(live: DataFrame, roots: DataFrame | None) -> DataFrame:
+def _unsettled(live: DataFrame, roots: DataFrame | None, store: Workspace) -> DataFrame:
     """key, node, n, c (component) of blocks whose nodes are in several components."""
     rows = live.select("key", "node", "n")
     if roots is None:
         return rows.withColumn("c", F.col("node"))
     roots = roots.select(F.col("node").alias("of"), "root")
-    rows = rows.join(roots, F.col("node") == F.col("of"), "left").select("key", "node", "n", F.coalesce("root", "node").alias("c"))
-    mixed = rows.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select(F.col("key").alias("of"))
-    return rows.join(mixed, F.col("key") == F.col("of"), "left_semi")
+    rows = store.save(rows.join(roots, F.col("node") == F.col("of"), "left").select("key", "node", "n", F.coalesce("root", "node").alias("c")), "placed")
+    mixed = store.save(rows.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select(F.col("key").alias("of")), "mixed")
+    out = store.save(rows.join(mixed, F.col("key") == F.col("of"), "left_semi"), "rest")
+    store.drop(rows, mixed)
+    return out
 
 
-def _with_leader(rows: DataFrame, turn: int) -> DataFrame:
-    """(a, b): the nodes of each block with its leader of this round, if their components differ; blocks of like nodes have different leaders."""
-    first = F.struct(F.xxhash64("node", "key", F.lit(turn)).alias("h"), F.col("node").alias("leader"), F.col("c").alias("lc"), F.col("n").alias("ln"))
-    lead = rows.groupBy("key").agg(F.min(first).alias("l")).select(F.col("key").alias("of"), "l.leader", "l.lc", "l.ln")
+def _with_leader(rows: DataFrame, turn: int, store: Workspace) -> DataFrame:
+    """(a, b): the nodes of each block with its leader of this round, if their components differ.
+
+    Blocks of like nodes mostly have one leader in the first round, so few pairs come of them; in later ones each block has its own.
+    """
+    first = F.struct(F.xxhash64("node", *[F.col("key")] * (turn > 0), F.lit(turn)).alias("h"), F.col("node").alias("leader"), F.col("c").alias("lc"), F.col("n").alias("ln"))
+    lead = store.save(rows.groupBy("key").agg(F.min(first).alias("l")).select(F.col("key").alias("of"), "l.leader", "l.lc", "l.ln"), "leaders")
     pairs = rows.join(lead, F.col("key") == F.col("of")).where("c <> lc and 4 * n >= 3 * ln and 4 * ln >= 3 * n")
     return pairs.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
 
 
-def _squares(rows: DataFrame, sets: DataFrame) -> DataFrame:
+def _with_partner(rows: DataFrame) -> DataFrame:
+    """Of rows (key, node, n, c) those that have one of like size and another component in their block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _whole_blocks(batches, ("key",)):
+            group, n, c = _groups(table, ("key",)), _numbers(table, "n"), _numbers(table, "c")
+            has = np.zeros(len(n), bool)
+            for i, j in _like(group, n):
+                ok = c[i] != c[j]
+                has[i[ok]] = has[j[ok]] = True
+            yield from table.filter(pa.array(has)).to_batches()
+
+    return rows.repartition("key").sortWithinPartitions("key", "n").mapInArrow(run, rows.schema)
+
+
+def _squares(rows: DataFrame, drawn: DataFrame, store: Workspace) -> DataFrame:
     """(a, b) of all nodes of different components that share a block and whose sketches allow a link.
 
     A block of more than ``SQUARE`` nodes is cut: its nodes outside its largest component meet all its nodes in squares of about ``SQUARE`` by ``SQUARE``.
     """
     size = rows.groupBy("key", "c").agg(F.count("*").alias("k"))
     size = size.groupBy("key").agg(F.max(F.struct("k", "c")).alias("top"), F.sum("k").alias("all"))
-    size = size.select(F.col("key").alias("of"), F.col("top.c").alias("main"), F.ceil(F.col("all") / SQUARE).alias("wide"), F.ceil((F.col("all") - F.col("top.k")) / SQUARE).alias("high"))
+    size = store.save(size.select(F.col("key").alias("of"), F.col("top.c").alias("main"), "all", F.ceil(F.col("all") / SQUARE).alias("wide"), F.ceil((F.col("all") - F.col("top.k")) / SQUARE).alias("high")), "sizes")
     rows = rows.join(size, F.col("key") == F.col("of")).drop("of")
+    few = _with_partner(rows.where(F.col("all") <= FEW).select("key", "node", "n", "c"))
+    rows = rows.where(F.col("all") > FEW)
     columns = ["key", "y", "x", "side", "node", "n", "c"]
     zero = F.lit(0).cast("long")
-    small = rows.where("wide = 1").select("key", zero.alias("y"), zero.alias("x"), F.lit(0).alias("side"), "node", "n", "c")
+    small = rows.where("wide = 1").select("key", "node", "n", "c").unionByName(few).select("key", zero.alias("y"), zero.alias("x"), F.lit(0).alias("side"), "node", "n", "c")
     large = rows.where("wide > 1")
     place = lambda many: F.pmod(F.xxhash64("node"), F.col(many))
     left = large.where("c <> main").select("key", place("high").alias("y"), F.explode(F.sequence(zero, F.col("wide") - 1)).alias("x"), F.lit(1).alias("side"), "node", "n", "c")
     right = large.select("key", F.explode(F.sequence(zero, F.col("high") - 1)).alias("y"), place("wide").alias("x"), F.lit(2).alias("side"), "node", "n", "c")
     dealt = small.select(columns).unionByName(left.select(columns)).unionByName(right.select(columns))
-    dealt = dealt.join(sets.select(F.col("node").alias("r"), "sketch"), F.col("node") == F.col("r")).drop("r")
+    dealt = dealt.join(drawn.select(F.col("node").alias("r"), "sketch"), F.col("node") == F.col("r")).drop("r")
     dealt = dealt.repartition("key", "y", "x").sortWithinPartitions("key", "y", "x", "n")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        size = 0
-        for batch in batches:
-            held.append(batch)
-            size += batch.num_rows
-            if size >= SQUARE_ROWS:
-                table = pa.Table.from_batches(held).combine_chunks()
-                group = _groups(table)
-                last = int(group[-1])
-                whole = int(np.searchsorted(group, last))
-                if whole:
-                    yield from _close(table.slice(0, whole), group[:whole])
-                held = table.slice(whole).to_batches()
-                size = table.num_rows - whole
-        if size:
-            table = pa.Table.from_batches(held).combine_chunks()
-            yield from _close(table, _groups(table))
+        for table in _whole_blocks(batches, ("key", "y", "x")):
+            yield from _close(table, _groups(table, ("key", "y", "x")))
 
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
@@ -331,37 +369,63 @@ def _numbers(table: pa.Table, name: str) -> np.ndarray:
     return table.column(name).to_numpy()
 
 
-def _groups(table: pa.Table) -> np.ndarray:
-    """Number of each row's square."""
+def _groups(table: pa.Table, names: tuple[str, ...]) -> np.ndarray:
+    """Numbers runs of rows that agree in these columns."""
     new = np.zeros(table.num_rows, bool)
-    for name in ("key", "y", "x"):
+    for name in names:
         v = _numbers(table, name)
         new[1:] |= v[1:] != v[:-1]
     return np.cumsum(new)
 
 
+def _whole_blocks(batches: Iterator[pa.RecordBatch], names: tuple[str, ...]) -> Iterator[pa.Table]:
+    """Tables of about ``SQUARE_ROWS`` rows that hold whole runs."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.num_rows
+        if size >= SQUARE_ROWS:
+            table = pa.Table.from_batches(held).combine_chunks()
+            group = _groups(table, names)
+            whole = int(np.searchsorted(group, int(group[-1])))
+            if whole:
+                yield table.slice(0, whole)
+            held = table.slice(whole).to_batches()
+            size = table.num_rows - whole
+    if size:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def _like(group: np.ndarray, n: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows of a group whose sizes allow a link, by how far apart they stand; the rows of a group rise by size."""
+    step = 1
+    open_ = np.arange(len(n))  # rows with a partner ``step`` rows on of like size
+    while True:
+        open_ = open_[open_ + step < len(n)]
+        j = open_ + step
+        ok = (group[j] == group[open_]) & (3 * n[j] <= 4 * n[open_])
+        open_, j = open_[ok], j[ok]
+        if not len(open_):
+            return
+        yield open_, j
+        step += 1
+
+
 def _close(table: pa.Table, group: np.ndarray) -> Iterator[pa.RecordBatch]:
     node, n, c, side = (_numbers(table, k) for k in ("node", "n", "c", "side"))
     one = table.column("sketch").combine_chunks()
     sketches = Sketches(node, one.chunk(0) if isinstance(one, pa.ChunkedArray) else one)
     held: list[np.ndarray] = []
-    size, step = 0, 1
-    open_ = np.arange(len(node))  # rows with a partner ``step`` rows on of like size
-    while True:
-        open_ = open_[open_ + step < len(node)]
-        j = open_ + step
-        ok = (group[j] == group[open_]) & (3 * n[j] <= 4 * n[open_])  # rows of a square rise by size
-        open_, j = open_[ok], j[ok]
-        if not len(open_):
-            break
-        ok = (c[open_] != c[j]) & ((side[open_] != side[j]) | (side[open_] == 0))
+    size = 0
+    for i, j in _like(group, n):
+        ok = (c[i] != c[j]) & ((side[i] != side[j]) | (side[i] == 0))
         if ok.any():
-            held.append(np.stack([open_[ok], j[ok]]))
+            held.append(np.stack([i[ok], j[ok]]))
             size += int(ok.sum())
         if size >= _PAIRS:
             yield _near(np.concatenate(held, 1), sketches, n)
             held, size = [], 0
-        step += 1
     if size:
         yield _near(np.concatenate(held, 1), sketches, n)
 
@@ -427,20 +491,22 @@ def classes(docs: DataFrame) -> DataFrame:
     member = store.save(member, "member")
     store.drop(profile)
 
-    live = store.save(_blocks_once(_live(rows.select("text"), _load(rows)), store), "live")
-    rest = _unsettled(live, None)
+    live = _blocks_once(_live(rows.select("text"), _load(rows)), store)
+    rest = _unsettled(live, None, store)
     wanted = member.where("doc_id = rep").join(live.select(F.col("node").alias("r")).distinct(), F.col("s1") == F.col("r"), "left_semi").select("rep")
-    sets = _sets(rows, wanted, store)
+    drawn = _drawn(rows, wanted, store)
     found: list[DataFrame] = []
     for turn in range(ROUNDS + 1):
-        pairs = store.save(_may_link(_with_leader(rest, turn), sets) if turn < ROUNDS else _squares(rest, sets), "pairs")
-        new = store.save(links(pairs, sets).distinct(), "new")
+        pairs = store.save(_may_link(_with_leader(rest, turn, store), drawn) if turn < ROUNDS else _squares(rest, drawn, store), "pairs")
+        if pairs.isEmpty():
+            continue
+        new = store.save(links(pairs, rows, drawn, store).distinct(), "new")
         store.drop(pairs)
         if new.isEmpty():
             continue
         found.append(new)
         if turn < ROUNDS:
-            left = store.save(_unsettled(rest, components(_union(found).select("a", "b"), store)), "rest")
+            left = _unsettled(rest, components(_union(found).select("a", "b"), store), store)
             store.drop(*[rest] * hasattr(rest, "_stored_at"))
             rest = left
             if rest.isEmpty():
@@ -455,7 +521,7 @@ def classes(docs: DataFrame) -> DataFrame:
         met = _union(found).join(one, (F.col("a") == F.col("u1")) & (F.col("p") == F.col("u2"))).join(two, (F.col("b") == F.col("v1")) & (F.col("q") == F.col("v2")))
         edges.append(met.select("u", "v"))
     roots = components(_union(edges), store)
-    store.drop(live, sets, *found)
+    store.drop(live, drawn, *found)
     out = member.join(roots, F.col("rep") == F.col("node"), "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "rep", "doc_id").alias("component_id"))
     none = every.where("doc_id is null").select("doc_id", F.when(F.coalesce(F.regexp_replace("text", "[\\x20\\x09-\\x0D]+", ""), F.lit("")) == "", 0).cast("long").alias("n_shingles"), F.lit(None).cast("long").alias("component_id"))
     return out.unionByName(none)

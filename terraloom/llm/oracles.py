@@ -1,6 +1,7 @@
 """DuckDB SQL that gives the same rows as the queries of the same names.
 
-Those not here (language model, token ids, byte repeats, surrogates, licences) are held against brute force by the tests.
+Those not here: token ids and byte repeats are held against brute force by the tests, the language model in its base columns and
+in sums of probabilities, surrogates and licences by examples.
 """
 
 from __future__ import annotations
@@ -42,15 +43,16 @@ own AS (SELECT r, count(*) AS n, string_agg(item_id, ',' ORDER BY item_id) AS id
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(hit.n, 0) AS BIGINT) AS n_hit, CAST(coalesce(own.n, 0) AS BIGINT) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
  coalesce(hit.n, 0) > 0 AND 20 * coalesce(hit.n, 0) >= len(w) AS contaminated FROM d LEFT JOIN hit USING (r) LEFT JOIN own USING (r)""",
     "op6_mixing": f"""WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), {_WORDS})) AS BIGINT) AS size FROM documents),
-s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS weight FROM d GROUP BY source),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, count(*) AS n_docs, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS weight FROM d GROUP BY source),
 f AS (SELECT *, 3 * source_size AS cap, 3 * source_size / weight AS per FROM s),
 o AS (SELECT *, (SELECT CAST(sum(source_size) AS BIGINT) FROM f) - coalesce(CAST(sum(cap) OVER b AS BIGINT), 0) AS words_left, (SELECT CAST(sum(weight) AS BIGINT) FROM f) - coalesce(CAST(sum(weight) OVER b AS BIGINT), 0) AS weight_left
  FROM f WINDOW b AS (ORDER BY per, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 lv AS (SELECT arg_min(words_left / weight_left, per) AS level FROM o WHERE per > words_left / weight_left),
-t AS (SELECT source, source_size, CASE WHEN level IS NULL OR per <= level THEN CAST(cap AS DOUBLE) ELSE level * weight END AS target FROM o, lv),
-x AS (SELECT d.*, t.source_size, t.target, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS share FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+t AS (SELECT source, source_size, n_docs, CASE WHEN level IS NULL OR per <= level THEN CAST(cap AS DOUBLE) ELSE level * weight END AS target FROM o, lv),
+x AS (SELECT d.*, t.source_size, t.n_docs, t.target, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS share FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
 p AS (SELECT *, CAST(floor(share) AS BIGINT) AS whole, share - floor(share) AS p, (CAST(CAST('0x' || substr(md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 13) AS BIGINT) AS DOUBLE) + 0.5) / 4503599627370496 AS u FROM x),
-q AS (SELECT *, (u / (1 - u)) / (least(1 - 1e-9, greatest(1e-9, p)) / (1 - least(1 - 1e-9, greatest(1e-9, p)))) AS odds FROM p),
+i AS (SELECT *, least(1 - 1e-9, greatest(1e-9, p * coalesce(CAST(2 * size AS DOUBLE) / (size + source_size / n_docs), 0))) AS q FROM p),
+q AS (SELECT *, (u / (1 - u)) / (q / (1 - q)) AS odds FROM i),
 k AS (SELECT *, target - whole * source_size AS rest, coalesce(sum(CASE WHEN p > 0 THEN size ELSE 0 END) OVER (PARTITION BY source ORDER BY odds / (1 + odds), doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM q)
 SELECT doc_id, size, source_size, target, CAST(size * (whole + CASE WHEN p > 0 AND size > 0 AND 2 * before + size <= 2 * rest THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM k""",
 }

@@ -178,6 +178,8 @@ def entities(text: Column) -> Column:
 
 def unit_surrogates(units: DataFrame, key: str, store: Workspace) -> DataFrame:
     """kind, canon, attempt, made of distinct units: distinct by kind, and none a unit of the input."""
+    # a few bytes make much work: by number, so that small partitions are not put together
+    units = units.repartition(int(units.sparkSession.conf.get("spark.sql.shuffle.partitions")), "kind", "canon")
     state = store.save(_staged(units.withColumn("attempt", F.lit(0)), key), "made")
     for _ in range(ATTEMPTS):
         several = state.groupBy("kind", "made").agg(F.min(F.struct("attempt", "canon")).alias("first"), F.count("*").alias("n")).where("n > 1").select(F.col("kind").alias("k"), F.col("made").alias("m"), F.col("first.canon").alias("stays"))

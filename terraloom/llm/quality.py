@@ -8,7 +8,8 @@ words inside 3-word windows found twice or more in the text, the first included.
 A document is base-failed with fewer than 50 words or more than half of them repeated. The
 others meet the rules of the cascade. Each rule looks only at the documents that all earlier rules
 let through, so the order decides the cost and never the verdict: cost and rejections of every rule are measured
-on ``sample_docs`` documents, and rules run by falling rejections per second.
+on at most ``sample_docs`` documents, and rules run by falling rejections per second. The sample is the first of those that a hash of the doc_id draws (one in ``DRAWN``, texts of up to
+``SAMPLE_CHARS`` characters); the driver takes it from as few partitions as hold it, and nothing is exchanged.
 
 Null texts count as empty: no words, base-failed. Any number of equal rows gives as many equal
 results; no table is too empty. Other columns, of whatever name, are carried by ``keep`` and ignored by ``measure``.
@@ -23,13 +24,14 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from . import _text as tx
 from ._store import small_batches
 
 MIN_WORDS, REPEAT_PERCENT = 50, 50
 #: Documents on which cost and selectivity of the rules are estimated; they order the rules only.
-SAMPLE_DOCS = 2000
+SAMPLE_DOCS, DRAWN, SAMPLE_CHARS = 2000, 8, 20_000
 
 #: The characters that count as symbols.
 SYMBOLS = tx.byte_class(b"#*$%&|<>")
@@ -149,30 +151,26 @@ def cascade(t: Texts, order: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return failed, kept
 
 
-def _trial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    spent, out = dict.fromkeys(RULES, 0.0), dict.fromkeys(RULES, 0)
-    seen = 0
-    for _, buf, off in tx.chunks(batches):
+def _trial(texts: list[str]) -> tuple[dict[str, int], dict[str, float]]:
+    """Rejections and seconds of each rule on documents that are not base-failed."""
+    rejected, spent = dict.fromkeys(RULES, 0), dict.fromkeys(RULES, 0.0)
+    for _, buf, off in tx.chunks([pa.RecordBatch.from_arrays([pa.array(texts, pa.large_string())], ["text"])]):
         t = measured(buf, off)
         docs = np.flatnonzero(~base_failed(t))
-        seen += len(docs)
         for name, rule in RULES.items():
             began = time.perf_counter()
             ok = rule(t, docs)
             spent[name] += time.perf_counter() - began
-            out[name] += int(len(docs) - np.count_nonzero(ok))
-    yield pa.RecordBatch.from_pydict({"rule": list(RULES), "docs": [seen] * len(RULES), "rejected": list(out.values()), "seconds": list(spent.values())})
+            rejected[name] += int(len(docs) - np.count_nonzero(ok))
+    return rejected, spent
 
 
 def plan_order(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> list[str]:
     """Rules by falling rejections per second, as found on at most ``sample_docs`` documents."""
     small_batches(docs.sparkSession)
-    found = docs.select("text").limit(sample_docs).mapInArrow(_trial, "rule string, docs long, rejected long, seconds double").collect()
-    total: dict[str, list[float]] = {name: [0.0, 1e-9] for name in RULES}
-    for row in found:
-        total[row.rule][0] += row.rejected
-        total[row.rule][1] += row.seconds
-    return sorted(total, key=lambda name: -total[name][0] / total[name][1])
+    drawn = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(DRAWN)) == 0).where(F.length("text").between(1, SAMPLE_CHARS))
+    rejected, spent = _trial([r.text for r in drawn.select("text").limit(sample_docs).collect()])
+    return sorted(RULES, key=lambda name: -rejected[name] / (spent[name] + 1e-9))
 
 
 def measure(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> DataFrame:

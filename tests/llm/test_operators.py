@@ -112,6 +112,53 @@ def test_near_the_threshold(spark):
     assert got == brute_classes(rows)
 
 
+def thue_morse(n):
+    out = "a"
+    while len(out) < n:
+        out += out.translate(str.maketrans("ab", "ba"))
+    return out
+
+
+def test_words_that_agree_modulo_a_power_of_two_differ(spark, monkeypatch):
+    """Strings of Thue and Morse: sums modulo 2**64 agree for them whatever the base."""
+    for n in (1024, 2048, 4096):
+        one = thue_morse(n)
+        two = one.translate(str.maketrans("ab", "ba"))
+        buf, off = tx.text_bytes(__import__("pyarrow").array([one, two]))
+        roll = tx.Rolling(buf)
+        assert len(set(roll.quick(off[:-1], off[1:]).tolist())) == 1 and len(set(roll(off[:-1], off[1:]).tolist())) == 2
+        g, first = neardup.shingle_sets(buf, off)
+        assert g[first[0]] != g[first[1]]
+        lines = f"{one}\n{two}\n" + "word " * 60
+        buf, off = tx.text_bytes(__import__("pyarrow").array([lines]))
+        assert quality.measured(buf, off).base["n_dup_lines"].tolist() == [0]
+        _, h = decontaminate._words(buf, off)
+        assert h[0] != h[1]
+        encode = encoder(default_tokenizer())
+        buf, off = tx.text_bytes(__import__("pyarrow").array([f"x {one} {two}"]))
+        assert encode(buf, off)[0].tolist() == encode.tokenizer.encode(f"x {one} {two}", add_special_tokens=False).ids
+
+
+def test_rows_meet_whatever_a_flush_passes(monkeypatch):
+    """Keys of several rows are live, in a slot or passed by it; counts and hashes hold where no row was passed."""
+    import pyarrow as pa
+
+    from terraloom.llm import _buckets
+
+    r = np.random.default_rng(3)
+    keys, a = r.integers(0, 60, 500).astype(tx.U) * tx.U(0x9E3779B97F4A7C15), r.integers(0, 40, 500)
+    want = {(k & (1 << 40) - 1, x) for k, x in zip(keys.tolist(), a.tolist())}
+    many = Counter(k for k, _ in want)
+    for crowd in (1, 3, 1000):
+        monkeypatch.setattr(_buckets, "CROWD", crowd)
+        sent = [row for turn in range(5) for batch in _buckets._send([(keys[turn::5], a[turn::5], a[turn::5] * 2)], 4, turn) for row in batch.to_pylist()]
+        got = pa.Table.from_batches([b for slot in range(4) for b in _buckets._meet([x for x in sent if x["slot"] == slot])]).to_pylist()
+        assert {(g["key"] & (1 << 40) - 1, g["a"]) for g in got} == {(k, x) for k, x in want if many[k] > 1}
+        assert all(g["k"] in (0, many[g["key"] & (1 << 40) - 1]) and g["b"] == 2 * g["a"] for g in got)
+        if crowd == 1000:
+            assert len(got) == len({(g["key"], g["a"]) for g in got}) and sum(g["x"] is not None for g in got) == len({g["key"] for g in got})
+
+
 def test_squares_alone_find_all_links(spark, corpus, monkeypatch):
     monkeypatch.setattr(neardup, "ROUNDS", 0)
     monkeypatch.setattr(neardup, "SQUARE", 4)
@@ -134,7 +181,7 @@ def test_a_document_alone_leads_in_each_band():
     buf, off = tx.text_bytes(__import__("pyarrow").array([prose(1, 64)]))
     doc, key, above, n = neardup.blocks(*neardup.shingle_sets(buf, off))
     row = neardup.leading(doc, key, above, n, np.zeros(neardup.COUNTERS))
-    assert np.bincount(above[row]).tolist() == [neardup.allowed(n)[0] + 1] * 2
+    assert np.bincount(above[row]).tolist() == [n[0] // 4 + 1, n[0] // 7 + 1]
 
 
 def test_classes_of_nothing(spark):
@@ -188,23 +235,60 @@ def test_model_beats_the_base(spark):
         assert r.perplexity < r.base_perplexity
 
 
-def test_probabilities_of_a_restaurant_add_up():
+def test_seating():
+    """Tables of every dish, moved by every customer, hold all customers; small restaurants are seated as often as the model says."""
     r = np.random.default_rng(0)
     context, token = np.divmod(np.arange(200), 20)
     n = r.poisson(1.0, 200)
-    m = language_model.Restaurants(context, token, n, v=19, seed=1)
+    n[:3] = (700, 256, 257)
+    name = tx.splitmix(np.arange(200).astype(tx.U))
+    m = language_model.Restaurants(context, token, n, np.full(20, 0.05), np.ones(10, np.int64), name)
     for _ in range(4):
         m.sweep()
-        assert (m.t <= n).all() and (m.t[n > 0] > 0).all() and m.size.sum() == n[n > 1].sum()
-    # V + 1 tokens are all there are
-    assert np.allclose(np.bincount(context, m.probabilities()), 1)
-
-
-def test_frequent_contexts_are_dealt(spark, corpus, monkeypatch):
-    monkeypatch.setattr(language_model, "BUCKET_TOKENS", 256)
-    monkeypatch.setattr(language_model, "CHUNK_BYTES", 2000)
-    got = language_model.score(table(spark, corpus)).collect()
-    assert len(got) == len(corpus) and all(r.score < 0 for r in got)
+        sizes = [np.bincount(m.table[b : b + k]) for b, k in zip(m.base, m.n)]
+        assert all(x.sum() == k and np.count_nonzero(x) == m.t[d] for x, k, d in zip(sizes, m.n, m.dish))
+        assert (m.t[n == 1] == 1).all() and (m.t[n == 0] == 0).all()
+    # one dish of two customers each: at two tables in proportion to (s + d) * parent against 1 - d
+    k = 20_000
+    m = language_model.Restaurants(np.arange(k), np.zeros(k, np.int64), np.full(k, 2), np.array([0.3]), np.ones(k, np.int64), tx.splitmix(np.arange(k).astype(tx.U)))
+    d = language_model.DISCOUNT
+    new, old = (1 + d) * 0.3, 1 - d
+    for _ in range(3):
+        m.sweep()
+        assert np.mean(m.t == 2) == pytest.approx(new / (new + old), abs=0.015)
+
+
+def test_probabilities_add_up():
+    """Of the parent over all V + 1 tokens, rare ones and an unknown one among them; of a context's dishes and the parent's weight."""
+    r = np.random.default_rng(1)
+    count, rare = r.integers(5, 60, 40), np.array([1, 2, 2, 3, 1])
+    for some in (rare, rare[:0]):
+        n, v = int(count.sum() + some.sum()), 40 + len(some)
+        none = np.zeros(0, np.int64)
+        known = language_model.Known(n, v, np.sort(r.integers(1, 1 << 60, 40).astype(tx.U)), count, 0.1, none, none, none.astype(tx.U), none, 1)
+        customers = np.stack([np.append(r.integers(1, 30, 40), len(some)) for _ in range(language_model.SAMPLES)])
+        p = language_model._parent(known, 0.4, customers, np.zeros((language_model.SAMPLES, 0), np.int64))
+        for k in range(language_model.SAMPLES):
+            assert p.frequent[k].sum() + (p.least[k] + p.each[k] * some).sum() + p.least[k] == pytest.approx(1)
+    context, token = np.divmod(np.arange(90), 9)
+    n = r.poisson(2.0, 90)
+    m = language_model.Restaurants(context, token, n, np.full(9, 0.1), np.ones(10, np.int64), tx.splitmix(np.arange(90).astype(tx.U)))
+    (t, *_), (tables, *_) = m.sampled()
+    d, st = language_model.DISCOUNT, language_model.STRENGTH
+    mine = np.bincount(context, np.maximum(n - d * t, 0)) + st + d * tables
+    assert np.allclose(mine / (st + np.bincount(context, n)), 1)
+    steps = language_model._steps(np.array([1.0, 0.25, 3e-14, 0.0]))
+    assert language_model._from_steps(steps.tobytes()) == pytest.approx([1.0, 0.25, 3e-14, 0.0], rel=1e-5)
+
+
+def test_scores_depend_on_no_layout(spark, corpus, monkeypatch):
+    """Partitions, buckets, parts of frequent contexts by the same share: one score."""
+    monkeypatch.setattr(language_model, "SHARE", 60)
+    one = language_model.score(table(spark, corpus)).collect()
+    monkeypatch.setattr(language_model, "BUCKET_TOKENS", 300)
+    two = language_model.score(table(spark, corpus).repartition(7)).collect()
+    by = lambda rows: sorted((r.doc_id, r.n_tokens, round(r.score, 4)) for r in rows)
+    assert by(one) == by(two)
 
 
 def test_no_training_documents(spark):
@@ -433,6 +517,20 @@ def test_mix(spark, corpus):
     assert Counter((r.doc_id, r.source) for r in got.collect()) == +copies
 
 
+def test_draws_follow_the_inclusion(spark):
+    """Documents of unequal inclusion are drawn about as often as that says, over many seeds."""
+    rows = [(k, " ".join(["w"] * (10 if k % 2 else 30)), "ab"[k % 3 == 0]) for k in range(400)]
+    docs, drawn, share = table(spark, rows), Counter(), 0.0
+    for seed in range(6):
+        for r in mixing.mix(docs, seed=f"s{seed}").collect():
+            if r.source == "a":
+                share = r.target / r.source_size
+                drawn[r.size] += r.copies - int(share)
+    number = Counter(len(t.split()) for _, t, s in rows if s == "a")
+    long, short = (drawn[n] / number[n] / 6 for n in (30, 10))
+    assert 0 < share % 1 < 1 and 1.4 < long / short < 2.8
+
+
 def test_mix_of_nothing(spark):
     assert mixing.mix(table(spark, [])).count() == 0
     assert [r.taken for r in mixing.mix(table(spark, [(1, None, None), (2, "", None)])).collect()] == [0, 0]
@@ -441,22 +539,35 @@ def test_mix_of_nothing(spark):
 # ---- 7
 
 
+def covered(x, starts, size):
+    mark = np.zeros(len(x) + 1, int)
+    for i in starts:
+        mark[i] += 1
+        mark[i + size] -= 1
+    return np.cumsum(mark)[: len(x)] > 0
+
+
 def brute_removed(rows):
     data = [(t or "").encode() for _, t, _ in rows]
     many = Counter(x[i : i + 400] for x in data for i in range(len(x) - 399))
+    holders = Counter(g for x in data for g in {x[i : i + 240] for i in range(len(x) - 239)})
     out = []
     for (d, _, _), x in zip(rows, data):
-        mark = np.zeros(len(x) + 1, int)
-        for i in range(len(x) - 399):
-            if many[x[i : i + 400]] > 1:
-                mark[i] += 1
-                mark[i + 400] -= 1
-        gone = np.cumsum(mark)[: len(x)] > 0
+        gone = covered(x, [i for i in range(len(x) - 399) if many[x[i : i + 400]] > 1], 400)
         kept = bytes(b for b, g in zip(x, gone) if not g)
-        out.append((d, len(x), int(gone.sum()), int(np.count_nonzero(np.diff(gone.astype(int), prepend=0) == 1)), hashlib.sha256(kept).hexdigest()))
+        shared = covered(x, [i for i in range(len(x) - 239) if holders[x[i : i + 240]] > 1], 240)
+        passages = 0
+        for run in re.finditer(b"1+", bytes(b"01"[int(s)] for s in shared)):
+            words = sum(w.start() >= run.start() and w.end() <= run.end() for w in re.finditer(rb"[^\x20\x09-\x0D]+", x))
+            passages += words if words > 50 else 0
+        out.append((d, len(x), int(gone.sum()), int(np.count_nonzero(np.diff(gone.astype(int), prepend=0) == 1)), hashlib.sha256(kept).hexdigest(), passages))
     return sorted(out)
 
 
+def got_removed(spark, rows):
+    return sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256, r.n_passage_words) for r in repeats.removed(table(spark, rows)).collect())
+
+
 def overlapping(seed):
     """Texts that share pieces of a long one, shifted and cut at many places."""
     r = random.Random(seed)
@@ -469,10 +580,34 @@ def overlapping(seed):
     return rows
 
 
-def test_removed_matches_all_strings(spark, corpus):
-    for rows in (corpus, overlapping(5), overlapping(6)):
-        got = sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in repeats.removed(table(spark, rows)).collect())
-        assert got == brute_removed(rows)
+def periodic(seed):
+    """Runs of short periods, alone, among others, cut at many places, and a paragraph that one text repeats."""
+    r = random.Random(seed)
+    paragraph = prose(seed + 7, 60)
+    rows = [(0, "a" * 2500, "a"), (1, "a" * 400, "a"), (2, "a" * 399, "a"), (3, "b" * 450, "a"), (4, prose(4, 30) + " " + "ab" * 700, "a"), (5, "ab" * 180 + prose(5, 90), "a")]
+    rows += [(6, " ".join([paragraph] * 9), "a"), (7, paragraph + prose(8, 30) + "Retionly " * 90, "a"), (8, "Retionly " * 40 + prose(9, 80), "a"), (9, ("x" * 100 + "y" * 150) * 8, "a")]
+    return rows + [(20 + k, prose(50 + k, r.randrange(20)) + "Retionly " * r.randrange(10, 80) + paragraph[: r.randrange(len(paragraph))] + "a" * r.randrange(500), "a") for k in range(12)]
+
+
+@pytest.mark.parametrize("hot", [3, repeats.HOT])
+def test_removed_matches_all_strings(spark, corpus, monkeypatch, hot):
+    monkeypatch.setattr(repeats, "HOT", hot)
+    rows = corpus + [(d + 1000 * k, t, s) for k, more in enumerate((overlapping(5), overlapping(6), periodic(3)), 1) for d, t, s in more]
+    assert got_removed(spark, rows) == brute_removed(rows)
+
+
+def test_a_text_of_one_letter_is_removed():
+    """Anchors at every byte come down to two for each context."""
+    buf = np.full(1 << 21, ord("a"), np.uint8)
+    off = np.array([0, len(buf)])
+    roll = tx.Rolling(buf)
+    at = repeats.anchors(roll, off)
+    two = repeats.representatives(roll, off, at, np.zeros(len(at), np.int64))
+    assert len(at) > 2_000_000 and len(two) < 1500
+    code = repeats._contexts_hash(roll, off, at[two], np.zeros(len(two), np.int64))
+    codes, n = np.unique(code, return_counts=True)
+    _, first, last = repeats._places(buf, codes[n > 1])
+    assert len(first) == 1 and last[0] - first[0] > len(buf) - 1200
 
 
 def test_repeat_groups_hold_equal_strings_that_differ_around(spark):
