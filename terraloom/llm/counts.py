@@ -56,7 +56,10 @@ def write_flat(docs: DataFrame, store: Workspace, tokenizer: str | None = None,
 
 
 def read_flat(spark: SparkSession, path: str, width: int = 2, block_ids: int = BLOCK_IDS) -> DataFrame:
-    """Blocks of raw files of little-endian ids, wherever Spark reads; a file is its path."""
+    """Blocks of raw files of little-endian ids, wherever Spark reads; a file is its path.
+
+    Spark hands a whole file over as one value, so a file must be under 2 GB; larger ones have to be split at any multiple of the width.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -82,8 +85,12 @@ def _scan(blocks: DataFrame, end_id: int) -> DataFrame:
 
 
 def count(blocks: DataFrame, end_id: int = END_OF_TEXT) -> DataFrame:
-    """file, ordinal (of the document in its file, from 0), n_tokens, closed."""
-    found = _scan(blocks, end_id)
+    """file, ordinal (of the document in its file, from 0), n_tokens, closed.
+
+    Windows hold a row of four numbers for each block of a file; the lengths of documents join it afterwards.
+    """
+    scanned = Workspace(blocks.sparkSession, "counts").save(_scan(blocks, end_id), "scan")
+    found = scanned.drop("lens")
     before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     found = found.withColumn("ordinal", F.coalesce(F.sum("n_ends").over(before), F.lit(0)))
     # blocks of equal ordinal hold no separator until the last of them; the block that began the run leaves its own rest
@@ -92,7 +99,8 @@ def count(blocks: DataFrame, end_id: int = END_OF_TEXT) -> DataFrame:
     opened = found.where("n_ends > 0").select(F.col("file").alias("f"), F.col("block").alias("b"), F.col("rest").alias("opening"))
     found = found.join(opened, (F.col("file") == F.col("f")) & (F.col("run") == F.col("b")), "left").drop("f", "b")
     found = found.withColumn("carried", F.coalesce("opening", F.lit(0)) + F.coalesce(F.sum(F.when(F.col("n_ends") == 0, F.col("rest"))).over(since), F.lit(0)))
-    closed = found.where("n_ends > 0").select("file", "ordinal", "carried", F.posexplode("lens").alias("k", "n"))
+    lens = scanned.where("n_ends > 0").select(F.col("file").alias("lf"), F.col("block").alias("lb"), "lens")
+    closed = found.where("n_ends > 0").join(lens, (F.col("file") == F.col("lf")) & (F.col("block") == F.col("lb"))).select("file", "ordinal", "carried", F.posexplode("lens").alias("k", "n"))
     closed = closed.select("file", (F.col("ordinal") + F.col("k")).alias("ordinal"), F.when(F.col("k") == 0, F.col("n") + F.col("carried")).otherwise(F.col("n")).alias("n_tokens"), F.lit(True).alias("closed"))
     tail = found.groupBy("file").agg(F.max(F.struct("block", "n_ends", "rest", "ordinal", "carried")).alias("t"))
     tail = tail.select("file", (F.col("t.ordinal") + F.col("t.n_ends")).alias("ordinal"), F.when(F.col("t.n_ends") > 0, F.col("t.rest")).otherwise(F.col("t.rest") + F.col("t.carried")).alias("n_tokens"), F.lit(False).alias("closed"))

@@ -22,6 +22,7 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from . import _text as tx
 from ._store import small_batches
@@ -220,7 +221,9 @@ def probabilities(p: Paragraphs, model: Model) -> tuple[np.ndarray, np.ndarray]:
 def scan(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
     """Per row of ``docs``: windows read, windows with a licence, families (sorted, comma-joined), the most certain one with its probability, windows of unknown licence."""
     small_batches(docs.sparkSession)
-    texts = [r.text for r in docs.select("text").where(f"length(text) between 1 and {SAMPLE_CHARS}").limit(sample_docs).collect()]
+    # those of least hash, so that neither files nor partitions decide; texts of one doc_id by a hash of their own
+    drawn = docs.where(F.length("text").between(1, SAMPLE_CHARS)).select("text", F.xxhash64("doc_id").alias("h"), F.xxhash64("text").alias("g"))
+    texts = [r.text for r in drawn.orderBy("h", "g").limit(sample_docs).collect()]
     model = docs.sparkSession.sparkContext.broadcast(train(texts))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -52,7 +52,7 @@ def targets(sizes: DataFrame, max_repeats: int = MAX_REPEATS, weights: int = WEI
 
 def by_size() -> Column:
     """The factor of a document's share: 2 size / (size + mean size of its source)."""
-    return F.lit(2.0) * F.col("mix_size") / (F.col("mix_size") + F.col("source_size") / F.col("n_docs"))
+    return F.try_divide(F.lit(2.0) * F.col("mix_size"), F.col("mix_size") + F.col("source_size") / F.col("n_docs"))
 
 
 def _even(seed: str) -> Column:

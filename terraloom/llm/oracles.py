@@ -51,7 +51,7 @@ lv AS (SELECT arg_min(words_left / weight_left, per) AS level FROM o WHERE per >
 t AS (SELECT source, source_size, n_docs, CASE WHEN level IS NULL OR per <= level THEN CAST(cap AS DOUBLE) ELSE level * weight END AS target FROM o, lv),
 x AS (SELECT d.*, t.source_size, t.n_docs, t.target, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS share FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
 p AS (SELECT *, CAST(floor(share) AS BIGINT) AS whole, share - floor(share) AS p, (CAST(CAST('0x' || substr(md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 13) AS BIGINT) AS DOUBLE) + 0.5) / 4503599627370496 AS u FROM x),
-i AS (SELECT *, least(1 - 1e-9, greatest(1e-9, p * coalesce(CAST(2 * size AS DOUBLE) / (size + source_size / n_docs), 0))) AS q FROM p),
+i AS (SELECT *, least(1 - 1e-9, greatest(1e-9, p * coalesce(CAST(2 * size AS DOUBLE) / nullif(size + source_size / n_docs, 0), 0))) AS q FROM p),
 q AS (SELECT *, (u / (1 - u)) / (q / (1 - q)) AS odds FROM i),
 k AS (SELECT *, target - whole * source_size AS rest, coalesce(sum(CASE WHEN p > 0 THEN size ELSE 0 END) OVER (PARTITION BY source ORDER BY odds / (1 + odds), doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM q)
 SELECT doc_id, size, source_size, target, CAST(size * (whole + CASE WHEN p > 0 AND size > 0 AND 2 * before + size <= 2 * rest THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM k""",
