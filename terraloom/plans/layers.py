@@ -69,6 +69,11 @@ def buildings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _shaped(p.select(F.col("k").alias("fid"), "s", "x1", "y1", x2.alias("x2"), (F.col("y1") + F.col("h")).alias("y2"), code.alias("fkt")))
 
 
+def hamlets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The buildings, but that four settlements in five are of sheds alone."""
+    return buildings(spark, sf_dir).withColumn("fkt", F.when(F.col("s") % 5 == 0, F.col("fkt")).otherwise("31001_2463"))
+
+
 def partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _shaped(settlements(spark, sf_dir).selectExpr("concat('PART_', s) name", "s", "ox - 600 x1", "oy - 600 y1", "ox + 900 x2", "oy + 900 y2"))
 
@@ -117,6 +122,7 @@ p0 AS (SELECT k, s, i % 10 AS c, (s % 40) * 1500 + (i % 10) * 30 + (k * 7919) %
  6 + (k * 17) % 10 + CASE WHEN i % 10 < 5 AND s % 2 = 0 THEN 4 ELSE 0 END AS h,
  CASE WHEN k % 10 <= 5 THEN '31001_1000' WHEN k % 10 = 6 THEN '31001_2050' WHEN k % 10 = 7 THEN '31001_2723' WHEN k % 10 = 8 THEN '31001_2463' ELSE '31001_3021' END AS fkt FROM k0),
 buildings AS (SELECT k AS fid, s, x1, y1, CASE c WHEN 2 THEN nx1 WHEN 7 THEN nx1 + 2 ELSE x1 + w END AS x2, y1 + h AS y2, fkt FROM p0),
+hamlets AS (SELECT * REPLACE (CASE WHEN s % 5 = 0 THEN fkt ELSE '31001_2463' END AS fkt) FROM buildings),
 partitions AS (SELECT 'PART_' || s AS name, s, ox - 600 AS x1, oy - 600 AS y1, ox + 900 AS x2, oy + 900 AS y2 FROM settlements),
 blocks AS (SELECT s * 4 + b AS bid, s, ox - 3 + 150 * (b % 2) AS x1, oy - 3 + 90 * (b // 2) AS y1, ox + 147 + 150 * (b % 2) AS x2, oy + 87 + 90 * (b // 2) AS y2 FROM settlements, (SELECT unnest([0, 1, 2, 3]) AS b)),
 r0 AS (SELECT s, ox, oy, e, CASE WHEN e < 6 THEN e % 2 ELSE (e - 6) // 2 END AS i, CASE WHEN e < 6 THEN e // 2 ELSE (e - 6) % 2 END AS j FROM settlements, (SELECT unnest(range(14)) AS e)),

@@ -176,11 +176,11 @@ _HALF = math.sqrt(2 * 50 * 50) / 2
 
 
 @query(
-    _cells(50, 100, f"WHERE fkt IN ({_IN})")
-    + f" SELECT b.fid FROM buildings b WHERE b.fkt IN ({_NOT}) AND NOT EXISTS (SELECT 1 FROM dense d WHERE n / (pi() * 10000) >= 8.2e-5 AND pow(greatest(b.x1 - (cx + 0.5) * 50, 0, (cx + 0.5) * 50 - b.x2), 2) + pow(greatest(b.y1 - (cy + 0.5) * 50, 0, (cy + 0.5) * 50 - b.y2), 2) <= {_HALF * _HALF!r})"
+    _cells(50, 100, f"WHERE fkt IN ({_IN})").replace("FROM buildings", "FROM hamlets")
+    + f" SELECT b.fid FROM hamlets b WHERE b.fkt IN ({_NOT}) AND NOT EXISTS (SELECT 1 FROM dense d WHERE n / (pi() * 10000) >= 8.2e-5 AND pow(greatest(b.x1 - (cx + 0.5) * 50, 0, (cx + 0.5) * 50 - b.x2), 2) + pow(greatest(b.y1 - (cy + 0.5) * 50, 0, (cy + 0.5) * 50 - b.y2), 2) <= {_HALF * _HALF!r})"
 )
 def residential_zone_negatives(spark, sf_dir):
-    b = layers.buildings(spark, sf_dir)
+    b = layers.hamlets(spark, sf_dir)
     homes = selection.with_codes(b, delineation.POSITIVE)
     cells = density.dense_cells(density.centres(homes), 50.0, 100.0, 8.2e-5)
     return density.outside_dense(selection.with_codes(b, delineation.NEGATIVE), cells, "fid").select("fid")
