@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from types import SimpleNamespace
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -47,19 +51,69 @@ def built_area(zones: DataFrame, buildings: DataFrame, key: str, tile: float = s
     both = F.col("is_box") & F.col("bx")
     met = met.select(key, "tx", "ty", "part.x1", "part.y1", "part.x2", "part.y2", both.alias("plain"), F.when(~both, F.col("shape")).alias("shape"), F.when(~both, F.col("bs")).alias("bs"))
 
-    def total(pieces: pd.DataFrame) -> pd.DataFrame:
-        first = pieces.iloc[0]
-        if pieces["plain"].all():
-            area = box_union_area(pieces[["x1", "y1", "x2", "y2"]].to_numpy())
-        else:
-            area = sum(plane.area(x) for x in plane.dissolved([s for row in pieces.itertuples() for s in _piece(row)]))
-        return pd.DataFrame({key: [first[key]], "built": [area]})
+    return union_areas(met, (key, "tx", "ty"), _piece).groupBy(key).agg(F.sum("area").alias("built"))
 
-    kind = dict(zones.dtypes)[key]
-    return met.groupBy(key, "tx", "ty").applyInPandas(total, f"{key} {kind}, built double").groupBy(key).agg(F.sum("built").alias("built"))
 
+def union_areas(pieces: DataFrame, keys: tuple[str, ...], shapes: Callable[[SimpleNamespace], list[plane.Polygon]]) -> DataFrame:
+    """The keys and ``area``, what the pieces of a group cover together: boxes (x1, y1, x2, y2) where ``plain``, or else what ``shapes`` makes of a row.
+
+    Groups come sorted, many in a batch: boxes that meet no other one of their group are just added up.
+    """
 
-def _piece(row) -> list[plane.Polygon]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            held.append(batch)
+            table = pa.Table.from_batches(held).combine_chunks()
+            last = int(np.flatnonzero(_starts(table, keys))[-1]) if table.num_rows else 0
+            if last:
+                yield _areas(table.slice(0, last), keys, shapes)
+                held = table.slice(last).to_batches()
+        if sum(b.num_rows for b in held):
+            yield _areas(pa.Table.from_batches(held).combine_chunks(), keys, shapes)
+
+    kinds = dict(pieces.dtypes)
+    rows = pieces.repartition(*keys).sortWithinPartitions(*keys, "x1")
+    return rows.mapInArrow(run, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", area double")
+
+
+def _starts(table: pa.Table, keys: tuple[str, ...]) -> np.ndarray:
+    """Which rows begin a group."""
+    new = np.zeros(table.num_rows, bool)
+    new[:1] = True
+    for k in keys:
+        v = table.column(k).to_numpy()
+        new[1:] |= v[1:] != v[:-1]
+    return new
+
+
+def _areas(table: pa.Table, keys: tuple[str, ...], shapes: Callable[[SimpleNamespace], list[plane.Polygon]]) -> pa.RecordBatch:
+    first = np.flatnonzero(_starts(table, keys))
+    group = np.repeat(np.arange(len(first)), np.diff(np.append(first, table.num_rows)))
+    box = np.stack([table.column(c).to_numpy().astype(float) for c in ("x1", "y1", "x2", "y2")], 1)
+    plain = np.asarray(table.column("plain").to_numpy(), bool)
+    area = np.bincount(group, (box[:, 2] - box[:, 0]) * (box[:, 3] - box[:, 1]), len(first))
+    crossed = np.zeros(len(first), bool)
+    step, open_ = 1, np.arange(len(group))
+    while len(open_):  # boxes of a group rise by x1
+        open_ = open_[open_ + step < len(group)]
+        j = open_ + step
+        near = (group[j] == group[open_]) & (box[j, 0] < box[open_, 2])
+        open_, j = open_[near], j[near]
+        crossed[group[open_[(box[j, 1] < box[open_, 3]) & (box[open_, 1] < box[j, 3])]]] = True
+        step += 1
+    shaped = np.zeros(len(first), bool)
+    shaped[group[~plain]] = True
+    ends = np.append(first[1:], table.num_rows)
+    for k in np.flatnonzero(crossed & ~shaped):
+        area[k] = box_union_area(box[first[k] : ends[k]])
+    for k in np.flatnonzero(shaped):
+        rows = [SimpleNamespace(**r) for r in table.slice(first[k], ends[k] - first[k]).to_pylist()]
+        area[k] = sum(map(plane.area, plane.dissolved([p for r in rows for p in shapes(r)])))
+    return pa.RecordBatch.from_arrays([*(table.column(k).combine_chunks().take(pa.array(first)) for k in keys), pa.array(area)], [*keys, "area"])
+
+
+def _piece(row: SimpleNamespace) -> list[plane.Polygon]:
     cut = plane.Polygon(plane.as_ring([(row.x1, row.y1), (row.x2, row.y1), (row.x2, row.y2), (row.x1, row.y2)]), [])
     if row.plain:
         return [cut]
