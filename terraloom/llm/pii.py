@@ -176,11 +176,14 @@ def entities(text: Column) -> Column:
     return F.when(text.rlike(HINT), F.regexp_extract_all(text, F.lit(ENTITY), 0)).otherwise(F.array().cast("array<string>"))
 
 
+def _spread(rows: DataFrame, *columns: str) -> DataFrame:
+    """Dealt to a fixed number of tasks: a few bytes make much work here, and small partitions would be put together."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *columns)
+
+
 def unit_surrogates(units: DataFrame, key: str, store: Workspace) -> DataFrame:
     """kind, canon, attempt, made of distinct units: distinct by kind, and none a unit of the input."""
-    # a few bytes make much work: by number, so that small partitions are not put together
-    units = units.repartition(int(units.sparkSession.conf.get("spark.sql.shuffle.partitions")), "kind", "canon")
-    state = store.save(_staged(units.withColumn("attempt", F.lit(0)), key), "made")
+    state = store.save(_staged(_spread(units, "kind", "canon").withColumn("attempt", F.lit(0)), key), "made")
     for _ in range(ATTEMPTS):
         several = state.groupBy("kind", "made").agg(F.min(F.struct("attempt", "canon")).alias("first"), F.count("*").alias("n")).where("n > 1").select(F.col("kind").alias("k"), F.col("made").alias("m"), F.col("first.canon").alias("stays"))
         twice = state.join(several, (F.col("kind") == F.col("k")) & (F.col("made") == F.col("m"))).where("canon <> stays").select("kind", "canon")
@@ -207,7 +210,7 @@ def surrogates(docs: DataFrame, key: str = "terraloom") -> DataFrame:
 
     held = store.save(rows.where(F.size("found") > 0).withColumn("row", F.monotonically_increasing_id()), "held")
     places = held.select("row", F.posexplode("found").alias("at", "found"))
-    parts = store.save(_parts(places.select("found").distinct()), "parts")
+    parts = store.save(_parts(_spread(places.select("found").distinct(), "found")), "parts")
     made = unit_surrogates(parts.select("kind", "canon").distinct(), key, store).select(F.col("kind").alias("k"), F.col("canon").alias("c"), "made")
     parts = parts.join(made, (F.col("kind") == F.col("k")) & (F.col("canon") == F.col("c")))
     capital = F.concat(F.upper(F.substring("made", 1, 1)), F.substring("made", F.lit(2), F.length("made")))
