@@ -177,8 +177,11 @@ def entities(text: Column) -> Column:
 
 
 def _spread(rows: DataFrame, *columns: str) -> DataFrame:
-    """Dealt to a fixed number of tasks: a few bytes make much work here, and small partitions would be put together."""
-    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *columns)
+    """Dealt to a fixed number of tasks: a few bytes make much work here, and small partitions would be put together.
+
+    By a hash of the columns, as the planner drops an exchange by the columns of the aggregate below it.
+    """
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64(*columns))
 
 
 def unit_surrogates(units: DataFrame, key: str, store: Workspace) -> DataFrame:
