@@ -10,6 +10,11 @@ _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghi
 _WORDS = r"'[^\x20\x09-\x0D]+'"
 _ALNUM = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
 
+_TERMS = r"'[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'"
+#: crc32 of the decimal digits of doc_id, bit by bit.
+_CRC = """xor(4294967295, list_reduce(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT)),
+ lambda c, b: list_reduce([8, 7, 6, 5, 4, 3, 2, 1], lambda x, k: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END, xor(c, b)), 4294967295))"""
+
 ORACLES: dict[str, str] = {
     "op1_ngram_jaccard_join": f"""WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_LOWER}, {_WORDS}) AS w FROM documents),
 sh AS (SELECT DISTINCT r, doc_id, array_to_string(w[i:i + 4], ' ') AS g FROM (SELECT *, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM d WHERE len(w) > 0)),
@@ -55,4 +60,26 @@ i AS (SELECT *, least(1 - 1e-9, greatest(1e-9, p * coalesce(CAST(2 * size AS DOU
 q AS (SELECT *, (u / (1 - u)) / (q / (1 - q)) AS odds FROM i),
 k AS (SELECT *, target - whole * source_size AS rest, coalesce(sum(CASE WHEN p > 0 THEN size ELSE 0 END) OVER (PARTITION BY source ORDER BY odds / (1 + odds), doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM q)
 SELECT doc_id, size, source_size, target, CAST(size * (whole + CASE WHEN p > 0 AND size > 0 AND 2 * before + size <= 2 * rest THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM k""",
+    "op11_periodic_runs": f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), {_WORDS}) AS w, {_CRC} AS h FROM documents),
+p AS (SELECT *, CAST(len(w) AS BIGINT) AS n, h // 10 AS g, CASE WHEN h % 10 = 0 AND len(w) > 0 THEN (h // 10) % len(w) END AS a FROM d),
+u AS (SELECT r, doc_id, n, CASE WHEN a IS NULL THEN w ELSE list_transform(range(n), lambda i: CASE WHEN i < a THEN w[i + 1] ELSE w[a + (i - a) % (1 + (n - a) // (3 + g % 8)) + 1] END) END AS w FROM p),
+word AS (SELECT r, n, unnest(range(n)) AS i, unnest(w) AS x FROM u),
+often AS (SELECT * FROM word SEMI JOIN (SELECT r, x FROM word GROUP BY r, x HAVING count(*) >= 4) USING (r, x)),
+same AS (SELECT f.r, f.i, e.i - f.i AS q FROM often f JOIN often e ON f.r = e.r AND f.x = e.x AND e.i > f.i AND 4 * (e.i - f.i) <= f.n),
+island AS (SELECT r, q, min(i) AS start, count(*) + q AS length FROM (SELECT *, i - row_number() OVER (PARTITION BY r, q ORDER BY i) AS k FROM same) GROUP BY r, q, k HAVING count(*) + q >= greatest(6, 4 * q)),
+run AS (SELECT r, start, length, min(q) AS period FROM island GROUP BY r, start, length),
+gone AS (SELECT DISTINCT r, unnest(range(start + period, start + length)) AS i FROM run),
+kept AS (SELECT r, string_agg(x, ' ' ORDER BY i) AS t FROM word ANTI JOIN gone USING (r, i) GROUP BY r),
+every AS (SELECT r, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS t, min((-length, start, period)) AS best FROM run GROUP BY r)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, CAST(best[2] AS BIGINT) AS start, CAST(-best[1] AS BIGINT) AS length, CAST(best[3] AS BIGINT) AS period, CAST((1000 * -best[1]) // best[3] AS BIGINT) AS exponent_milli,
+ sha256(coalesce(every.t, '')) AS runs_sha256, sha256(coalesce(kept.t, '')) AS collapsed_sha256 FROM d LEFT JOIN every USING (r) LEFT JOIN kept USING (r)""",
+    "op12_lexical_search": f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_LOWER}, {_TERMS}) AS t FROM documents),
+item AS (SELECT row_number() OVER () AS b, item_id, list_distinct(regexp_extract_all({_LOWER}, {_TERMS})) AS t FROM benchmark),
+term AS (SELECT b, item_id, unnest(t) AS x FROM item),
+place AS (SELECT r, x, count(*) AS tf FROM (SELECT r, unnest(t) AS x FROM d) WHERE x IN (SELECT x FROM term) GROUP BY r, x),
+total AS (SELECT count(*) AS n_docs, CAST(sum(len(t)) AS BIGINT) AS n_terms FROM d WHERE len(t) > 0),
+weight AS (SELECT x, CAST(floor(1000 * ln(CAST(2 * n_docs + 2 AS DOUBLE) / (2 * df + 1))) AS BIGINT) AS w FROM (SELECT x, count(*) AS df FROM place GROUP BY x), total),
+size AS (SELECT r, doc_id, 10 + (90 * len(t) * n_docs) // n_terms AS m FROM d, total WHERE len(t) > 0),
+score AS (SELECT b, any_value(item_id) AS item_id, any_value(doc_id) AS doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS BIGINT) AS score FROM term JOIN place USING (x) JOIN weight USING (x) JOIN size USING (r) GROUP BY b, r)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY b ORDER BY score DESC, doc_id NULLS LAST) AS INTEGER) AS rank, doc_id, score FROM score WHERE score > 0 QUALIFY rank <= 10""",
 }
