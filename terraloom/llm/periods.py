@@ -106,9 +106,9 @@ def find(ids: np.ndarray, first: np.ndarray, min_length: int = MIN_LENGTH, expon
     owner = np.searchsorted(base, open_, "right") - 1
     order = np.argsort(lag[open_], kind="stable")
     open_, owner = open_[order], owner[order]
-    cut = np.flatnonzero(np.append(True, lag[open_][1:] != lag[open_][:-1])) if len(open_) else []
+    cut = np.append(0, np.flatnonzero(np.diff(lag[open_])) + 1) if len(open_) else np.zeros(0, np.int64)
     found: dict[tuple[int, int, int], int] = {}
-    for p, e in zip(cut, [*cut[1:], len(open_)], strict=True):
+    for p, e in zip(cut, np.append(cut, len(open_))[1:], strict=True):
         # what runs of smaller periods do not explain
         still = left[open_[p:e]] >= need[open_[p:e]]
         docs, q = owner[p:e][still], int(lag[open_[p]])

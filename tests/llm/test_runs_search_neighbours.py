@@ -82,6 +82,11 @@ def test_heavy_and_light_counts_agree():
         assert [int(np.count_nonzero(w[q:] == w[: len(w) - q])) for q in range(1, reach[d] + 1)] == total[base[d] + 1 : base[d] + reach[d] + 1].tolist()
 
 
+def test_texts_without_any_lag_to_scan():
+    for ids, first in (([], [0]), ([], [0, 0]), (range(50), [0, 50]), ([1, 2, 1, 2, 3], [0, 5])):
+        assert periods.find(np.array(ids, tx.U), np.array(first)) == []
+
+
 def test_a_long_text_of_one_word_is_scanned_once():
     ids = np.zeros(400_000, tx.U)
     assert periods.find(ids, np.array([0, len(ids)])) == [(0, 0, 400_000, 1)]
