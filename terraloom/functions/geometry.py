@@ -113,6 +113,12 @@ def foot(px: Column, py: Column, x1: Column, y1: Column, x2: Column, y2: Column)
     return F.struct(x.alias("x"), y.alias("y"), F.sqrt((px - x) * (px - x) + (py - y) * (py - y)).alias("distance"))
 
 
+def segments_meet(px: Column, py: Column, qx: Column, qy: Column, rx: Column, ry: Column, sx: Column, sy: Column) -> Column:
+    """Whether segments pq and rs, whose bounds meet, have a point in common, ends included."""
+    turn = lambda ax, ay, bx, by, cx, cy: (bx - ax) * (cy - ay) - (by - ay) * (cx - ax)
+    return (turn(px, py, qx, qy, rx, ry) * turn(px, py, qx, qy, sx, sy) <= 0) & (turn(rx, ry, sx, sy, px, py) * turn(rx, ry, sx, sy, qx, qy) <= 0)
+
+
 def box_distance(px: Column, py: Column, b: Column) -> Column:
     """From a point to the bounds b, 0 inside."""
     dx = F.greatest(b["x1"] - px, F.lit(0.0), px - b["x2"])

@@ -370,44 +370,154 @@ def main_direction(lines: np.ndarray, gap: float = 10.0) -> float:
     return float(values[int(np.round(np.bincount(inverse, long[group == best]), 6).argmax())])
 
 
+#: Points move by up to this far, by a hash of their place, so that no four lie on one circle; triangles lower than ``FLAT`` are those of points on a line.
+SHIFT, FLAT = 1e-6, 1e-4
+
+
+def shaken(p: np.ndarray) -> np.ndarray:
+    """Points in general position: each moved a little, the same wherever and with whatever others it comes."""
+    key = np.round(p / GRID).astype(np.int64).view(np.uint64)
+    h = key[:, 0] * np.uint64(0x9E3779B97F4A7C15) ^ key[:, 1] * np.uint64(0xC2B2AE3D27D4EB4F)
+    for _ in range(2):
+        h ^= h >> np.uint64(31)
+        h *= np.uint64(0xD6E8FEB86659FD93)
+    h ^= h >> np.uint64(32)
+    both = np.stack([h & np.uint64(0xFFFFF), (h >> np.uint64(20)) & np.uint64(0xFFFFF)], 1).astype(float)
+    return p + (both / (1 << 20) - 0.5) * 2 * SHIFT
+
+
+def _along_curve(p: np.ndarray) -> np.ndarray:
+    """An order in which neighbours lie near each other: bits of both coordinates in turn."""
+    span = max(float(np.ptp(p, axis=0).max()), GRID)
+    q = ((p - p.min(0)) / span * 65535).astype(np.uint64)
+    for shift, mask in ((8, 0x00FF00FF), (4, 0x0F0F0F0F), (2, 0x33333333), (1, 0x55555555)):
+        q = (q | (q << np.uint64(shift))) & np.uint64(mask)
+    return np.argsort(q[:, 0] | (q[:, 1] << np.uint64(1)), kind="stable")
+
+
+def triangulated(points: np.ndarray) -> np.ndarray:
+    """The triangles (counter-clockwise) of distinct points in general position, and with -1 as one corner the sides of the hull.
+
+    Points come in along a space-filling curve; a walk from the last triangle finds the one that holds the next point, and the triangles around it whose circles hold the point are
+    replaced. A corner at infinity stands beyond each side of the hull, so that no far helper points bend it.
+    """
+    if len(points) < 3:
+        return np.zeros((0, 3), np.int64)
+    order = _along_curve(points).tolist()
+    local = points - points.mean(0)
+    x, y = local[:, 0].tolist(), local[:, 1].tolist()
+
+    def turn(a: int, b: int, c: int) -> float:
+        return (x[b] - x[a]) * (y[c] - y[a]) - (y[b] - y[a]) * (x[c] - x[a])
+
+    a, b = order[:2]
+    third = next((k for k in order[2:] if turn(a, b, k) != 0), None)
+    if third is None:
+        return np.zeros((0, 3), np.int64)
+    if turn(a, b, third) < 0:
+        a, b = b, a
+    # corners, and the neighbour across from each
+    tri = [[a, b, third], [b, a, -1], [third, b, -1], [a, third, -1]]
+    near = [[2, 3, 1], [3, 2, 0], [1, 3, 0], [2, 1, 0]]
+    free: list[int] = []
+    last = 0
+
+    def holds(t: int, px: float, py: float) -> bool:
+        u, v, w = tri[t]
+        if u < 0 or v < 0 or w < 0:
+            if u < 0:
+                u, v = v, w
+            elif v < 0:
+                u, v = w, u
+            return (x[v] - x[u]) * (py - y[u]) - (y[v] - y[u]) * (px - x[u]) > 0
+        ax, ay, bx, by, cx, cy = x[u] - px, y[u] - py, x[v] - px, y[v] - py, x[w] - px, y[w] - py
+        return (ax * ax + ay * ay) * (bx * cy - cx * by) - (bx * bx + by * by) * (ax * cy - cx * ay) + (cx * cx + cy * cy) * (ax * by - bx * ay) > 0
+
+    for k in order:
+        if k in (a, b, third):
+            continue
+        px, py = x[k], y[k]
+        t, steps = last, 0
+        while True:
+            u, v, w = tri[t]
+            if u < 0 or v < 0 or w < 0:
+                break
+            if (x[w] - x[v]) * (py - y[v]) - (y[w] - y[v]) * (px - x[v]) < 0:
+                t = near[t][0]
+            elif (x[u] - x[w]) * (py - y[w]) - (y[u] - y[w]) * (px - x[w]) < 0:
+                t = near[t][1]
+            elif (x[v] - x[u]) * (py - y[u]) - (y[v] - y[u]) * (px - x[u]) < 0:
+                t = near[t][2]
+            else:
+                break
+            steps += 1
+            if steps > 3 * len(tri):  # rounding may lead in a circle
+                break
+        if not holds(t, px, py):
+            t = next((s for s in range(len(tri)) if tri[s] is not None and holds(s, px, py)), -1)
+            if t < 0:
+                continue
+        bad, stack, rim = {t}, [t], []
+        while stack:
+            t = stack.pop()
+            own, beside = tri[t], near[t]
+            for i in range(3):
+                n = beside[i]
+                if n in bad:
+                    continue
+                if holds(n, px, py):
+                    bad.add(n)
+                    stack.append(n)
+                else:
+                    rim.append((own[i - 2], own[i - 1], n, t))
+        rim = [r for r in rim if r[2] not in bad]
+        starts, ends, made = {}, {}, []
+        for u, v, outside, inside in rim:
+            if free:
+                s = free.pop()
+            else:
+                s = len(tri)
+                tri.append(None)
+                near.append(None)
+            tri[s], near[s] = [u, v, k], [-1, -1, outside]
+            other = near[outside]
+            other[other.index(inside)] = s
+            starts[u], ends[v] = s, s
+            made.append(s)
+        for s in made:
+            u, v, _ = tri[s]
+            near[s][0], near[s][1] = starts[v], ends[u]
+        for t in bad:
+            tri[t] = None
+            free.append(t)
+        last = made[-1]
+    return np.array([t for t in tri if t is not None], np.int64).reshape(-1, 3)
+
+
+def circles(p: np.ndarray, tri: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(centres, radii, heights over the longest side) of triangles."""
+    a = p[tri[:, 0]]
+    b, c = p[tri[:, 1]] - a, p[tri[:, 2]] - a
+    twice = b[:, 0] * c[:, 1] - b[:, 1] * c[:, 0]
+    b2, c2 = (b * b).sum(1), (c * c).sum(1)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        o = np.stack([c[:, 1] * b2 - b[:, 1] * c2, b[:, 0] * c2 - c[:, 0] * b2], 1) / (2 * twice)[:, None]
+    longest = np.sqrt(np.maximum(np.maximum(b2, c2), ((b - c) ** 2).sum(1)))
+    return a + o, np.hypot(o[:, 0], o[:, 1]), np.abs(twice) / longest
+
+
 def delaunay(points: list[tuple[float, float]]) -> list[tuple[int, int, int]]:
-    """Triangles by insertion; points on one circle keep the first triangles found, and a straight line has none."""
-    if len(set(points)) < 3:
+    """Triangles; of points on one circle those that a slight move of each decides, the same everywhere. A repeated point counts once, at its first place, and a straight line has none."""
+    if len(points) < 3:
         return []
     p = np.array(points, float)
-    middle, span = (p.min(0) + p.max(0)) / 2, max(1.0, float(np.ptp(p, axis=0).max()))
-    n = len(points)
-    p = np.vstack([p, middle + [[-30 * span, -20 * span], [30 * span, -20 * span], [0, 40 * span]]])
-    tri = {(n, n + 1, n + 2)}
-    seen = set()
-
-    def circle(t):
-        (ax, ay), (bx, by), (cx, cy) = p[list(t)] - p[t[0]]
-        d = 2 * (bx * cy - by * cx)
-        if abs(d) < 1e-12:
-            return np.array([np.inf, np.inf]), np.inf
-        b2, c2 = bx * bx + by * by, cx * cx + cy * cy
-        o = np.array([(cy * b2 - by * c2) / d, (bx * c2 - cx * b2) / d])
-        return o + p[t[0]], float(o @ o)
-
-    rounds = {t: circle(t) for t in tri}
-    for k in range(n):
-        if points[k] in seen:
-            continue
-        seen.add(points[k])
-        bad = [t for t in tri if not math.isinf(rounds[t][1]) and float(((p[k] - rounds[t][0]) ** 2).sum()) < rounds[t][1] * (1 - 1e-12)]
-        rim: dict[tuple[int, int], int] = {}
-        for t in bad:
-            for a, b in ((t[0], t[1]), (t[1], t[2]), (t[2], t[0])):
-                rim[min(a, b), max(a, b)] = rim.get((min(a, b), max(a, b)), 0) + 1
-            tri.discard(t)
-            rounds.pop(t)
-        for (a, b), times in rim.items():
-            if times == 1 and abs((p[a][0] - p[k][0]) * (p[b][1] - p[k][1]) - (p[a][1] - p[k][1]) * (p[b][0] - p[k][0])) > 1e-9:
-                t = tuple(sorted((a, b, k)))
-                tri.add(t)
-                rounds[t] = circle(t)
-    return sorted(t for t in tri if t[2] < n)
+    _, first = np.unique(np.round(p / GRID).astype(np.int64), axis=0, return_index=True)
+    first.sort()
+    moved = shaken(p[first])
+    tri = triangulated(moved)
+    tri = tri[(tri >= 0).all(1)]
+    tri = tri[circles(moved, tri)[2] >= FLAT]
+    return sorted(map(tuple, np.sort(first[tri], axis=1).tolist()))
 
 
 def spanning_forest(weighted: list[tuple[float, int, int]]) -> list[tuple[float, int, int]]:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terraloom.functions import geometry as g
-from terraloom.operators import classify, coverage, density, graph, overlay, refine, roads, selection
+from terraloom.operators import classify, coverage, density, graph, overlay, refine, roads, selection, triangulation
 from terraloom.operators import spatial_join as sj
 from terraloom.plans import delineation, layers
 from terraloom.sources import layers as io
@@ -276,9 +276,47 @@ def gap_select(spark, sf_dir):
 # ---- graph
 
 
-@query()
+#: For each two buildings of a settlement, from where to where the centres of circles through both lie that hold no third one (see ``triangulation.edges``).
+_EDGES = """, pt AS (SELECT fid, s, (x1 + x2) / 2.0::DOUBLE AS x, (y1 + y2) / 2.0::DOUBLE AS y FROM buildings),
+third AS (SELECT a.s, a.fid AS u, b.fid AS v, pow(b.x - a.x, 2) + pow(b.y - a.y, 2) AS d2, (b.x - a.x) * (p.y - a.y) - (b.y - a.y) * (p.x - a.x) AS side, pow(p.x - (a.x + b.x) / 2, 2) + pow(p.y - (a.y + b.y) / 2, 2) AS m2
+ FROM pt a JOIN pt b ON a.s = b.s AND a.fid < b.fid LEFT JOIN pt p ON p.s = a.s AND p.fid <> a.fid AND p.fid <> b.fid),
+room AS (SELECT s, u, v, any_value(d2) AS d2, max(CASE WHEN side < 0 THEN (m2 - d2 / 4) * sqrt(d2) / (2 * side) END) AS lo, min(CASE WHEN side > 0 THEN (m2 - d2 / 4) * sqrt(d2) / (2 * side) END) AS hi, coalesce(bool_or(side = 0 AND m2 < d2 / 4), FALSE) AS blocked FROM third GROUP BY s, u, v),
+edge AS (SELECT * FROM room WHERE NOT blocked AND coalesce(hi - lo > 1e-3, TRUE))
+"""
+
+
+@query(_EDGES + "SELECT s, u, v FROM edge")
 def delaunay_edges(spark, sf_dir):
-    return graph.delaunay_edges(layers.buildings(spark, sf_dir), "s")
+    """The edges that every Delaunay triangulation of a settlement's points has."""
+    return triangulation.unmistakable(graph.delaunay_edges(layers.buildings(spark, sf_dir), "s", Workspace(spark, "delaunay"))).select("s", "u", "v")
+
+
+@query(_EDGES + "SELECT u, v FROM edge WHERE d2 / 4 + pow(CASE WHEN lo > 0 THEN lo WHEN hi < 0 THEN hi ELSE 0 END, 2) < 3600")
+def delaunay_whole_layer(spark, sf_dir):
+    """All settlements as one group, in tiles; edges with an empty circle of a radius under 60 m, which none but points of their settlement can fill."""
+    b = layers.buildings(spark, sf_dir).withColumn("group", F.lit(0))
+    found = triangulation.unmistakable(graph.delaunay_edges(b, "group", Workspace(spark, "delaunay")))
+    c = density.centres(b, "fid")
+    ends = found.join(c.select(F.col("fid").alias("u"), F.col("x").alias("ux"), F.col("y").alias("uy")), "u").join(c.select(F.col("fid").alias("v"), F.col("x").alias("vx"), F.col("y").alias("vy")), "v")
+    centre = F.when(F.col("lo") > 0, F.col("lo")).when(F.col("hi") < 0, F.col("hi")).otherwise(0.0)
+    return ends.where((F.pow(F.col("ux") - F.col("vx"), 2) + F.pow(F.col("uy") - F.col("vy"), 2)) / 4 + centre * centre < 3600).select("u", "v")
+
+
+@query(
+    ", pt AS (SELECT fid, s, (x1 + x2) / 2.0::DOUBLE AS x, (y1 + y2) / 2.0::DOUBLE AS y FROM buildings), turn AS (SELECT a.s, a.fid AS u, b.fid AS v, a.x AS ax, a.y AS ay, b.x AS bx, b.y AS b_y, (b.x - a.x) * (p.y - a.y) - (b.y - a.y) * (p.x - a.x) AS side, (p.x - a.x) * (p.x - b.x) + (p.y - a.y) * (p.y - b.y) AS between_"
+    " FROM pt a JOIN pt b ON a.s = b.s AND a.fid <> b.fid JOIN pt p ON p.s = a.s AND p.fid <> a.fid AND p.fid <> b.fid),"
+    " rim AS (SELECT s, u, v, any_value(ax * b_y - bx * ay) AS twice, coalesce(bool_or(side = 0 AND between_ < 0), FALSE) AS over FROM turn GROUP BY s, u, v HAVING min(side) >= 0 AND max(side) > 0),"
+    " n AS (SELECT s, count(*) AS n FROM pt GROUP BY s), h AS (SELECT s, count(DISTINCT u) AS h FROM rim GROUP BY s)"
+    " SELECT s, CAST(2 * n - 2 - h AS BIGINT) AS n_triangles, round(sum(twice) / 2, 3) AS area FROM rim JOIN n USING (s) JOIN h USING (s) WHERE NOT over GROUP BY s, n, h"
+)
+def delaunay_triangles(spark, sf_dir):
+    """How many triangles each settlement has and what they cover: those of any triangulation that fills the hull."""
+    store = Workspace(spark, "delaunay")
+    p = store.save(density.centres(layers.buildings(spark, sf_dir), "s", "fid").withColumnRenamed("fid", "id"), "centres")
+    at = lambda n: p.select(F.col("id").alias(n), F.col("x").alias(f"{n}x"), F.col("y").alias(f"{n}y"))
+    t = triangulation.triangles(p, "s", store).join(at("a"), "a").join(at("b"), "b").join(at("c"), "c")
+    area = F.abs(F.expr("(bx - ax) * (cy - ay) - (by - ay) * (cx - ax)")) / 2
+    return t.groupBy("s").agg(F.count("*").alias("n_triangles"), F.round(F.sum(area), 3).alias("area"))
 
 
 _PAIRS = "a.s = b.s AND a.fid < b.fid AND a.x1 - 10 <= b.x2 AND a.x2 + 10 >= b.x1 AND a.y1 - 10 <= b.y2 AND a.y2 + 10 >= b.y1"
@@ -297,9 +335,26 @@ def _parting_roads(spark, sf_dir):
     return every.join(short, F.col("rid") == F.col("short"), "left_anti")
 
 
-@query()
+#: An edge is in the forest if lighter ones don't join its ends already.
+_FOREST = (
+    _EDGES
+    + """, corner AS (SELECT fid, CASE v WHEN 0 THEN x1 WHEN 1 THEN x2 WHEN 2 THEN x2 ELSE x1 END AS x, CASE v WHEN 0 THEN y1 WHEN 1 THEN y1 ELSE y2 END AS y FROM buildings, (SELECT unnest([0, 1, 2, 3]) AS v)),
+line AS (SELECT e.s, u, v, a.x AS px, a.y AS py, b.x AS qx, b.y AS qy FROM edge e JOIN pt a ON a.fid = u JOIN pt b ON b.fid = v),
+crossed AS (SELECT DISTINCT u, v FROM line l JOIN roads r ON l.s = r.s AND rid % 14 <> 12 AND least(px, qx) <= greatest(x1, x2) AND greatest(px, qx) >= least(x1, x2) AND least(py, qy) <= greatest(y1, y2) AND greatest(py, qy) >= least(y1, y2)
+ AND ((qx - px) * (y1 - py) - (qy - py) * (x1 - px)) * ((qx - px) * (y2 - py) - (qy - py) * (x2 - px)) <= 0 AND ((x2 - x1) * (py - y1) - (y2 - y1) * (px - x1)) * ((x2 - x1) * (qy - y1) - (y2 - y1) * (qx - x1)) <= 0),
+weighed AS (SELECT e.s, u, v, greatest(1, sqrt(min(pow(p.x - q.x, 2) + pow(p.y - q.y, 2)))) AS w FROM (SELECT s, u, v FROM edge ANTI JOIN crossed USING (u, v)) e JOIN corner p ON p.fid = u JOIN corner q ON q.fid = v GROUP BY e.s, u, v),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY s ORDER BY w, u, v) AS o FROM weighed),
+reached AS (SELECT s, o, u AS node FROM ranked UNION SELECT r.s, r.o, CASE WHEN f.u = r.node THEN f.v ELSE f.u END FROM reached r JOIN ranked f ON f.s = r.s AND f.o < r.o AND (f.u = r.node OR f.v = r.node)),
+forest AS (SELECT s, u, v, w FROM ranked e WHERE NOT EXISTS (SELECT 1 FROM reached r WHERE r.s = e.s AND r.o = e.o AND r.node = e.v))
+"""
+)
+
+
+@query(_FOREST + "SELECT s, u, v, round(w, 6) AS w FROM forest")
 def minimum_spanning_forest(spark, sf_dir):
-    return graph.spanning_forests(layers.buildings(spark, sf_dir), _parting_roads(spark, sf_dir), "s")
+    """Over the edges that every triangulation has."""
+    made = graph.spanning_forests(layers.buildings(spark, sf_dir), _parting_roads(spark, sf_dir), "s", Workspace(spark, "forest"), every=False)
+    return made.select("s", "u", "v", F.round("w", 6).alias("w"))
 
 
 @query("SELECT fid, CAST(CASE WHEN y2 - y1 > x2 - x1 THEN 90 ELSE 0 END AS DOUBLE) AS direction FROM buildings")
@@ -447,13 +502,22 @@ def buffer_flat(spark, sf_dir):
     return made.groupBy("rid").agg(F.round(F.sum(g.area(F.col("shape"))), 1).alias("area"))
 
 
-@query("SELECT s, CAST(14 AS BIGINT) + 7 AS n_pieces, CAST(5 * (12 * 120 + 40 + 80 + 300) AS DOUBLE) AS length FROM settlements")
+#: Lines along the axes, turned like the layers: where a line is met by others, between its ends.
+_PIECES_OF_LINES = """, every AS (SELECT s, rid, x1, y1, x2, y2 FROM roads UNION ALL SELECT s, -s - 1, ox - 3, oy + 42, ox + 297, oy + 42 FROM settlements),
+span AS (SELECT s, rid, least(x1, x2) AS x1, least(y1, y2) AS y1, greatest(x1, x2) AS x2, greatest(y1, y2) AS y2, CASE WHEN y1 = y2 THEN x2 - x1 ELSE y2 - y1 END AS len FROM every),
+met AS (SELECT DISTINCT a.rid, greatest(a.x1, b.x1) AS x, greatest(a.y1, b.y1) AS y FROM span a JOIN span b ON a.s = b.s AND a.rid <> b.rid AND a.x1 <= b.x2 AND a.x2 >= b.x1 AND a.y1 <= b.y2 AND a.y2 >= b.y1
+ WHERE (greatest(a.x1, b.x1), greatest(a.y1, b.y1)) NOT IN ((a.x1, a.y1), (a.x2, a.y2))),
+cuts AS (SELECT rid, count(*) AS n FROM met GROUP BY rid)
+"""
+
+
+@query(_PIECES_OF_LINES + "SELECT s, CAST(sum(1 + coalesce(n, 0)) AS BIGINT) AS n_pieces, CAST(5 * sum(abs(len)) AS DOUBLE) AS length FROM span LEFT JOIN cuts USING (rid) GROUP BY s")
 def noded_roads(spark, sf_dir):
-    """The roads with one more across the three upright ones of each settlement: three are cut in two, and the new one comes in four pieces."""
+    """The roads with one more across the three upright ones of each settlement: three are cut in two, and the new one, which begins and ends on the outer two, comes in two pieces."""
     r = layers.roads(spark, sf_dir).select("s", "line")
     across = layers.settlements(spark, sf_dir).select("s", F.array(g.point(F.col("ox") - 3, F.col("oy") + 42), g.point(F.col("ox") + 297, F.col("oy") + 42)).alias("line"))
     cut = overlay.noded_lines(layers.turned_lines(r.unionByName(across)), "s")
-    return cut.groupBy("s").agg((F.count("*") + 2).alias("n_pieces"), F.round(F.sum(F.hypot(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"))), 3).alias("length"))
+    return cut.groupBy("s").agg(F.count("*").alias("n_pieces"), F.round(F.sum(F.hypot(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"))), 3).alias("length"))
 
 
 @query(_TOUCH + ", own AS (SELECT b.*, component, (b.x2 - b.x1) * (b.y2 - b.y1) AS area FROM buildings b JOIN comp USING (fid)), both_ AS (SELECT a.component, sum((least(a.x2, b.x2) - greatest(a.x1, b.x1)) * (least(a.y2, b.y2) - greatest(a.y1, b.y1))) AS area FROM own a JOIN own b ON a.component = b.component AND a.fid < b.fid AND a.x1 < b.x2 AND a.x2 > b.x1 AND a.y1 < b.y2 AND a.y2 > b.y1 GROUP BY 1) SELECT component, CAST(25 * (sum(own.area) - coalesce(max(both_.area), 0)) AS DOUBLE) AS area FROM own LEFT JOIN both_ USING (component) GROUP BY component")
