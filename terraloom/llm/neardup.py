@@ -523,8 +523,18 @@ def classes(docs: DataFrame) -> DataFrame:
     roots = components(_union(edges), store)
     store.drop(live, drawn, *found)
     out = member.join(roots, F.col("rep") == F.col("node"), "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "rep", "doc_id").alias("component_id"))
-    none = every.where("doc_id is null").select("doc_id", F.when(F.coalesce(F.regexp_replace("text", "[\\x20\\x09-\\x0D]+", ""), F.lit("")) == "", 0).cast("long").alias("n_shingles"), F.lit(None).cast("long").alias("component_id"))
-    return out.unionByName(none)
+    return out.unionByName(_unnamed(every.where("doc_id is null")))
+
+
+def _unnamed(rows: DataFrame) -> DataFrame:
+    """Rows without a doc_id: the size of each one's set; nothing links with them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, buf, off in tx.chunks(batches):
+            _, first = shingle_sets(buf, off)
+            yield pa.RecordBatch.from_arrays([tx.column(batch, "doc_id"), pa.array(np.diff(first).astype(np.int64)), pa.nulls(batch.num_rows, pa.int64())], ["doc_id", "n_shingles", "component_id"])
+
+    return rows.mapInArrow(run, "doc_id long, n_shingles long, component_id long")
 
 
 def _union(tables: list[DataFrame]) -> DataFrame:
@@ -542,8 +552,11 @@ def distinct_documents(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     store = Workspace(spark, "distinct")
     known = store.save(classes(docs).where("doc_id is not null").groupBy("doc_id").agg(F.min("component_id").alias("component_id"), F.count("*").alias("rows")), "classes")
-    gone = known.where("doc_id <> component_id").select(F.col("doc_id").alias("gone_id"))
-    several = known.where("doc_id = component_id and rows > 1").select(F.col("doc_id").alias("several_id"))
+    other = "other_id"  # a name that no column of the documents has
+    while other in {c.lower() for c in docs.columns}:
+        other += "_"
+    gone = known.where("doc_id <> component_id").select(F.col("doc_id").alias(other))
+    several = known.where("doc_id = component_id and rows > 1").select(F.col("doc_id").alias(other))
     shared = _buckets.members(gone.union(several))
 
     def part(doubtful: bool):
@@ -555,9 +568,9 @@ def distinct_documents(docs: DataFrame) -> DataFrame:
 
         return docs.mapInArrow(run, docs.schema)
 
-    rest = part(True).join(gone, F.col("doc_id").cast("long") == F.col("gone_id"), "left_anti")
+    rest = part(True).join(gone, F.col("doc_id").cast("long") == F.col(other), "left_anti")
     out = part(False)
     if not several.isEmpty():
-        twice = rest.join(several, F.col("doc_id").cast("long") == F.col("several_id"), "left_semi").dropDuplicates(["doc_id"])
-        rest = rest.join(several, F.col("doc_id").cast("long") == F.col("several_id"), "left_anti").unionByName(twice)
+        twice = rest.join(several, F.col("doc_id").cast("long") == F.col(other), "left_semi").dropDuplicates(["doc_id"])
+        rest = rest.join(several, F.col("doc_id").cast("long") == F.col(other), "left_anti").unionByName(twice)
     return out.unionByName(rest)

@@ -38,16 +38,17 @@ rule AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_f
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
  NOT base_failed AND 10 * n_symbols <= 2 * n_words AND 10 * n_dup_lines <= n_words AND 2 * n_words <= word_chars AND word_chars <= 20 * n_words AND 2 * upper <= letters AND 10 * lettered >= 6 * n_words AS kept FROM rule""",
     "op4_decontamination": f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_LOWER}, {_ALNUM}) AS w FROM documents),
-b AS (SELECT CAST(item_id AS VARCHAR) AS item_id, regexp_extract_all({_LOWER}, {_ALNUM}) AS w FROM benchmark WHERE item_id IS NOT NULL),
+b AS (SELECT row_number() OVER () AS item, CAST(item_id AS VARCHAR) AS item_id, regexp_extract_all({_LOWER}, {_ALNUM}) AS w FROM benchmark),
 sized AS (SELECT *, least(len(w), 13) AS k FROM b WHERE len(w) > 0),
-win AS (SELECT DISTINCT item_id, k, array_to_string(w[i:i + k - 1], ' ') AS g FROM (SELECT *, unnest(range(1, len(w) - k + 2)) AS i FROM sized)),
+win AS (SELECT DISTINCT item, item_id, k, array_to_string(w[i:i + k - 1], ' ') AS g FROM (SELECT *, unnest(range(1, len(w) - k + 2)) AS i FROM sized)),
 place AS (SELECT r, i, k, array_to_string(w[i:i + k - 1], ' ') AS g FROM (SELECT r, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM d, (SELECT DISTINCT k FROM win) WHERE len(w) >= k)),
 met AS (SELECT r, i, k, item_id FROM place JOIN win USING (k, g)),
 hit AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest(range(i, i + k)) AS p FROM met) GROUP BY r),
-own AS (SELECT r, count(*) AS n, string_agg(item_id, ',' ORDER BY item_id) AS ids FROM (SELECT DISTINCT r, item_id FROM met) GROUP BY r)
+own AS (SELECT r, count(item_id) AS n, string_agg(item_id, ',' ORDER BY item_id) AS ids FROM (SELECT DISTINCT r, item_id FROM met) GROUP BY r)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(hit.n, 0) AS BIGINT) AS n_hit, CAST(coalesce(own.n, 0) AS BIGINT) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
  coalesce(hit.n, 0) > 0 AND 20 * coalesce(hit.n, 0) >= len(w) AS contaminated FROM d LEFT JOIN hit USING (r) LEFT JOIN own USING (r)""",
-    "op6_mixing": f"""WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), {_WORDS})) AS BIGINT) AS size FROM documents),
+    "op6_mixing": f"""WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), {_WORDS})) AS BIGINT) AS size,
+ (CAST(CAST('0x' || substr(md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' || coalesce(text, '')), 1, 13) AS BIGINT) AS DOUBLE) + 0.5) / 4503599627370496 AS u FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, count(*) AS n_docs, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS weight FROM d GROUP BY source),
 f AS (SELECT *, 3 * source_size AS cap, 3 * source_size / weight AS per FROM s),
 o AS (SELECT *, (SELECT CAST(sum(source_size) AS BIGINT) FROM f) - coalesce(CAST(sum(cap) OVER b AS BIGINT), 0) AS words_left, (SELECT CAST(sum(weight) AS BIGINT) FROM f) - coalesce(CAST(sum(weight) OVER b AS BIGINT), 0) AS weight_left
@@ -55,11 +56,13 @@ o AS (SELECT *, (SELECT CAST(sum(source_size) AS BIGINT) FROM f) - coalesce(CAST
 lv AS (SELECT arg_min(words_left / weight_left, per) AS level FROM o WHERE per > words_left / weight_left),
 t AS (SELECT source, source_size, n_docs, CASE WHEN level IS NULL OR per <= level THEN CAST(cap AS DOUBLE) ELSE level * weight END AS target FROM o, lv),
 x AS (SELECT d.*, t.source_size, t.n_docs, t.target, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS share FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
-p AS (SELECT *, CAST(floor(share) AS BIGINT) AS whole, share - floor(share) AS p, (CAST(CAST('0x' || substr(md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 13) AS BIGINT) AS DOUBLE) + 0.5) / 4503599627370496 AS u FROM x),
-i AS (SELECT *, least(1 - 1e-9, greatest(1e-9, p * coalesce(CAST(2 * size AS DOUBLE) / nullif(size + source_size / n_docs, 0), 0))) AS q FROM p),
-q AS (SELECT *, (u / (1 - u)) / (q / (1 - q)) AS odds FROM i),
-k AS (SELECT *, target - whole * source_size AS rest, coalesce(sum(CASE WHEN p > 0 THEN size ELSE 0 END) OVER (PARTITION BY source ORDER BY odds / (1 + odds), doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM q)
-SELECT doc_id, size, source_size, target, CAST(size * (whole + CASE WHEN p > 0 AND size > 0 AND 2 * before + size <= 2 * rest THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM k""",
+p AS (SELECT *, CAST(floor(share) AS BIGINT) AS whole, CASE WHEN share > floor(share) THEN target - CAST(floor(share) AS BIGINT) * source_size ELSE 0 END AS rest, CAST(2 * size AS DOUBLE) / nullif(size + source_size / n_docs, 0) AS f FROM x),
+h AS (SELECT source, f, any_value(rest) AS rest, CAST(sum(size) AS BIGINT) AS words FROM p WHERE rest > 0 AND size > 0 GROUP BY source, f),
+c AS (SELECT *, rest - coalesce(sum(words) OVER (PARTITION BY source ORDER BY f DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS open, sum(f * words) OVER (PARTITION BY source ORDER BY f DESC ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS weighed FROM h),
+sc AS (SELECT source, max(f) AS least_certain, greatest(arg_max(open, f), 0) / arg_max(weighed, f) AS scale FROM c WHERE open * f < weighed GROUP BY source),
+q AS (SELECT p.*, rest > 0 AND size > 0 AS drawn, CASE WHEN scale IS NULL OR f > least_certain THEN 0 ELSE (u / (1 - u)) / (scale * f / (1 - scale * f)) END AS odds FROM p LEFT JOIN sc ON p.source IS NOT DISTINCT FROM sc.source),
+k AS (SELECT *, coalesce(sum(CASE WHEN drawn THEN size ELSE 0 END) OVER (PARTITION BY source ORDER BY CASE WHEN isinf(odds) THEN 1 ELSE odds / (1 + odds) END, doc_id NULLS FIRST, u, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM q)
+SELECT doc_id, size, source_size, target, CAST(size * (whole + CASE WHEN drawn AND 2 * before + size <= 2 * rest THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM k""",
     "op11_periodic_runs": f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), {_WORDS}) AS w, {_CRC} AS h FROM documents),
 p AS (SELECT *, CAST(len(w) AS BIGINT) AS n, h // 10 AS g, CASE WHEN h % 10 = 0 AND len(w) > 0 THEN (h // 10) % len(w) END AS a FROM d),
 u AS (SELECT r, doc_id, n, CASE WHEN a IS NULL THEN w ELSE list_transform(range(n), lambda i: CASE WHEN i < a THEN w[i + 1] ELSE w[a + (i - a) % (1 + (n - a) // (3 + g % 8)) + 1] END) END AS w FROM p),

@@ -201,6 +201,18 @@ def test_hamming_distance_is_a_lower_bound():
         assert (half[:2] ^ half[2:] == neardup.sketch(a, 128)).all()
 
 
+def test_sizes_of_rows_without_an_id(spark):
+    got = neardup.classes(table(spark, [(None, "a b c d e f g", "a"), (None, "A b", "a"), (None, " ", "a"), (None, None, "a"), (1, "a b c d e f g", "a")])).collect()
+    assert Counter(map(tuple, got)) == Counter([(None, 3, None), (None, 1, None), (None, 0, None), (None, 0, None), (1, 3, 1)])
+
+
+def test_distinct_documents_with_clashing_columns(spark, corpus):
+    docs = table(spark, corpus)
+    for name in ("gone_id", "other_id", "several_id", "rows", "component_id", "node"):
+        docs = docs.withColumn(name, F.lit(5))
+    assert Counter(r.doc_id for r in neardup.distinct_documents(docs).collect()) == Counter(r.doc_id for r in neardup.distinct_documents(table(spark, corpus)).collect())
+
+
 def test_one_of_each_class_stays(spark, corpus):
     got = neardup.distinct_documents(table(spark, corpus))
     assert got.columns == [c.split()[0] for c in SCHEMA.split(", ")]
@@ -391,6 +403,22 @@ def test_items_without_an_id_hit(spark, corpus, items):
         assert sorted(r.doc_id for r in clean) == sorted(r[0] for r in expected if not r[5])
 
 
+def test_items_without_an_id_hit_in_sql_too(spark, corpus, items):
+    import duckdb
+
+    from terraloom.llm.oracles import ORACLES
+
+    asked = [*items, (None, prose(2, 90)), (None, items[0][1])]
+    db = duckdb.connect()
+    db.execute("create table documents (doc_id bigint, text varchar)")
+    db.execute("create table benchmark (item_id varchar, text varchar)")
+    db.executemany("insert into documents values (?, ?)", [(d, t) for d, t, _ in corpus])
+    db.executemany("insert into benchmark values (?, ?)", [(None if i is None else str(i), t) for i, t in asked])
+    benchmark = spark.createDataFrame([(None if i is None else str(i), t) for i, t in asked], "item_id string, text string")
+    got = decontaminate.find(table(spark, corpus), benchmark).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated").collect()
+    assert Counter(map(tuple, got)) == Counter(db.execute(ORACLES["op4_decontamination"]).fetchall())
+
+
 def test_clean_judges_rows_by_their_own_text(spark, corpus, items):
     bench = spark.createDataFrame(items, "item_id long, text string")
     text = {d: t for d, t, _ in corpus}
@@ -517,18 +545,74 @@ def test_mix(spark, corpus):
     assert Counter((r.doc_id, r.source) for r in got.collect()) == +copies
 
 
+def inclusions(sizes, rest):
+    """The chance of each document, by taking those that reach 1 for certain until none does."""
+    factor = [2 * n / (n + sum(sizes) / len(sizes)) for n in sizes]
+    certain = set()
+    while True:
+        left = rest - sum(sizes[k] for k in certain)
+        scale = left / sum(f * n for k, (f, n) in enumerate(zip(factor, sizes, strict=True)) if k not in certain)
+        more = {k for k, f in enumerate(factor) if k not in certain and scale * f >= 1}
+        if not more:
+            return [1.0 if k in certain else scale * f for k, f in enumerate(factor)]
+        certain |= more
+
+
 def test_draws_follow_the_inclusion(spark):
-    """Documents of unequal inclusion are drawn about as often as that says, over many seeds."""
-    rows = [(k, " ".join(["w"] * (10 if k % 2 else 30)), "ab"[k % 3 == 0]) for k in range(400)]
-    docs, drawn, share = table(spark, rows), Counter(), 0.0
-    for seed in range(6):
-        for r in mixing.mix(docs, seed=f"s{seed}").collect():
-            if r.source == "a":
-                share = r.target / r.source_size
-                drawn[r.size] += r.copies - int(share)
-    number = Counter(len(t.split()) for _, t, s in rows if s == "a")
-    long, short = (drawn[n] / number[n] / 6 for n in (30, 10))
-    assert 0 < share % 1 < 1 and 1.4 < long / short < 2.8
+    """In 400 sources of equal documents, each is drawn as often as its chance says, within the error of so many draws."""
+    sizes = [1, 2, 3, 4, 5, 6, 8, 10, 12, 15, 20, 40, 60, 90, 150]
+    rows = [(100 * s + k, " ".join(["w"] * n), f"s{s:03d}") for s in range(400) for k, n in enumerate(sizes)]
+    got = mixing.mix(table(spark, rows)).collect()
+    for target in {r.target for r in got}:
+        own = [r for r in got if r.target == target]
+        whole = int(target // sum(sizes))
+        drawn, sources = Counter(), len({r.source for r in own})
+        for r in own:
+            drawn[r.size] += r.copies - whole
+        if target == 3 * sum(sizes):
+            assert not any(drawn.values())
+            continue
+        chance = inclusions(sizes, target - whole * sum(sizes))
+        assert any(q == 1 for q in chance) or whole
+        for n, q in zip(sizes, chance, strict=True):
+            # the draw ends near the rest, not on it: some hundredths beside the error of a count
+            assert abs(drawn[n] / sources - q) < 4 * (q * (1 - q) / sources) ** 0.5 + 0.06, (target, n, q)
+
+
+@pytest.mark.parametrize("who", [7, None])
+def test_a_draw_that_ends_among_equal_rows(spark, who):
+    """As many of a hundred equal rows are taken as fit, and the mix is the same in other partitions."""
+    rows = [(who, "w " * 10, "a")] * 100 + [(1000 + k, "v " * 50, "b") for k in range(100)] + [(k, "u " * 40, "c") for k in range(100)]
+    plan = {r.source: r.target for r in mixing.mix(table(spark, rows)).collect()}
+    assert plan["a"] % 1000 not in (0.0,)
+    seen = []
+    for n in (1, 9):
+        docs = table(spark, rows).repartition(n)
+        got = mixing.mix(docs).collect()
+        for source in "abc":
+            taken = sum(r.taken for r in got if r.source == source)
+            assert abs(taken - plan[source]) <= max(r.size for r in got if r.source == source)
+        seen.append(Counter((r.doc_id, r.source, r.copies) for r in got))
+        copies = Counter((r.doc_id, r.source) for r in mixing.mixed(docs).collect())
+        want = Counter()
+        for r in got:
+            want[r.doc_id, r.source] += r.copies
+        assert copies == +want
+    assert seen[0] == seen[1]
+
+
+def test_mix_matches_sql_on_repeated_and_null_ids(spark, corpus):
+    import duckdb
+
+    from terraloom.llm.oracles import ORACLES
+
+    rows = [*corpus, *[(7, "w " * 10, "a")] * 30, *[(None, "t " * 9, "c")] * 20, (None, "other words", "c"), (None, None, None), (7, "w w", "a")]
+    db = duckdb.connect()
+    db.execute("create table documents (doc_id bigint, text varchar, source varchar)")
+    db.executemany("insert into documents values (?, ?, ?)", rows)
+    key = lambda r: tuple(None if x is None else round(x, 6) for x in r)
+    got = mixing.mix(table(spark, rows)).select("doc_id", "size", "source_size", "target", "taken").collect()
+    assert Counter(map(key, got)) == Counter(map(key, db.execute(ORACLES["op6_mixing"]).fetchall()))
 
 
 def test_mix_of_nothing(spark):
