@@ -100,6 +100,14 @@ def roads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.withColumns({"len": (F.abs(x2 - x1) + F.abs(y2 - y1)).cast("long"), "line": F.array(g.point(x1, y1), g.point(x2, y2)), "bounds": span})
 
 
+def crossing_roads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """s and line of the roads and of two slanting ones through each settlement, which cross the others between their ends: no lattice."""
+    s = settlements(spark, sf_dir)
+    slant = lambda *ends: s.select("s", F.array(g.point(F.expr(ends[0]), F.expr(ends[1])), g.point(F.expr(ends[2]), F.expr(ends[3]))).alias("line"))
+    first = slant("ox - 3", "oy - 3", "ox + 297", "oy + 177")
+    return roads(spark, sf_dir).select("s", "line").unionByName(first).unionByName(slant("ox - 3", "oy + 10 + s % 30", "ox + 297", "oy + 150 - s % 20"))
+
+
 def landuse(spark: SparkSession, sf_dir: str) -> DataFrame:
     use = F.element_at(F.array(*map(F.lit, USES)), ((F.col("s") + F.col("bid")) % 4 + 1).cast("int"))
     return _shaped(blocks(spark, sf_dir).select("bid", "s", use.alias("objart_txt"), "x1", "y1", (F.col("x2") - 10).alias("x2"), "y2"))
@@ -129,6 +137,7 @@ r0 AS (SELECT s, ox, oy, e, CASE WHEN e < 6 THEN e % 2 ELSE (e - 6) // 2 END AS
 r1 AS (SELECT s * 14 + e AS rid, s, CASE WHEN e < 12 THEN ox - 3 + 150 * i WHEN e = 12 THEN ox + 297 ELSE ox - 3 END AS x1, CASE WHEN e < 12 THEN oy - 3 + 90 * j WHEN e = 12 THEN oy - 3 ELSE oy + 177 END AS y1,
  CASE WHEN e < 6 THEN ox - 3 + 150 * (i + 1) WHEN e < 12 THEN ox - 3 + 150 * i WHEN e = 12 THEN ox + 337 ELSE ox - 83 END AS x2, CASE WHEN e < 6 THEN oy - 3 + 90 * j WHEN e < 12 THEN oy - 3 + 90 * (j + 1) WHEN e = 12 THEN oy - 3 ELSE oy + 177 END AS y2 FROM r0),
 roads AS (SELECT *, abs(x2 - x1) + abs(y2 - y1) AS len FROM r1),
+crossing AS (SELECT s, x1, y1, x2, y2 FROM roads UNION ALL SELECT s, ox - 3, oy - 3, ox + 297, oy + 177 FROM settlements UNION ALL SELECT s, ox - 3, oy + 10 + s % 30, ox + 297, oy + 150 - s % 20 FROM settlements),
 landuse AS (SELECT bid, s, CASE (s + bid) % 4 WHEN 0 THEN 'AX_IndustrieUndGewerbeflaeche' WHEN 1 THEN 'AX_Wohnbauflaeche' WHEN 2 THEN 'AX_FlaecheGemischterNutzung' ELSE 'AX_Wald' END AS objart_txt, x1, y1, x2 - 10 AS x2, y2 FROM blocks),
 ugb AS (SELECT s AS fid, s, ox - 3 AS x1, oy - 3 AS y1, ox + 297 AS x2, oy + 177 AS y2 FROM settlements WHERE s % 7 <> 0),
 ibs AS (SELECT s AS fid, s, ox + 20 + (s % 3) * 60 AS x1, oy - 3 AS y1, ox + 330 AS x2, oy + 177 AS y2 FROM settlements WHERE s % 11 <> 0)

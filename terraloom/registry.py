@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terraloom.functions import geometry as g
-from terraloom.operators import classify, coverage, density, graph, overlay, refine, roads, selection, triangulation
+from terraloom.operators import classify, coverage, density, graph, network, overlay, partitions, refine, roads, selection, triangulation
 from terraloom.operators import spatial_join as sj
 from terraloom.plans import delineation, layers
 from terraloom.sources import layers as io
@@ -215,6 +215,42 @@ def nearest_partition(spark, sf_dir):
     return density.nearest_region(far, density.partition_cells(points, store), "fid", store)
 
 
+#: The region of each cell by trying all dense ones, and the sides between unlike regions.
+_LABELS = (
+    _REGIONS
+    + """, ends AS (SELECT min(cx) - 1 AS a, max(cx) + 1 AS b, min(cy) - 1 AS c, max(cy) + 1 AS d FROM regions),
+grid AS (SELECT cx, unnest(range(c, d + 1)) AS cy FROM (SELECT unnest(range(a, b + 1)) AS cx, c, d FROM ends)),
+label AS (SELECT g.cx, g.cy, min({'d': (g.cx - r.cx) * (g.cx - r.cx) + (g.cy - r.cy) * (g.cy - r.cy), 'region': region}).region AS region FROM grid g, regions r GROUP BY g.cx, g.cy),
+side AS (SELECT l.region, way, CASE way WHEN 0 THEN l.cy WHEN 1 THEN l.cx + 1 WHEN 2 THEN l.cy + 1 ELSE l.cx END AS line, CASE WHEN way % 2 = 0 THEN l.cx ELSE l.cy END AS k
+ FROM label l CROSS JOIN (SELECT unnest([0, 1, 2, 3]) AS way) LEFT JOIN label o ON o.cx = l.cx + CASE way WHEN 1 THEN 1 WHEN 3 THEN -1 ELSE 0 END AND o.cy = l.cy + CASE way WHEN 0 THEN -1 WHEN 2 THEN 1 ELSE 0 END WHERE o.region IS DISTINCT FROM l.region)
+"""
+)
+
+
+def _cells_of_regions(spark, sf_dir, store):
+    dense = density.partition_cells(density.centres(layers.buildings(spark, sf_dir)), store)
+    return store.save(partitions.labelled(dense, store), "labelled")
+
+
+@query(_LABELS + "SELECT region, CAST(22500 * n AS DOUBLE) AS area, CAST(150 * sides AS DOUBLE) AS perimeter FROM (SELECT region, count(*) AS n FROM label GROUP BY region) JOIN (SELECT region, count(*) AS sides FROM side GROUP BY region) USING (region)")
+def partition_polygons(spark, sf_dir):
+    store = Workspace(spark, "partitions")
+    made = partitions.polygons(_cells_of_regions(spark, sf_dir, store), store)
+    return made.groupBy("region").agg(F.round(F.sum(g.area(F.col("shape"))), 3).alias("area"), F.round(F.sum(g.perimeter(F.col("shape"))), 3).alias("perimeter"))
+
+
+@query(
+    _LABELS
+    + ", run AS (SELECT region, way, line, min(k) AS lo, max(k) + 1 AS hi FROM (SELECT *, k - row_number() OVER (PARTITION BY region, way, line ORDER BY k) AS island FROM side) GROUP BY region, way, line, island)"
+    " SELECT CAST(count(*) AS BIGINT) AS n_conflicts FROM run WHERE EXISTS (SELECT 1 FROM ibs i WHERE CASE WHEN way % 2 = 0 THEN lo ELSE line END * 150 <= i.x2 AND CASE WHEN way % 2 = 0 THEN hi ELSE line END * 150 >= i.x1 AND CASE WHEN way % 2 = 0 THEN line ELSE lo END * 150 <= i.y2 AND CASE WHEN way % 2 = 0 THEN line ELSE hi END * 150 >= i.y1)"
+)
+def partition_conflicts(spark, sf_dir):
+    """Border lines of partitions that meet an expert's outline."""
+    store = Workspace(spark, "partitions")
+    lines = partitions.border_lines(_cells_of_regions(spark, sf_dir, store))
+    return coverage.conflicts(lines.withColumn("rid", F.xxhash64("region", "line")), layers.expert(spark, sf_dir))
+
+
 _TOUCH = ", hit AS (SELECT a.fid AS u, b.fid AS v FROM buildings a JOIN buildings b ON a.s = b.s AND a.x1 <= b.x2 AND a.x2 >= b.x1 AND a.y1 <= b.y2 AND a.y2 >= b.y1 AND a.fid <> b.fid), walk AS (SELECT fid, fid AS root FROM buildings UNION SELECT hit.v, walk.root FROM walk JOIN hit ON hit.u = walk.fid AND walk.root < hit.v), comp AS (SELECT fid, min(root) AS component FROM walk GROUP BY fid)"
 
 
@@ -408,6 +444,22 @@ def polygonize_blocks(spark, sf_dir):
     return faces.groupBy("s").agg(F.count("*").alias("n_faces"), F.round(F.sum("shape_area"), 6).alias("area"), F.round(F.min("shape_area"), 6).alias("least"))
 
 
+@query(
+    """, line AS (SELECT *, row_number() OVER () AS i FROM crossing),
+hit AS (SELECT a.s, a.i, a.x1 + k * (a.x2 - a.x1) AS x, a.y1 + k * (a.y2 - a.y1) AS y FROM (SELECT a, b, ((b.x1 - a.x1) * (b.y2 - b.y1) - (b.y1 - a.y1) * (b.x2 - b.x1)) / turn AS k, ((b.x1 - a.x1) * (a.y2 - a.y1) - (b.y1 - a.y1) * (a.x2 - a.x1)) / turn AS m
+ FROM (SELECT a, b, CAST((a.x2 - a.x1) * (b.y2 - b.y1) - (a.y2 - a.y1) * (b.x2 - b.x1) AS DOUBLE) AS turn FROM line a JOIN line b ON a.s = b.s AND a.i <> b.i) WHERE turn <> 0) WHERE k BETWEEN 0 AND 1 AND m BETWEEN 0 AND 1),
+on_ AS (SELECT DISTINCT s, i, round(x, 3) AS x, round(y, 3) AS y FROM (SELECT * FROM hit UNION ALL SELECT s, i, x1, y1 FROM line UNION ALL SELECT s, i, x2, y2 FROM line)),
+e AS (SELECT s, sum(n - 1) AS e FROM (SELECT s, i, count(*) AS n FROM on_ GROUP BY s, i) GROUP BY s), v AS (SELECT s, count(*) AS v FROM (SELECT DISTINCT s, x, y FROM on_) GROUP BY s)
+SELECT s, CAST(e - v + 1 AS BIGINT) AS n_faces, area FROM e JOIN v USING (s) JOIN (SELECT s, CAST(sum((x2 - x1) * (y2 - y1)) AS DOUBLE) AS area FROM blocks GROUP BY s) USING (s)"""
+)
+def network_faces(spark, sf_dir):
+    """All settlements' roads, slanting ones too, as one network: by Euler's formula, faces are sides less nodes plus one for each part."""
+    made = network.faces(layers.crossing_roads(spark, sf_dir).withColumn("group", F.lit(0)), "group", Workspace(spark, "network"))
+    b = g.bounds(F.col("shape.shell"))
+    s = (F.floor((b["y1"] + 3) / 1500) * 40 + F.floor((b["x1"] + 3) / 1500)).cast("long")
+    return made.select(s.alias("s"), g.area(F.col("shape")).alias("area")).groupBy("s").agg(F.count("*").alias("n_faces"), F.round(F.sum("area"), 3).alias("area"))
+
+
 def _pierced(spark, sf_dir):
     """The settlements' rectangles with a hole of 3,600 and one of 10,560 square metres."""
     s = layers.settlements(spark, sf_dir)
