@@ -242,13 +242,14 @@ def partition_polygons(spark, sf_dir):
 @query(
     _LABELS
     + ", run AS (SELECT region, way, line, min(k) AS lo, max(k) + 1 AS hi FROM (SELECT *, k - row_number() OVER (PARTITION BY region, way, line ORDER BY k) AS island FROM side) GROUP BY region, way, line, island)"
-    " SELECT CAST(count(*) AS BIGINT) AS n_conflicts FROM run WHERE EXISTS (SELECT 1 FROM ibs i WHERE CASE WHEN way % 2 = 0 THEN lo ELSE line END * 150 <= i.x2 AND CASE WHEN way % 2 = 0 THEN hi ELSE line END * 150 >= i.x1 AND CASE WHEN way % 2 = 0 THEN line ELSE lo END * 150 <= i.y2 AND CASE WHEN way % 2 = 0 THEN line ELSE hi END * 150 >= i.y1)"
+    " SELECT CAST(count(*) AS BIGINT) AS n_conflicts FROM run WHERE EXISTS (SELECT 1 FROM ibs i WHERE CASE WHEN way % 2 = 0 THEN lo ELSE line END * 150 <= i.x2 + 600 AND CASE WHEN way % 2 = 0 THEN hi ELSE line END * 150 >= i.x1 - 600 AND CASE WHEN way % 2 = 0 THEN line ELSE lo END * 150 <= i.y2 + 600 AND CASE WHEN way % 2 = 0 THEN line ELSE hi END * 150 >= i.y1 - 600)"
 )
 def partition_conflicts(spark, sf_dir):
-    """Border lines of partitions that meet an expert's outline."""
+    """Border lines of partitions that meet an expert's outline with 600 m around it; some do and some don't."""
     store = Workspace(spark, "partitions")
     lines = partitions.border_lines(_cells_of_regions(spark, sf_dir, store))
-    return coverage.conflicts(lines.withColumn("rid", F.xxhash64("region", "line")), layers.expert(spark, sf_dir))
+    wide = layers._shaped(layers.expert(spark, sf_dir).selectExpr("fid", "bounds.x1 - 600 x1", "bounds.y1 - 600 y1", "bounds.x2 + 600 x2", "bounds.y2 + 600 y2"))
+    return coverage.conflicts(lines.withColumn("rid", F.xxhash64("region", "line")), wide)
 
 
 _TOUCH = ", hit AS (SELECT a.fid AS u, b.fid AS v FROM buildings a JOIN buildings b ON a.s = b.s AND a.x1 <= b.x2 AND a.x2 >= b.x1 AND a.y1 <= b.y2 AND a.y2 >= b.y1 AND a.fid <> b.fid), walk AS (SELECT fid, fid AS root FROM buildings UNION SELECT hit.v, walk.root FROM walk JOIN hit ON hit.u = walk.fid AND walk.root < hit.v), comp AS (SELECT fid, min(root) AS component FROM walk GROUP BY fid)"
