@@ -119,6 +119,17 @@ def segments_meet(px: Column, py: Column, qx: Column, qy: Column, rx: Column, ry
     return (turn(px, py, qx, qy, rx, ry) * turn(px, py, qx, qy, sx, sy) <= 0) & (turn(rx, ry, sx, sy, px, py) * turn(rx, ry, sx, sy, qx, qy) <= 0)
 
 
+def ring_covers(ring: Column, x: Column, y: Column) -> Column:
+    """Whether a point lies in a ring, by the sides that a ray to the right crosses; its border isn't told apart."""
+    crossed = lambda s: ((s["y1"] > y) != (s["y2"] > y)) & F.coalesce(x < s["x1"] + F.try_divide((y - s["y1"]) * (s["x2"] - s["x1"]), s["y2"] - s["y1"]), F.lit(False))
+    return F.aggregate(segments(ring), F.lit(False), lambda inside, s: inside != crossed(s))
+
+
+def covers(shape: Column, x: Column, y: Column) -> Column:
+    """Whether a point lies in a polygon and in none of its holes."""
+    return ring_covers(shape["shell"], x, y) & ~F.exists(shape["holes"], lambda h: ring_covers(h, x, y))
+
+
 def box_distance(px: Column, py: Column, b: Column) -> Column:
     """From a point to the bounds b, 0 inside."""
     dx = F.greatest(b["x1"] - px, F.lit(0.0), px - b["x2"])

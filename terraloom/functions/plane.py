@@ -70,6 +70,25 @@ def repaired(p: Polygon) -> Polygon | None:
     return Polygon(turn(shell, True), [turn(h, False) for h in map(as_ring, p.holes) if abs(signed_area(h)) >= GRID * GRID])
 
 
+def winding(ring: Ring, x: float, y: float) -> int:
+    """How often a ring runs around a point, counter-clockwise."""
+    turns = 0
+    for (x1, y1), (x2, y2) in zip(ring[:-1], ring[1:], strict=True):
+        if (y1 > y) != (y2 > y) and x < x1 + (y - y1) * (x2 - x1) / (y2 - y1):
+            turns += 1 if y2 > y1 else -1
+    return turns
+
+
+def simple_parts(p: Polygon) -> list[Polygon]:
+    """Single parts whose rings don't cross themselves: all that the shell winds around, whichever way, and no hole does."""
+    kept = []
+    for f in faces(noded(edges([p]))):
+        x, y = inside_point(f)
+        if winding(p.shell, x, y) and not any(winding(h, x, y) for h in p.holes):
+            kept.append(f)
+    return sorted(joined(kept), key=lambda q: min(q.shell)) if kept else []
+
+
 def edges(polygons: list[Polygon]) -> np.ndarray:
     """(x1, y1, x2, y2) of all rings."""
     out = [(*a, *b) for p in polygons for r in (p.shell, *p.holes) for a, b in zip(r[:-1], r[1:], strict=True)]

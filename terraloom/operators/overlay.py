@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from terraloom.functions import geometry as g
 from terraloom.functions import plane
-from terraloom.operators import refine
+from terraloom.operators import network, refine
 from terraloom.operators import spatial_join as sj
 from terraloom.operators.selection import touching
 from terraloom.store import Workspace
@@ -117,9 +117,19 @@ def noded_lines(lines: DataFrame, key: str) -> DataFrame:
 
 
 def dissolved_parts(layer: DataFrame, key: str, store: Workspace) -> DataFrame:
-    """component, part, shape: the union of all shapes as single parts, each worked out from the shapes that hang together."""
-    parts = touching(layer, key, store).withColumnRenamed(key, "__k")
-    return refine.grouped(layer.join(parts, F.col(key) == F.col("__k")).select("component", "shape"), "component", plane.dissolved)
+    """component, part, shape: the union of all shapes as single parts; no task holds a component (``network.united``)."""
+    parts = touching(layer, key, store).withColumnRenamed(key, "__n")
+    made = network.united(layer.join(parts, F.col(key) == F.col("__n")).select("component", F.col("__n"), "shape", "bounds"), "component", "__n", store)
+    first = Window.partitionBy("component").orderBy(F.element_at("shape.shell", 1), "ring")
+    return made.select("component", (F.row_number().over(first) - 1).alias("part"), "shape")
+
+
+def buffers_dissolved(buffers: DataFrame, store: Workspace, *by: str) -> DataFrame:
+    """part and shape (and the columns ``by``, a union for each): the union of all buffers (``shape``) of a layer, as single parts, whatever hangs together."""
+    rows = buffers.select(F.xxhash64(*by).alias("__g") if by else F.lit(0).cast("long").alias("__g"), *by, "shape", g.bounds(F.col("shape.shell")).alias("bounds"))
+    rows = store.save(rows.withColumn("__n", F.monotonically_increasing_id()), "buffers")
+    made = network.united(rows, "__g", "__n", store).select("__g", F.col("ring").alias("part"), "shape")
+    return made.join(rows.select("__g", *by).distinct(), "__g").drop("__g") if by else made.drop("__g")
 
 
 def multiparts(layer: DataFrame, key: str) -> DataFrame:
@@ -147,6 +157,19 @@ def repaired(layer: DataFrame) -> DataFrame:
     return rows.withColumn("shape", g.polygon(turned(F.col("__s"), 1), F.transform("__h", lambda h: turned(h, -1)))).drop("__s", "__h")
 
 
+def repaired_parts(layer: DataFrame, key: str) -> DataFrame:
+    """key, part, shape: ``repaired`` shapes cut where their own rings cross or touch themselves; what a shell winds around stays, in single parts, and what holes wind around goes."""
+
+    @F.pandas_udf(f"array<{g.POLYGON}>")
+    def simple(shells: pd.Series, holes: pd.Series) -> pd.Series:
+        return pd.Series([[plane.as_struct(p) for p in plane.simple_parts(plane.as_polygon({"shell": s, "holes": h}))] for s, h in zip(shells, holes, strict=True)])
+
+    # rings of figures of eight have no area of their own
+    closed = lambda ring: F.when(ring[0] == F.element_at(ring, -1), ring).otherwise(F.concat(ring, F.slice(ring, 1, 1)))
+    rows = layer.where("size(shape.shell) >= 3").select(key, simple(closed(F.col("shape.shell")), F.transform("shape.holes", closed)).alias("parts"))
+    return rows.select(key, F.posexplode("parts").alias("part", "shape"))
+
+
 def identical(left: DataFrame, right: DataFrame) -> DataFrame:
     """Left rows whose shape is that of a right one, wherever its rings begin and whichever way they run; to the millimetre."""
     own = right.select(g.canonical(F.col("shape")).alias("__c")).select(F.xxhash64("__c").alias("__h"), "__c")

@@ -596,6 +596,39 @@ def repaired_shapes(spark, sf_dir):
     return overlay.repaired(broken).select("bid", g.area(F.col("shape")).alias("area"), (g.ring_area(F.col("shape.shell")) > 0).alias("counter_clockwise"))
 
 
+#: Boxes of a settlement on the grid of their own coordinates: cells that any of them covers, and what neighbouring ones share.
+_GRID = """, xs AS (SELECT s, x AS x1, lead(x) OVER (PARTITION BY s ORDER BY x) AS x2 FROM (SELECT s, x1 AS x FROM box UNION SELECT s, x2 FROM box)), ys AS (SELECT s, y AS y1, lead(y) OVER (PARTITION BY s ORDER BY y) AS y2 FROM (SELECT s, y1 AS y FROM box UNION SELECT s, y2 FROM box)),
+cell AS (SELECT s, x1, y1, x2, y2 FROM xs JOIN ys USING (s) WHERE x2 IS NOT NULL AND y2 IS NOT NULL AND EXISTS (SELECT 1 FROM box b WHERE b.s = xs.s AND b.x1 <= xs.x1 AND b.x2 >= xs.x2 AND b.y1 <= ys.y1 AND b.y2 >= ys.y2)),
+shared AS (SELECT a.s, sum(CASE WHEN a.x2 = b.x1 AND a.y1 = b.y1 THEN a.y2 - a.y1 ELSE a.x2 - a.x1 END) AS len FROM cell a JOIN cell b ON a.s = b.s AND (a.x2 = b.x1 AND a.y1 = b.y1 OR a.y2 = b.y1 AND a.x1 = b.x1) GROUP BY a.s),
+total AS (SELECT s, sum((x2 - x1) * (y2 - y1)) AS area, sum(2 * (x2 - x1 + y2 - y1)) AS len FROM cell GROUP BY s)
+"""
+
+
+@query(
+    ", box AS (SELECT s, least(x1, x2) - CASE WHEN x1 = x2 THEN 2 ELSE 0 END AS x1, least(y1, y2) - CASE WHEN y1 = y2 THEN 2 ELSE 0 END AS y1, greatest(x1, x2) + CASE WHEN x1 = x2 THEN 2 ELSE 0 END AS x2, greatest(y1, y2) + CASE WHEN y1 = y2 THEN 2 ELSE 0 END AS y2 FROM roads UNION ALL SELECT s, x1 - 2, y1 + 5, x2, y1 + 9 FROM buildings)"
+    + _GRID
+    + "SELECT s, CAST(25 * area AS DOUBLE) AS area, CAST(5 * (total.len - 2 * shared.len) AS DOUBLE) AS perimeter FROM total JOIN shared USING (s)"
+)
+def buffers_dissolved(spark, sf_dir):
+    """Roads and a line through each building, with flat buffers, dissolved over the whole layer."""
+    store = Workspace(spark, "buffers")
+    across = layers.buildings(spark, sf_dir).select((-F.col("fid") - 1).alias("rid"), F.array(g.point(F.col("x1") - 2, F.col("y1") + 7), g.point(F.col("x2"), F.col("y1") + 7)).alias("line"))
+    lines = layers.turned_lines(layers.roads(spark, sf_dir).select("rid", "line").unionByName(across))
+    made = overlay.buffers_dissolved(overlay.buffered_lines(lines, "rid", 10.0), store)
+    p = F.col("shape.shell")[0]
+    s = (F.floor(((4 * p["y"] - 3 * p["x"]) / 25 + 100) / 1500) * 40 + F.floor(((4 * p["x"] + 3 * p["y"]) / 25 + 100) / 1500)).cast("long")
+    return made.groupBy(s.alias("s")).agg(F.round(F.sum(g.area(F.col("shape"))), 1).alias("area"), F.round(F.sum(g.perimeter(F.col("shape"))), 1).alias("perimeter"))
+
+
+@query("SELECT fid, CAST(2 AS BIGINT) AS n_parts, 25 * (x2 - x1) * (y2 - y1) / 2.0 AS area FROM buildings")
+def bow_ties_repaired(spark, sf_dir):
+    """Buildings whose ring runs along the diagonals: two triangles that meet in a point."""
+    b = layers.turned(layers.buildings(spark, sf_dir))
+    p = F.col("shape.shell")
+    crossed = b.select("fid", g.polygon(F.array(p[0], p[2], p[1], p[3], p[0])).alias("shape"))
+    return overlay.repaired_parts(crossed, "fid").groupBy("fid").agg(F.count("*").alias("n_parts"), F.round(F.sum(g.area(F.col("shape"))), 6).alias("area"))
+
+
 @query("SELECT fid FROM buildings WHERE fkt = '31001_2463'")
 def identical_shapes(spark, sf_dir):
     """Buildings that are identical to one of those of a function, whose rings begin elsewhere and run the other way, or that are moved."""
