@@ -82,7 +82,10 @@ def buffered(layer: DataFrame, key: str, distance: float, quadrant: int = 8) ->
 
 
 def buffered_lines(lines: DataFrame, key: str, distance: float, flat: bool = True, quadrant: int = 8) -> DataFrame:
-    """key, part, shape around each line (``line``): with flat ends, that is without what lies beyond them, or with round ones."""
+    """key, part, shape around each line (``line``): with flat ends, that is without what lies beyond them, or with round ones.
+
+    A straight line's flat buffer is a rectangle, made of columns; others are unions for each line.
+    """
 
     def around(rows: pd.DataFrame) -> list[plane.Polygon]:
         shapes = []
@@ -101,8 +104,17 @@ def buffered_lines(lines: DataFrame, key: str, distance: float, flat: bool = Tru
         made = sorted(around(rows), key=lambda p: min(p.shell))
         return pd.DataFrame([(rows[key].iloc[0], k, plane.as_struct(p)) for k, p in enumerate(made)], columns=[key, "part", "shape"])
 
-    flat_sides = sides(lines, key).select(key, "side.*")
-    return flat_sides.groupBy(key).applyInPandas(run, f"{key} {dict(lines.dtypes)[key]}, {refine.OUT}")
+    schema = f"{key} {dict(lines.dtypes)[key]}, {refine.OUT}"
+    if not flat:
+        return sides(lines, key).select(key, "side.*").groupBy(key).applyInPandas(run, schema)
+    bent = lines.join(lines.groupBy(F.col(key).alias("__k")).agg(F.sum(F.size("line")).alias("__n")), F.col(key) == F.col("__k"))
+    one = bent.where("__n = 2").select(key, "line").where("line[0] <> line[1]")
+    a, b = F.col("line")[0], F.col("line")[1]
+    long = F.hypot(b["x"] - a["x"], b["y"] - a["y"])
+    dx, dy = (a["y"] - b["y"]) / long * distance, (b["x"] - a["x"]) / long * distance
+    corner = lambda p, sign: g.point(F.round(p["x"] + sign * dx, 3), F.round(p["y"] + sign * dy, 3))
+    plain = one.select(key, F.lit(0).alias("part"), g.polygon(F.array(corner(a, -1), corner(b, -1), corner(b, 1), corner(a, 1), corner(a, -1))).alias("shape"))
+    return plain.unionByName(sides(bent.where("__n > 2").select(key, "line"), key).select(key, "side.*").groupBy(key).applyInPandas(run, schema))
 
 
 def noded_lines(lines: DataFrame, key: str) -> DataFrame:

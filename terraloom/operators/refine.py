@@ -25,22 +25,6 @@ def polygonized(lines: np.ndarray) -> list[Polygon]:
     return plane.faces(plane.noded(lines))
 
 
-def faces_within(outline: list[Polygon], roads: np.ndarray) -> list[Polygon]:
-    """Faces of roads within an outline, its border being one more line."""
-    return [f for f in polygonized(np.vstack([plane.edges(outline), roads])) if any(plane.holds(o, *plane.inside_point(f)) for o in outline)]
-
-
-def blocks(outline: list[Polygon], roads: np.ndarray, buildings: list[Polygon]) -> list[Polygon]:
-    """Those faces that hold a whole building."""
-    inner = faces_within(outline, roads)
-    return [f for f in inner if any(_box_in(b, f) and plane.contains(f, b) for b in buildings)]
-
-
-def _box_in(a: Polygon, b: Polygon) -> bool:
-    p, q = plane._box(a), plane._box(b)
-    return p[0] >= q[0] - plane.GRID and p[1] >= q[1] - plane.GRID and p[2] <= q[2] + plane.GRID and p[3] <= q[3] + plane.GRID
-
-
 def holes_closed(shapes: list[Polygon], below: float = HOLE) -> list[Polygon]:
     """The union without holes under ``below``, those between shapes too."""
     return [Polygon(p.shell, [h for h in p.holes if abs(plane.signed_area(h)) >= below]) for p in plane.dissolved(shapes)]
