@@ -376,17 +376,24 @@ def least_box(points: list[tuple[float, float]]) -> Polygon:
     return min((turned_box(points, t) for t in sorted(turns)), key=area)
 
 
+def directions(lines: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(direction in tenths of a degree from 0 to 1799, length) of undirected segments."""
+    turn = np.round(np.degrees(np.arctan2(lines[:, 3] - lines[:, 1], lines[:, 2] - lines[:, 0])) % 180 * 10).astype(np.int64) % 1800
+    return turn, np.hypot(lines[:, 2] - lines[:, 0], lines[:, 3] - lines[:, 1])
+
+
+def main_of(turn: np.ndarray, long: np.ndarray, gap: float = 10.0) -> float:
+    """Of distinct directions (tenths of a degree, rising) and their lengths: neighbours under ``gap`` degrees apart are grouped; in the group of greatest length, the direction of most."""
+    group = np.cumsum(np.append(False, np.diff(turn) >= gap * 10))
+    best = int(np.round(np.bincount(group, long), 6).argmax())
+    own = np.flatnonzero(group == best)
+    return float(turn[own[int(np.round(long[own], 6).argmax())]]) / 10
+
+
 def main_direction(lines: np.ndarray, gap: float = 10.0) -> float:
     """Of undirected segments: directions are grouped where neighbours lie under ``gap`` degrees apart; in the group of greatest length, that of most."""
-    turn = np.round(np.degrees(np.arctan2(lines[:, 3] - lines[:, 1], lines[:, 2] - lines[:, 0])) % 180, 1) % 180
-    long = np.hypot(lines[:, 2] - lines[:, 0], lines[:, 3] - lines[:, 1])
-    order = np.argsort(turn, kind="stable")
-    turn, long = turn[order], long[order]
-    group = np.cumsum(np.append(False, np.diff(turn) >= gap))
-    total = np.round(np.bincount(group, long), 6)
-    best = int(total.argmax())
-    values, inverse = np.unique(turn[group == best], return_inverse=True)
-    return float(values[int(np.round(np.bincount(inverse, long[group == best]), 6).argmax())])
+    turn, inverse = np.unique(directions(lines)[0], return_inverse=True)
+    return main_of(turn, np.bincount(inverse, directions(lines)[1]), gap)
 
 
 #: Points move by up to this far, by a hash of their place, so that no four lie on one circle; triangles lower than ``FLAT`` are those of points on a line.

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 
 from terraloom.functions import plane
-from terraloom.operators import forest, triangulation
+from terraloom.operators import forest, graph, triangulation
 from terraloom.store import Workspace
 
 
@@ -96,3 +96,39 @@ def test_forest_is_that_of_rising_weights(spark):
     assert forest.spanning_forest(spark.createDataFrame(long, "u long, v long, w double"), Workspace(spark, "forest")).count() == 300
     none = spark.createDataFrame([], "u long, v long, w double")
     assert forest.spanning_forest(none, Workspace(spark, "forest")).collect() == []
+
+
+def slow_clusters(buildings, tree, least):
+    """The rule, with every test on all members anew."""
+    shape = {b.fid: b.shape for b in buildings}
+    groups, of = [], {}
+
+    def dense(members):
+        parts = [shape[m] for m in members]
+        return sum(map(plane.area, parts)) / plane.area(graph.main_box(parts)) * 100 > least
+
+    for _, u, v in sorted(tree):
+        home, other = (u, v) if u in of else (v, u)
+        if home in of:
+            grown = groups[of[home]] + [other] * (other not in groups[of[home]])
+            if dense(grown):
+                groups[of[home]], of[other] = grown, of[home]
+                continue
+        if dense([u, v]):
+            groups.append([u, v])
+            of[u] = of[v] = len(groups) - 1
+    return [sorted(set(m)) for m in groups]
+
+
+@pytest.mark.parametrize("least", [18.0, 30.0, 55.0])
+def test_clusters_follow_the_rule(least):
+    r = random.Random(11)
+    buildings = []
+    for k in range(120):
+        x, y, w, h, t = r.uniform(0, 400), r.uniform(0, 400), r.uniform(8, 25), r.uniform(8, 25), r.choice([0, 0.3, 0.31, 1.2])
+        c, s = np.cos(t), np.sin(t)
+        ring = [(x + a * c - b * s, y + a * s + b * c) for a, b in ((0, 0), (w, 0), (w, h), (0, h))]
+        buildings.append(graph.Building(k, plane.Polygon(plane.as_ring([tuple(map(float, p)) for p in ring]), [])))
+    tree = graph.forest(buildings, np.zeros((0, 4)))
+    got = graph.clusters(buildings, tree, least)
+    assert got == slow_clusters(buildings, tree, least) and len(got) > 3
