@@ -47,6 +47,19 @@ def erase(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     return cut.unionByName(whole)
 
 
+def cut_out(left: DataFrame, right: DataFrame, key: str, store: Workspace, inside: bool = True, tile: float = sj.TILE) -> DataFrame:
+    """key, part, shape as of ``clip``, or of ``erase`` if not ``inside``, for left shapes with any number of partners: no task holds a shape with all of them (``network.combined``).
+
+    Right shapes (bounds, shape) need no key; each takes part once for every left shape whose bounds it meets.
+    """
+    rows = store.save(right.select("bounds", "shape").withColumn("__n", F.monotonically_increasing_id()), "right")
+    met = sj.pairs(left.select(key, "bounds"), rows, tile=10 * tile, strict=True).select(F.col(f"a.{key}").alias(key), F.col("b.__n").alias("__n"), F.col("b.shape").alias("shape"), F.col("b.bounds").alias("bounds"))
+    own = left.select(key, F.lit(-1).cast("long").alias("__n"), "shape", "bounds")
+    made = network.combined(own, met, key, "__n", "intersection" if inside else "difference", store, tile)
+    first = Window.partitionBy(key).orderBy(F.element_at("shape.shell", 1), "ring")
+    return made.select(key, (F.row_number().over(first) - 1).alias("part"), "shape")
+
+
 def sides(lines: DataFrame, *keep: str) -> DataFrame:
     """One row for each segment of ``line``: the columns kept, side (struct) and bounds."""
     s = lines.select(*keep, F.explode(g.segments(F.col("line"))).alias("side"))

@@ -506,6 +506,13 @@ def gap_fix(spark, sf_dir):
 
 # ---- overlays as tables, on shapes that don't lie along the axes
 
+#: Boxes of a settlement on the grid of their own coordinates: cells that any of them covers, and what neighbouring ones share.
+_GRID = """, xs AS (SELECT s, x AS x1, lead(x) OVER (PARTITION BY s ORDER BY x) AS x2 FROM (SELECT s, x1 AS x FROM box UNION SELECT s, x2 FROM box)), ys AS (SELECT s, y AS y1, lead(y) OVER (PARTITION BY s ORDER BY y) AS y2 FROM (SELECT s, y1 AS y FROM box UNION SELECT s, y2 FROM box)),
+cell AS (SELECT s, x1, y1, x2, y2 FROM xs JOIN ys USING (s) WHERE x2 IS NOT NULL AND y2 IS NOT NULL AND EXISTS (SELECT 1 FROM box b WHERE b.s = xs.s AND b.x1 <= xs.x1 AND b.x2 >= xs.x2 AND b.y1 <= ys.y1 AND b.y2 >= ys.y2)),
+shared AS (SELECT a.s, sum(CASE WHEN a.x2 = b.x1 AND a.y1 = b.y1 THEN a.y2 - a.y1 ELSE a.x2 - a.x1 END) AS len FROM cell a JOIN cell b ON a.s = b.s AND (a.x2 = b.x1 AND a.y1 = b.y1 OR a.y2 = b.y1 AND a.x1 = b.x1) GROUP BY a.s),
+total AS (SELECT s, sum((x2 - x1) * (y2 - y1)) AS area, sum(2 * (x2 - x1 + y2 - y1)) AS len FROM cell GROUP BY s)
+"""
+
 _SHAPE = ["bounds", "shape", "is_box"]
 
 
@@ -521,6 +528,30 @@ def erase_turned(spark, sf_dir):
     return made.groupBy("bid").agg(F.round(F.sum(g.area(F.col("shape"))), 1).alias("area"))
 
 
+#: The rectangle of the western half of each row of settlements, as one shape, and buildings cut at it.
+_LANDS = """, land AS (SELECT oy // 1500 AS land, min(ox) - 10 AS x1, min(oy) - 10 AS y1, CAST(floor((min(ox) + max(ox)) / 2) AS BIGINT) + 95 AS x2, max(oy) + 200 AS y2 FROM settlements GROUP BY oy // 1500),
+box AS (SELECT land AS s, greatest(b.x1, l.x1) AS x1, greatest(b.y1, l.y1) AS y1, least(b.x2, l.x2) AS x2, least(b.y2, l.y2) AS y2 FROM buildings b JOIN land l ON b.x1 < l.x2 AND b.x2 > l.x1 AND b.y1 < l.y2 AND b.y2 > l.y1)"""
+
+
+def _lands(spark, sf_dir):
+    s = layers.settlements(spark, sf_dir).groupBy(F.expr("oy div 1500").alias("land")).agg(F.min("ox").alias("w"), F.max("ox").alias("e"), F.min("oy").alias("lo"), F.max("oy").alias("hi"))
+    return layers.turned(layers._shaped(s.selectExpr("land", "w - 10 x1", "lo - 10 y1", "(w + e) div 2 + 95 x2", "hi + 200 y2")))
+
+
+@query(_LANDS + _GRID + "SELECT s AS land, CAST(25 * area AS DOUBLE) AS area, CAST(5 * (total.len - 2 * coalesce(shared.len, 0)) AS DOUBLE) AS perimeter FROM total LEFT JOIN shared USING (s)")
+def lands_clipped(spark, sf_dir):
+    """Few large shapes, clipped by all buildings: what is built up, those that overlap counted once."""
+    made = overlay.cut_out(_lands(spark, sf_dir), layers.turned(layers.buildings(spark, sf_dir)), "land", Workspace(spark, "lands"))
+    return made.groupBy("land").agg(F.round(F.sum(g.area(F.col("shape"))), 1).alias("area"), F.round(F.sum(g.perimeter(F.col("shape"))), 1).alias("perimeter"))
+
+
+@query(_LANDS + _GRID + "SELECT s AS land, CAST(25 * ((x2 - x1) * (y2 - y1) - area) AS DOUBLE) AS area FROM total JOIN land ON land = s")
+def lands_erased(spark, sf_dir):
+    """The same large shapes without all buildings: shapes of very many holes."""
+    made = overlay.cut_out(_lands(spark, sf_dir), layers.turned(layers.buildings(spark, sf_dir)), "land", Workspace(spark, "lands"), inside=False)
+    return made.groupBy("land").agg(F.round(F.sum(g.area(F.col("shape"))), 1).alias("area"))
+
+
 @query("SELECT b.fid, k.bid FROM buildings b JOIN blocks k ON b.x1 >= k.x1 AND b.x2 <= k.x2 AND b.y1 >= k.y1 AND b.y2 <= k.y2")
 def within_turned(spark, sf_dir):
     met = sj.pairs(layers.turned(layers.buildings(spark, sf_dir)).select(_KEYS), layers.turned(layers.blocks(spark, sf_dir)).select("bid", *_SHAPE), tile=1000.0)
@@ -596,14 +627,6 @@ def repaired_shapes(spark, sf_dir):
     return overlay.repaired(broken).select("bid", g.area(F.col("shape")).alias("area"), (g.ring_area(F.col("shape.shell")) > 0).alias("counter_clockwise"))
 
 
-#: Boxes of a settlement on the grid of their own coordinates: cells that any of them covers, and what neighbouring ones share.
-_GRID = """, xs AS (SELECT s, x AS x1, lead(x) OVER (PARTITION BY s ORDER BY x) AS x2 FROM (SELECT s, x1 AS x FROM box UNION SELECT s, x2 FROM box)), ys AS (SELECT s, y AS y1, lead(y) OVER (PARTITION BY s ORDER BY y) AS y2 FROM (SELECT s, y1 AS y FROM box UNION SELECT s, y2 FROM box)),
-cell AS (SELECT s, x1, y1, x2, y2 FROM xs JOIN ys USING (s) WHERE x2 IS NOT NULL AND y2 IS NOT NULL AND EXISTS (SELECT 1 FROM box b WHERE b.s = xs.s AND b.x1 <= xs.x1 AND b.x2 >= xs.x2 AND b.y1 <= ys.y1 AND b.y2 >= ys.y2)),
-shared AS (SELECT a.s, sum(CASE WHEN a.x2 = b.x1 AND a.y1 = b.y1 THEN a.y2 - a.y1 ELSE a.x2 - a.x1 END) AS len FROM cell a JOIN cell b ON a.s = b.s AND (a.x2 = b.x1 AND a.y1 = b.y1 OR a.y2 = b.y1 AND a.x1 = b.x1) GROUP BY a.s),
-total AS (SELECT s, sum((x2 - x1) * (y2 - y1)) AS area, sum(2 * (x2 - x1 + y2 - y1)) AS len FROM cell GROUP BY s)
-"""
-
-
 @query(
     ", box AS (SELECT s, least(x1, x2) - CASE WHEN x1 = x2 THEN 2 ELSE 0 END AS x1, least(y1, y2) - CASE WHEN y1 = y2 THEN 2 ELSE 0 END AS y1, greatest(x1, x2) + CASE WHEN x1 = x2 THEN 2 ELSE 0 END AS x2, greatest(y1, y2) + CASE WHEN y1 = y2 THEN 2 ELSE 0 END AS y2 FROM roads UNION ALL SELECT s, x1 - 2, y1 + 5, x2, y1 + 9 FROM buildings)"
     + _GRID
