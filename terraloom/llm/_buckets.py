@@ -138,6 +138,8 @@ def live(docs: DataFrame, emit: Callable[[Iterator[pa.RecordBatch]], Emit]) -> D
                 held, size, turn = [], 0, turn + 1
         if size:
             yield from _send(held, slots, turn)
+        del held
+        tx.trim()
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         slot, rows = None, []
@@ -150,6 +152,8 @@ def live(docs: DataFrame, emit: Callable[[Iterator[pa.RecordBatch]], Emit]) -> D
                 rows.append(r)
         if rows:
             yield from _meet(rows)
+        del rows
+        tx.trim()
 
     packed = docs.mapInArrow(run, SCHEMA)
     return packed.repartition("slot").sortWithinPartitions("slot").mapInArrow(meet, LIVE)

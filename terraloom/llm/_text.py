@@ -28,6 +28,13 @@ def _trimmer() -> Callable[[int], object]:
 
 
 _trim = _trimmer()
+
+
+def trim() -> None:
+    """Gives memory that a task has freed back to the system."""
+    _trim(0)
+
+
 #: The six separators of words, in ASCII order.
 SPACES = b"\x09\x0a\x0b\x0c\x0d\x20"
 
@@ -203,7 +210,7 @@ def chunks(batches: Iterable[pa.RecordBatch], text: str = "text", limit: int = C
             to = max(at + 1, int(np.searchsorted(off, off[at] + limit, "right")) - 1)
             yield batch.slice(at, to - at), buf[off[at] : off[to]], off[at : to + 1] - off[at]
             at = to
-    _trim(0)
+    trim()
 
 
 def column(batch: pa.RecordBatch, name: str) -> pa.Array:

@@ -361,8 +361,9 @@ def _squares(rows: DataFrame, drawn: DataFrame, store: Workspace) -> DataFrame:
 
 
 #: Rows of squares that are compared together, whole squares at least.
-SQUARE_ROWS = 1 << 15
-_PAIRS = 1 << 19
+SQUARE_ROWS = 1 << 14
+#: Pairs, and words of sketches, that are compared at once.
+_PAIRS, _WORDS = 1 << 17, 1 << 18
 
 
 def _numbers(table: pa.Table, name: str) -> np.ndarray:
@@ -395,6 +396,7 @@ def _whole_blocks(batches: Iterator[pa.RecordBatch], names: tuple[str, ...]) ->
             size = table.num_rows - whole
     if size:
         yield pa.Table.from_batches(held).combine_chunks()
+    tx.trim()
 
 
 def _like(group: np.ndarray, n: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -471,8 +473,8 @@ def _near(pairs: np.ndarray, sketches: Sketches, n: np.ndarray) -> pa.RecordBatc
     a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for w in np.unique(width):
         own = np.flatnonzero(width == w)
-        for at in range(0, len(own), max(1, (1 << 20) // int(w))):
-            k = own[at : at + max(1, (1 << 20) // int(w))]
+        for at in range(0, len(own), max(1, _WORDS // int(w))):
+            k = own[at : at + max(1, _WORDS // int(w))]
             apart = np.bitwise_count(sketches.get(i[k], int(w)) ^ sketches.get(j[k], int(w))).sum(1, dtype=np.int64)
             k = k[7 * apart <= bound[k]]
             a.append(sketches.nodes[i[k]])
