@@ -545,9 +545,8 @@ def test_mix(spark, corpus):
     assert Counter((r.doc_id, r.source) for r in got.collect()) == +copies
 
 
-def inclusions(sizes, rest):
+def inclusions(sizes, rest, factor):
     """The chance of each document, by taking those that reach 1 for certain until none does."""
-    factor = [2 * n / (n + sum(sizes) / len(sizes)) for n in sizes]
     certain = set()
     while True:
         left = rest - sum(sizes[k] for k in certain)
@@ -558,25 +557,27 @@ def inclusions(sizes, rest):
         certain |= more
 
 
-def test_draws_follow_the_inclusion(spark):
-    """In 400 sources of equal documents, each is drawn as often as its chance says, within the error of so many draws."""
+@pytest.mark.parametrize("squares", [False, True])
+def test_draws_follow_the_inclusion(spark, squares):
+    """In 400 sources of equal documents, each is drawn as often as its chance says, within the error of so many draws; with squares of sizes as factors some are certain."""
     sizes = [1, 2, 3, 4, 5, 6, 8, 10, 12, 15, 20, 40, 60, 90, 150]
+    factor = [float(n * n) if squares else 2 * n / (n + sum(sizes) / len(sizes)) for n in sizes]
     rows = [(100 * s + k, " ".join(["w"] * n), f"s{s:03d}") for s in range(400) for k, n in enumerate(sizes)]
-    got = mixing.mix(table(spark, rows)).collect()
+    got = mixing.mix(table(spark, rows), inclusion=F.col("mix_size").cast("double") * F.col("mix_size") if squares else None).collect()
+    certain = 0
     for target in {r.target for r in got}:
         own = [r for r in got if r.target == target]
         whole = int(target // sum(sizes))
         drawn, sources = Counter(), len({r.source for r in own})
         for r in own:
             drawn[r.size] += r.copies - whole
-        if target == 3 * sum(sizes):
-            assert not any(drawn.values())
-            continue
-        chance = inclusions(sizes, target - whole * sum(sizes))
-        assert any(q == 1 for q in chance) or whole
+        chance = inclusions(sizes, target - whole * sum(sizes), factor)
+        certain += sum(q == 1 for q in chance)
         for n, q in zip(sizes, chance, strict=True):
             # the draw ends near the rest, not on it: some hundredths beside the error of a count
-            assert abs(drawn[n] / sources - q) < 4 * (q * (1 - q) / sources) ** 0.5 + 0.06, (target, n, q)
+            assert q < 1 or drawn[n] == sources
+            assert abs(drawn[n] / sources - q) < 4 * (q * (1 - q) / sources) ** 0.5 + 0.08, (target, n, q)
+    assert (certain > 0) == squares
 
 
 @pytest.mark.parametrize("who", [7, None])
