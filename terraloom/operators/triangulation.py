@@ -16,6 +16,7 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -66,17 +67,18 @@ def _outermost(spots: DataFrame) -> DataFrame:
     return few.unionByName(corners).distinct()
 
 
-def _local(rows: pd.DataFrame) -> pd.DataFrame:
+def _local(rows: pa.Table) -> pa.Table:
     """The triangles at a tile's own points, with their circles and whether these lie within what it has seen; a row without corners says that the tile may end at own points for want of others."""
-    first = rows.iloc[0]
-    rows = rows.sort_values(["id", "own"], ascending=[True, False]).drop_duplicates("id")
-    ids, own = rows["id"].to_numpy(), rows["own"].to_numpy()
-    p = plane.shaken(rows[["x", "y"]].to_numpy(float))
+    first = {c: rows.column(c)[0].as_py() for c in (*_TILE, "gx", "gy", "cell", "columns", "rows", "outer")}
+    ids, own, p = rows.column("id").to_numpy(), rows.column("own").to_numpy(), np.stack([rows.column("x").to_numpy(), rows.column("y").to_numpy()], 1)
+    order = np.lexsort((~own, ids))
+    order = order[np.append(True, ids[order][1:] != ids[order][:-1])]
+    ids, own, p = ids[order], own[order], plane.shaken(p[order])
     tri = plane.triangulated(p)
     # how far the ring reaches; beyond the group's own bounds nothing lies
-    lo = np.array([first.tx, first.ty]) * SIDE - 1
+    lo = np.array([first["tx"], first["ty"]]) * SIDE - 1
     hi = lo + SIDE + 2
-    frame, cell = np.array([first.gx, first.gy]), first.cell
+    frame, cell = np.array([first["gx"], first["gy"]]), first["cell"]
     low = np.where(lo <= 0, -np.inf, frame + lo * cell)
     high = np.where(hi >= np.array([first["columns"], first["rows"]]), np.inf, frame + hi * cell)
     whole = bool(np.isinf(low).all() and np.isinf(high).all())
@@ -88,12 +90,12 @@ def _local(rows: pd.DataFrame) -> pd.DataFrame:
     named = np.sort(ids[tri], axis=1) if len(tri) else np.zeros((0, 3), np.int64)
     mine = np.isin(named[:, 0], ids[own]) & (height >= plane.FLAT)
     keep = mine | ~sure & np.isfinite(r)
-    out = pd.DataFrame({"tx": first.tx, "ty": first.ty, "a": named[:, 0], "b": named[:, 1], "c": named[:, 2], "ox": o[:, 0], "oy": o[:, 1], "r": r, "sure": sure, "own": mine})[keep]
-    bare = len(tri) == 0 or any(own[t[t >= 0]].any() for t in ghosts)
-    if bare and not whole and not bool(first.outer):
-        out = pd.concat([out, pd.DataFrame([{"tx": first.tx, "ty": first.ty, "sure": False, "own": False}])])
-    out.insert(0, "g", first.g)
-    return out[[*_TILE, "a", "b", "c", "ox", "oy", "r", "sure", "own"]].astype({"a": "Int64", "b": "Int64", "c": "Int64"})
+    bare = (len(tri) == 0 or any(own[t[t >= 0]].any() for t in ghosts)) and not whole and not first["outer"]
+    n = int(keep.sum()) + bare
+    column = lambda x, kind, none=None: pa.array([*x[keep].tolist(), none] if bare else x[keep], kind)
+    out = {c: pa.array([first[c]] * n, pa.int64()) for c in _TILE} | {c: column(named[:, k], pa.int64()) for k, c in enumerate("abc")}
+    out |= {"ox": column(o[:, 0], pa.float64()), "oy": column(o[:, 1], pa.float64()), "r": column(r, pa.float64()), "sure": column(sure, pa.bool_(), False), "own": column(mine, pa.bool_(), False)}
+    return pa.table(out)
 
 
 def _reaches(into: str = "r") -> Column:
@@ -151,7 +153,7 @@ def triangles(points: DataFrame, key: str, store: Workspace, per_cell: int = PER
     own_tiles = spots.select("g", F.floor(F.col("cx") / SIDE).cast("long").alias("tx"), F.floor(F.col("cy") / SIDE).cast("long").alias("ty")).distinct()
     ring = ring.select(*columns).join(own_tiles, _TILE, "left_semi")
 
-    made = store.save(ring.withColumn("outer", F.lit(False)).groupBy(*_TILE).applyInPandas(_local, f"g long, {_CIRCLE}"), "triangles")
+    made = store.save(ring.withColumn("outer", F.lit(False)).groupBy(*_TILE).applyInArrow(_local, f"g long, {_CIRCLE}"), "triangles")
     left = store.save(made.where("not sure").select(*_TILE).distinct(), "open")
     done = made.where("own").join(left, _TILE, "left_anti")
     if not left.isEmpty():
@@ -166,7 +168,7 @@ def triangles(points: DataFrame, key: str, store: Workspace, per_cell: int = PER
             far = left.join(outer, "g").join(frame, "g").withColumn("own", F.lit(False)).select(*columns)
             asked = have.join(spots, ["g", "cx", "cy"]).withColumn("own", F.lit(False)).select(*columns)
             every = ringed.unionByName(far).unionByName(asked).withColumn("outer", F.lit(True))
-            made = store.save(every.groupBy(*_TILE).applyInPandas(_local, f"g long, {_CIRCLE}"), "triangles")
+            made = store.save(every.groupBy(*_TILE).applyInArrow(_local, f"g long, {_CIRCLE}"), "triangles")
             more = store.save(_lacking(made.where("not sure"), frame, pyramid, have, levels, store), "lacking")
             left = store.save(more.select(*_TILE).distinct(), "open")
             done = done.unionByName(made.where("own").join(left, _TILE, "left_anti"))
