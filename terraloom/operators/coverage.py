@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from terraloom.functions import geometry as g
 from terraloom.functions import plane
+from terraloom.operators import reach
 from terraloom.operators import spatial_join as sj
 
 
@@ -134,20 +135,14 @@ def dense(zones: DataFrame, buildings: DataFrame, key: str, least: float = 18.0)
     return coverage(zones, buildings, key).where(F.col("overlap") > least)
 
 
-def inner_zones(zones: DataFrame, buildings: DataFrame, key: str, reach: float = 100.0, more_than: int = 20, step: float = 25.0) -> DataFrame:
-    """Zones whose every point lies under ``reach`` from a building, tested on a grid of ``step`` with the far edges, and that meet more than ``more_than`` buildings.
+def inner_zones(zones: DataFrame, buildings: DataFrame, key: str, distance: float = 100.0, more_than: int = 20) -> DataFrame:
+    """Zones that meet more than ``more_than`` buildings and whose every point lies under ``distance`` from one, as ``reach`` decides it.
 
-    A zone of the first kind doesn't meet the outline of the buildings' buffer.
+    Such a zone doesn't meet the outline of the buildings' buffer.
     """
     met = sj.refine(sj.pairs(zones.select(key, "bounds", "shape", "is_box"), buildings.select("bounds", "shape", "is_box")))
     met = sj.counted(zones, met, key).where(F.col("join_count") > more_than)
-    b = F.col("bounds")
-    line = lambda low, high: F.array_union(F.transform(F.sequence(F.lit(0), F.floor((high - low) / step).cast("int")), lambda k: low + k * step), F.array(high))
-    spots = met.select(F.col(key).alias("zone"), F.explode(line(b["x1"], b["x2"])).alias("px"), b.alias("zb")).select("zone", "px", F.explode(line(F.col("zb.y1"), F.col("zb.y2"))).alias("py"))
-    spots = spots.withColumn("bounds", F.struct(F.col("px").alias("x1"), F.col("py").alias("y1"), F.col("px").alias("x2"), F.col("py").alias("y2")))
-    near = sj.pairs(spots, buildings.select("bounds"), reach=reach).where(g.box_distance(F.col("a.px"), F.col("a.py"), F.col("b.bounds")) < reach)
-    near = near.select("a.zone", "a.px", "a.py").distinct()
-    bare = spots.select("zone", "px", "py").join(near, ["zone", "px", "py"], "left_anti").select(F.col("zone").alias("__bare"))
+    bare = reach.with_bare(met, buildings, key, distance).withColumnRenamed(key, "__bare")
     return met.join(bare, F.col(key) == F.col("__bare"), "left_anti")
 
 

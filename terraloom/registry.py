@@ -146,6 +146,24 @@ def mean_inner_block_coverage(spark, sf_dir):
     return coverage.mean_coverage(inner, b, "bid").select("n_inner", F.round("mean_overlap", 6).alias("mean_overlap"))
 
 
+def _corner_houses(spark, sf_dir):
+    """A square zone for each settlement, of 136 to 146 m, and houses beyond its corners, in every third settlement one in its middle too."""
+    z = layers.settlements(spark, sf_dir).selectExpr("s", "ox", "oy", "136 + (s * 37) % 101 / 10D w")
+    zones = layers._shaped(z.selectExpr("s", "ox x1", "oy y1", "ox + w x2", "oy + w y2"))
+    at = F.explode(F.expr("concat(array(struct(-4D x, -4D y), struct(-4D x, w y), struct(w x, -4D y), struct(w x, w y)), CASE WHEN s % 3 = 0 THEN array(struct(w / 2 - 2 x, w / 2 - 2 y)) ELSE array() END)"))
+    houses = z.select("ox", "oy", at.alias("at")).selectExpr("ox + at.x x1", "oy + at.y y1", "ox + at.x + 4 x2", "oy + at.y + 4 y2")
+    return zones, layers._shaped(houses)
+
+
+@query(", zone AS (SELECT s, 136 + (s * 37) % 101 / 10.0 AS w FROM settlements), inner_ AS (SELECT s FROM zone WHERE s % 3 = 0 OR w / sqrt(2) < 100) SELECT s, t.turned FROM inner_ CROSS JOIN (VALUES (FALSE), (TRUE)) t(turned)")
+def inner_zones_to_the_gap(spark, sf_dir):
+    """Zones without a point 100 m or further from all houses, as they lie and turned; the others have a gap in their middle, some centimetres to some ten metres wide."""
+    zones, houses = _corner_houses(spark, sf_dir)
+    plain = coverage.inner_zones(zones, houses, "s", more_than=3)
+    turned = coverage.inner_zones(layers.turned(zones), layers.turned(houses), "s", distance=500.0, more_than=3)
+    return plain.select("s", F.lit(False).alias("turned")).unionByName(turned.select("s", F.lit(True).alias("turned")))
+
+
 @query(_PIECES + ", met AS (SELECT k.bid, count(*) AS n FROM blocks k JOIN buildings b ON b.x1 <= k.x2 AND b.x2 >= k.x1 AND b.y1 <= k.y2 AND b.y2 >= k.y1 GROUP BY k.bid) SELECT bid, shape_area, n AS join_count, round(overlap, 6) AS overlap FROM covered JOIN met USING (bid) WHERE n >= 16 AND shape_area >= 10000 OR overlap > 25 AND shape_area >= 10000 AND built >= 3500")
 def patch_remove(spark, sf_dir):
     kept = selection.patches_kept(layers.blocks(spark, sf_dir), layers.buildings(spark, sf_dir), "bid", 25.0, 16, 10000.0, 3500.0)
