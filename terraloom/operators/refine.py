@@ -1,4 +1,4 @@
-"""Refinement of outlines: blocks from lines, holes, gaps, edges caught by blocks, joints between partitions.
+"""Refinement of outlines: blocks from lines, holes, gaps, edges caught by blocks.
 
 Functions on lists of polygons work on one group; their DataFrame forms run them for each group of a key.
 """
@@ -104,21 +104,6 @@ def edges_caught(cluster: Polygon, zone: list[Polygon], roads: np.ndarray, build
     return [p for p in pieces if plane.area(p) < growth * plane.area(cluster)]
 
 
-def joints_filled(shapes: list[Polygon], roads: np.ndarray, distance: float = JOINT) -> list[Polygon]:
-    """Road faces that lie wholly where the buffers of two outlines overlap are added: gaps along the borders of partitions."""
-    if len(shapes) < 2:
-        return plane.dissolved(shapes)
-    wide = [plane.buffered([p], distance) for p in shapes]
-    shared = [f.shape for k, a in enumerate(wide) for b in wide[k + 1 :] for f in plane.overlay(a, b) if f.a and f.b]
-    if not shared:
-        return plane.dissolved(shapes)
-    open_ = plane.difference(plane.dissolved(shared), shapes)
-    open_ = [p for p in open_ if any(plane.intersects(p, s) for s in shapes)]
-    faces = polygonized(np.vstack([roads, plane.edges(shapes)])) if len(roads) else []
-    fill = [f for f in faces if any(plane.contains(p, f) for p in open_)]
-    return plane.dissolved(shapes + fill)
-
-
 # ---- for each group of a key
 
 OUT = f"part int, shape {g.POLYGON}"

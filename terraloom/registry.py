@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terraloom.functions import geometry as g
-from terraloom.operators import classify, coverage, density, graph, network, overlay, partitions, refine, roads, selection, triangulation
+from terraloom.operators import classify, coverage, density, graph, joints, network, overlay, partitions, refine, roads, selection, triangulation
 from terraloom.operators import spatial_join as sj
 from terraloom.plans import delineation, layers
 from terraloom.sources import layers as io
@@ -533,12 +533,35 @@ def edge_catch(spark, sf_dir):
     return refine.caught(b, _parting_roads(spark, sf_dir), z, "s").select("s", "part", F.round(g.area(F.col("shape")), 3).alias("area"))
 
 
-@query()
+def _areas_of_joined(outlines: DataFrame, lines: DataFrame, store: Workspace, distance: float = refine.JOINT) -> DataFrame:
+    return joints.joined(outlines.select("name", "part", "shape"), lines, store, distance).select("name", "part", F.round(g.area(F.col("shape")), 3).alias("area"))
+
+
+@query("SELECT min(concat('PART_', s, '_', bid)) AS name, 0 AS part, CAST(sum((x2 - x1) * (y2 - y1)) AS DOUBLE) AS area FROM blocks GROUP BY s")
 def gap_fix(spark, sf_dir):
-    store = Workspace(spark, "gap-fix")
+    """Blocks of a settlement lie border on border; together they are one outline."""
     halves = layers._shaped(layers.blocks(spark, sf_dir).selectExpr("concat('PART_', s, '_', bid) name", "0 part", "x1", "y1", "x2", "y2", "s"))
-    lines = halves.select("name", "s").join(layers.roads(spark, sf_dir).select(F.col("s").alias("rs"), "line"), F.col("s") == F.col("rs")).select("name", "line")
-    return delineation.joined(halves.select("name", "part", "shape"), lines, store).select("name", "part", F.round(g.area(F.col("shape")), 3).alias("area"))
+    return _areas_of_joined(halves, layers.roads(spark, sf_dir), Workspace(spark, "gap-fix"))
+
+
+def _parted(spark, sf_dir):
+    """Two outlines of each settlement with a gap of up to 180 m in between, and the roads, of which every fourth settlement lacks those on the lower edge."""
+    s = layers.settlements(spark, sf_dir).selectExpr("s", "ox", "oy", "5 + (s * 53) % 176 gap")
+    left = s.selectExpr("concat('PART_', s, '_a') name", "0 part", "ox - 3 x1", "oy - 3 y1", "ox + 90 x2", "oy + 177 y2")
+    right = s.selectExpr("concat('PART_', s, '_b') name", "0 part", "ox + 90 + gap x1", "oy - 3 y1", "ox + 297 x2", "oy + 177 y2")
+    return layers._shaped(left.unionByName(right)), layers.roads(spark, sf_dir).where("s % 4 <> 0 OR rid % 14 > 1")
+
+
+@query(""", gap AS (SELECT s, turned, 5 + (s * 53) % 176 AS gap, s % 4 = 0 AS open, gap > 140 AND NOT turned AS far FROM settlements CROSS JOIN (VALUES (FALSE), (TRUE)) t(turned)),
+outline AS (SELECT concat('PART_', s, '_a') AS name, 0 AS part, CASE WHEN gap > 70 THEN 93 * 180 WHEN open THEN 300 * 180 - gap * 90 ELSE 300 * 180 END AS area, turned FROM gap
+UNION ALL SELECT concat('PART_', s, CASE WHEN far THEN '_b' ELSE '_a' END), CASE WHEN far THEN 0 ELSE 1 END, (207 - gap) * 180, turned FROM gap WHERE gap > 70)
+SELECT name, part, CAST(area * CASE WHEN turned THEN 25 ELSE 1 END AS DOUBLE) AS area, turned FROM outline""")
+def joints_between_outlines(spark, sf_dir):
+    """Gaps of 70 m or less are filled where roads close them, as they lie and turned; wider ones stay, and outlines whose bounds come within 140 m share a name."""
+    outlines, lines = _parted(spark, sf_dir)
+    plain = _areas_of_joined(outlines, lines, Workspace(spark, "joints"))
+    turned = _areas_of_joined(layers.turned(outlines), layers.turned_lines(lines), Workspace(spark, "joints"), 5 * refine.JOINT)
+    return plain.withColumn("turned", F.lit(False)).unionByName(turned.withColumn("turned", F.lit(True)))
 
 
 # ---- overlays as tables, on shapes that don't lie along the axes

@@ -40,7 +40,7 @@ def test_query_matches_sql(spark, db, name):
 
 
 def test_queries_without_sql_are_few():
-    assert set(registry.QUERIES) - set(registry.ORACLES) <= {"mst_clusters", "sparse_blocks", "gap_close", "edge_catch", "gap_fix", "delineation_full"}
+    assert set(registry.QUERIES) - set(registry.ORACLES) <= {"mst_clusters", "sparse_blocks", "gap_close", "edge_catch", "delineation_full"}
 
 
 def test_forest_spans_what_the_edges_join(spark):
