@@ -39,6 +39,13 @@ def test_query_matches_sql(spark, db, name):
     assert rows(got) == rows(expected)
 
 
+@pytest.mark.parametrize("name", ["erase_turned", "clip_turned", "roads_within_outlines", "nearest_road"])
+def test_nothing_is_broadcast_by_the_size_of_files(spark, name):
+    """Tables here are so small that file sizes alone would make all joins broadcasts."""
+    plan = registry.QUERIES[name](spark, DATA)._jdf.queryExecution().sparkPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_queries_without_sql_are_few():
     assert set(registry.QUERIES) - set(registry.ORACLES) <= {"mst_clusters", "sparse_blocks", "gap_close", "edge_catch", "delineation_full"}
 
