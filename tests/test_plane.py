@@ -136,3 +136,19 @@ def test_edges_caught():
     grown = refine.edges_caught(cluster, zone, roads, [box(20, 20, 30, 30)])
     assert total(grown) >= plane.area(cluster)
     assert refine.edges_caught(cluster, zone, roads + 500, [box(20, 20, 30, 30)]) == []
+
+
+def test_convex_shapes_are_decided_as_all_others():
+    """Against the arrangement, on turned boxes that lie within, beside, across and border on border."""
+    r = random.Random(12)
+    turn = lambda x, y, w, h: plane.Polygon(plane.as_ring([(float(4 * p - 3 * q), float(3 * p + 4 * q)) for p, q in ((x, y), (x + w, y), (x + w, y + h), (x, y + h))]), [])
+    area = lambda parts: round(sum(map(plane.area, parts)), 3)
+    for _ in range(60):
+        a = turn(r.randrange(0, 40, 5), r.randrange(0, 40, 5), r.randrange(5, 20, 5), r.randrange(5, 20, 5))
+        b = [turn(r.randrange(0, 40, 5), r.randrange(0, 40, 5), r.randrange(5, 40, 5), r.randrange(5, 40, 5)) for _ in range(r.randrange(1, 4))]
+        both = plane.overlay([a], b)
+        assert area(plane.intersection([a], b)) == area([f.shape for f in both if f.a and f.b])
+        assert area(plane.difference([a], b)) == area([f.shape for f in both if f.a and not f.b])
+        assert plane.contains(b[0], a) == (area([f.shape for f in plane.overlay([b[0]], [a]) if f.b and not f.a]) == 0)
+        met = plane.meets
+        assert plane.intersects(a, b[0]) == (any(met(s, plane.edges([b[0]])).any() for s in plane.edges([a])) or plane.holds(a, *b[0].shell[0]) or plane.holds(b[0], *a.shell[0]))

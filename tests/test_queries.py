@@ -14,7 +14,7 @@ from terraloom.functions import geometry as g
 from terraloom.plans import delineation, layers
 from terraloom.sources import layers as io
 from terraloom.sources import text
-from terraloom.store import Workspace
+from terraloom.store import Workspace, by_group, spread
 
 DATA = "/root/testdata/sf0.001"
 
@@ -199,3 +199,13 @@ def test_faces_of_roads_are_those_of_one_process(spark):
     got = delineation.road_faces(parts, lines, Workspace(spark, "faces")).withColumn("area", g.area(F.col("shape"))).collect()
     assert sorted((r.name, r.part) for r in got) == [("A", 0), ("A", 1), ("A", 2), ("A", 3), ("B", 0), ("B", 1)]
     assert sum(r.area for r in got if r.name == "A") == pytest.approx(10_000, abs=0.1) and sorted(round(r.area) for r in got if r.name == "B") == [2000, 8000]
+
+
+def test_groups_come_in_batches_over_many_tasks(spark):
+    """Groups, one without a key among them, get one call each with all their rows, and what is small in bytes is still dealt over many tasks."""
+    rows = spark.range(3000).selectExpr("CASE WHEN id % 7 = 0 THEN NULL ELSE id % 7 END AS k", "id")
+    made = by_group(rows, "k", lambda group: [(len(group), sum(r["id"] for r in group))], "n int, total long")
+    want = rows.groupBy("k").agg(F.count("*").cast("int").alias("n"), F.sum("id").alias("total"))
+    assert sorted(map(repr, made.collect())) == sorted(map(repr, want.collect()))
+    assert spread(rows, "id").rdd.getNumPartitions() == 16
+    assert layers.buildings(spark, DATA).rdd.getNumPartitions() == 16
