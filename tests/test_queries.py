@@ -208,4 +208,6 @@ def test_groups_come_in_batches_over_many_tasks(spark):
     want = rows.groupBy("k").agg(F.count("*").cast("int").alias("n"), F.sum("id").alias("total"))
     assert sorted(map(repr, made.collect())) == sorted(map(repr, want.collect()))
     assert spread(rows, "id").rdd.getNumPartitions() == 16
+    summed = rows.groupBy("k").agg(F.max("id").alias("id"))
+    assert by_group(summed, "k", lambda group: [(1,)], "n int").rdd.getNumPartitions() == 16
     assert layers.buildings(spark, DATA).rdd.getNumPartitions() == 16
