@@ -46,6 +46,12 @@ def test_nothing_is_broadcast_by_the_size_of_files(spark, name):
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
 
 
+def test_shapes_are_made_once(spark):
+    """Conditions on bounds don't make turned shapes again, below the shuffle that deals the keys."""
+    plan = registry.within_turned(spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    assert "transform(" not in plan
+
+
 def test_queries_without_sql_are_few():
     assert set(registry.QUERIES) - set(registry.ORACLES) <= {"mst_clusters", "sparse_blocks", "gap_close", "edge_catch", "delineation_full"}
 
