@@ -1,4 +1,4 @@
-"""Components: no round for what is told at once."""
+"""Components and rings: few tables for what is told at once."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from terraloom.operators import network
 from terraloom.operators.components import components
 from terraloom.store import Workspace
 
@@ -28,3 +29,12 @@ def test_components_as_one_by_one(spark):
     got = [(x.node, x.root) for x in components(spark.createDataFrame(links, "a long, b long"), Workspace(spark, "links")).collect()]
     assert len(got) == len(dict(got)) and dict(got) == {k: v for k, v in home.items() if k != v}
     assert components(spark.createDataFrame([], "a long, b long"), Workspace(spark, "links")).collect() == []
+
+
+def test_places_in_a_ring_take_no_rounds(spark):
+    """A ring of 1024 sides: the table to begin with and eleven or twelve of doubling, none to count places."""
+    store = Workspace(spark, "ring")
+    follows = spark.range(1024).select(((F.col("id") * 5) % 1024).alias("e"), (((F.col("id") + 1) * 5) % 1024).alias("f"))
+    got = {r.e: (r.ring, r.place) for r in network.ring_of(follows, store).collect()}
+    assert got == {k * 5 % 1024: (0, k) for k in range(1024)}
+    assert store._n <= 13
