@@ -1,4 +1,4 @@
-"""Components and rings: few tables for what is told at once."""
+"""Components and rings: few tables for what is told at once, and joins that broadcast a table of one key."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from terraloom.operators import network
 from terraloom.operators.components import components
-from terraloom.store import Workspace
+from terraloom.store import Workspace, measured_broadcasts
 
 
 def test_stars_need_no_round(spark):
@@ -38,3 +38,20 @@ def test_places_in_a_ring_take_no_rounds(spark):
     got = {r.e: (r.ring, r.place) for r in network.ring_of(follows, store).collect()}
     assert got == {k * 5 % 1024: (0, k) for k in range(1024)}
     assert store._n <= 13
+
+
+def test_one_key_is_broadcast(spark):
+    conf = {"spark.sql.shuffle.partitions": "20"}
+    before = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        measured_broadcasts(spark)
+        frame = spark.range(1000).groupBy(F.when(F.col("id") >= 0, 0).alias("g")).agg(F.max("id").alias("m"))
+        rows = spark.range(100000).select(F.when(F.col("id") >= 0, 0).alias("k"), "id").join(frame, F.col("k") == F.col("g"))
+        assert len(rows.collect()) == 100000
+        plan = rows._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
