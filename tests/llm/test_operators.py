@@ -303,6 +303,115 @@ def test_scores_depend_on_no_layout(spark, corpus, monkeypatch):
     assert by(one) == by(two)
 
 
+def brute_model(docs, discount, burn, samples, seed):
+    """Probability of a token after another, averaged over Gibbs sweeps of the whole hierarchy, a customer at a time: contexts, and the parent of their tables."""
+    r, d, st = random.Random(seed), language_model.DISCOUNT, language_model.STRENGTH
+    pairs = [p for w in docs for p in zip([None, *w], [*w, None])]
+    v = len({w for _, w in pairs})
+    contexts, customers, tables = {}, Counter(u for u, _ in pairs), Counter()
+    parent, total = {}, [0, 0]
+
+    def up(w):
+        sizes = parent.get(w, [])
+        return (sum(sizes) - discount * len(sizes) + (st + discount * total[1]) / (v + 1)) / (st + total[0])
+
+    def down(u, w):
+        sizes = contexts.get((u, w), [])
+        return (sum(sizes) - d * len(sizes) + (st + d * tables[u]) * up(w)) / (st + customers[u])
+
+    def sit(sizes, off, new):
+        """Whether a table is opened."""
+        at = r.random() * (new + sum(sizes) - off * len(sizes)) - new
+        if at < 0 or not sizes:
+            sizes.append(1)
+            return True
+        for k, x in enumerate(sizes):
+            at -= x - off
+            if at < 0 or k == len(sizes) - 1:
+                sizes[k] += 1
+                return False
+
+    def leave(sizes):
+        """Whether a table is given up."""
+        k = r.choices(range(len(sizes)), sizes)[0]
+        sizes[k] -= 1
+        if not sizes[k]:
+            sizes.pop(k)
+            return True
+        return False
+
+    def enter(u, w):
+        if sit(contexts.setdefault((u, w), []), d, (st + d * tables[u]) * up(w)):
+            tables[u] += 1
+            total[1] += sit(parent.setdefault(w, []), discount, (st + discount * total[1]) / (v + 1))
+            total[0] += 1
+
+    for u, w in pairs:
+        enter(u, w)
+    found = []
+    for k in range(burn + samples):
+        for u, w in pairs:
+            if leave(contexts[u, w]):
+                tables[u] -= 1
+                total[1] -= leave(parent[w])
+                total[0] -= 1
+            enter(u, w)
+        if k >= burn:
+            found.append({"contexts": {p: list(x) for p, x in contexts.items()}, "p": {w: up(w) for w in {w for _, w in pairs}}, "none": up("none at all"), "tables": dict(tables)})
+
+    def probability(u, w):
+        return np.mean([(sum(x := f["contexts"].get((u, w), [])) - d * len(x) + (st + d * f["tables"].get(u, 0)) * f["p"].get(w, f["none"])) / (st + customers[u]) for f in found])
+
+    return probability
+
+
+def test_scores_are_those_of_a_plain_gibbs_sampler(spark, monkeypatch):
+    """Words of one context only, however frequent, are unlikely after others: contexts are seated against the parent, the parent by its own sweeps."""
+    monkeypatch.setattr(language_model, "BURN", 14)
+    monkeypatch.setattr(language_model, "SAMPLES", 4)
+    r = random.Random(4)
+    train = [d for d in range(4000) if zlib.crc32(str(d).encode()) % 7 != 2][:400]
+    held = [d for d in range(4000) if zlib.crc32(str(d).encode()) % 7 == 2][:60]
+    texts = [[w for _ in range(6) for i in [r.randrange(30)] for w in (f"san{i}", f"francisco{i}", f"common{r.randrange(12)}", f"rare{r.randrange(4000)}")] for _ in train]
+    tests = [[f"rare{5000 + i}", f"francisco{i % 30}"] for i in range(30)] + [[f"common{i % 12}", f"common{(i + 1) % 12}", f"san{i % 30}", f"francisco{i % 30}"] for i in range(30)]
+    docs = [(d, " ".join(w), "a") for d, w in zip(train, texts)] + [(d, " ".join(w), "a") for d, w in zip(held, tests)]
+    got = {x.doc_id: x.score for x in language_model.score(table(spark, docs)).collect()}
+    count = Counter(w for x in texts for w in [*x, None])
+    once, twice = (sum(c == k for c in count.values()) for k in (1, 2))
+    p = brute_model(texts, min(0.95, max(0.05, once / (once + 2 * twice))), 12, 12, 1)
+    for some in (slice(0, 30), slice(30, 60)):
+        mine = [got[d] for d in held[some]]
+        want = [sum(np.log10(p(u, w)) for u, w in zip([None, *x], [*x, None])) for x in tests[some]]
+        assert np.mean(mine) == pytest.approx(np.mean(want), abs=0.06)
+
+
+def test_scores_depend_on_no_limit(spark, corpus, monkeypatch):
+    """Whether contexts are divided, and how many slots the parent has: one score."""
+    by = lambda: sorted((r.doc_id, r.n_tokens, round(r.score, 4)) for r in language_model.score(table(spark, corpus)).collect())
+    one = by()
+    monkeypatch.setattr(language_model, "SHARE", 40)
+    monkeypatch.setattr(language_model, "BUCKET_TOKENS", 100)
+    assert by() == one
+
+
+def test_tables_go_on():
+    """Customers of a restaurant that is taken up again keep their tables; some leave, others come, and a sweep seats them all."""
+    r = np.random.default_rng(3)
+    n, zeros = r.poisson(4.0, 300) + 1, np.zeros(300, np.int64)
+    n[:4] = (900, 300, 2, 1)
+    name, ones = tx.splitmix(np.arange(300).astype(tx.U)), np.ones(1, np.int64)
+    m = language_model.Restaurants(zeros, zeros, n, np.full(1, 0.01), ones, name)
+    again = language_model.Restaurants(zeros, zeros, n, np.full(1, 0.01), ones, name, held=(n, m.t, m.labels()), turn=1)
+    sizes = lambda m, b, k: sorted(np.unique(m.table[b : b + k], return_counts=True)[1])
+    assert (again.t == m.t).all() and all(sizes(m, b, k) == sizes(again, b, k) for b, k in zip(m.base, m.n))
+    more = np.maximum(1, n + r.integers(-3, 4, 300))
+    more[:4] = (1, 700, 1, 600)
+    m = language_model.Restaurants(zeros, zeros, more, np.full(1, 0.01), ones, name, held=(n, m.t, m.labels()), turn=1)
+    m.sweep()
+    assert (m.table >= 0).all() and (m.t[more == 1] == 1).all()
+    assert all(np.bincount(m.table[b : b + k]).sum() == k and len(set(m.table[b : b + k])) == m.t[d] for b, k, d in zip(m.base, m.n, m.dish))
+
+
 def test_no_training_documents(spark):
     held = next(d for d in range(99) if zlib.crc32(str(d).encode()) % 7 == 2)
     r = language_model.score(table(spark, [(held, "a b", "a")])).first()
