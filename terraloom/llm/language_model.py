@@ -93,7 +93,7 @@ class Chunk(NamedTuple):
     def pairs(self) -> tuple[np.ndarray, np.ndarray]:
         """Distinct pairs (context number * n_words + token number), sorted, and the place of each token's pair."""
         before = np.append(self.end, self.tokens[:-1])  # documents end with the end
-        return _distinct(before * self.n_words + self.tokens)
+        return np.unique(before * self.n_words + self.tokens, return_inverse=True)
 
 
 def _held(doc_id: int | None) -> bool:
@@ -594,7 +594,7 @@ def _buckets(chunks: DataFrame, known, store: Workspace) -> DataFrame:
             yield _messages(out)
 
     asked = chunks.mapInArrow(ask, "chunk long, slot long, u binary, followers binary, w binary, n binary")
-    return store.save(asked.repartition("slot").sortWithinPartitions("slot", "chunk").mapInArrow(merge, _MESSAGE), "buckets")
+    return store.save(asked.repartition("slot").sortWithinPartitions("slot", "chunk").mapInArrow(merge, _MESSAGE), "buckets", "uncompressed")
 
 
 class Parent(NamedTuple):
@@ -710,7 +710,7 @@ def _round(buckets: DataFrame, parents: DataFrame, slots: int, totals: Totals, t
             yield _messages(b.rows(rows[0]["slot"]))
 
     rows = buckets.where(F.col("kind") == SEATS).unionByName(parents.where(F.col("kind") == ASKED))
-    return store.save(_own_rows(rows).mapInArrow(run, _MESSAGE), "buckets")
+    return store.save(_own_rows(rows).mapInArrow(run, _MESSAGE), "buckets", "uncompressed")
 
 
 def _answered(buckets: DataFrame, parents: DataFrame, pairs: DataFrame, slots: int, totals: Totals, known) -> DataFrame:
