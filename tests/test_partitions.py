@@ -69,3 +69,44 @@ def test_all_cells_get_a_label(spark):
     assert partitions.labelled(regions.where("false"), store).count() == 0
     lines = partitions.border_lines(spark.createDataFrame([(x, y, n) for (x, y), n in got.items()], "cx long, cy long, region long"))
     assert lines.select("line").where(F.size("line") != 2).isEmpty() and lines.where("region = 1").count() >= 4
+
+
+def test_points_of_a_square_find_their_cells_together(spark):
+    import numpy as np
+
+    from terraloom.operators import density
+    from terraloom.store import Workspace
+
+    r = np.random.default_rng(5)
+    cells = np.unique(np.concatenate([r.integers(-40, 40, (60, 2)), r.integers(900, 910, (30, 2))]), axis=0)
+    regions = [(int(x), int(y), int(x % 5)) for x, y in cells]
+    points = np.concatenate([r.random((200, 2)) * 30_000 - 15_000, (r.integers(-60, 60, (200, 2)) + 0.5) * 150, r.random((30, 2)) * 150_000])
+    rows = spark.createDataFrame([(k, *map(float, p)) for k, p in enumerate(points)], "k long, x double, y double")
+    store = Workspace(spark, "squares")
+    found = {f.k: f.region for f in density.nearest_region(rows, spark.createDataFrame(regions, "cx long, cy long, region long"), "k", store).collect()}
+    for k, (x, y) in enumerate(points.tolist()):
+        near = min((np.sqrt((x - (cx + 0.5) * 150) ** 2 + (y - (cy + 0.5) * 150) ** 2), g) for cx, cy, g in regions)
+        assert found[k] == near[1]
+    # before, a row for each point and block: 49 for each of 430 points
+    import os
+
+    front = next(f for f in sorted(os.listdir(store.root.removeprefix("file:"))) if f.endswith("front"))
+    assert spark.read.parquet(f"{store.root}/{front}").count() < 2000
+
+
+def test_density_counts_centres_within_the_radius(spark):
+    import numpy as np
+
+    from terraloom.operators import density
+
+    r = np.random.default_rng(6)
+    points = np.concatenate([r.random((60, 2)) * 1000 - 500, r.integers(-10, 10, (60, 2)) * 25.0])
+    rows = spark.createDataFrame([tuple(map(float, p)) for p in points], "x double, y double")
+    found = {(c.cx, c.cy): c.n for c in density.point_density(rows, 50.0, 100.0).collect()}
+    want: dict = {}
+    for x, y in points.tolist():
+        for cx in range(-20, 20):
+            for cy in range(-20, 20):
+                if ((cx + 0.5) * 50 - x) ** 2 + ((cy + 0.5) * 50 - y) ** 2 <= 10_000:
+                    want[cx, cy] = want.get((cx, cy), 0) + 1
+    assert found == want
